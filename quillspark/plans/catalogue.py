@@ -1,0 +1,11 @@
+"""Every registered corpus analysis: its query and its SQL oracle."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
