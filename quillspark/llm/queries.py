@@ -5,6 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_decontamination": "op01_decontamination",
+    "op5_sharding": "op05_sharding",
+    "op7_urls": "op07_urls",
+    "op8_simhash": "op08_simhash",
     "op9_packing": "op09_packing",
 }
 
