@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,8 +36,17 @@ _POWERS = 256
 
 
 def word_features(word: bytes) -> list[bytes]:
-    """The word and its beginnings of four to six bytes."""
-    return [word, *(word[:n] + b"*" for n in (4, 5, 6) if len(word) > n)]
+    """The word and its beginnings of four to ten bytes."""
+    return [word, *(word[:n] + b"*" for n in range(4, 11) if len(word) > n)]
+
+
+def one_of_each(docs: list[tuple[list[bytes], int]]) -> list[tuple[list[bytes], int]]:
+    """One document of each group of copies, exact or near ones: those that share their lowest-hashed pair of words in a row, and their label."""
+    found = {}
+    for own, label in docs:
+        key = min((zlib.crc32(a + b" " + b), a, b) for a, b in zip(own, own[1:], strict=False)) if len(own) > 1 else tuple(own)
+        found.setdefault((key, label), own)
+    return [(own, label) for (_, label), own in found.items()]
 
 
 def informative(docs: list[tuple[list[bytes], int]]) -> list[bytes]:
@@ -54,7 +64,7 @@ def informative(docs: list[tuple[list[bytes], int]]) -> list[bytes]:
     bar, scored = math.log(max(1, len(tried))) + 1, []
     for f in tried:
         n, share = all_of[f], toxic[f] / all_of[f]
-        if share <= q or share < 0.5:
+        if share <= q or share < 0.7:
             continue
         gain = n * (share * math.log(share / q) + ((1 - share) * math.log((1 - share) / (1 - q)) if share < 1 else 0))
         if gain > bar:
@@ -155,9 +165,9 @@ def _log_sum(a: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(a - top[:, None]).sum(axis=1))
 
 
-def fit(texts: list[tuple[str, int]], share: float, steps: int = 80) -> Crf:
+def fit(texts: list[tuple[str, int]], share: float, steps: int = 60) -> Crf:
     """A CRF from (text, label) pairs; share: of label 1 in the population."""
-    docs = [(words(t), label) for t, label in texts]
+    docs = one_of_each([(words(t), label) for t, label in texts])
     features = informative(docs)
     number = {f: k for k, f in enumerate(features)}
     rng = np.random.default_rng(7)

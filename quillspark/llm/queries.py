@@ -6,10 +6,15 @@ from importlib import import_module
 
 _MODULES = {
     "op1_decontamination": "op01_decontamination",
+    "op2_html": "op02_html",
+    "op3_tiff": "op03_tiff",
+    "op4_license": "op04_license",
     "op5_sharding": "op05_sharding",
+    "op6_toxicity": "op06_toxicity",
     "op7_urls": "op07_urls",
     "op8_simhash": "op08_simhash",
     "op9_packing": "op09_packing",
+    "op10_quality": "op10_quality",
 }
 
 
