@@ -24,7 +24,7 @@ from .common import stored, table, with_free_names
 
 SHARDS, SEED = 8, 20240607
 #: Rows of a cell; a shard has as many cells as that takes.
-CELL_ROWS = 200_000
+CELL_ROWS = 10_000
 
 
 def even_sizes(total: int, parts: int) -> np.ndarray:
