@@ -1,11 +1,643 @@
-"""Every registered corpus analysis: its query and its SQL oracle."""
+"""Every registered corpus analysis: its query over a folder of tables, and its SQL oracle where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import bands, paths, sampling, stats, text
+from ..operators import relational
+from . import analyses
+from .corpus import CORPUS_SQL, bind, structure_fields
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def query(name: str, sql: str | None = None, corpus: bool = True):
+    """Register a query; sql follows the corpus CTEs if corpus is set."""
+
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = (CORPUS_SQL + sql) if corpus else sql
+        return f
+
+    return put
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _describe_sql(col: str, source: str, kind: str = "full", cast: str = "BIGINT") -> str:
+    q = lambda p: f"CAST(quantile_disc({col}, {p}) AS {cast})"
+    parts = {
+        "count": f"count({col})",
+        "total": f"CAST(sum({col}) AS {cast})",
+        "minimum": f"CAST(min({col}) AS {cast})",
+        "p25": q(0.25),
+        "median": q(0.5),
+        "p50": q(0.5),
+        "mean": f"avg({col})",
+        "p75": q(0.75),
+        "p90": q(0.9),
+        "p95": q(0.95),
+        "p99": q(0.99),
+        "maximum": f"CAST(max({col}) AS {cast})",
+        "zero": f"count(*) FILTER (WHERE {col} = 0)",
+    }
+    names, _, rounded = stats.KINDS[kind]
+    return "SELECT " + ", ".join(f"{f'round_even({parts[n]}, 6)' if rounded and n == 'mean' else parts[n]} AS {n}" for n in names.split()) + f" FROM {source}"
+
+
+# -- duplicates: families of equal texts over the whole documents table ---------------------------------
+
+_RAW = """
+WITH f AS (SELECT doc_id AS id, source AS repo, 'docs/' || doc_id || '.md' AS path, sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS size_bytes, text AS content FROM documents),
+fam AS (SELECT content_hash, count(*) AS copies, count(DISTINCT repo) AS repositories, min(size_bytes) AS min_size, max(size_bytes) AS max_size,
+        min_by({'r': repo, 'p': path}, {'a': lower(repo), 'b': lower(path), 'c': repo, 'd': path, 'e': id}) AS first
+        FROM f WHERE content_hash IS NOT NULL GROUP BY content_hash HAVING count(*) > 1)
+"""
+
+
+def _raw(spark: SparkSession, sf_dir: str):
+    """Documents as Markdown files of their source, texts unchanged."""
+    from .corpus import Corpus, fitted
+
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("repo_full_name"), F.format_string("docs/%d.md", "doc_id").alias("path"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"))
+    return Corpus(fitted(docs.select(F.col("source").alias("full_name")).distinct(), "repos"), fitted(files, "files"))
+
+
+@query("d17_families", _RAW + "SELECT content_hash, copies, repositories, min_size, max_size, first.r AS representative_repo, first.p AS representative_path, CAST(row_number() OVER (ORDER BY copies DESC, repositories DESC, content_hash) AS INT) AS rank FROM fam", False)
+def d17_families(spark, sf_dir):
+    return analyses.duplicates(_raw(spark, sf_dir))["families"]
+
+
+@query("d17_members", _RAW + "SELECT content_hash, id, repo AS repo_full_name, path, size_bytes FROM f SEMI JOIN fam USING (content_hash)", False)
+def d17_members(spark, sf_dir):
+    return analyses.duplicates(_raw(spark, sf_dir))["members"]
+
+
+@query("d17_summary", _RAW + "SELECT count(*) AS families, CAST(coalesce(sum(copies), 0) AS BIGINT) AS files, CAST(coalesce(sum(copies - 1), 0) AS BIGINT) AS repeated_files, count(*) FILTER (WHERE repositories > 1) AS cross_repository_families, CAST(coalesce(max(copies), 0) AS BIGINT) AS largest_family FROM fam", False)
+def d17_summary(spark, sf_dir):
+    return analyses.duplicates(_raw(spark, sf_dir))["summary"]
+
+
+# -- scale, languages, sizes ------------------------------------------------------------------------------
+
+
+@query(
+    "a1_populations",
+    """SELECT count(*) AS files, count(DISTINCT repo) AS repositories,
+ count(*) FILTER (WHERE e) AS exact_files, count(DISTINCT repo) FILTER (WHERE e) AS exact_repositories,
+ count(*) FILTER (WHERE s) AS strict_files, count(DISTINCT repo) FILTER (WHERE s) AS strict_repositories,
+ count(*) FILTER (WHERE NOT e) AS other_files, count(DISTINCT repo) FILTER (WHERE NOT e) AS other_repositories
+ FROM (SELECT *, lower(path) = 'claude.md' OR lower(path) LIKE '%/claude.md' AS e, path = 'CLAUDE.md' OR path LIKE '%/CLAUDE.md' AS s FROM files)""",
+)
+def a1_populations(spark, sf_dir):
+    return analyses.populations(bind(spark, sf_dir))
+
+
+@query("d1_languages", "SELECT language, repositories, 100.0::DOUBLE * repositories / sum(repositories) OVER () AS percent, CAST(row_number() OVER (ORDER BY repositories DESC, lower(language), language) AS INT) AS rank FROM (SELECT coalesce(nullif(language, ''), '(unknown)') AS language, count(*) AS repositories FROM repos GROUP BY 1)")
+def d1_languages(spark, sf_dir):
+    return analyses.dataset(bind(spark, sf_dir))["languages"]
+
+
+@query("d1_top_repositories", "SELECT full_name, coalesce(stars, 0) AS stars, CAST(row_number() OVER (ORDER BY coalesce(stars, 0) DESC, lower(full_name), full_name) AS INT) AS rank FROM repos QUALIFY rank <= 15")
+def d1_top_repositories(spark, sf_dir):
+    return analyses.dataset(bind(spark, sf_dir))["top"]
+
+
+@query("d1_stars", _describe_sql("s", "(SELECT coalesce(stars, 0) AS s FROM repos)"))
+def d1_stars(spark, sf_dir):
+    return analyses.dataset(bind(spark, sf_dir))["stars"]
+
+
+@query("m2_describe_bytes", _describe_sql("size_bytes", "exact"))
+def m2_describe_bytes(spark, sf_dir):
+    return analyses.dataset(bind(spark, sf_dir))["describe_size_bytes"]
+
+
+@query("m2_describe_tokens", _describe_sql("t", "(SELECT CAST(ceil(length(content) / 3.5::DOUBLE) AS BIGINT) AS t FROM exact)"))
+def m2_describe_tokens(spark, sf_dir):
+    return analyses.dataset(bind(spark, sf_dir))["describe_tokens"]
+
+
+@query("m7_describe_prices", _describe_sql("l_extendedprice", "lineitem", "short", "DOUBLE").replace("avg(l_extendedprice)", "round(avg(l_extendedprice), 4)"), False)
+def m7_describe_prices(spark, sf_dir):
+    out = _table(spark, sf_dir, "lineitem").agg(*stats.describe("l_extendedprice", "short", "double"))
+    return out.withColumn("mean", F.round("mean", 4))
+
+
+@query(
+    "m9_weighted_quantiles",
+    """, fam AS (SELECT content_hash, count(*) AS w, min(length(content)) AS v FROM exact GROUP BY 1), h AS (SELECT v, sum(w) AS w FROM fam GROUP BY v),
+ r AS (SELECT v, sum(w) OVER (ORDER BY v) AS upto, sum(w) OVER () AS n FROM h)
+ SELECT min(v) FILTER (WHERE upto >= greatest(1, ceil(0.25::DOUBLE * n))) AS q25, min(v) FILTER (WHERE upto >= greatest(1, ceil(0.5::DOUBLE * n))) AS q50,
+ min(v) FILTER (WHERE upto >= greatest(1, ceil(0.9::DOUBLE * n))) AS q90, min(v) FILTER (WHERE upto >= greatest(1, ceil(0.99::DOUBLE * n))) AS q99 FROM r""",
+)
+def m9_weighted_quantiles(spark, sf_dir):
+    own = analyses.families(bind(spark, sf_dir)).select(F.length("content").cast("long").alias("chars"), "copies")
+    return stats.weighted_quantiles(stats.weighted_histogram(own, "chars", "copies"), [0.25, 0.5, 0.9, 0.99])
+
+
+@query("m12_ecdf", "SELECT size_bytes AS value, 100.0::DOUBLE * sum(n) OVER (ORDER BY size_bytes) / sum(n) OVER () AS percent FROM (SELECT size_bytes, count(*) AS n FROM exact GROUP BY 1)")
+def m12_ecdf(spark, sf_dir):
+    return analyses.size_series(bind(spark, sf_dir))["ecdf_bytes"]
+
+
+_WORDS = r"len(regexp_extract_all(content, '[^\s\x0B\x1C-\x1F\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'))"
+
+
+@query("m13_survival", f"SELECT w / 238.0::DOUBLE AS minutes, percent FROM (SELECT w, 100.0::DOUBLE * sum(n) OVER (ORDER BY w DESC) / sum(n) OVER () AS percent FROM (SELECT {_WORDS} AS w, count(*) AS n FROM exact GROUP BY 1)) WHERE w > 0")
+def m13_survival(spark, sf_dir):
+    return analyses.size_series(bind(spark, sf_dir))["survival_238"]
+
+
+@query("m11_profile", _describe_sql("w", f"(SELECT {_WORDS} AS w FROM exact)", "profile"))
+def m11_profile(spark, sf_dir):
+    return analyses.size_series(bind(spark, sf_dir))["profile_words"]
+
+
+@query("d19_histogram", "SELECT CAST(least(floor(size_bytes / 500.0::DOUBLE), 39) AS INT) AS bin, count(*) AS n FROM files WHERE lower(path) LIKE '%.md' AND tool_id = 'a' AND size_bytes BETWEEN 0 AND 20000 GROUP BY 1")
+def d19_histogram(spark, sf_dir):
+    return analyses.size_histogram(bind(spark, sf_dir), 20000, 40, tool="a")
+
+
+@query(
+    "d4_windows",
+    """SELECT w.window, round_even(100.0::DOUBLE * baseline / w.size, 6) AS baseline_percent, round_even(100.0::DOUBLE * uplift / w.size, 6) AS uplift_percent
+ FROM (SELECT max(CAST(ceil(length(content) / 3.5::DOUBLE) AS BIGINT)) AS baseline, max(CAST(ceil(length(content) / 3.5::DOUBLE * 1.3::DOUBLE) AS BIGINT)) AS uplift FROM exact),
+ (VALUES ('200k', 200000), ('500k', 500000), ('1M', 1000000)) AS w("window", size)""",
+)
+def d4_windows(spark, sf_dir):
+    return analyses.context_windows(bind(spark, sf_dir))["windows"]
+
+
+_LINES = r"len(list_filter(regexp_split_to_array(regexp_replace(content, '(\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}])$', ''), '\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]'), lambda x: content <> ''))"
+
+
+@query("d4_lines", f"SELECT count(*) FILTER (WHERE n < 200) AS below, count(*) FILTER (WHERE n = 200) AS at, count(*) FILTER (WHERE n > 200) AS above, count(*) FILTER (WHERE n > 500) AS above_500, count(*) FILTER (WHERE n > 1000) AS above_1000, round_even(avg(CAST(n >= 200 AS DOUBLE)), 6) AS share_at_or_above FROM (SELECT {_LINES} AS n FROM exact)")
+def d4_lines(spark, sf_dir):
+    return analyses.context_windows(bind(spark, sf_dir))["lines"]
+
+
+@query("d4_describe_chars", _describe_sql("c", "(SELECT length(content) AS c FROM exact)", "plain"))
+def d4_describe_chars(spark, sf_dir):
+    return analyses.context_windows(bind(spark, sf_dir))["describe_chars"]
+
+
+@query("d20_languages", "SELECT coalesce(language, '(unknown)') AS language, count(*) AS files FROM files LEFT JOIN repos ON repo = full_name GROUP BY 1")
+def d20_languages(spark, sf_dir):
+    return analyses.report(bind(spark, sf_dir))["languages"]
+
+
+@query("d20_tools", "SELECT tool_id, count(*) AS files, count(DISTINCT repo) AS repositories FROM files GROUP BY 1")
+def d20_tools(spark, sf_dir):
+    return analyses.report(bind(spark, sf_dir))["tools"]
+
+
+@query("d20_largest", "SELECT id, path, size_bytes FROM files ORDER BY size_bytes DESC, id LIMIT 15")
+def d20_largest(spark, sf_dir):
+    return analyses.report(bind(spark, sf_dir))["largest"]
+
+
+# -- joins ---------------------------------------------------------------------------------------------------
+
+
+@query("j1_documents_labels", "SELECT quality, toxic, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents JOIN labels USING (doc_id) GROUP BY ALL", False)
+def j1_documents_labels(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("j3_customer_orders", "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1", False)
+def j3_customer_orders(spark, sf_dir):
+    c, o = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders")
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"))
+
+
+@query("j4_multi_file_repositories", "SELECT id, repo AS repo_full_name, path FROM exact SEMI JOIN (SELECT repo FROM exact GROUP BY repo HAVING count(*) > 1) USING (repo)")
+def j4_multi_file_repositories(spark, sf_dir):
+    return relational.repeated(bind(spark, sf_dir).population("exact"), "repo_full_name").select("id", "repo_full_name", "path")
+
+
+@query("j5_representatives", _RAW + "SELECT content_hash, min(id) AS id, count(*) AS copies FROM f WHERE content_hash IS NOT NULL GROUP BY 1", False)
+def j5_representatives(spark, sf_dir):
+    files = _raw(spark, sf_dir).files.select("id", "content_hash").filter("content_hash IS NOT NULL")
+    return relational.representative(files, "content_hash", F.col("id")).select("content_hash", "id", "copies")
+
+
+@query("j10_names_with_alias", "SELECT c.c_custkey, coalesce(a.n_name, b.n_name) AS n_name FROM customer c LEFT JOIN nation a ON lower('N' || c.c_custkey) = lower(a.n_name) LEFT JOIN nation b ON c.c_nationkey = b.n_nationkey", False)
+def j10_names_with_alias(spark, sf_dir):
+    nation = _table(spark, sf_dir, "nation")
+    keyed = _table(spark, sf_dir, "customer").withColumn("name", F.concat(F.lit("N"), "c_custkey")).join(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("alias")), "c_nationkey", "left")
+    return relational.first_matching(keyed, nation.select(F.col("n_name").alias("k"), "n_name"), "name", "alias", "k", "n_name").select("c_custkey", "n_name")
+
+
+_DIR = "CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END"
+
+
+@query(
+    "j7_hierarchy_edges",
+    f""", e AS (SELECT id, repo, path, {_DIR} AS dir FROM exact), d AS (SELECT DISTINCT repo, dir FROM e),
+ up AS (SELECT c.repo, c.dir, p.dir AS up FROM d c JOIN d p ON c.repo = p.repo AND c.dir <> p.dir AND (p.dir = '' OR starts_with(c.dir, p.dir || '/')) QUALIFY row_number() OVER (PARTITION BY c.repo, c.dir ORDER BY length(p.dir) DESC) = 1)
+ SELECT c.repo AS repo_full_name, c.id AS child_id, c.path AS child_path, p.id AS parent_id, p.path AS parent_path,
+ CAST(CASE WHEN c.dir = '' THEN 0 ELSE len(string_split(c.dir, '/')) END AS INT) AS child_depth, CAST(CASE WHEN up.up = '' THEN 0 ELSE len(string_split(up.up, '/')) END AS INT) AS parent_depth
+ FROM e c JOIN up USING (repo, dir) JOIN e p ON p.repo = c.repo AND p.dir = up.up""",
+)
+def j7_hierarchy_edges(spark, sf_dir):
+    return analyses.hierarchy(bind(spark, sf_dir))["edges"]
+
+
+@query(
+    "j15_chain_lengths",
+    f""", d AS (SELECT DISTINCT repo, {_DIR} AS dir FROM exact)
+ SELECT c.repo AS repo_full_name, c.dir, 1 + count(p.dir) AS chain FROM d c LEFT JOIN d p ON c.repo = p.repo AND c.dir <> p.dir AND (p.dir = '' OR starts_with(c.dir, p.dir || '/')) GROUP BY ALL""",
+)
+def j15_chain_lengths(spark, sf_dir):
+    return analyses.hierarchy(bind(spark, sf_dir))["chains"]
+
+
+@query(
+    "j8_scope_pairs",
+    f""", e AS (SELECT id, repo, path, content_hash, {_DIR} AS dir FROM exact),
+ s AS (SELECT *, lower(dir) = '.claude' OR lower(dir) LIKE '%/.claude' AS hidden FROM e),
+ l AS (SELECT *, CASE WHEN NOT hidden THEN dir WHEN contains(dir, '/') THEN regexp_extract(dir, '^(.*)/[^/]*$', 1) ELSE '' END AS scope FROM s)
+ SELECT a.repo AS repo_full_name, a.scope, a.path AS direct_path, a.content_hash AS direct_hash, b.path AS hidden_path, b.content_hash AS hidden_hash, CAST(a.content_hash = b.content_hash AS INT) AS same_content
+ FROM l a JOIN l b ON a.repo = b.repo AND a.scope = b.scope AND NOT a.hidden AND b.hidden""",
+)
+def j8_scope_pairs(spark, sf_dir):
+    return analyses.hierarchy(bind(spark, sf_dir))["pairs"]
+
+
+@query(
+    "j6_line_overlaps",
+    r""", several AS (SELECT * FROM exact SEMI JOIN (SELECT repo FROM exact GROUP BY repo HAVING count(*) > 1) USING (repo)),
+ raw AS (SELECT repo, id, content_hash, unnest(regexp_split_to_array(content, '\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]')) AS line FROM several),
+ l AS (SELECT DISTINCT repo, id, content_hash, lower(trim(regexp_replace(line, '[ \t]+', ' ', 'g'), ' ')) AS line FROM raw), k AS (SELECT * FROM l WHERE line <> ''),
+ n AS (SELECT repo, id, count(*) AS n FROM k GROUP BY ALL),
+ s AS (SELECT a.repo, a.id AS a, b.id AS b, count(*) AS shared FROM k a JOIN k b ON a.repo = b.repo AND a.line = b.line AND a.id < b.id AND a.content_hash <> b.content_hash GROUP BY ALL),
+ m AS (SELECT s.*, x.n AS na, y.n AS nb, shared::DOUBLE / (x.n + y.n - shared) AS jaccard, shared::DOUBLE / least(x.n, y.n) AS containment FROM s JOIN n x ON x.repo = s.repo AND x.id = s.a JOIN n y ON y.repo = s.repo AND y.id = s.b)
+ SELECT * FROM (SELECT repo, a, b, na, nb, shared, jaccard, containment, CASE WHEN shared = na AND shared = nb THEN 'normalized_equivalent' WHEN shared >= 5 AND jaccard >= 0.8 THEN 'high_jaccard' WHEN shared >= 5 AND containment >= 0.9 THEN 'high_containment' END AS relation FROM m) WHERE relation IS NOT NULL""",
+)
+def j6_line_overlaps(spark, sf_dir):
+    return analyses.line_overlaps(bind(spark, sf_dir), ascii_only=True)
+
+
+@query(
+    "j9_fifo_match",
+    """WITH l AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
+ r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = (SELECT max(event_type) FROM events))
+ SELECT coalesce(l.user_id, r.user_id) AS user_id, l.event_id AS left_event, r.event_id AS right_event FROM l FULL JOIN r ON l.user_id = r.user_id AND l.n = r.n""",
+    False,
+)
+def j9_fifo_match(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("event_type"), F.max("event_type")).first()
+    one = lambda t: events.filter(F.col("event_type") == t).select("user_id", "event_id", "ts")
+    return relational.fifo_match(one(low), one(high), ["user_id"], ["ts", "event_id"], ["ts", "event_id"]).select("user_id", F.col("left_row.event_id").alias("left_event"), F.col("right_row.event_id").alias("right_event"))
+
+
+@query("j11_label_bijection", "SELECT doc_id, quality, toxic FROM labels", False)
+def j11_label_bijection(spark, sf_dir):
+    labels = _table(spark, sf_dir, "labels")
+    return relational.bijection(labels.select("doc_id", "quality"), labels.select("doc_id", "toxic"), "doc_id").select("doc_id", "l.quality", "r.toxic")
+
+
+# -- aggregation, strata, samples ------------------------------------------------------------------------------
+
+
+@query(
+    "a10_strata",
+    """, c AS (SELECT f.*, CASE WHEN size_bytes IS NULL THEN 'unknown' WHEN size_bytes <= 50 THEN '<=50' WHEN size_bytes <= 200 THEN '51-200' WHEN size_bytes <= 1000 THEN '201-1000' WHEN size_bytes <= 5000 THEN '1001-5000' ELSE '>5000' END AS size_band,
+ CASE WHEN stars IS NULL THEN 'unknown' WHEN stars <= 0 THEN '0' WHEN stars <= 9 THEN '1-9' WHEN stars <= 99 THEN '10-99' WHEN stars <= 999 THEN '100-999' ELSE '>=1000' END AS star_band,
+ coalesce(language, 'Unknown') AS language, CASE WHEN contains(path, '/') THEN 'nested' ELSE 'root' END AS location FROM exact f LEFT JOIN repos ON repo = full_name),
+ u AS (SELECT unnest([{'d': 'size_band', 'v': size_band}, {'d': 'star_band', 'v': star_band}, {'d': 'language', 'v': language}, {'d': 'location', 'v': location}]) AS x, repo, size_bytes FROM c)
+ SELECT x.d AS dimension, x.v AS value, count(*) AS files, count(DISTINCT repo) AS repositories, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM u GROUP BY ALL""",
+)
+def a10_strata(spark, sf_dir):
+    files = analyses._context(bind(spark, sf_dir))
+    return relational.strata(files, ["size_band", "star_band", "language", "location"], [F.count("*").alias("files"), F.count_distinct("repo_full_name").alias("repositories"), F.sum("size_bytes").alias("bytes")])
+
+
+@query(
+    "p12_bins",
+    """, c AS (SELECT repo, count(*) AS n FROM exact GROUP BY repo),
+ b(ordinal, label, lo, hi) AS (VALUES (0,'1',1,1),(1,'2',2,2),(2,'3',3,3),(3,'4',4,4),(4,'5',5,5),(5,'6-10',6,10),(6,'11-20',11,20),(7,'21-50',21,50),(8,'51-100',51,100),(9,'>100',101,1000000000))
+ SELECT ordinal, label, count(c.n) AS n FROM b LEFT JOIN c ON c.n BETWEEN lo AND hi GROUP BY ALL""",
+)
+def p12_bins(spark, sf_dir):
+    return analyses.placement(bind(spark, sf_dir))["bins"]
+
+
+@query(
+    "a28_placement",
+    f""", e AS (SELECT repo, path, content_hash, {_DIR} AS dir FROM exact), g AS (SELECT *, CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END AS depth, lower(dir) = '.claude' OR lower(dir) LIKE '%/.claude' AS hidden FROM e),
+ p AS (SELECT repo AS repo_full_name, count(*) AS files, count(*) FILTER (WHERE depth = 0) AS root_files, count(*) FILTER (WHERE depth > 0) AS nested_files, CAST(max(depth) AS INT) AS maximum_depth, count(DISTINCT content_hash) AS contents, count(*) FILTER (WHERE hidden) AS hidden_files FROM g GROUP BY repo)
+ SELECT *, CASE WHEN nested_files = 0 THEN 'root_only' WHEN root_files = 0 THEN 'nested_only' ELSE 'root_and_nested' END AS configuration,
+ CASE WHEN files = 1 THEN '1' WHEN files = 2 THEN '2' WHEN files = 3 THEN '3' WHEN files <= 5 THEN '4-5' WHEN files <= 10 THEN '6-10' WHEN files <= 20 THEN '11-20' ELSE '>20' END AS band FROM p""",
+)
+def a28_placement(spark, sf_dir):
+    return analyses.placement(bind(spark, sf_dir))["repositories"]
+
+
+@query(
+    "a15_components",
+    f""", e AS (SELECT id, repo, path, {_DIR} AS dir FROM exact WHERE contains(path, '/')), p AS (SELECT id, repo, path, string_split(dir, '/') AS parts FROM e),
+ c AS (SELECT id, repo, path, 'first_directory' AS dimension, lower(parts[1]) AS component FROM p UNION ALL SELECT id, repo, path, 'parent_directory', lower(parts[-1]) FROM p UNION ALL SELECT id, repo, path, 'any_directory', lower(unnest(list_distinct(parts))) FROM p)
+ SELECT dimension, component, count(*) AS files, count(DISTINCT repo) AS repositories, min(path) AS example, CAST(row_number() OVER (PARTITION BY dimension ORDER BY count(*) DESC, count(DISTINCT repo) DESC, component) AS INT) AS rank FROM c GROUP BY dimension, component""",
+)
+def a15_components(spark, sf_dir):
+    return analyses.placement(bind(spark, sf_dir))["components"]
+
+
+@query("p14_anomalies", "SELECT CAST(sum(CAST(starts_with(path, '/') AS INT)) AS BIGINT) AS leading_slash, CAST(sum(CAST(contains(path, '//') AS INT)) AS BIGINT) AS double_slash, CAST(sum(CAST(contains(path, chr(92)) AS INT)) AS BIGINT) AS backslash, CAST(sum(CAST(list_has_any(string_split(path, '/'), ['.', '..']) AS INT)) AS BIGINT) AS dot_component FROM exact")
+def p14_anomalies(spark, sf_dir):
+    return analyses.placement(bind(spark, sf_dir))["anomalies"]
+
+
+@query("a22_exact_reuse", "SELECT repo AS repo_full_name, count(*) AS groups, CAST(sum(n) AS BIGINT) AS files, CAST(sum(n - 1) AS BIGINT) AS repeated, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM (SELECT repo, content_hash, count(*) AS n FROM exact GROUP BY ALL HAVING count(*) > 1) GROUP BY repo")
+def a22_exact_reuse(spark, sf_dir):
+    return analyses.exact_reuse(bind(spark, sf_dir))
+
+
+@query("m15_hhi", "SELECT o_custkey, round(sum(o_totalprice * o_totalprice) / (sum(o_totalprice) * sum(o_totalprice)), 9) AS hhi, round(max(o_totalprice) / sum(o_totalprice), 9) AS largest_share FROM orders GROUP BY 1", False)
+def m15_hhi(spark, sf_dir):
+    return stats.herfindahl(_table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice").select("o_custkey", F.round("hhi", 9).alias("hhi"), F.round("largest_share", 9).alias("largest_share"))
+
+
+_CELLS = "SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1)::DOUBLE AS a, count(*) FILTER (WHERE quality = 1 AND toxic = 0)::DOUBLE AS b, count(*) FILTER (WHERE quality = 0 AND toxic = 1)::DOUBLE AS c, count(*) FILTER (WHERE quality = 0 AND toxic = 0)::DOUBLE AS d FROM labels"
+
+
+@query("m17_odds_ratio", f"SELECT round(r, 9) AS odds_ratio, round(exp(ln(r) - 1.96 * e), 9) AS low, round(exp(ln(r) + 1.96 * e), 9) AS high FROM (SELECT CASE WHEN least(a, b, c, d) > 0 THEN a * d / (b * c) END AS r, CASE WHEN least(a, b, c, d) > 0 THEN sqrt(1 / a + 1 / b + 1 / c + 1 / d) END AS e FROM ({_CELLS}))", False)
+def m17_odds_ratio(spark, sf_dir):
+    q, t = F.col("quality"), F.col("toxic")
+    cells = _table(spark, sf_dir, "labels").agg(*[F.count_if((q == x) & (t == y)).alias(n) for n, x, y in (("a", 1, 1), ("b", 1, 0), ("c", 0, 1), ("d", 0, 0))])
+    return cells.select(*[F.round(c, 9).alias(n) for n, c in zip(("odds_ratio", "low", "high"), stats.odds_ratio(*map(F.col, "abcd")), strict=True)])
+
+
+@query("m18_wilson", "SELECT quality, n, k, round(greatest(0.0, m - h), 9) AS low, round(least(1.0, m + h), 9) AS high FROM (SELECT *, (p + z * z / (2 * n)) / (1 + z * z / n) AS m, z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n) AS h FROM (SELECT quality, count(*) AS n, count(*) FILTER (WHERE toxic = 0) AS k, (count(*) FILTER (WHERE toxic = 0))::DOUBLE / count(*) AS p, 1.959963984540054::DOUBLE AS z FROM labels GROUP BY quality))", False)
+def m18_wilson(spark, sf_dir):
+    g = _table(spark, sf_dir, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 0).alias("k"))
+    low, high = stats.wilson(F.col("k"), F.col("n"))
+    return g.select("quality", "n", "k", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+@query("a20_confusion", "SELECT quality AS auto, toxic AS review, count(*) AS n FROM labels GROUP BY ALL", False)
+def a20_confusion(spark, sf_dir):
+    labels = _table(spark, sf_dir, "labels")
+    return analyses.confusion(labels.select("doc_id", "quality"), labels.select("doc_id", "toxic"), "doc_id", "quality", "toxic")["matrix"]
+
+
+@query("o5_hash_sample", "SELECT lang, doc_id, digest, CAST(rank AS INT) AS rank FROM (SELECT lang, doc_id, sha256('inspect' || chr(0) || doc_id) AS digest, row_number() OVER (PARTITION BY lang ORDER BY sha256('inspect' || chr(0) || doc_id), doc_id) AS rank FROM documents) WHERE rank <= 10", False)
+def o5_hash_sample(spark, sf_dir):
+    return sampling.smallest_digests(_table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 10, "inspect\0")
+
+
+_BANDS = "CASE WHEN n_chars <= 200 THEN 'a' WHEN n_chars <= 1000 THEN 'b' ELSE 'c' END"
+
+
+@query(
+    "o7_round_robin",
+    f"""WITH t AS (SELECT lang, doc_id, {_BANDS} AS band, sha256('7:' || doc_id) AS digest FROM documents),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lang, band ORDER BY digest, doc_id) AS turn FROM t)
+ SELECT lang, doc_id, band, digest, CAST(pick AS INT) AS pick FROM (SELECT lang, doc_id, band, digest, row_number() OVER (PARTITION BY lang ORDER BY turn, band, digest) AS pick FROM r) WHERE pick <= 7""",
+    False,
+)
+def o7_round_robin(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("lang", "doc_id", F.expr(_BANDS).alias("band"))
+    return sampling.round_robin(docs, "lang", "band", ["a", "b", "c"], "doc_id", 7, 7)
+
+
+@query("a17_cohorts", "SELECT count(*) FILTER (WHERE contains(content, '@docs')) AS files, count(DISTINCT repo) FILTER (WHERE contains(content, '@docs')) AS repositories, count(DISTINCT content_hash) FILTER (WHERE contains(content, '@docs')) AS contents FROM exact")
+def a17_cohorts(spark, sf_dir):
+    return bind(spark, sf_dir).population("exact").agg(*relational.conditional_cohort(F.col("content").contains("@docs"), "id", "repo_full_name", "content_hash"))
+
+
+@query("u4_top_overlap", "WITH a AS (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100), b AS (SELECT o_custkey AS c_custkey FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100) SELECT c_custkey, CASE WHEN b.c IS NULL THEN 'left' WHEN a.c IS NULL THEN 'entered' ELSE 'stayed' END AS state FROM (SELECT c_custkey, 1 AS c FROM a) a FULL JOIN (SELECT c_custkey, 1 AS c FROM b) b USING (c_custkey)", False)
+def u4_top_overlap(spark, sf_dir):
+    a = _table(spark, sf_dir, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(100).select("c_custkey")
+    b = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).count().orderBy(F.desc("count"), "c_custkey").limit(100).select("c_custkey")
+    parts = ((a.intersect(b), "stayed"), (b.exceptAll(a), "entered"), (a.exceptAll(b), "left"))
+    one, two, three = (df.withColumn("state", F.lit(s)) for df, s in parts)
+    return one.unionByName(two).unionByName(three)
+
+
+@query("s3_json_props", "SELECT event_type, count(*) AS n, count(DISTINCT json_extract_string(props, '$.' || json_keys(props)[1])) AS first_values, CAST(max(len(json_keys(props))) AS INT) AS most_keys FROM events WHERE props IS NOT NULL GROUP BY 1", False)
+def s3_json_props(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").filter("props IS NOT NULL")
+    keys = F.json_object_keys("props")
+    values = F.from_json("props", "map<string,string>")
+    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct(F.element_at(values, F.element_at(keys, 1))).alias("first_values"), F.max(F.size(keys)).alias("most_keys"))
+
+
+@query(
+    "k7_pivot_export",
+    "SELECT d.doc_id, source, lang, max(quality) AS quality, max(toxic) AS toxic FROM documents d LEFT JOIN labels USING (doc_id) GROUP BY ALL",
+    False,
+)
+def k7_pivot_export(spark, sf_dir):
+    labels = _table(spark, sf_dir, "labels")
+    long = labels.select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("quality", "toxic")])).alias("x")).select("doc_id", "x.name", "x.value")
+    wide = long.groupBy("doc_id").pivot("name", ["quality", "toxic"]).agg(F.max("value"))
+    return _table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(wide, "doc_id", "left")
+
+
+# -- text and Markdown by expressions --------------------------------------------------------------------------
+
+
+@query(
+    "t1_structure",
+    rf"""SELECT id, CAST({_LINES} AS INT) AS line_count, CAST({_WORDS} AS INT) AS word_count, CAST(length(content) AS INT) AS char_count,
+ CAST(len(regexp_extract_all(content, '(?m)^(#{{1,6}})[\t-\r ]+([^\n]*)$')) AS INT) AS header_count,
+ CAST(coalesce(list_max(list_transform(regexp_extract_all(content, '(?m)^(#{{1,6}})[\t-\r ]+([^\n]*)$', 1), lambda x: length(x))), 0) AS INT) AS max_header_depth,
+ CAST(len(regexp_extract_all(content, '(?ms)^```([^\t-\r ]*)[\t-\r ]*\n(.*?)^```')) AS INT) AS code_block_count,
+ CAST(len(regexp_extract_all(content, '(?m)^[\t-\r ]*[-*+][\t-\r ]+')) AS INT) AS bullet_count, CAST(len(regexp_extract_all(content, '\[[^\]]+\]\([^)]+\)')) AS INT) AS link_count FROM exact""",
+)
+def t1_structure(spark, sf_dir):
+    own = structure_fields(F.col("content"))
+    return bind(spark, sf_dir).population("exact").select("id", *[v.alias(k) for k, v in own.items() if k != "code_block_tags"])
+
+
+_TAGS = r"unnest(regexp_extract_all(content, '(?ms)^```([^\t-\r ]*)[\t-\r ]*\n(.*?)^```', 1)) AS tag"
+_LABELLED = f", b AS (SELECT id, CASE WHEN tag = '' THEN '(untagged)' ELSE lower(tag) END AS label FROM (SELECT id, {_TAGS} FROM files))"
+
+
+@query("d7_fence_labels", _LABELLED + " SELECT label, count(*) AS blocks, count(DISTINCT id) AS files FROM b GROUP BY label")
+def d7_fence_labels(spark, sf_dir):
+    return analyses.fence_languages(bind(spark, sf_dir))["raw"]
+
+
+@query("d7_fence_families", _LABELLED + " SELECT family, count(*) AS blocks, count(DISTINCT id) AS files FROM (SELECT id, CASE WHEN label = 'bash' THEN 'Shell' WHEN label = 'py' THEN 'Python' WHEN label = 'json' THEN 'JSON' WHEN label = 'ts' THEN 'TypeScript' WHEN label = 'mermaid' THEN 'Mermaid' ELSE label END AS family FROM b) GROUP BY family")
+def d7_fence_families(spark, sf_dir):
+    return analyses.fence_languages(bind(spark, sf_dir))["normalized"]
+
+
+@query("d7_fence_summary", _LABELLED + " SELECT count(DISTINCT id) AS files_with_code, count(*) AS blocks, count(*) FILTER (WHERE label <> '(untagged)') AS tagged_blocks, count(DISTINCT label) AS labels FROM b")
+def d7_fence_summary(spark, sf_dir):
+    return analyses.fence_languages(bind(spark, sf_dir))["summary"]
+
+
+@query(
+    "fp_paths",
+    f"""SELECT id, CAST(CASE WHEN contains(path, '/') THEN len(string_split(path, '/')) - 1 ELSE 0 END AS INT) AS depth, {_DIR} AS directory, regexp_extract(path, '([^/]*)$', 1) AS basename, CASE WHEN contains(path, '/') THEN 'nested' ELSE 'root' END AS location,
+ CASE WHEN lower({_DIR}) = '.claude' OR lower({_DIR}) LIKE '%/.claude' THEN 'hidden' ELSE 'direct' END AS form FROM files""",
+)
+def fp_paths(spark, sf_dir):
+    p = F.col("path")
+    return bind(spark, sf_dir).files.select("id", paths.depth(p).alias("depth"), paths.directory(p).alias("directory"), paths.basename(p).alias("basename"), paths.location(p).alias("location"), paths.placement_form(p).alias("form"))
+
+
+@query("fp_urls", r"SELECT page_id, regexp_extract(url, '^([A-Za-z]+)://', 1) AS scheme, len(string_split(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/')) - 1 AS depth, CASE WHEN regexp_matches(url, '^[A-Za-z]+://[^?#]*[.]html?([?#]|$)') THEN 1 ELSE 0 END AS html FROM pages", False)
+def fp_urls(spark, sf_dir):
+    path = F.regexp_extract("url", "^[^:]+://[^/?#]*([^?#]*)", 1)
+    return _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^([A-Za-z]+)://", 1).alias("scheme"), (F.size(F.split(path, "/")) - 1).cast("long").alias("depth"), path.rlike("[.]html?$").cast("int").alias("html"))
+
+
+@query("f13_scripts_and_letters", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\p{L}')) AS INT) AS letters, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+(?:[-''][\p{L}\p{N}_]+)*')) AS INT) AS words, CASE WHEN regexp_matches(text, '\p{L}') THEN 'Latin/other' ELSE 'none' END AS script FROM documents", False)
+def f13_scripts_and_letters(spark, sf_dir):
+    t = F.col("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", text.letters(t).alias("letters"), text.word_count(t, text.WORD).alias("words"), text.dominant_script(t).alias("script"))
+
+
+@query("f12_excerpts", "SELECT doc_id, CASE WHEN length(text) > 80 THEN replace(replace(text[:80], chr(13), '\\r'), chr(10), '\\n') || '…' ELSE replace(replace(text, chr(13), '\\r'), chr(10), '\\n') END AS excerpt FROM documents", False)
+def f12_excerpts(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", text.escaped_excerpt(F.col("text"), 80).alias("excerpt"))
+
+
+# -- parsers and classifiers in Python, once per distinct content: no SQL says these; tests hold them to fixtures ---
+
+
+@query("d6_section_totals")
+def d6_section_totals(spark, sf_dir):
+    return analyses.sections(bind(spark, sf_dir))["totals"]
+
+
+@query("d6_styles")
+def d6_styles(spark, sf_dir):
+    return analyses.sections(bind(spark, sf_dir))["styles"]
+
+
+@query("d6_headings")
+def d6_headings(spark, sf_dir):
+    return analyses.sections(bind(spark, sf_dir))["headings"]
+
+
+@query("d6_quantiles")
+def d6_quantiles(spark, sf_dir):
+    return analyses.sections(bind(spark, sf_dir))["quantiles"]
+
+
+@query("d8_notations")
+def d8_notations(spark, sf_dir):
+    return analyses.notation_candidates(bind(spark, sf_dir))["summary"]
+
+
+@query("d8_sample")
+def d8_sample(spark, sf_dir):
+    return analyses.notation_candidates(bind(spark, sf_dir))["sample"]
+
+
+@query("d9_decisions")
+def d9_decisions(spark, sf_dir):
+    return analyses.paragraph_languages(bind(spark, sf_dir))["decisions"]
+
+
+@query("d9_documents")
+def d9_documents(spark, sf_dir):
+    return analyses.paragraph_languages(bind(spark, sf_dir))["documents"]
+
+
+@query("d9_distribution")
+def d9_distribution(spark, sf_dir):
+    return analyses.paragraph_languages(bind(spark, sf_dir))["distribution"]
+
+
+@query("d11_line_overlaps")
+def d11_line_overlaps(spark, sf_dir):
+    return analyses.line_overlaps(bind(spark, sf_dir))
+
+
+@query("d12_repositories")
+def d12_repositories(spark, sf_dir):
+    return analyses.allocation(bind(spark, sf_dir))["repositories"]
+
+
+@query("d12_edges")
+def d12_edges(spark, sf_dir):
+    return analyses.allocation(bind(spark, sf_dir))["edges"]
+
+
+@query("d12_strata")
+def d12_strata(spark, sf_dir):
+    return analyses.allocation(bind(spark, sf_dir))["strata"]
+
+
+@query("d12_headings")
+def d12_headings(spark, sf_dir):
+    return analyses.allocation(bind(spark, sf_dir))["headings"]
+
+
+@query("d13_occurrences")
+def d13_occurrences(spark, sf_dir):
+    return analyses.reference_analysis(bind(spark, sf_dir))["occurrences"]
+
+
+@query("d13_files")
+def d13_files(spark, sf_dir):
+    return analyses.reference_analysis(bind(spark, sf_dir))["files"]
+
+
+@query("d13_targets")
+def d13_targets(spark, sf_dir):
+    return analyses.reference_analysis(bind(spark, sf_dir))["targets"]
+
+
+@query("d13_strata")
+def d13_strata(spark, sf_dir):
+    return analyses.reference_analysis(bind(spark, sf_dir))["strata"]
+
+
+@query("d14_tokens")
+def d14_tokens(spark, sf_dir):
+    return analyses.import_analysis(bind(spark, sf_dir))["tokens"]
+
+
+@query("d14_targets")
+def d14_targets(spark, sf_dir):
+    return analyses.import_analysis(bind(spark, sf_dir))["targets"]
+
+
+@query("d14_comparison")
+def d14_comparison(spark, sf_dir):
+    corpus = bind(spark, sf_dir)
+    found = analyses.reference_analysis(corpus)["occurrences"].filter("syntax = 'direct_include'").select("repo_full_name", "path", "line", "target", "place")
+    return analyses.import_analysis(corpus, found)["comparison"]
+
+
+@query("d15_groups")
+def d15_groups(spark, sf_dir):
+    return analyses.repeated_content(bind(spark, sf_dir))["groups"]
+
+
+@query("d15_summary")
+def d15_summary(spark, sf_dir):
+    return analyses.repeated_content(bind(spark, sf_dir))["summary"]
+
+
+@query("d18_overlays")
+def d18_overlays(spark, sf_dir):
+    return analyses.overlay_analysis(bind(spark, sf_dir))["files"]

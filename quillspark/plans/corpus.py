@@ -110,13 +110,13 @@ def parsed(files: DataFrame, parser: Callable[[str], object], kind: str, name: s
 _TREE = "CASE WHEN k = 0 THEN '' WHEN k <= 3 THEN 'p' || k || '/' WHEN k <= 12 THEN 'p' || ((k - 1) {div} 3) || '/p' || k || '/' ELSE 'p' || (((k - 1) {div} 3 - 1) {div} 3) || '/p' || ((k - 1) {div} 3) || '/p' || k || '/' END"
 _NAME = "CASE id % 13 WHEN 4 THEN 'claude.MD' WHEN 7 THEN 'README.md' WHEN 9 THEN 'notes.txt' ELSE 'CLAUDE.md' END"
 _LINE = """CASE (i + id) % 8
- WHEN 0 THEN repeat('#', CAST(1 + ((i + id) {div} 8) % 4 AS INT)) || ' ' || l
+ WHEN 0 THEN repeat('#', CAST(1 + ((i + id) {div} 8) % 4 AS INT)) || ' ' || CASE WHEN id % 6 = 1 THEN 'Claude-specific notes' ELSE l END
  WHEN 1 THEN '- ' || l
  WHEN 2 THEN '- [ ] ' || l
  WHEN 3 THEN '```' || CASE ((i + id) {div} 8) % 6 WHEN 0 THEN 'bash' WHEN 1 THEN 'py' WHEN 2 THEN 'json' WHEN 3 THEN '' WHEN 4 THEN 'ts' ELSE 'mermaid' END
  WHEN 5 THEN '```'
  WHEN 6 THEN '[guide](docs/g' || (id % 7) || '.md) ' || l
- WHEN 7 THEN '@docs/setup' || (id % 5) || '.md'
+ WHEN 7 THEN CASE WHEN id % 3 = 1 THEN '@AGENTS.md' ELSE '@docs/setup' || (id % 5) || '.md' END
  ELSE l END"""
 
 
