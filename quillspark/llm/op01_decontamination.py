@@ -195,8 +195,9 @@ def search(index: DataFrame, items: list[tuple], size: int = WINDOW, slop: int |
                 segment, sizes = segment.as_py(), sizes.values.to_numpy().astype(np.int64)
                 places = np.frombuffer(positions.as_buffer(), "<u4").astype(np.int64)
                 ends = np.cumsum(counts.values.to_numpy())
+                begins = ends - counts.values.to_numpy()
                 lists, many = {}, np.zeros(len(phrases.numbers) + 1, np.int64)
-                for term, a, b in zip(terms.as_py(), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                for term, a, b in zip(terms.as_py(), begins.tolist(), ends.tolist(), strict=True):
                     if (k := phrases.numbers.get(term)) is not None:
                         lists[k], many[k] = places[a:b], b - a
                 found = [_row(segment, *x) for x in report(phrases, ids.as_py(), sizes, lists, many, slop)]

@@ -54,6 +54,11 @@ class Block:
         self.text, self.links, self.out, self.article, self.heading, self.label = text, links, out, article, heading, ""
 
 
+def _names(value: str) -> set[str]:
+    """The parts of class and id names: whole words, and those that capitals mark."""
+    return {p.lower() for p in _PART.findall(value)} | set(re.split("[^a-z]+", value.lower()))
+
+
 def _out_by_markup(tag: str, attributes: str, article: bool) -> bool:
     if tag in OUT_TAGS or tag == "header" and not article:
         return True
@@ -66,11 +71,11 @@ def _out_by_markup(tag: str, attributes: str, article: bool) -> bool:
         if name == "role" and value.lower() in OUT_ROLES:
             return True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            parts = {p.lower() for p in _PART.findall(value)}
+            parts = _names(value)
             if parts & OUT_NAMES or not article and parts & OUTER_NAMES:
                 return True
         elif name in ("class", "id") and tag == "article":
-            if {p.lower() for p in _PART.findall(value)} & {"comment", "comments", "related", "promo", "ad", "teaser"}:
+            if _names(value) & {"comment", "comments", "related", "promo", "ad", "teaser"}:
                 return True
     return False
 
