@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 SNAPSHOT = "schema_version int, search array<struct<full_name:string,stars:long>>, lookups map<string,struct<full_name:string,stars:long>>"
 
+_CONTROLS = "".join(chr(c) for c in range(0x80, 0xA0))
+_WINDOWS = "".join(bytes([c]).decode("cp1252", "replace") for c in range(0x80, 0xA0))
+
 
 def dialect(head: bytes) -> tuple[str, str]:
     """(encoding, separator) of a CSV by its first bytes: UTF-8 or else Windows-1252, and the separator that its first line has most."""
@@ -34,8 +37,12 @@ def read_csv(spark: SparkSession, path: str, required: list[str], head_bytes: in
     """
     part = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head_bytes).alias("head")).first()
     encoding, sep = dialect(bytes(part["head"]))
-    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, escape='"', inferSchema=False)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    # Spark has no Windows-1252; it is Latin-1 with letters and marks in place of control characters.
+    latin = encoding != "UTF-8"
+    df = spark.read.csv(path, header=True, sep=sep, encoding="ISO-8859-1" if latin else encoding, multiLine=True, escape='"', inferSchema=False)
+    df = df.toDF(*[(c.translate(str.maketrans(_CONTROLS, _WINDOWS)) if latin else c).lstrip("\ufeff") for c in df.columns])
+    if latin:
+        df = df.select(*[F.translate(F.col(f"`{c}`"), _CONTROLS, _WINDOWS).alias(c) for c in df.columns])
     if missing := [c for c in required if c not in df.columns]:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
     return df

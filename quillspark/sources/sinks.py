@@ -28,7 +28,15 @@ def numbered(df: DataFrame, prefix: str, order: list) -> DataFrame:
 
 def formatted(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles as text with so many digits, nulls as empty text."""
-    return df.select(*[F.coalesce(F.format_string(f"%.{digits}f", c) if t == "double" else F.col(c).cast("string"), F.lit("")).alias(c) if t in ("double", "float") or t in ("string", "int", "bigint", "boolean") else F.to_json(c).alias(c) for c, t in df.dtypes])
+    def cell(c: str, kind: str) -> Column:
+        x = F.col(f"`{c}`")
+        if kind in ("double", "float"):
+            x = F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x.cast("double")))
+        elif kind.startswith(("array", "map", "struct")):
+            x = F.to_json(x)
+        return F.coalesce(x.cast("string"), F.lit("")).alias(c)
+
+    return df.select(*[cell(c, kind) for c, kind in df.dtypes])
 
 
 def write_csv(df: DataFrame, path: str, order: list | None = None, bom: bool = False, crlf: bool = False, refuse_empty: bool = False) -> int:
