@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .storage import written
 
 
 def repeated(df: DataFrame, *keys: str, least: int = 2) -> DataFrame:
@@ -62,22 +63,49 @@ def scope_pairs(files: DataFrame, repo: str, path: str, folder: str = ".claude")
     return direct.join(other, [repo, "scope"]).withColumn("same_content", F.coalesce((F.col("direct_hash") == F.col("hidden_hash")).cast("int"), F.lit(0)))
 
 
+def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """df with the place of each row (int, from 1) in a total order.
+
+    A window without partitions would sort everything in one task. Here rows are
+    dealt to ranges of the order, sorted there and written once; each range then
+    starts after the rows of those before it, of which only counts are added up.
+    """
+    spark = df.sparkSession
+    key = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = key.repartitionByRange(n, "_key").sortWithinPartitions("_key").withColumn("_m", F.monotonically_increasing_id()).drop("_key")
+    placed = written(dealt, "ranked").withColumn("_p", F.shiftright("_m", 33))
+    counts = sorted((r["_p"], r["count"]) for r in placed.groupBy("_p").count().collect())  # one row a range
+    before, starts = 0, []
+    for p, c in counts:
+        starts.append((p, before))
+        before += c
+    offsets = F.broadcast(spark.createDataFrame(starts, "_p long, _before long"))
+    within = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(offsets, "_p").withColumn(name, (F.col("_before") + within + 1).cast("int" if before < 2**31 else "long")).select(*df.columns, name)
+
+
 def line_overlaps(lines: DataFrame, minimum_shared: int = 5, jaccard: float = 0.80, containment: float = 0.90) -> DataFrame:
     """Pairs of files of a repository with much the same lines.
 
-    lines: repo, file, hash, line with each line once a file. Shared lines are
-    counted by an equi-join on (repo, line), so files without a line in common
-    never meet; files of equal hash are skipped. A pair is normalized_equivalent
-    if both line sets are equal, else high_jaccard, else high_containment; the
-    last two need minimum_shared shared lines.
+    lines: repo, file, hash, line with each line once a file; files of equal hash
+    are skipped. A pair is normalized_equivalent if both line sets are equal, else
+    high_jaccard, else high_containment; the last two need minimum_shared shared
+    lines. Whatever the kind, the smaller set of n lines has at least a share t of
+    them in common with the other, so one of its n - ceil(t n) + 1 rarest lines is
+    common: only those look for partners, which keeps lines that a whole
+    repository shares out of the join. Candidates are then counted in full.
     """
-    sizes = lines.groupBy("repo", "file", "hash").agg(F.count("*").alias("n"))
-    a = lines.select("repo", "line", F.col("file").alias("a"), F.col("hash").alias("ha"))
-    b = lines.select("repo", "line", F.col("file").alias("b"), F.col("hash").alias("hb"))
-    shared = a.join(b, ["repo", "line"]).filter((F.col("a") < F.col("b")) & (F.col("ha") != F.col("hb"))).groupBy("repo", "a", "b").agg(F.count("*").alias("shared"))
-    sa = sizes.select("repo", F.col("file").alias("a"), F.col("n").alias("na"))
-    sb = sizes.select("repo", F.col("file").alias("b"), F.col("n").alias("nb"))
-    scored = shared.join(sa, ["repo", "a"]).join(sb, ["repo", "b"])
+    t = min(jaccard, containment)
+    known = lines.join(lines.groupBy("repo", "line").agg(F.count("*").alias("df")), ["repo", "line"])
+    sets = known.groupBy("repo", "file", "hash").agg(F.sort_array(F.collect_list(F.struct("df", "line"))).alias("s"))
+    sets = sets.select("repo", "file", "hash", F.size("s").cast("long").alias("n"), F.transform("s", lambda x: x["line"]).alias("own"))
+    rare = sets.select("repo", F.col("file").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("own", 1, (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))).alias("line"))
+    held = sets.select("repo", F.col("file").alias("y"), F.col("n").alias("ny"), F.explode("own").alias("line"))
+    smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    pairs = rare.join(held, ["repo", "line"]).filter(smaller).select("repo", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda k: sets.select("repo", F.col("file").alias(k), F.col("hash").alias(f"h{k}"), F.col("n").alias(f"n{k}"), F.col("own").alias(f"own{k}"))
+    scored = pairs.join(side("a"), ["repo", "a"]).join(side("b"), ["repo", "b"]).filter("ha <> hb").withColumn("shared", F.size(F.array_intersect("owna", "ownb")).cast("long"))
     scored = scored.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).withColumn("containment", F.col("shared") / F.least("na", "nb"))
     enough = F.col("shared") >= minimum_shared
     kind = F.when((F.col("shared") == F.col("na")) & (F.col("shared") == F.col("nb")), "normalized_equivalent").when(enough & (F.col("jaccard") >= jaccard), "high_jaccard").when(enough & (F.col("containment") >= containment), "high_containment")

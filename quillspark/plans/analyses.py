@@ -67,8 +67,8 @@ def size_histogram(corpus: Corpus, high: float, bins: int, tool: str | None = No
 # -- duplicates --------------------------------------------------------------------------------------
 
 
-def duplicates(corpus: Corpus, scope: str = "markdown") -> dict[str, DataFrame]:
-    """Families of byte-equal files: two partly aggregated group-bys and one semi-join."""
+def duplicates(corpus: Corpus, scope: str = "markdown", rank: bool = True) -> dict[str, DataFrame]:
+    """Families of byte-equal files: two partly aggregated group-bys and one semi-join; rank: number the families (which reads them once at the call)."""
     files = corpus.population(scope)
     hashed = files.filter("content_hash IS NOT NULL AND content_hash <> ''")
     families = hashed.groupBy("content_hash").agg(
@@ -79,11 +79,10 @@ def duplicates(corpus: Corpus, scope: str = "markdown") -> dict[str, DataFrame]:
         F.min_by(F.struct("repo_full_name", "path"), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(relational.folded_order())])).alias("first"),
     )
     families = families.filter("copies > 1").select("content_hash", "copies", "repositories", "min_size", "max_size", F.col("first.repo_full_name").alias("representative_repo"), F.col("first.path").alias("representative_path"))
-    order = Window.orderBy(F.desc("copies"), F.desc("repositories"), "content_hash")
-    ranked = families.withColumn("rank", F.row_number().over(order))
+    order = [-F.col("copies"), -F.col("repositories"), F.col("content_hash")]
     members = relational.repeated(hashed, "content_hash").select("content_hash", "id", "repo_full_name", "path", "size_bytes")
     summary = families.agg(F.count("*").alias("families"), F.coalesce(F.sum("copies"), F.lit(0)).alias("files"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("repeated_files"), F.count_if(F.col("repositories") > 1).alias("cross_repository_families"), F.coalesce(F.max("copies"), F.lit(0)).alias("largest_family"))
-    return {"families": ranked, "members": members, "summary": summary}
+    return {"families": relational.ranked(families, order) if rank else families, "members": members, "summary": summary}
 
 
 def families(corpus: Corpus, scope: str = "exact") -> DataFrame:

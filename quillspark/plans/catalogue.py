@@ -88,12 +88,12 @@ def d17_families(spark, sf_dir):
 
 @query("d17_members", _RAW + "SELECT content_hash, id, repo AS repo_full_name, path, size_bytes FROM f SEMI JOIN fam USING (content_hash)", False)
 def d17_members(spark, sf_dir):
-    return analyses.duplicates(_raw(spark, sf_dir))["members"]
+    return analyses.duplicates(_raw(spark, sf_dir), rank=False)["members"]
 
 
 @query("d17_summary", _RAW + "SELECT count(*) AS families, CAST(coalesce(sum(copies), 0) AS BIGINT) AS files, CAST(coalesce(sum(copies - 1), 0) AS BIGINT) AS repeated_files, count(*) FILTER (WHERE repositories > 1) AS cross_repository_families, CAST(coalesce(max(copies), 0) AS BIGINT) AS largest_family FROM fam", False)
 def d17_summary(spark, sf_dir):
-    return analyses.duplicates(_raw(spark, sf_dir))["summary"]
+    return analyses.duplicates(_raw(spark, sf_dir), rank=False)["summary"]
 
 
 # -- scale, languages, sizes ------------------------------------------------------------------------------

@@ -7,23 +7,16 @@ import json
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import ranked
 
-def numbered(df: DataFrame, prefix: str, order: list) -> DataFrame:
-    """df with a leading column id such as REF-00000001 in the given total order.
 
-    Rows are dealt to ranges and numbered range by range, so no task sees all of them.
-    """
-    ranged = df.withColumn("_key", F.struct(*[c if isinstance(c, Column) else F.col(c) for c in order]))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = ranged.repartitionByRange(n, "_key").sortWithinPartitions("_key").withColumn("_m", F.monotonically_increasing_id())
-    parts = parts.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = parts.groupBy("_p").count()
-    before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    placed = parts.join(F.broadcast(before), "_p").withColumn("id", F.format_string(f"{prefix}-%08d", F.col("_before") + F.col("_i") + 1))
-    return placed.select("id", *[c for c in df.columns if c != "id"])
+def numbered(df: DataFrame, prefix: str, order: list) -> DataFrame:
+    """df with a leading column id such as REF-00000001 in the given total order."""
+    placed = ranked(df, [c if isinstance(c, Column) else F.col(c) for c in order], "_place")
+    return placed.select(F.format_string(f"{prefix}-%08d", "_place").alias("id"), *[c for c in df.columns if c != "id"])
 
 
 def formatted(df: DataFrame, digits: int = 6) -> DataFrame:
