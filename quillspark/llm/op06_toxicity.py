@@ -51,16 +51,18 @@ def one_of_each(docs: list[tuple[list[bytes], int]]) -> list[tuple[list[bytes],
 
 def informative(docs: list[tuple[list[bytes], int]]) -> list[bytes]:
     """Features more frequent in toxic documents than chance allows, among as many as were looked at."""
-    toxic, all_of = Counter(), Counter()
+    toxic = Counter(f for own, label in docs if label for f in {f for w in set(own) for f in word_features(w)})
+    known = {f for f, n in toxic.items() if n >= 3}
+    all_of = Counter({f: toxic[f] for f in known})
     for own, label in docs:
-        found = {f for w in set(own) for f in word_features(w)}
-        all_of.update(found)
-        if label:
-            toxic.update(found)
+        if not label:
+            # A word with a known beginning has that beginning's first four bytes known too.
+            some = [w for w in set(own) if w in known or w[:4] + b"*" in known]
+            all_of.update({f for w in some for f in word_features(w)} & known)
     q = sum(label for _, label in docs) / max(1, len(docs))
     if not 0 < q < 1:
         return []
-    tried = [f for f, n in toxic.items() if all_of[f] >= 4]
+    tried = [f for f in known if all_of[f] >= 4]
     bar, scored = math.log(max(1, len(tried))) + 1, []
     for f in tried:
         n, share = all_of[f], toxic[f] / all_of[f]
@@ -88,6 +90,7 @@ class Crf:
             powers.append(p / p.sum())
         self.powers = [p.tolist() for p in powers]
         self.seen: dict[bytes, float] = {}
+        self.heads = {f[:4] for f in self.weights}  # every feature of a word begins as the word does
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"seen": {}}
@@ -102,7 +105,7 @@ class Crf:
         except KeyError:
             get = self.weights.get
             for w in set(own).difference(seen):
-                seen[w] = sum(get(f, 0.0) for f in word_features(w))
+                seen[w] = sum(get(f, 0.0) for f in word_features(w)) if w[:4] in self.heads else 0.0
             values = np.fromiter(map(seen.__getitem__, own), np.float64, len(own))
         places = np.flatnonzero(values)
         return places, values[places]
@@ -170,11 +173,12 @@ def fit(texts: list[tuple[str, int]], share: float, steps: int = 60) -> Crf:
     docs = one_of_each([(words(t), label) for t, label in texts])
     features = informative(docs)
     number = {f: k for k, f in enumerate(features)}
+    heads, none = {f[:4] for f in features}, []
     rng = np.random.default_rng(7)
     rows, targets = [], []
     pool = []
     for own, label in docs:
-        marks = [[number[f] for f in word_features(w) if f in number] for w in own]
+        marks = [[number[f] for f in word_features(w) if f in number] if w[:4] in heads else none for w in own]
         wanted = {k // STRETCH for k, m in enumerate(marks) if m}
         if own:
             pool.append((marks, int(rng.integers(0, (len(own) - 1) // STRETCH + 1))))
