@@ -100,6 +100,7 @@ def line_overlaps(lines: DataFrame, minimum_shared: int = 5, jaccard: float = 0.
     known = lines.join(lines.groupBy("repo", "line").agg(F.count("*").alias("df")), ["repo", "line"])
     sets = known.groupBy("repo", "file", "hash").agg(F.sort_array(F.collect_list(F.struct("df", "line"))).alias("s"))
     sets = sets.select("repo", "file", "hash", F.size("s").cast("long").alias("n"), F.transform("s", lambda x: x["line"]).alias("own"))
+    sets = written(sets, "line-sets")  # read four times below
     rare = sets.select("repo", F.col("file").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("own", 1, (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))).alias("line"))
     held = sets.select("repo", F.col("file").alias("y"), F.col("n").alias("ny"), F.explode("own").alias("line"))
     smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))

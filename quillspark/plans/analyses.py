@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, paths, sampling, stats, text
 from ..operators import forms, imports, markdown, notations, overlays, prose, references, relational
+from ..operators.storage import written
 from .corpus import TARGET, Corpus, parsed
 
 WINDOWS = {"200k": 200_000, "500k": 500_000, "1M": 1_000_000}
@@ -97,7 +98,7 @@ def families(corpus: Corpus, scope: str = "exact") -> DataFrame:
 def sections(corpus: Corpus, scope: str = "exact", heading_limit: int = 1000) -> dict[str, DataFrame]:
     """Headings and section bodies, parsed once per content and weighted by copies."""
     own = parsed(families(corpus, scope), markdown.structure, f"struct<{markdown.STRUCTURE.replace(' array', ':array').replace(' int', ':int').replace(' boolean', ':boolean')}>", "s", ["identity", "copies", "content"])
-    own = own.drop("content")
+    own = written(own.drop("content"), "structures")  # several tables read it
     flat = own.select("identity", "copies", F.explode("s.sections").alias("b")).select("identity", "copies", "b.*")
     files = own.select("copies", F.size("s.headings").alias("headings"), "s.top_level_sections", "s.maximum_depth", "s.skipped_jumps", "s.starts_below_h1", "s.h1_count", "s.empty_sections")
     w = F.col("copies")
@@ -164,6 +165,7 @@ def paragraph_languages(corpus: Corpus, scope: str = "exact", first: prose.Langu
         return rows
 
     docs = parsed(families(corpus, scope), judged, f"array<struct<index:int,text:string,words:int,eligible:boolean,d:{prose.DECISION}>>", "p", ["identity", "copies", "content"]).drop("content")
+    docs = written(docs, "paragraphs")  # several tables read it
     rows = docs.select("identity", "copies", F.explode("p").alias("q")).select("identity", "copies", "q.*").filter("eligible")
     decisions = rows.groupBy(F.col("d.decision").alias("decision")).agg(F.count("*").alias("paragraphs"), F.sum("words").alias("words"))
     agreed = rows.filter("d.decision = 'accepted'").select("identity", "copies", "index", "words", F.col("d.language").alias("language"))
@@ -271,7 +273,7 @@ def allocation(corpus: Corpus, heading_limit: int = 1000) -> dict[str, DataFrame
 
     kind = "struct<lines:int,words:int,sections:int,fences:int,names:array<string>,line_set:array<string>,targets:array<string>>"
     known = parsed(files, measure, kind, "m", ["id", "repo_full_name", "path", "content_hash", "size_bytes", "depth", "content"]).drop("content")
-    known = known.withColumn("reached", F.transform("m.targets", lambda t: F.lower(paths.resolved(F.col("path"), t))))
+    known = written(known.withColumn("reached", F.transform("m.targets", lambda t: F.lower(paths.resolved(F.col("path"), t)))), "measures")
     edges = relational.nearest_ancestors(files, "repo_full_name", paths.directory(F.col("path")), ["id"]).select("repo_full_name", "child_id", "parent_id")
     side = lambda name: known.select(F.col("id").alias(f"{name}_id"), *[F.col(c).alias(f"{name}_{c}") for c in ("path", "content_hash", "size_bytes", "reached")], *[F.col(f"m.{c}").alias(f"{name}_{c}") for c in ("lines", "words", "sections", "names", "line_set")])
     joined = edges.join(side("child"), "child_id").join(side("parent"), "parent_id")
@@ -343,6 +345,7 @@ def reference_analysis(corpus: Corpus) -> dict[str, DataFrame]:
     """References to Markdown files: occurrences, files, targets and strata."""
     intent = F.udf(lambda s, r, l, c, k: dict(zip(("intent", "confidence", "rule", "high"), references.intent(s, r, l, c, k), strict=True)), "intent string, confidence string, rule string, high int", useArrow=True)
     docs = parsed(_context(corpus), references.parse, f"struct<{references.PARSED.replace('refs ', 'refs:').replace('residual_words int', 'residual_words:int').replace('has_fence boolean', 'has_fence:boolean')}>", "p", [*_FACTS, "content"]).drop("content")
+    docs = written(docs, "references")  # several tables read it
     flat = docs.select(*_FACTS, F.posexplode("p.refs").alias("place", "r")).select(*_FACTS, "place", "r.*")
     local = flat.filter("scope = 'local'").withColumn("resolved", paths.resolved(F.col("path"), F.col("target")))
     local = local.withColumn("relation", paths.relation(F.col("path"), F.col("resolved"))).withColumn("category", paths.target_category(F.col("name"), F.col("resolved"))).withColumn("is_self", (F.lower("resolved") == F.lower("path")).cast("int"))
@@ -378,6 +381,7 @@ def reference_analysis(corpus: Corpus) -> dict[str, DataFrame]:
 def import_analysis(corpus: Corpus, earlier: DataFrame | None = None) -> dict[str, DataFrame]:
     """@path imports: tokens, files, targets, strata, and how they meet the direct references found before (columns repo_full_name, path, line, target, in order of place)."""
     docs = parsed(_context(corpus), imports.import_tokens, imports.IMPORTS, "t", [*_FACTS, "content"]).drop("content")
+    docs = written(docs, "imports")  # several tables read it
     flat = docs.select(*_FACTS, F.posexplode("t").alias("place", "r")).select(*_FACTS, "place", "r.*")
     name = paths.basename(F.col("target"), True)
     plain_kind = F.col("kind") == "relative"
