@@ -98,7 +98,7 @@ class Crf:
     def evidence(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words with weighted features, and the sums of their weights."""
         seen = self.seen
-        if len(seen) > 1_000_000:
+        if len(seen) > 200_000:
             seen.clear()
         try:
             values = np.fromiter(map(seen.__getitem__, own), np.float64, len(own))

@@ -137,7 +137,7 @@ class CachedEncoder:
     the tokenizer itself. The cache is emptied beyond ``limit`` chunks.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
