@@ -254,6 +254,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows that hold any window of any item; all columns stay.
 
+    Null and wordless texts stay, repeated rows share their fate, an empty table
+    or an empty benchmark changes nothing.
+
     Each Arrow batch is indexed and searched as a segment of its own, so rows
     never leave their partition.
     """

@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from .common import stored, table, with_free_names
 
 SHARDS, SEED = 8, 20240607
-#: Rows of a cell; a shard has as many cells as that takes.
-CELL_ROWS = 10_000
+#: Rows of a cell; a shard has as many cells as that takes, up to MAX_CELLS in all, beyond which cells grow (their sort spills).
+CELL_ROWS, MAX_CELLS = 10_000, 32_768
 
 
 def even_sizes(total: int, parts: int) -> np.ndarray:
@@ -35,11 +35,12 @@ def even_sizes(total: int, parts: int) -> np.ndarray:
 def hypergeometric_split(sizes: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
     """How many of ``take`` rows drawn without replacement come from each of the cells.
 
-    numpy's generator takes up to 10^9 rows a side; larger counts are split
-    into equal parts first, which leaves the law of the sum nearly, not exactly,
-    hypergeometric, while the row and column sums stay exact.
+    numpy's generators take up to 10^9 rows. Beyond that a draw has the normal
+    law of the same mean and deviation, rounded; the sums stay exact.
     """
     out, left = np.zeros(len(sizes), np.int64), int(sizes.sum())
+    if left < 1_000_000_000:
+        return rng.multivariate_hypergeometric(sizes, min(take, left), method="marginals")
     for k, n in enumerate(sizes.tolist()):
         if take <= 0:
             break
@@ -92,7 +93,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, c
     for p, c in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect():
         counts[p] = c
     per_shard = even_sizes(int(counts.sum()), shards)
-    cuts = max(1, -(-int(per_shard.max()) // cell_rows))
+    cuts = min(max(1, -(-int(per_shard.max()) // cell_rows)), max(1, MAX_CELLS // shards))
     sizes = np.concatenate([even_sizes(int(s), cuts) for s in per_shard])
     starts = np.concatenate([np.cumsum(s) - s for s in sizes.reshape(shards, cuts)])
     shared = df.sparkSession.sparkContext.broadcast((counts, sizes))

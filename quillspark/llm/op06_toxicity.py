@@ -298,7 +298,12 @@ def score_texts(docs: DataFrame, model: Crf, text_col: str = "text", keep: list[
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose score reaches the threshold; columns stay."""
+    """docs without the rows whose score reaches the threshold; columns stay.
+
+    Rows are judged each by its own text: null and wordless ones stay, repeated
+    rows share their fate, and no labels at all drop nothing (or, if all training
+    labels are toxic, everything). An empty table stays empty.
+    """
     scored = score_texts(docs, train(docs, labels), text_col)
     return scored.filter(F.col("score") < threshold).select(*docs.columns)
 

@@ -195,7 +195,12 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: lis
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose score stays below the threshold; columns stay."""
+    """docs without the rows whose score stays below the threshold; columns stay.
+
+    Rows are judged each by its own text: null and wordless ones as one passage
+    without features, repeated rows alike. Without labels of both kinds every row
+    has the share of label 1 as its score. An empty table stays empty.
+    """
     scored = score_texts(docs, train(docs, labels), text_col)
     return scored.filter(F.col("score") >= threshold).select(*docs.columns)
 
