@@ -73,6 +73,35 @@ def tokens(chars: Column, per_token: float = 3.5, uplift: float = 1.0) -> Column
     return F.ceil(chars / F.lit(per_token) * F.lit(uplift))
 
 
+def duration(words: Column, rate: float) -> Column:
+    """Reading time as s, min or h."""
+    m = words / F.lit(float(rate))
+    return F.when(m < 1, F.format_string("%.0f s", F.rint(m * 60))).when(m >= 60, F.format_string("%.1f h", m / 60)).otherwise(F.format_string("%.1f min", m))
+
+
+def fence_fold(content: Column) -> Column:
+    """struct(open, blocks, outside, headings) of a text's lines by one fold: backtick or tilde fences with up to three blanks before, ATX headings outside."""
+    start = F.struct(F.lit("").alias("mark"), F.lit(0).alias("size"), F.lit(0).alias("blocks"), F.lit(0).alias("outside"), F.lit(0).alias("headings"))
+
+    def step(s: Column, line: Column) -> Column:
+        run = F.regexp_extract(line, "(?d)^ {0,3}(`{3,}(?=[^`]*$)|~{3,})", 1)
+        closing = F.regexp_extract(line, "(?d)^ {0,3}(`{3,}|~{3,})[ \\t]*$", 1)
+        inside = s["mark"] != ""
+        closes = inside & (F.substring(closing, 1, 1) == s["mark"]) & (F.length(closing) >= s["size"])
+        opens = ~inside & (run != "")
+        plain = ~inside & ~opens
+        head = plain & line.rlike("(?d)^ {0,3}#{1,6}([ \\t]|$)")
+        return F.struct(
+            F.when(closes, "").when(opens, F.substring(run, 1, 1)).otherwise(s["mark"]).alias("mark"),
+            F.when(closes, 0).when(opens, F.length(run)).otherwise(s["size"]).alias("size"),
+            (s["blocks"] + opens.cast("int")).alias("blocks"),
+            (s["outside"] + plain.cast("int")).alias("outside"),
+            (s["headings"] + head.cast("int")).alias("headings"),
+        )
+
+    return F.aggregate(lines(content), start, step, lambda s: F.struct((s["mark"] != "").alias("open"), s["blocks"].alias("blocks"), s["outside"].alias("outside"), s["headings"].alias("headings")))
+
+
 def half_even(x: Column, digits: int = 6) -> Column:
     return F.bround(x, digits)
 

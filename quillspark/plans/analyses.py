@@ -153,6 +153,33 @@ def notation_candidates(corpus: Corpus, scope: str = "all", per_category: int =
     return {"summary": summary, "subtypes": subtypes, "sample": sampling.smallest_digests(keyed, "notation", "key", per_category, "notation-inspection-v1\0").drop("snippet", "shape")}
 
 
+def stored_notations(corpus: Corpus) -> dict[str, DataFrame]:
+    """The stored notation results added up: occurrences, files, confidences, subtypes, and what their caps left out."""
+    rows = corpus.notations()
+    each = rows.select("file_id", "detections", F.explode("notations_summary").alias("notation", "s"))
+    kept = F.size(F.filter("detections", lambda d: d["notation_id"] == F.col("notation")))
+    counted = each.select("file_id", "notation", F.col("s.count").alias("n"), F.greatest(F.col("s.count") - kept, F.lit(0)).alias("omitted"))
+    long = each.select("file_id", "notation", F.explode(F.concat(F.transform("s.confidences", lambda x: F.struct(F.lit("confidence").alias("what"), x.alias("value"))), F.transform("s.subtypes", lambda x: F.struct(F.lit("subtype").alias("what"), x.alias("value"))))).alias("x"))
+    found = F.size("detections")
+    return {
+        "notations": counted.groupBy("notation").agg(F.sum("n").alias("occurrences"), F.count_distinct("file_id").alias("files"), F.sum("omitted").alias("omitted")),
+        "details": long.groupBy("notation", "x.what", "x.value").agg(F.count_distinct("file_id").alias("files")),
+        "caps": rows.agg(F.count_if(F.col("notation_count_total") > found).alias("capped_files"), F.coalesce(F.sum(F.greatest(F.col("notation_count_total") - found, F.lit(0))), F.lit(0)).alias("omitted")),
+    }
+
+
+def replayed_notations(corpus: Corpus, without: tuple[str, ...] = ("plantuml",)) -> DataFrame:
+    """Notations found again in the files' texts beside the stored counts; a difference raises when the row is read.
+
+    Notations with boundary marks outside fences are left out of the comparison.
+    """
+    found = parsed(corpus.files, notations.parse, notations.DETECTED, "n", ["id", "content"])
+    again = found.select(F.explode("n.detections").alias("d")).groupBy(F.col("d.id").alias("notation")).agg(F.count("*").alias("replayed"))
+    both = again.join(stored_notations(corpus)["notations"].select("notation", "occurrences"), "notation", "full_outer").na.fill(0).filter(~F.col("notation").isin(*without))
+    fine = F.col("replayed") == F.col("occurrences")
+    return both.withColumn("notation", F.when(fine, F.col("notation")).otherwise(F.raise_error(F.concat(F.lit("replay differs from the stored results: "), F.col("notation")))))
+
+
 def paragraph_languages(corpus: Corpus, scope: str = "exact", first: prose.LanguageDetector | None = None, second: prose.LanguageDetector | None = None, config: prose.Config = prose.Config(), audit: int = 20) -> dict[str, DataFrame]:
     """Languages of prose paragraphs by two agreeing detectors, and of documents by their paragraphs; weighted by copies."""
     one, two = first or prose.StopWordDetector("stop words"), second or prose.StopWordDetector("stop words, doubled", 2.0)
@@ -450,8 +477,30 @@ def confusion(audit: DataFrame, labels: DataFrame, key: str, auto: str, review:
     return {"matrix": joined.groupBy("auto", "review").agg(F.count("*").alias("n")), "precision": joined.agg(n.alias("n"), right.alias("right"), F.try_divide(right, n).alias("precision"), low.alias("low"), high.alias("high"))}
 
 
+def content_audit(audit: DataFrame, labels: DataFrame) -> dict[str, DataFrame]:
+    """Reviewed forms of repeated contents: audit (audit_id, content_hash, auto_category) and labels (audit_id, content_hash, review_category, review_disposition).
+
+    Each id occurs once on either side, with the same hash; a disposition must
+    agree with its categories. Anything else raises. Precision counts accepted rows only.
+    """
+    joined = relational.bijection(audit.select("audit_id", "content_hash", "auto_category"), labels.select("audit_id", "content_hash", "review_category", "review_disposition"), "audit_id")
+    rows = joined.select("audit_id", F.col("l.content_hash").alias("hash"), F.col("r.content_hash").alias("other"), F.col("l.auto_category").alias("auto"), F.col("r.review_category").alias("review"), F.col("r.review_disposition").alias("disposition"))
+    wrong = (
+        F.when(~F.col("hash").eqNullSafe(F.col("other")), "content hash mismatch")
+        .when(~F.col("disposition").isin("accepted_correct", "accepted_incorrect", "classifier_abstention"), "unsupported disposition")
+        .when(~F.col("review").isin(*forms.CATEGORIES), "unsupported review category")
+        .when((F.col("disposition") == "accepted_correct") & (F.col("auto") != F.col("review")), "correct label disagrees with the automatic category")
+        .when((F.col("disposition") == "accepted_incorrect") & (F.col("auto") == F.col("review")), "incorrect label equals the automatic category")
+    )
+    sound = rows.withColumn("auto", F.when(wrong.isNull(), F.col("auto")).otherwise(F.raise_error(F.concat(wrong, F.lit(": "), F.col("audit_id").cast("string")))))
+    accepted, right = F.count_if(F.col("disposition").startswith("accepted_")), F.count_if(F.col("disposition") == "accepted_correct")
+    low, high = stats.wilson(right, accepted, 0.0)
+    measures = [F.count("*").alias("n"), accepted.alias("accepted"), right.alias("correct"), F.count_if(F.col("disposition") == "classifier_abstention").alias("abstentions"), F.try_divide(right, accepted).alias("precision"), low.alias("low"), high.alias("high")]
+    return {"matrix": sound.groupBy("auto", "review").agg(F.count("*").alias("n")), "categories": sound.groupBy("auto").agg(*measures), "total": sound.agg(F.count("auto").alias("audited"), *measures)}
+
+
 #: Spellings of an audit's judgments.
-JUDGMENTS = {"correct": "correct", "c": "correct", "yes": "correct", "y": "correct", "1": "correct", "incorrect": "incorrect", "wrong": "incorrect", "i": "incorrect", "no": "incorrect", "n": "incorrect", "0": "incorrect", "uncertain": "uncertain", "unsure": "uncertain", "?": "uncertain"}
+JUDGMENTS = {"correct": "correct", "yes": "correct", "y": "correct", "true": "correct", "1": "correct", "incorrect": "incorrect", "no": "incorrect", "n": "incorrect", "false": "incorrect", "0": "incorrect", "uncertain": "uncertain", "unsure": "uncertain", "?": "uncertain"}
 
 
 def judgment(value: Column) -> Column:

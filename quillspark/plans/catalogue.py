@@ -518,6 +518,60 @@ def f12_excerpts(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.escaped_excerpt(F.col("text"), 80).alias("excerpt"))
 
 
+_FOLD = """, f AS (SELECT id, content, list_reduce(string_split(content, chr(10)), lambda s, x: {'o': CASE WHEN s.o THEN NOT regexp_full_match(x, ' {0,3}```+[ \\t]*') ELSE regexp_matches(x, '^ {0,3}```') END,
+ 'b': s.b + CAST(NOT s.o AND regexp_matches(x, '^ {0,3}```') AS INT), 'u': s.u + CAST(NOT s.o AND NOT regexp_matches(x, '^ {0,3}```') AS INT),
+ 'h': s.h + CAST(NOT s.o AND regexp_matches(x, '^ {0,3}#{1,6}([ \\t]|$)') AS INT)}, {'o': false, 'b': 0, 'u': 0, 'h': 0}) AS s FROM exact)"""
+
+
+@query("t3_fence_fold", _FOLD + " SELECT id, s.o AS open, CAST(s.b AS INT) AS blocks, CAST(s.u AS INT) - CAST(ends_with(content, chr(10)) AND NOT s.o OR content = '' AS INT) AS outside, CAST(s.h AS INT) AS headings FROM f")
+def t3_fence_fold(spark, sf_dir):
+    return bind(spark, sf_dir).population("exact").select("id", text.fence_fold(F.col("content")).alias("s")).select("id", "s.*")
+
+
+@query("t5_heading_counts", _FOLD + " SELECT id, CAST(s.h AS INT) AS headings, CAST(s.b AS INT) AS fenced_blocks FROM f")
+def t5_heading_counts(spark, sf_dir):
+    """The document parser, in Python, against a fold in SQL."""
+    from ..operators import markdown
+    from .corpus import parsed
+
+    files = bind(spark, sf_dir).population("exact")
+    count = lambda c: {"headings": len(markdown.headings(c)), "fenced_blocks": markdown.fenced_blocks(c)}
+    return parsed(files, count, "struct<headings:int,fenced_blocks:int>", "p", ["id", "content"]).select("id", "p.*")
+
+
+_MINUTES = f"(SELECT id, {_WORDS} / 238.0::DOUBLE AS m FROM exact)"
+
+
+@query("f16_durations", f"SELECT id, CASE WHEN m < 1 THEN printf('%.0f s', round_even(m * 60, 0)) WHEN m >= 60 THEN printf('%.1f h', m / 60) ELSE printf('%.1f min', m) END AS duration FROM {_MINUTES}")
+def f16_durations(spark, sf_dir):
+    return bind(spark, sf_dir).population("exact").select("id", text.duration(text.word_count(F.col("content")), 238).alias("duration"))
+
+
+@query(
+    "d2_star_comparison",
+    """, n AS (SELECT full_name, coalesce(stars, 0) AS stars, (coalesce(stars, 0) * 7 + length(full_name) * 13) % 4000 AS current_stars FROM repos),
+ o AS (SELECT full_name FROM n ORDER BY stars DESC, lower(full_name), full_name LIMIT 15), c AS (SELECT full_name FROM n ORDER BY current_stars DESC, lower(full_name), full_name LIMIT 15)
+ SELECT full_name, CASE WHEN full_name IN (SELECT * FROM o) AND full_name IN (SELECT * FROM c) THEN 'stayed' WHEN full_name IN (SELECT * FROM c) THEN 'entered' ELSE 'left' END AS state, stars, CAST(current_stars AS BIGINT) AS current_stars
+ FROM n WHERE full_name IN (SELECT * FROM o) OR full_name IN (SELECT * FROM c)""",
+)
+def d2_star_comparison(spark, sf_dir):
+    corpus = bind(spark, sf_dir)
+    current = corpus.repos.select("full_name", F.lit(None).cast("string").alias("stored_name"), ((F.coalesce("stars", F.lit(0)) * 7 + F.length("full_name") * 13) % 4000).cast("long").alias("stars"))
+    got = analyses.star_comparison(corpus.repos, corpus.files, current)
+    states = [got[s].withColumn("state", F.lit(s)) for s in ("stayed", "entered", "left")]
+    return states[0].unionByName(states[1]).unionByName(states[2]).join(got["comparison"].select("full_name", "stars", "current_stars"), "full_name")
+
+
+@query("d18_partition")
+def d18_partition(spark, sf_dir):
+    return analyses.overlay_analysis(bind(spark, sf_dir))["partition"]
+
+
+@query("d18_sections")
+def d18_sections(spark, sf_dir):
+    return analyses.overlay_analysis(bind(spark, sf_dir))["sections"]
+
+
 # -- parsers and classifiers in Python, once per distinct content: no SQL says these; tests hold them to fixtures ---
 
 

@@ -321,7 +321,7 @@ def test_star_comparison(spark, corpus):
 
 
 def test_audits(spark):
-    rows = spark.createDataFrame([("__label__en", "Correct"), ("en", "no"), ("de", " unsure"), ("de", "")], "language string, judgment string")
+    rows = spark.createDataFrame([("__label__en", "TRUE"), ("en", "no"), ("de", " unsure"), ("de", "")], "language string, judgment string")
     got = {r.group: (r.reviewed, r.decisive, r.precision) for r in analyses.language_audit(rows).collect()}
     assert got == {"en": (2, 2, 0.5), "de": (1, 0, None), "(all)": (3, 2, 0.5)}
     with pytest.raises(Exception, match="unknown judgment"):
@@ -423,3 +423,53 @@ def test_stream_takes_each_content_once(spark, tmp_path, corpus):
 def test_missing_columns_become_null(spark):
     assert fitted(spark.createDataFrame([(1, "r", "p")], "ID int, repo_full_name string, path string"), "files").dtypes[0] == ("id", "bigint")
     assert isinstance(Corpus(None, None), Corpus)
+
+
+def test_fence_fold_equals_the_parser(spark):
+    from quillspark.operators import markdown
+
+    rng = random.Random(8)
+    parts = ["```", "````", "~~~", "``` x", "``` a`b", "# h", "   ## h", "text", "", "    ```", "~~~~ ", "#no"]
+    rows = ["\n".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(120)]
+    got = values(spark, text.fence_fold(F.col("x")), rows)
+    for r, s in zip(rows, got, strict=True):
+        plain = [line for _, line in markdown.unfenced(r)]
+        assert (s.blocks, s.outside, s.headings) == (markdown.fenced_blocks(r), len(plain), sum(bool(re.match(r" {0,3}#{1,6}([ \t]|$)", x)) for x in plain)), r
+
+
+def test_stored_notations_and_replay(spark):
+    from quillspark.operators import notations
+
+    contents = ["```mermaid\npie x\n```\n```json\n{}\n```\n", "```\n+--+\n```\n", "none"]
+    files = fitted(spark.createDataFrame(list(enumerate(contents)), "id long, content string"), "files")
+
+    def stored(content, cap=30):
+        found = notations.parse(content)["detections"]
+        summary = {}
+        for d in found:
+            one = summary.setdefault(d["id"], {"count": 0, "confidences": [d["confidence"]], "subtypes": [d["subtype"]] if d["subtype"] else []})
+            one["count"] += 1
+        kept = [{"notation_id": d["id"], "confidence": d["confidence"], "detected_via": d["via"]} for d in found[:cap]]
+        return json.dumps({"any_notation_detected": bool(found), "notation_count_total": len(found), "notations_summary": summary, "detections": kept})
+
+    def corpus_of(cap):
+        return Corpus(None, files, fitted(spark.createDataFrame([(k, "notation", stored(c, cap)) for k, c in enumerate(contents)], "file_id long, analyzer_id string, result_json string"), "analysis"))
+
+    got = analyses.stored_notations(corpus_of(1))
+    assert {(r.notation, r.occurrences, r.omitted) for r in got["notations"].collect()} == {("mermaid", 1, 0), ("json_schema", 1, 1), ("ascii_diagram", 1, 0)}
+    assert tuple(got["caps"].first()) == (1, 1)
+    assert analyses.replayed_notations(corpus_of(30)).count() == 3
+    wrong = Corpus(None, files.filter("id > 0"), corpus_of(30).analysis)
+    with pytest.raises(Exception, match="replay differs"):
+        analyses.replayed_notations(wrong).collect()
+
+
+def test_content_audit(spark):
+    audit = spark.createDataFrame([(1, "h1", "pointer_shim"), (2, "h2", "short_ambiguous"), (3, "h3", "template_scaffold")], "audit_id int, content_hash string, auto_category string")
+    labels = [(1, "h1", "pointer_shim", "accepted_correct"), (2, "h2", "pointer_shim", "accepted_incorrect"), (3, "h3", "template_scaffold", "classifier_abstention")]
+    schema = "audit_id int, content_hash string, review_category string, review_disposition string"
+    got = one(analyses.content_audit(audit, spark.createDataFrame(labels, schema))["total"])
+    assert (got["audited"], got["accepted"], got["correct"], got["abstentions"], got["precision"]) == (3, 2, 1, 1, 0.5)
+    for bad, message in (((1, "h9", "pointer_shim", "accepted_correct"), "hash mismatch"), ((1, "h1", "short_ambiguous", "accepted_correct"), "disagrees"), ((1, "h1", "pointer_shim", "maybe"), "disposition")):
+        with pytest.raises(Exception, match=message):
+            analyses.content_audit(audit, spark.createDataFrame([bad, *labels[1:]], schema))["total"].collect()
