@@ -144,6 +144,7 @@ def fit(texts: list[tuple[str, int]], share: float, steps: int = 600, batch: int
     model = Model(mean, scale, rng)
     y = np.array([label for _, label in texts], float)
     if not len(y) or not 0 < y.mean() < 1:
+        share = share if len(y) else 1.0
         model.p["c"][:] = 0
         model.p["d"][:] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return model
@@ -198,8 +199,8 @@ def drop_poor(docs: DataFrame, labels: DataFrame, text_col: str = "text", thresh
     """docs without the rows whose score stays below the threshold; columns stay.
 
     Rows are judged each by its own text: null and wordless ones as one passage
-    without features, repeated rows alike. Without labels of both kinds every row
-    has the share of label 1 as its score. An empty table stays empty.
+    without features, repeated rows alike. With labels of one kind every
+    row has the share of label 1 as its score, and without labels nothing goes. An empty table stays empty.
     """
     scored = score_texts(docs, train(docs, labels), text_col)
     return scored.filter(F.col("score") >= threshold).select(*docs.columns)
