@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if at:
         return at.rstrip("/")
     sc = spark.sparkContext
-    if not sc.master.startswith("local["):
+    if sc.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     import tempfile
 
