@@ -56,28 +56,49 @@ def weighted_histogram(df: DataFrame, value: str, weight: str | None = None, by:
     return df.groupBy(*(by or []), F.col(value).alias("value")).agg((F.sum(weight) if weight else F.count("*")).alias("weight"))
 
 
+def _stretch(value: Column) -> Column:
+    """A number that grows with value and takes few values: the power of two and the next six bits."""
+    v = value.cast("double")
+    power = F.floor(F.log2(F.greatest(v, F.lit(1e-300))))
+    return F.when(v > 0, power * 64 + F.floor((v / F.pow(F.lit(2.0), power) - 1) * 64)).otherwise(-(1 << 40)).cast("long")
+
+
+def running(hist: DataFrame, by: list[str] | None = None, descending: bool = False) -> DataFrame:
+    """hist with upto (the weight up to and including each value) and all (the whole weight), per by.
+
+    Values are cut into stretches; a stretch's running sum starts at the sum of
+    those before it. So no task sorts all distinct values, and only the few
+    stretches are summed in one place.
+    """
+    by = by or []
+    cut = hist.withColumn("_s", _stretch(F.col("value")))
+    turn = F.desc if descending else F.asc
+    sums = cut.groupBy(*by, "_s").agg(F.sum("weight").alias("_w"))
+    w = Window.partitionBy(*by)
+    before = sums.select(*by, "_s", F.coalesce(F.sum("_w").over(w.orderBy(turn("_s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_w").over(w).alias("all"))
+    within = F.sum("weight").over(Window.partitionBy(*by, "_s").orderBy(turn("value")).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("_within", within).join(before, [*by, "_s"]).withColumn("upto", F.col("_before") + F.col("_within")).drop("_s", "_before", "_within")
+
+
 def weighted_quantiles(hist: DataFrame, ps: list[float], by: list[str] | None = None) -> DataFrame:
     """Weighted nearest-rank quantiles of a histogram, one column q<percent> each: the first value at which the weight so far reaches ceil(p total)."""
     by = by or []
-    w = Window.partitionBy(*by)
-    run = hist.withColumn("upto", F.sum("weight").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("weight").over(w))
     picks = [F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("all"))), F.col("value"))).alias(f"q{round(p * 100)}") for p in ps]
+    run = running(hist, by)
     return run.groupBy(*by).agg(*picks) if by else run.agg(*picks)
 
 
 def ecdf(df: DataFrame, col: str) -> DataFrame:
-    """value, percent: the share of values up to each distinct value. Windows run over distinct values only."""
+    """value, percent: the share of values up to each distinct value."""
     hist = weighted_histogram(df.filter(F.col(col).isNotNull()), col)
-    upto = F.sum("weight").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return hist.select("value", (F.lit(100.0) * upto / F.sum("weight").over(Window.partitionBy())).alias("percent"))
+    return running(hist).select("value", (F.lit(100.0) * F.col("upto") / F.col("all")).alias("percent"))
 
 
 def survival(df: DataFrame, col: str, rate: float) -> DataFrame:
     """minutes, percent: the share of values that take at least so long at rate a minute; zeros count in the whole only."""
     hist = weighted_histogram(df.filter(F.col(col).isNotNull()), col)
-    left = F.sum("weight").over(Window.orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0))
-    out = hist.select("value", (F.lit(100.0) * left / F.sum("weight").over(Window.partitionBy())).alias("percent"))
-    return out.filter("value > 0").select((F.col("value") / F.lit(float(rate))).alias("minutes"), "percent")
+    out = running(hist, descending=True).filter("value > 0")
+    return out.select((F.col("value") / F.lit(float(rate))).alias("minutes"), (F.lit(100.0) * F.col("upto") / F.col("all")).alias("percent"))
 
 
 def histogram(df: DataFrame, col: str, low: float, high: float, bins: int) -> DataFrame:

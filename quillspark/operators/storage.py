@@ -13,7 +13,7 @@ def shared_folder(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     at = f"file://{tempfile.gettempdir()}/quillspark-{spark.sparkContext.applicationId}"
     spark.conf.set("spark.checkpoint.dir", at)
