@@ -65,6 +65,13 @@ def size_histogram(corpus: Corpus, high: float, bins: int, tool: str | None = No
     return stats.histogram(corpus.population(scope, tool=tool).filter("size_bytes >= 0"), "size_bytes", 0, high, bins)
 
 
+def coverage(corpus: Corpus, available: DataFrame, width: int = 200, scope: str = "exact") -> DataFrame:
+    """Files of each size interval beside how many there are in all (available: interval, total), and the share that is here."""
+    own = corpus.population(scope).filter("size_bytes >= 0").groupBy(F.floor(F.col("size_bytes") / width).alias("interval")).agg(F.count("*").alias("files"))
+    both = own.join(available.select("interval", "total"), "interval", "full_outer").na.fill(0, ["files", "total"])
+    return both.withColumn("share", text.ratio(F.col("files"), F.col("total")))
+
+
 # -- duplicates --------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bands, paths, sampling, stats, text
 from ..operators import relational
 from . import analyses
-from .corpus import CORPUS_SQL, bind, structure_fields
+from .corpus import CORPUS_SQL, Corpus, bind, structure_fields
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -74,7 +74,7 @@ fam AS (SELECT content_hash, count(*) AS copies, count(DISTINCT repo) AS reposit
 
 def _raw(spark: SparkSession, sf_dir: str):
     """Documents as Markdown files of their source, texts unchanged."""
-    from .corpus import Corpus, fitted
+    from .corpus import fitted
 
     docs = _table(spark, sf_dir, "documents")
     files = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("repo_full_name"), F.format_string("docs/%d.md", "doc_id").alias("path"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"))
@@ -215,6 +215,25 @@ def d20_largest(spark, sf_dir):
     return analyses.report(bind(spark, sf_dir))["largest"]
 
 
+@query(
+    "d23_coverage",
+    """, a AS (SELECT size_bytes // 200 AS interval, count(*) AS total FROM files GROUP BY 1), o AS (SELECT size_bytes // 200 AS interval, count(*) AS files FROM exact GROUP BY 1)
+ SELECT interval, coalesce(files, 0) AS files, coalesce(total, 0) AS total, coalesce(files, 0)::DOUBLE / nullif(total, 0) AS share FROM a FULL JOIN o USING (interval)""",
+)
+def d23_coverage(spark, sf_dir):
+    corpus = bind(spark, sf_dir)
+    available = corpus.files.groupBy(F.floor(F.col("size_bytes") / 200).alias("interval")).agg(F.count("*").alias("total"))
+    return analyses.coverage(corpus, available)
+
+
+@query("d21_export", "SELECT id, repo AS repo_full_name, path, tool_id, size_bytes, stars, language, length(content) AS characters FROM files LEFT JOIN repos ON repo = full_name")
+def d21_export(spark, sf_dir):
+    corpus = bind(spark, sf_dir)
+    results = corpus.files.select(F.col("id").alias("file_id"), F.lit("structure").alias("analyzer_id"), F.to_json(F.struct(F.length("content").alias("char_count"))).alias("result_json"))
+    wide = analyses.export(Corpus(corpus.repos, corpus.files, results), ["structure"])
+    return wide.select("id", "repo_full_name", "path", "tool_id", "size_bytes", "stars", "language", F.get_json_object("structure", "$.char_count").cast("long").alias("characters"))
+
+
 # -- joins ---------------------------------------------------------------------------------------------------
 
 

@@ -64,6 +64,17 @@ def write_summary(tables: dict[str, DataFrame], path: str, limit: int = 10_000)
     Path(path).write_text(json.dumps(out, indent=2, sort_keys=True, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
 
 
+def text_report(tables: dict[str, DataFrame], rows: int = 20) -> str:
+    """A plain-text report: each table under its name, its first rows aligned."""
+    parts = []
+    for name, df in tables.items():
+        found = [[str(v) if v is not None else "" for v in r] for r in df.limit(rows + 1).collect()]
+        widths = [max(map(len, col)) for col in zip(df.columns, *found[:rows], strict=True)]
+        shown = ["  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in [df.columns, *found[:rows]]]
+        parts.append("\n".join([name, "=" * len(name), *shown, *(["..."] if len(found) > rows else [])]))
+    return "\n\n".join(parts) + "\n"
+
+
 class KeyedCache:
     """Results kept in a Parquet folder by key: only keys that are not there are computed, and then appended.
 

@@ -392,6 +392,7 @@ def test_sinks_are_deterministic(spark, tmp_path):
     for n in ("x", "y"):
         assert sinks.write_csv(sinks.formatted(df), str(tmp_path / n), ["k"], bom=True) == 3
     assert (tmp_path / "x").read_bytes() == (tmp_path / "y").read_bytes() == "\ufeffk,v\na,\nb,0.500000\nc,0.333333\n".encode()
+    assert sinks.text_report({"t": df.orderBy("k")}, 2) == "t\n=\nk  v\na\nb  0.5\n...\n"
     with pytest.raises(ValueError):
         sinks.write_csv(df.limit(0), str(tmp_path / "z"), refuse_empty=True)
     sinks.write_summary({"t": df}, str(tmp_path / "s.json"))
