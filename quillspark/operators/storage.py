@@ -25,3 +25,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/corpus/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Input below so many bytes for each task slot is dealt out anew before heavy work on each row.
+SMALL_SHARE = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all task slots if it is small.
+
+    A small file is often one row group, which only one task can read; all rows
+    would then be parsed there. Larger input keeps the partitions of its scan.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * slots) if size < SMALL_SHARE * slots else df

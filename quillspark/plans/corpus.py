@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import paths, text
+from ..operators.storage import spread
 
 SCHEMAS = {
     "repos": "full_name string, stars int, language string, fetched_at string",
@@ -122,7 +123,7 @@ _LINE = """CASE (i + id) % 8
 
 def bind(spark: SparkSession, sf_dir: str) -> Corpus:
     """The corpus of a folder of test tables: documents as Markdown files of synthetic repositories, one per source and 40 slots."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = docs.selectExpr("doc_id AS id", "source || '/r' || (doc_id div 800) AS repo_full_name", "(doc_id div 20) % 40 AS k", "text", "lang")
     repos = base.groupBy("repo_full_name").agg(F.min("id").alias("m"), F.max("lang").alias("lang"))
     repos = repos.selectExpr("repo_full_name AS full_name", "CASE WHEN m % 7 = 3 THEN NULL ELSE CAST((m * 37) % 5000 AS INT) END AS stars", "CASE WHEN m % 11 = 5 THEN NULL ELSE lang END AS language")
