@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import spread
 from .common import stored, table
 
 WINDOW = 10
@@ -174,7 +175,7 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None, id_col:
         if segment.ids:
             yield out()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SEGMENT)
+    return spread(docs.select(F.col(id_col).cast("long"), F.col(text_col))).mapInArrow(run, SEGMENT)
 
 
 def search(index: DataFrame, items: list[tuple], size: int = WINDOW, slop: int | None = None) -> DataFrame:
@@ -282,7 +283,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 keep = [not len(x[3]) for x in report(phrases, segment.ids, np.array(segment.sizes, np.int64), lists, many, None)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = spread(docs).mapInArrow(run, schema)
     return docs
 
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.storage import spread
 from .common import table
 
 RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -394,7 +395,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[x.split()[0] for x in schema.split(", ")])
 
     schema = DIGEST + ", media binary" * keep_media
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, schema)
+    return spread(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")).mapInArrow(run, schema)
 
 
 def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

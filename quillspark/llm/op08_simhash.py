@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import spread
 from .common import stored, table, with_free_names
 
 SHINGLE, SEED, RADIUS, SHARD_ROWS = 3, 42, 2, 4096
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.int64())], names=["id", "fp"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, slim.schema[0:1].add("fp", "long", False))
+    return spread(slim).mapInArrow(run, slim.schema[0:1].add("fp", "long", False))
 
 
 class BkTree:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import spread
 from .common import table
 
 WINDOW = 2048
@@ -353,7 +354,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
         yield flush()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, PIECES)
+    return spread(slim).mapInArrow(run, PIECES)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
