@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bands, paths, sampling, stats, text
 from ..operators import relational
 from . import analyses
-from .corpus import CORPUS_SQL, Corpus, bind, structure_fields
+from .corpus import CORPUS_SQL, Corpus, bind, bind_as_sql, structure_fields
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -108,32 +108,32 @@ def d17_summary(spark, sf_dir):
  FROM (SELECT *, lower(path) = 'claude.md' OR lower(path) LIKE '%/claude.md' AS e, path = 'CLAUDE.md' OR path LIKE '%/CLAUDE.md' AS s FROM files)""",
 )
 def a1_populations(spark, sf_dir):
-    return analyses.populations(bind(spark, sf_dir))
+    return analyses.populations(bind_as_sql(spark, sf_dir))
 
 
 @query("d1_languages", "SELECT language, repositories, 100.0::DOUBLE * repositories / sum(repositories) OVER () AS percent, CAST(row_number() OVER (ORDER BY repositories DESC, lower(language), language) AS INT) AS rank FROM (SELECT coalesce(nullif(language, ''), '(unknown)') AS language, count(*) AS repositories FROM repos GROUP BY 1)")
 def d1_languages(spark, sf_dir):
-    return analyses.dataset(bind(spark, sf_dir))["languages"]
+    return analyses.dataset(bind_as_sql(spark, sf_dir))["languages"]
 
 
 @query("d1_top_repositories", "SELECT full_name, coalesce(stars, 0) AS stars, CAST(row_number() OVER (ORDER BY coalesce(stars, 0) DESC, lower(full_name), full_name) AS INT) AS rank FROM repos QUALIFY rank <= 15")
 def d1_top_repositories(spark, sf_dir):
-    return analyses.dataset(bind(spark, sf_dir))["top"]
+    return analyses.dataset(bind_as_sql(spark, sf_dir))["top"]
 
 
 @query("d1_stars", _describe_sql("s", "(SELECT coalesce(stars, 0) AS s FROM repos)"))
 def d1_stars(spark, sf_dir):
-    return analyses.dataset(bind(spark, sf_dir))["stars"]
+    return analyses.dataset(bind_as_sql(spark, sf_dir))["stars"]
 
 
 @query("m2_describe_bytes", _describe_sql("size_bytes", "exact"))
 def m2_describe_bytes(spark, sf_dir):
-    return analyses.dataset(bind(spark, sf_dir))["describe_size_bytes"]
+    return analyses.dataset(bind_as_sql(spark, sf_dir))["describe_size_bytes"]
 
 
 @query("m2_describe_tokens", _describe_sql("t", "(SELECT CAST(ceil(length(content) / 3.5::DOUBLE) AS BIGINT) AS t FROM exact)"))
 def m2_describe_tokens(spark, sf_dir):
-    return analyses.dataset(bind(spark, sf_dir))["describe_tokens"]
+    return analyses.dataset(bind_as_sql(spark, sf_dir))["describe_tokens"]
 
 
 @query("m7_describe_prices", _describe_sql("l_extendedprice", "lineitem", "short", "DOUBLE").replace("avg(l_extendedprice)", "round(avg(l_extendedprice), 4)"), False)
@@ -150,13 +150,13 @@ def m7_describe_prices(spark, sf_dir):
  min(v) FILTER (WHERE upto >= greatest(1, ceil(0.9::DOUBLE * n))) AS q90, min(v) FILTER (WHERE upto >= greatest(1, ceil(0.99::DOUBLE * n))) AS q99 FROM r""",
 )
 def m9_weighted_quantiles(spark, sf_dir):
-    own = analyses.families(bind(spark, sf_dir)).select(F.length("content").cast("long").alias("chars"), "copies")
+    own = analyses.families(bind_as_sql(spark, sf_dir)).select(F.length("content").cast("long").alias("chars"), "copies")
     return stats.weighted_quantiles(stats.weighted_histogram(own, "chars", "copies"), [0.25, 0.5, 0.9, 0.99])
 
 
 @query("m12_ecdf", "SELECT size_bytes AS value, 100.0::DOUBLE * sum(n) OVER (ORDER BY size_bytes) / sum(n) OVER () AS percent FROM (SELECT size_bytes, count(*) AS n FROM exact GROUP BY 1)")
 def m12_ecdf(spark, sf_dir):
-    return analyses.size_series(bind(spark, sf_dir))["ecdf_bytes"]
+    return analyses.size_series(bind_as_sql(spark, sf_dir))["ecdf_bytes"]
 
 
 _WORDS = r"len(regexp_extract_all(content, '[^\s\x0B\x1C-\x1F\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'))"
@@ -164,17 +164,17 @@ _WORDS = r"len(regexp_extract_all(content, '[^\s\x0B\x1C-\x1F\x85\x{A0}\x{1680}\
 
 @query("m13_survival", f"SELECT w / 238.0::DOUBLE AS minutes, percent FROM (SELECT w, 100.0::DOUBLE * sum(n) OVER (ORDER BY w DESC) / sum(n) OVER () AS percent FROM (SELECT {_WORDS} AS w, count(*) AS n FROM exact GROUP BY 1)) WHERE w > 0")
 def m13_survival(spark, sf_dir):
-    return analyses.size_series(bind(spark, sf_dir))["survival_238"]
+    return analyses.size_series(bind_as_sql(spark, sf_dir))["survival_238"]
 
 
 @query("m11_profile", _describe_sql("w", f"(SELECT {_WORDS} AS w FROM exact)", "profile"))
 def m11_profile(spark, sf_dir):
-    return analyses.size_series(bind(spark, sf_dir))["profile_words"]
+    return analyses.size_series(bind_as_sql(spark, sf_dir))["profile_words"]
 
 
 @query("d19_histogram", "SELECT CAST(least(floor(size_bytes / 500.0::DOUBLE), 39) AS INT) AS bin, count(*) AS n FROM files WHERE lower(path) LIKE '%.md' AND tool_id = 'a' AND size_bytes BETWEEN 0 AND 20000 GROUP BY 1")
 def d19_histogram(spark, sf_dir):
-    return analyses.size_histogram(bind(spark, sf_dir), 20000, 40, tool="a")
+    return analyses.size_histogram(bind_as_sql(spark, sf_dir), 20000, 40, tool="a")
 
 
 @query(
@@ -184,7 +184,7 @@ def d19_histogram(spark, sf_dir):
  (VALUES ('200k', 200000), ('500k', 500000), ('1M', 1000000)) AS w("window", size)""",
 )
 def d4_windows(spark, sf_dir):
-    return analyses.context_windows(bind(spark, sf_dir))["windows"]
+    return analyses.context_windows(bind_as_sql(spark, sf_dir))["windows"]
 
 
 _LINES = r"len(list_filter(regexp_split_to_array(regexp_replace(content, '(\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}])$', ''), '\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]'), lambda x: content <> ''))"
@@ -192,27 +192,27 @@ _LINES = r"len(list_filter(regexp_split_to_array(regexp_replace(content, '(\r\n|
 
 @query("d4_lines", f"SELECT count(*) FILTER (WHERE n < 200) AS below, count(*) FILTER (WHERE n = 200) AS at, count(*) FILTER (WHERE n > 200) AS above, count(*) FILTER (WHERE n > 500) AS above_500, count(*) FILTER (WHERE n > 1000) AS above_1000, round_even(avg(CAST(n >= 200 AS DOUBLE)), 6) AS share_at_or_above FROM (SELECT {_LINES} AS n FROM exact)")
 def d4_lines(spark, sf_dir):
-    return analyses.context_windows(bind(spark, sf_dir))["lines"]
+    return analyses.context_windows(bind_as_sql(spark, sf_dir))["lines"]
 
 
 @query("d4_describe_chars", _describe_sql("c", "(SELECT length(content) AS c FROM exact)", "plain"))
 def d4_describe_chars(spark, sf_dir):
-    return analyses.context_windows(bind(spark, sf_dir))["describe_chars"]
+    return analyses.context_windows(bind_as_sql(spark, sf_dir))["describe_chars"]
 
 
 @query("d20_languages", "SELECT coalesce(language, '(unknown)') AS language, count(*) AS files FROM files LEFT JOIN repos ON repo = full_name GROUP BY 1")
 def d20_languages(spark, sf_dir):
-    return analyses.report(bind(spark, sf_dir))["languages"]
+    return analyses.report(bind_as_sql(spark, sf_dir))["languages"]
 
 
 @query("d20_tools", "SELECT tool_id, count(*) AS files, count(DISTINCT repo) AS repositories FROM files GROUP BY 1")
 def d20_tools(spark, sf_dir):
-    return analyses.report(bind(spark, sf_dir))["tools"]
+    return analyses.report(bind_as_sql(spark, sf_dir))["tools"]
 
 
 @query("d20_largest", "SELECT id, path, size_bytes FROM files ORDER BY size_bytes DESC, id LIMIT 15")
 def d20_largest(spark, sf_dir):
-    return analyses.report(bind(spark, sf_dir))["largest"]
+    return analyses.report(bind_as_sql(spark, sf_dir))["largest"]
 
 
 @query(
@@ -221,14 +221,14 @@ def d20_largest(spark, sf_dir):
  SELECT interval, coalesce(files, 0) AS files, coalesce(total, 0) AS total, coalesce(files, 0)::DOUBLE / nullif(total, 0) AS share FROM a FULL JOIN o USING (interval)""",
 )
 def d23_coverage(spark, sf_dir):
-    corpus = bind(spark, sf_dir)
+    corpus = bind_as_sql(spark, sf_dir)
     available = corpus.files.groupBy(F.floor(F.col("size_bytes") / 200).alias("interval")).agg(F.count("*").alias("total"))
     return analyses.coverage(corpus, available)
 
 
 @query("d21_export", "SELECT id, repo AS repo_full_name, path, tool_id, size_bytes, stars, language, length(content) AS characters FROM files LEFT JOIN repos ON repo = full_name")
 def d21_export(spark, sf_dir):
-    corpus = bind(spark, sf_dir)
+    corpus = bind_as_sql(spark, sf_dir)
     results = corpus.files.select(F.col("id").alias("file_id"), F.lit("structure").alias("analyzer_id"), F.to_json(F.struct(F.length("content").alias("char_count"))).alias("result_json"))
     wide = analyses.export(Corpus(corpus.repos, corpus.files, results), ["structure"])
     return wide.select("id", "repo_full_name", "path", "tool_id", "size_bytes", "stars", "language", F.get_json_object("structure", "$.char_count").cast("long").alias("characters"))
@@ -250,7 +250,7 @@ def j3_customer_orders(spark, sf_dir):
 
 @query("j4_multi_file_repositories", "SELECT id, repo AS repo_full_name, path FROM exact SEMI JOIN (SELECT repo FROM exact GROUP BY repo HAVING count(*) > 1) USING (repo)")
 def j4_multi_file_repositories(spark, sf_dir):
-    return relational.repeated(bind(spark, sf_dir).population("exact"), "repo_full_name").select("id", "repo_full_name", "path")
+    return relational.repeated(bind_as_sql(spark, sf_dir).population("exact"), "repo_full_name").select("id", "repo_full_name", "path")
 
 
 @query("j5_representatives", _RAW + "SELECT content_hash, min(id) AS id, count(*) AS copies FROM f WHERE content_hash IS NOT NULL GROUP BY 1", False)
@@ -278,7 +278,7 @@ _DIR = "CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$',
  FROM e c JOIN up USING (repo, dir) JOIN e p ON p.repo = c.repo AND p.dir = up.up""",
 )
 def j7_hierarchy_edges(spark, sf_dir):
-    return analyses.hierarchy(bind(spark, sf_dir))["edges"]
+    return analyses.hierarchy(bind_as_sql(spark, sf_dir))["edges"]
 
 
 @query(
@@ -287,7 +287,7 @@ def j7_hierarchy_edges(spark, sf_dir):
  SELECT c.repo AS repo_full_name, c.dir, 1 + count(p.dir) AS chain FROM d c LEFT JOIN d p ON c.repo = p.repo AND c.dir <> p.dir AND (p.dir = '' OR starts_with(c.dir, p.dir || '/')) GROUP BY ALL""",
 )
 def j15_chain_lengths(spark, sf_dir):
-    return analyses.hierarchy(bind(spark, sf_dir))["chains"]
+    return analyses.hierarchy(bind_as_sql(spark, sf_dir))["chains"]
 
 
 @query(
@@ -299,7 +299,7 @@ def j15_chain_lengths(spark, sf_dir):
  FROM l a JOIN l b ON a.repo = b.repo AND a.scope = b.scope AND NOT a.hidden AND b.hidden""",
 )
 def j8_scope_pairs(spark, sf_dir):
-    return analyses.hierarchy(bind(spark, sf_dir))["pairs"]
+    return analyses.hierarchy(bind_as_sql(spark, sf_dir))["pairs"]
 
 
 @query(
@@ -313,7 +313,7 @@ def j8_scope_pairs(spark, sf_dir):
  SELECT * FROM (SELECT repo, a, b, na, nb, shared, jaccard, containment, CASE WHEN shared = na AND shared = nb THEN 'normalized_equivalent' WHEN shared >= 5 AND jaccard >= 0.8 THEN 'high_jaccard' WHEN shared >= 5 AND containment >= 0.9 THEN 'high_containment' END AS relation FROM m) WHERE relation IS NOT NULL""",
 )
 def j6_line_overlaps(spark, sf_dir):
-    return analyses.line_overlaps(bind(spark, sf_dir), ascii_only=True)
+    return analyses.line_overlaps(bind_as_sql(spark, sf_dir), ascii_only=True)
 
 
 @query(
@@ -348,7 +348,7 @@ def j11_label_bijection(spark, sf_dir):
  SELECT x.d AS dimension, x.v AS value, count(*) AS files, count(DISTINCT repo) AS repositories, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM u GROUP BY ALL""",
 )
 def a10_strata(spark, sf_dir):
-    files = analyses._context(bind(spark, sf_dir))
+    files = analyses._context(bind_as_sql(spark, sf_dir))
     return relational.strata(files, ["size_band", "star_band", "language", "location"], [F.count("*").alias("files"), F.count_distinct("repo_full_name").alias("repositories"), F.sum("size_bytes").alias("bytes")])
 
 
@@ -359,7 +359,7 @@ def a10_strata(spark, sf_dir):
  SELECT ordinal, label, count(c.n) AS n FROM b LEFT JOIN c ON c.n BETWEEN lo AND hi GROUP BY ALL""",
 )
 def p12_bins(spark, sf_dir):
-    return analyses.placement(bind(spark, sf_dir))["bins"]
+    return analyses.placement(bind_as_sql(spark, sf_dir))["bins"]
 
 
 @query(
@@ -370,7 +370,7 @@ def p12_bins(spark, sf_dir):
  CASE WHEN files = 1 THEN '1' WHEN files = 2 THEN '2' WHEN files = 3 THEN '3' WHEN files <= 5 THEN '4-5' WHEN files <= 10 THEN '6-10' WHEN files <= 20 THEN '11-20' ELSE '>20' END AS band FROM p""",
 )
 def a28_placement(spark, sf_dir):
-    return analyses.placement(bind(spark, sf_dir))["repositories"]
+    return analyses.placement(bind_as_sql(spark, sf_dir))["repositories"]
 
 
 @query(
@@ -380,17 +380,17 @@ def a28_placement(spark, sf_dir):
  SELECT dimension, component, count(*) AS files, count(DISTINCT repo) AS repositories, min(path) AS example, CAST(row_number() OVER (PARTITION BY dimension ORDER BY count(*) DESC, count(DISTINCT repo) DESC, component) AS INT) AS rank FROM c GROUP BY dimension, component""",
 )
 def a15_components(spark, sf_dir):
-    return analyses.placement(bind(spark, sf_dir))["components"]
+    return analyses.placement(bind_as_sql(spark, sf_dir))["components"]
 
 
 @query("p14_anomalies", "SELECT CAST(sum(CAST(starts_with(path, '/') AS INT)) AS BIGINT) AS leading_slash, CAST(sum(CAST(contains(path, '//') AS INT)) AS BIGINT) AS double_slash, CAST(sum(CAST(contains(path, chr(92)) AS INT)) AS BIGINT) AS backslash, CAST(sum(CAST(list_has_any(string_split(path, '/'), ['.', '..']) AS INT)) AS BIGINT) AS dot_component FROM exact")
 def p14_anomalies(spark, sf_dir):
-    return analyses.placement(bind(spark, sf_dir))["anomalies"]
+    return analyses.placement(bind_as_sql(spark, sf_dir))["anomalies"]
 
 
 @query("a22_exact_reuse", "SELECT repo AS repo_full_name, count(*) AS groups, CAST(sum(n) AS BIGINT) AS files, CAST(sum(n - 1) AS BIGINT) AS repeated, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM (SELECT repo, content_hash, count(*) AS n FROM exact GROUP BY ALL HAVING count(*) > 1) GROUP BY repo")
 def a22_exact_reuse(spark, sf_dir):
-    return analyses.exact_reuse(bind(spark, sf_dir))
+    return analyses.exact_reuse(bind_as_sql(spark, sf_dir))
 
 
 @query("m15_hhi", "SELECT o_custkey, round(sum(o_totalprice * o_totalprice) / (sum(o_totalprice) * sum(o_totalprice)), 9) AS hhi, round(max(o_totalprice) / sum(o_totalprice), 9) AS largest_share FROM orders GROUP BY 1", False)
@@ -443,7 +443,7 @@ def o7_round_robin(spark, sf_dir):
 
 @query("a17_cohorts", "SELECT count(*) FILTER (WHERE contains(content, '@docs')) AS files, count(DISTINCT repo) FILTER (WHERE contains(content, '@docs')) AS repositories, count(DISTINCT content_hash) FILTER (WHERE contains(content, '@docs')) AS contents FROM exact")
 def a17_cohorts(spark, sf_dir):
-    return bind(spark, sf_dir).population("exact").agg(*relational.conditional_cohort(F.col("content").contains("@docs"), "id", "repo_full_name", "content_hash"))
+    return bind_as_sql(spark, sf_dir).population("exact").agg(*relational.conditional_cohort(F.col("content").contains("@docs"), "id", "repo_full_name", "content_hash"))
 
 
 @query("u4_top_overlap", "WITH a AS (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100), b AS (SELECT o_custkey AS c_custkey FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100) SELECT c_custkey, CASE WHEN b.c IS NULL THEN 'left' WHEN a.c IS NULL THEN 'entered' ELSE 'stayed' END AS state FROM (SELECT c_custkey, 1 AS c FROM a) a FULL JOIN (SELECT c_custkey, 1 AS c FROM b) b USING (c_custkey)", False)
@@ -488,7 +488,7 @@ def k7_pivot_export(spark, sf_dir):
 )
 def t1_structure(spark, sf_dir):
     own = structure_fields(F.col("content"))
-    return bind(spark, sf_dir).population("exact").select("id", *[v.alias(k) for k, v in own.items() if k != "code_block_tags"])
+    return bind_as_sql(spark, sf_dir).population("exact").select("id", *[v.alias(k) for k, v in own.items() if k != "code_block_tags"])
 
 
 _TAGS = r"unnest(regexp_extract_all(content, '(?ms)^```([^\t-\r ]*)[\t-\r ]*\n(.*?)^```', 1)) AS tag"
@@ -497,17 +497,17 @@ _LABELLED = f", b AS (SELECT id, CASE WHEN tag = '' THEN '(untagged)' ELSE lower
 
 @query("d7_fence_labels", _LABELLED + " SELECT label, count(*) AS blocks, count(DISTINCT id) AS files FROM b GROUP BY label")
 def d7_fence_labels(spark, sf_dir):
-    return analyses.fence_languages(bind(spark, sf_dir))["raw"]
+    return analyses.fence_languages(bind_as_sql(spark, sf_dir))["raw"]
 
 
 @query("d7_fence_families", _LABELLED + " SELECT family, count(*) AS blocks, count(DISTINCT id) AS files FROM (SELECT id, CASE WHEN label = 'bash' THEN 'Shell' WHEN label = 'py' THEN 'Python' WHEN label = 'json' THEN 'JSON' WHEN label = 'ts' THEN 'TypeScript' WHEN label = 'mermaid' THEN 'Mermaid' ELSE label END AS family FROM b) GROUP BY family")
 def d7_fence_families(spark, sf_dir):
-    return analyses.fence_languages(bind(spark, sf_dir))["normalized"]
+    return analyses.fence_languages(bind_as_sql(spark, sf_dir))["normalized"]
 
 
 @query("d7_fence_summary", _LABELLED + " SELECT count(DISTINCT id) AS files_with_code, count(*) AS blocks, count(*) FILTER (WHERE label <> '(untagged)') AS tagged_blocks, count(DISTINCT label) AS labels FROM b")
 def d7_fence_summary(spark, sf_dir):
-    return analyses.fence_languages(bind(spark, sf_dir))["summary"]
+    return analyses.fence_languages(bind_as_sql(spark, sf_dir))["summary"]
 
 
 @query(
@@ -517,7 +517,7 @@ def d7_fence_summary(spark, sf_dir):
 )
 def fp_paths(spark, sf_dir):
     p = F.col("path")
-    return bind(spark, sf_dir).files.select("id", paths.depth(p).alias("depth"), paths.directory(p).alias("directory"), paths.basename(p).alias("basename"), paths.location(p).alias("location"), paths.placement_form(p).alias("form"))
+    return bind_as_sql(spark, sf_dir).files.select("id", paths.depth(p).alias("depth"), paths.directory(p).alias("directory"), paths.basename(p).alias("basename"), paths.location(p).alias("location"), paths.placement_form(p).alias("form"))
 
 
 @query("fp_urls", r"SELECT page_id, regexp_extract(url, '^([A-Za-z]+)://', 1) AS scheme, len(string_split(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/')) - 1 AS depth, CASE WHEN regexp_matches(url, '^[A-Za-z]+://[^?#]*[.]html?([?#]|$)') THEN 1 ELSE 0 END AS html FROM pages", False)
@@ -544,7 +544,7 @@ _FOLD = """, f AS (SELECT id, content, list_reduce(string_split(content, chr(10)
 
 @query("t3_fence_fold", _FOLD + " SELECT id, s.o AS open, CAST(s.b AS INT) AS blocks, CAST(s.u AS INT) - CAST(ends_with(content, chr(10)) AND NOT s.o OR content = '' AS INT) AS outside, CAST(s.h AS INT) AS headings FROM f")
 def t3_fence_fold(spark, sf_dir):
-    return bind(spark, sf_dir).population("exact").select("id", text.fence_fold(F.col("content")).alias("s")).select("id", "s.*")
+    return bind_as_sql(spark, sf_dir).population("exact").select("id", text.fence_fold(F.col("content")).alias("s")).select("id", "s.*")
 
 
 @query("t5_heading_counts", _FOLD + " SELECT id, CAST(s.h AS INT) AS headings, CAST(s.b AS INT) AS fenced_blocks FROM f")
@@ -553,7 +553,7 @@ def t5_heading_counts(spark, sf_dir):
     from ..operators import markdown
     from .corpus import parsed
 
-    files = bind(spark, sf_dir).population("exact")
+    files = bind_as_sql(spark, sf_dir).population("exact")
     count = lambda c: {"headings": len(markdown.headings(c)), "fenced_blocks": markdown.fenced_blocks(c)}
     return parsed(files, count, "struct<headings:int,fenced_blocks:int>", "p", ["id", "content"]).select("id", "p.*")
 
@@ -563,7 +563,7 @@ _MINUTES = f"(SELECT id, {_WORDS} / 238.0::DOUBLE AS m FROM exact)"
 
 @query("f16_durations", f"SELECT id, CASE WHEN m < 1 THEN printf('%.0f s', round_even(m * 60, 0)) WHEN m >= 60 THEN printf('%.1f h', m / 60) ELSE printf('%.1f min', m) END AS duration FROM {_MINUTES}")
 def f16_durations(spark, sf_dir):
-    return bind(spark, sf_dir).population("exact").select("id", text.duration(text.word_count(F.col("content")), 238).alias("duration"))
+    return bind_as_sql(spark, sf_dir).population("exact").select("id", text.duration(text.word_count(F.col("content")), 238).alias("duration"))
 
 
 @query(
@@ -574,7 +574,7 @@ def f16_durations(spark, sf_dir):
  FROM n WHERE full_name IN (SELECT * FROM o) OR full_name IN (SELECT * FROM c)""",
 )
 def d2_star_comparison(spark, sf_dir):
-    corpus = bind(spark, sf_dir)
+    corpus = bind_as_sql(spark, sf_dir)
     current = corpus.repos.select("full_name", F.lit(None).cast("string").alias("stored_name"), ((F.coalesce("stars", F.lit(0)) * 7 + F.length("full_name") * 13) % 4000).cast("long").alias("stars"))
     got = analyses.star_comparison(corpus.repos, corpus.files, current)
     states = [got[s].withColumn("state", F.lit(s)) for s in ("stayed", "entered", "left")]

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from quillspark.plans import catalogue
+from quillspark.plans.corpus import bind
 
 
 def plain(v):
@@ -35,6 +36,15 @@ def test_query_runs(spark, sf_dir, name):
     assert df.columns and df.count() >= 0
 
 
+def test_binding_keeps_every_document(spark, sf_dir):
+    corpus = bind(spark, sf_dir)
+    want = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    rows = {r.id: r.path for r in corpus.files.select("id", "path").collect()}
+    assert set(rows) == want
+    aside = [i for i in want if (i // 20) % 40 % 7 == 5]
+    assert aside and all("aside/" in rows[i] for i in aside)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalogue.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
