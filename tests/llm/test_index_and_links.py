@@ -13,6 +13,7 @@ from quillspark.llm import op01_decontamination as decon
 from quillspark.llm import op05_sharding as sharding
 from quillspark.llm import op08_simhash as simhash
 from quillspark.llm import op09_packing as packing
+from quillspark.llm import similar
 from quillspark.llm.common import table
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -150,6 +151,31 @@ def test_near_duplicates_on_documents(spark, sf_dir):
     assert [got[i][1] for i, _ in rows] == [rows[k][0] for k in brute_components(marks)]
 
 
+def test_pipeline_drops_similar_texts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    near, far = [f"w{rng.randrange(9999)}" for _ in range(200)], [f"v{rng.randrange(9999)}" for _ in range(200)]
+    swapped = [*near[:60], "x", *near[61:140], "y", *near[141:]]  # 10 of 196 shingles differ: 0.9
+    half = [*near[:120], *far[:80]]
+    rows = [(1, near), (2, swapped), (3, half), (4, far), (5, near), (6, []), (7, [])]
+    df = spark.createDataFrame([(a, " ".join(b), "s", 1, 2, 3, "en") for a, b in rows], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 3, 4, 6]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df.filter("doc_id < 3")).collect()) == [1, 2]
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def test_similar_components_are_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, similar.shingles(r.text)) for r in table(spark, sf_dir, "documents").orderBy("doc_id").collect()]
+    root = {i: i for i, _ in rows}
+    for k, (i, a) in enumerate(rows):
+        for j, b in rows[:k]:
+            if root[i] != root[j] and similar.jaccard(a, b) >= 0.8:
+                x, y = sorted((root[i], root[j]))
+                root = {m: x if r == y else r for m, r in root.items()}
+    assert {r.id: r.component for r in similar.similar(table(spark, sf_dir, "documents")).collect()} == root
+
+
 def test_dropping_keeps_one_of_each(spark):
     text = "a b c d e f"
     rows = [(5, text), (3, text), (None, text), (9, "other words here now"), (9, "other words here now"), (7, None), (8, "")]
