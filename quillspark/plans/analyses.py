@@ -189,7 +189,7 @@ def replayed_notations(corpus: Corpus, without: tuple[str, ...] = ("plantuml",))
 
 def paragraph_languages(corpus: Corpus, scope: str = "exact", first: prose.LanguageDetector | None = None, second: prose.LanguageDetector | None = None, config: prose.Config = prose.Config(), audit: int = 20) -> dict[str, DataFrame]:
     """Languages of prose paragraphs by two agreeing detectors, and of documents by their paragraphs; weighted by copies."""
-    one, two = first or prose.StopWordDetector("stop words"), second or prose.StopWordDetector("stop words, doubled", 2.0)
+    one, two = first or prose.StopWordDetector("stop words"), second or prose.TrigramDetector()
 
     def judged(content: str) -> list[dict]:
         rows = []

@@ -270,6 +270,17 @@ def test_unsure_or_unstable_paragraphs_are_not_accepted():
     assert prose.StopWordDetector().predict("the cat and the dog of that").language == "en"
 
 
+def test_default_detectors_are_independent():
+    one, two = prose.StopWordDetector(), prose.TrigramDetector()
+    for language, text in [("en", "We should write the notes before the meeting starts, and they will be read."), ("fr", "Les enfants apprennent à lire dans la maison et ils sont contents."), ("de", "Die Kinder lernen lesen und sie haben das Haus nicht gesehen."), ("es", "Los niños aprenden a leer en la casa y están contentos.")]:
+        assert one.predict(text).language == two.predict(text).language == language
+    # German words between English function words: the word list alone is sure.
+    mixed = "Aufgeschriebene Prüfungen the Einstellungen of Straßenarbeiten and Sitzungsbeginn to Tausende Wände gesagt worden Möglichkeiten Geschwindigkeit"
+    assert one.predict(mixed).language == "en" and two.predict(mixed).language == "de"
+    assert prose.decide(mixed, one, two)["decision"] == "detector_disagreement"
+    assert two.predict("12 34").language == "und"
+
+
 # -- notations
 
 
