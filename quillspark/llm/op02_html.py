@@ -5,8 +5,10 @@ itself from its length, the share of its characters in links and the share of
 stop words among its words; blocks in menus, headers, footers, sidebars, notices,
 adverts, forms and comments are out by their markup. Short blocks stay open.
 Pass two gives an open block the label of its nearest decided neighbours.
-A page that marks its article keeps to it: inside, a block is out only for its
-markup or links.
+All blocks go through both passes. An article or main element is evidence only, and
+only if it holds at least half of the text that passes by itself: inside, more links are
+allowed and a long block of an article with few stop words stays open; outside,
+short blocks are out.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import table
 SHORT, LONG = 70, 200
 LINKS, ARTICLE_LINKS = 0.2, 0.7
 STOP_LOW, STOP_HIGH = 0.2, 0.3
+#: Which marked region a block is in; 0 is none.
+MAIN, ARTICLE = 1, 2
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -51,7 +55,7 @@ _CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW_TAGS}
 class Block:
     __slots__ = ("text", "links", "out", "article", "heading", "label")
 
-    def __init__(self, text: str, links: int, out: bool, article: bool, heading: bool):
+    def __init__(self, text: str, links: int, out: bool, article: int, heading: bool):
         self.text, self.links, self.out, self.article, self.heading, self.label = text, links, out, article, heading, ""
 
 
@@ -87,7 +91,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool]] = []  # tag, out, in an article
     runs: list[str] = []
     links, link_depth, heading = 0, 0, False
-    out = article = False
+    out, article = False, 0
 
     def close_block() -> None:
         nonlocal runs, links
@@ -101,7 +105,7 @@ def blocks_of(page: str) -> list[Block]:
         for tag, _, _ in stack[k:]:
             link_depth -= tag == "a"
         del stack[k:]
-        out, article = stack[-1][1:] if stack else (False, False)
+        out, article = stack[-1][1:] if stack else (False, 0)
         heading = any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in stack)
 
     def put(text: str) -> None:
@@ -156,7 +160,7 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if tag in VOID_TAGS or (m[3] or m[6] or "").endswith("/") and tag not in BLOCK_TAGS:
             continue
-        inside = article or tag in ("article", "main")
+        inside = ARTICLE if tag == "article" else article or MAIN * (tag == "main")
         now = out or _out_by_markup(tag, m[3] or m[6] or "", inside)
         if now and not out:
             close_block()
@@ -175,33 +179,42 @@ def blocks_of(page: str) -> list[Block]:
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def first_pass(block: Block) -> str:
-    """good, bad, near (probably good) or short (open)."""
+def first_pass(block: Block, prior: bool = False) -> str:
+    """good, bad, near (probably good) or short (open); prior: the block lies in a region that speaks for it."""
     n = len(block.text)
     if block.out:
         return "bad"
     share = block.links / max(1, n)
-    if share > (ARTICLE_LINKS if block.article else LINKS):
+    if share > (ARTICLE_LINKS if prior else LINKS):
         return "bad"
-    if not block.article and ("\xa9" in block.text or block.links and n < SHORT):
+    if not prior and ("\xa9" in block.text or block.links and n < SHORT):
         return "bad"
     if n < SHORT:
         return "short"
-    if block.article:
-        return "good"
     words = _WORDS.findall(block.text.lower())
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if density >= STOP_HIGH:
         return "good" if n > LONG else "near"
-    return "near" if density >= STOP_LOW else "bad"
+    return "near" if density >= STOP_LOW or prior and block.article == ARTICLE else "bad"
+
+
+def _trusted(blocks: list[Block]) -> bool:
+    """Whether the marked regions speak for their blocks: they hold at least half of the text that passes by itself."""
+    inside = outside = 0
+    for b in blocks:
+        if not b.out and first_pass(b) in ("good", "near"):
+            inside, outside = inside + len(b.text) * bool(b.article), outside + len(b.text) * (not b.article)
+    return inside >= outside
 
 
 def classify(blocks: list[Block]) -> list[Block]:
     """Both passes; returns the good blocks."""
-    marked = any(b.article and not b.out for b in blocks)
+    marked = any(b.article and not b.out for b in blocks) and _trusted(blocks)
     for b in blocks:
-        b.label = "bad" if marked and not b.article else first_pass(b)
-    shown = [b for b in blocks if not b.out and (b.article or not marked)]  # neighbours are sought in the same region
+        b.label = first_pass(b, marked and bool(b.article))
+        if marked and not b.article and b.label == "short":
+            b.label = "bad"  # beside a trusted region a block must pass by its own text
+    shown = [b for b in blocks if not b.out]
     decided: list[str] = [b.label for b in shown]
     before, last = [], ""
     for x in decided:
@@ -212,13 +225,13 @@ def classify(blocks: list[Block]) -> list[Block]:
         after[k] = last
         last = decided[k] if decided[k] in ("good", "bad", "near") else last
     for b, x, y in zip(shown, before, after, strict=True):
-        sides = [s for s in (x, y) if s]
+        sides, prior = [s for s in (x, y) if s], marked and bool(b.article)
         if b.label == "short":
             if not sides:
-                b.label = "good" if b.article else "bad"
+                b.label = "good" if prior else "bad"
             elif all(s == "bad" for s in sides):
-                b.label = "good" if b.article and b.links == 0 else "bad"
-            elif "bad" not in sides or b.article or b.heading and y != "bad":
+                b.label = "good" if prior and b.links == 0 else "bad"
+            elif "bad" not in sides or prior or b.heading and y != "bad":
                 b.label = "good"
             else:
                 b.label = "bad"

@@ -66,6 +66,17 @@ def test_pages(page, text):
     assert pages.main_text(page) == text
 
 
+def test_marked_regions_are_evidence_only():
+    bad = "Zzz qqq xxx vvv kkk jjj zzz qqq xxx vvv kkk jjj zzz qqq xxx vvv kkk jjj zzz qqq."
+    body = LONG.strip()
+    assert pages.main_text(f"<div>{LONG}</div><div>{LONG}</div><div class=teasers><article><p>short</p></article></div>").startswith(f"{body}\n{body}")
+    assert pages.main_text(f"<div>{LONG}</div><div><article><a href=x>all of it is a link</a></article></div>") == body
+    assert pages.main_text(f"<main><p>{bad}</p><p>{LONG}</p><p>{bad}</p></main>") == body
+    assert pages.main_text(f"<article><p>{LONG}</p><p>{bad}</p></article>") == f"{body}\n{bad}"
+    assert pages.main_text(f"<p>{LONG}</p><article><p>{LONG}</p></article>") == f"{body}\n{body}"
+    assert pages.main_text(f"<p>Short words.</p><article><p>{LONG}</p></article><p>{bad}</p>") == body
+
+
 def test_ambiguous_blocks_follow_their_neighbours():
     bad = "Zzz qqq xxx vvv kkk jjj zzz qqq xxx vvv kkk jjj zzz qqq xxx vvv kkk jjj zzz qqq."
     assert pages.main_text(f"<p>{bad}</p><p>Hm.</p><p>{bad}</p><p>{LONG}</p><p>Yes.</p><p>{LONG}</p>") == f"{LONG.strip()}\nYes.\n{LONG.strip()}"
