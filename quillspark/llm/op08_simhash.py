@@ -44,8 +44,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     else:
         parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
         n = len(words) - shingle + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), "<u8", n)
-    ones = np.zeros(64, np.int64)
+    return simhash(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), "<u8", n))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes, as a signed number; 0 for none."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):
         bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.uint32)
@@ -75,15 +79,10 @@ class BkTree:
     def __init__(self, radius: int):
         self.radius, self.codes, self.children = radius, [], []
 
-    def add(self, code: int) -> list[int]:
-        """Insert a code; return the nodes within the radius that were there before."""
-        codes, children, r = self.codes, self.children, self.radius
-        new, found = len(codes), []
-        codes.append(code)
-        children.append({})
-        if not new:
-            return found
-        todo, place = [0], 0
+    def find(self, code: int) -> list[int]:
+        """The nodes within the radius."""
+        codes, children, r, found = self.codes, self.children, self.radius, []
+        todo = [0] if codes else []
         while todo:
             k = todo.pop()
             d = ((codes[k] ^ code) & _ALL).bit_count()
@@ -92,13 +91,26 @@ class BkTree:
             for edge, child in children[k].items():
                 if d - r <= edge <= d + r:
                     todo.append(child)
-        while True:
+        return found
+
+    def insert(self, code: int) -> None:
+        codes, children = self.codes, self.children
+        new, place = len(codes), 0
+        codes.append(code)
+        children.append({})
+        while new:
             d = ((codes[place] ^ code) & _ALL).bit_count()
             if d not in children[place]:
                 children[place][d] = new
-                return found
+                return
             place = children[place][d]
 
+    def add(self, code: int) -> list[int]:
+        """Insert a code; return the nodes within the radius that were there before."""
+        found = self.find(code)
+        self.insert(code)
+        return found
+
 
 def shard_links(codes: list[int], radius: int) -> list[tuple[int, int]]:
     """(code, smallest code of its connected part in this shard) for codes that aren't their part's smallest."""

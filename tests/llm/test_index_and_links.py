@@ -176,6 +176,38 @@ def test_similar_components_are_brute_force(spark, sf_dir):
     assert {r.id: r.component for r in similar.similar(table(spark, sf_dir, "documents")).collect()} == root
 
 
+@pytest.mark.parametrize("shard_rows", [8, 256])
+def test_a_large_group_of_near_copies_is_one_component(spark, shard_rows):
+    """Copies of one text with some words replaced, and of a related one, in shards that must be cut and crossed."""
+    rng, base = random.Random(4), [f"w{k}" for k in range(120)]
+    texts = []
+    for i in range(90):
+        own = list(base) if i % 3 else base[:70] + [f"v{k}" for k in range(50)]
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            own[rng.randrange(len(own))] = f"x{i}"
+        texts.append(" ".join(own))
+    sets = [similar.shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and similar.jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.id: r.component for r in similar.similar(df, shard_rows=shard_rows).collect()} == dict(enumerate(root))
+    assert sorted(r.doc_id for r in similar.drop_similar(df, shard_rows=shard_rows).collect()) == sorted(set(root))
+
+
+def test_dropping_similar_texts_of_odd_tables(spark):
+    """Null and empty texts, repeated and null ids, clashing names, no rows."""
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, long, 0), (1, long, 1), (None, None, 2), (None, "", 3), (4, "a b", 4), (5, "a b", 5), (6, "A  b", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node int").withColumnRenamed("node", "rid")
+    kept = similar.drop_similar(df)
+    assert kept.columns == df.columns and len(kept.collect()) == 3
+    assert similar.drop_similar(df.limit(0)).count() == 0
+
+
 def test_dropping_keeps_one_of_each(spark):
     text = "a b c d e f"
     rows = [(5, text), (3, text), (None, text), (9, "other words here now"), (9, "other words here now"), (7, None), (8, "")]
