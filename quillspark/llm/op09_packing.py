@@ -1,15 +1,18 @@
 """Sum-of-squares online packing of tokenised documents into fixed windows.
 
-Each input partition is packed on its own by the online sum-of-squares rule: a
-level array counts, for every fill level h, the open windows that hold h ids,
-and an item of length a goes to the level (or to a new window) that makes the
-sum of the squared counts smallest. Documents longer than a window first fill
-whole windows; only their rest is an item. What is still open at the end of a
-partition is emptied, fullest first, and cut freely into whole windows; the last
-rest is cut at powers of two, which need no padding.
-
-Memory of a task: the open windows (at most ``max_open``, beyond which half of
-them are emptied early in the same way), one Arrow batch, and a word cache of
+Each input partition is packed by the online sum-of-squares rule: a level array
+counts, for every fill level h, the open windows that hold h ids, and an item of
+length a goes to the level (or to a new window) that makes the sum of the squared
+counts smallest. Documents longer than a window first fill whole windows; only
+their rest is an item.
+
+The items in windows that are still open at the end of a partition are written to the
+shared folder and dealt to few tasks, of ``left_ids`` ids each, which pack them once more by the
+same rule. Only what is open there at the end is emptied, fullest first, and cut
+freely into whole windows; the last rest is cut at powers of two, which need no padding.
+
+Memory of a task: the open windows (at most ``max_open``; beyond, the fullest half goes on
+to the second pass, or is emptied there), one Arrow batch, and a word cache of
 bounded size.
 """
 
@@ -26,9 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.storage import spread
-from .common import table
+from .common import stored, table
 
 WINDOW = 2048
+#: Open windows of a task at most (64 MB of ids); ids of a task of the second pass.
+MAX_OPEN, LEFT_IDS = 8192, 8 << 20
+#: The first window of the second pass: beyond the numbers of any partition of the first.
+SECOND = 1 << 55
+#: Longer words go to the tokenizer itself, whose merges take less than quadratic time.
+LONG_WORD = 64
+#: Bytes of text that are cut into words at a time, and of words that the tokenizer gets at a time.
+TEXT_BYTES, CALL_BYTES, CACHE_BYTES = 8 << 20, 1 << 20, 96 << 20
 END_ID = 1
 #: A letter before a run of ASCII marks without an apostrophe: always a border between two pieces of the tokenizer.
 _TAIL = re.compile(rb"(.*(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.S)
@@ -38,6 +49,8 @@ _WORD = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _SPAN = 1 << 20
 _NEVER = np.iinfo(np.int32).max
 
+_SPACE = re.compile(rb"[ \t-\r]")
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -135,7 +148,7 @@ class CachedEncoder:
     lower-cased first (the tokenizer does so itself) unless combining marks,
     which compose with some letters of one case only, occur in the text. Words
     of Latin letters are one piece, which WordBpe encodes; anything else goes to
-    the tokenizer itself. The cache is emptied beyond ``limit`` chunks.
+    the tokenizer itself. The cache is emptied beyond ``limit`` chunks or CACHE_BYTES of them.
     """
 
     def __init__(self, path: str, limit: int = 700_000):
@@ -144,18 +157,22 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.bpe = WordBpe(path)
-        self.limit = limit
+        self.limit, self.held = limit, 0
         self.cache = _Cache()
 
     def _learn(self) -> None:
         """Put the missing chunks into the cache."""
         cache, chunks = self.cache, self.cache.missing
         cache.missing = set()
-        if len(cache) + len(chunks) > self.limit:
+        self.held += sum(map(len, chunks))
+        if len(cache) + len(chunks) > self.limit or self.held > CACHE_BYTES:
             cache.clear()
+            self.held = sum(map(len, chunks))
         split, words, other = [], {}, set()
         for c in chunks:
-            if c.isalpha():  # a-z and A-Z only
+            if len(c) > LONG_WORD:
+                other.add(c)
+            elif c.isalpha():  # a-z and A-Z only
                 words[c] = c.lower()
             elif m := _TAIL.fullmatch(c):
                 a, b = m.groups()
@@ -174,9 +191,14 @@ class CachedEncoder:
             else:
                 other.add(c)
         cache.update(zip(words, self.bpe.encode(list(words.values())), strict=True))
-        rest = list(other)
-        for e, x in zip(self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False), rest, strict=True):
-            cache[x] = np.array(e.ids, "<u4").tobytes()
+        rest = sorted(other, key=len)
+        while rest:
+            some, size = [], 0
+            while rest and (not some or size + len(rest[-1]) <= CALL_BYTES):
+                size += len(rest[-1])
+                some.append(rest.pop())
+            for e, x in zip(self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), some, strict=True):
+                cache[x] = np.array(e.ids, "<u4").tobytes()
         for c, a, b in split:
             cache[c] = cache[a] + cache[b]
 
@@ -193,30 +215,54 @@ class CachedEncoder:
             parts.append(ids)
         return b"".join(parts)
 
+    def _long(self, raw: bytes) -> bytes:
+        """A text beyond TEXT_BYTES, cut at white space."""
+        parts, at = [], 0
+        while at < len(raw):
+            border = _SPACE.search(raw, at + TEXT_BYTES)
+            end = border.start() if border else len(raw)
+            parts.append(self._joined(raw[at:end].split()))
+            at = end
+        return b"".join(parts)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids and the closing id as little-endian unsigned 32-bit numbers."""
         end, get, missing = np.array([END_ID], "<u4").tobytes(), self.cache.__getitem__, self.cache.missing
         done: dict[str | None, bytes] = {}
         wait: dict[str | None, list[bytes]] = {}
+        waiting = 0
+
+        def finish() -> None:
+            nonlocal missing, waiting
+            self._learn()
+            missing, waiting = self.cache.missing, 0
+            for text, chunks in wait.items():
+                done[text] = self._joined(chunks)
+            missing = self.cache.missing
+            wait.clear()
+
         for text in texts:
             if text in done or text in wait:
                 continue
             raw = (text or "").encode()
             if b"\xcc" not in raw and b"\xcd" not in raw:
                 raw = raw.lower()
+            if len(raw) > TEXT_BYTES:
+                finish()
+                done[text] = self._long(raw)
+                missing = self.cache.missing
+                continue
             chunks, before = raw.split(), len(missing)
             ids = b"".join(map(get, chunks))
             if len(missing) > before or before and not missing.isdisjoint(chunks):
                 wait[text] = chunks
-                if len(missing) > self.limit // 4:
-                    self._learn()
-                    missing = self.cache.missing
+                waiting += len(raw)
+                if len(missing) > self.limit // 4 or waiting > TEXT_BYTES:
+                    finish()
             else:
                 done[text] = ids
-        if missing:
-            self._learn()
-        for text, chunks in wait.items():
-            done[text] = self._joined(chunks)
+        if missing or wait:
+            finish()
         return [done[text] + end for text in texts]
 
 
@@ -233,12 +279,15 @@ def encoder(path: str) -> CachedEncoder:
 class Packer:
     """The sum-of-squares packer of one partition.
 
-    add() takes one document; emitted pieces gather in .out as tuples in the
-    order of PIECES, with sequence ids counted from ``first``.
+    add() takes one document, place() one piece below a window's length; emitted pieces gather in
+    .out as tuples in the order of PIECES, with sequence ids counted from
+    ``first``. hand_over: windows beyond max_open go to .left, as leave() puts
+    them there, instead of being emptied.
     """
 
-    def __init__(self, window: int = WINDOW, first: int = 0, max_open: int = 4096):
-        self.window, self.next, self.max_open = window, first, max_open
+    def __init__(self, window: int = WINDOW, first: int = 0, max_open: int = MAX_OPEN, hand_over: bool = False):
+        self.window, self.next, self.max_open, self.hand_over = window, first, max_open, hand_over
+        self.left: list[tuple] = []
         self.levels = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
         self.n_open = 0
@@ -258,9 +307,9 @@ class Packer:
             self._emit([(doc, start, total, ids[4 * start : 4 * (start + w)])])
             start += w
         if a := total - start:
-            self._place((doc, start, total, ids[4 * start :]), a)
+            self.place((doc, start, total, ids[4 * start :]), a)
 
-    def _place(self, piece: tuple, a: int) -> None:
+    def place(self, piece: tuple, a: int) -> None:
         """Moving a window from level h to h + a changes the sum of squares by 2 (N(h+a) - N(h) + 1); a full one leaves no level."""
         w, n = self.window, self.levels
         cost = 2 * n[a:w] - 2 * n[: w - a] + 2  # to h + a < w, from h = 0, 1, ...
@@ -283,7 +332,15 @@ class Packer:
             n[best + a] += 1
             self.n_open += 1
             if self.n_open > self.max_open:
-                self.drain(self.max_open // 2)
+                (self.leave if self.hand_over else self.drain)(self.max_open // 2)
+
+    def leave(self, leave: int = 0) -> None:
+        """Move the pieces of open windows to .left, fullest first, until ``leave`` remain."""
+        for h in range(self.window - 1, 0, -1):
+            while self.open[h] and self.n_open > leave:
+                self.levels[h] -= 1
+                self.n_open -= 1
+                self.left += self.open[h].pop()
 
     def drain(self, leave: int = 0) -> None:
         """Empty open windows, fullest first, until ``leave`` remain; cut their pieces freely into whole windows."""
@@ -314,16 +371,26 @@ class Packer:
             row, filled = rest, filled - size
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+_NAMES = [x.split()[0] for x in PIECES.split(", ")]
+
+
+def _batch(rows: list[tuple], left: list[tuple] | None) -> pa.RecordBatch:
+    """Pieces as a batch; with a column of ids if left is given, null but for the pieces without a window."""
+    rows = rows if left is None else [r + (None,) for r in rows] + [(doc, start, len(ids) // 4, None, total, None, None, ids) for doc, start, total, ids in left]
+    columns = list(zip(*rows, strict=True)) or [()] * (7 + (left is not None))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 7 else pa.int64()) for k, c in enumerate(columns)], names=[*_NAMES, "ids"][: len(columns)])
+
+
+def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_open: int = MAX_OPEN, left_ids: int = LEFT_IDS) -> DataFrame:
     """Tokenise and pack whole texts; one row per piece (see PIECES).
 
     A null text is an empty one and has the closing id alone. Repeated rows are
     packed as often as they occur; a null id stays null. An empty table gives no
-    pieces. Other columns are ignored. sequence_id is the partition number times
-    2^33 plus the window's number in it.
+    pieces. Other columns are ignored, whatever their names. sequence_id is the partition number times
+    2^33 plus the window's number in it, in the second pass beyond SECOND.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         from pyspark import TaskContext
@@ -334,13 +401,11 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        codes, packer = encoder(path), Packer(window, TaskContext.get().partitionId() << 33)
+        codes, packer = encoder(path), Packer(window, TaskContext.get().partitionId() << 33, max_open, True)
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*packer.out, strict=True)) or [()] * 7
-            packer.out = []
-            names = [x.split()[0] for x in PIECES.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            rows, left, packer.out, packer.left = packer.out, packer.left, [], []
+            return _batch(rows, left)
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -348,13 +413,31 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
                 part = texts.slice(i, 256).to_pylist()
                 for doc, code in zip(ids.slice(i, 256).to_pylist(), codes.encode(part), strict=True):
                     packer.add(doc, code)
-            if packer.out:
+            if packer.out or packer.left:
                 yield flush()
-        packer.drain()
+        packer.leave()
         yield flush()
 
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        packer = Packer(window, SECOND + (TaskContext.get().partitionId() << 33), max_open)
+        for batch in batches:
+            for i in range(0, len(batch), 1024):
+                for doc, start, total, ids in zip(*(c.to_pylist() for c in batch.slice(i, 1024).columns), strict=True):
+                    packer.place((doc, start, total, ids), len(ids) // 4)
+                if packer.out:
+                    yield _batch(packer.out, None)
+                    packer.out = []
+        packer.drain()
+        yield _batch(packer.out, None)
+
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return spread(slim).mapInArrow(run, PIECES)
+    pieces = stored(spread(slim).mapInArrow(first, PIECES + ", ids binary"), "pieces")
+    left = pieces.filter("sequence_id IS NULL")
+    tasks = -(-(left.agg(F.sum("length")).first()[0] or 0) // left_ids) or 1
+    dealt = left.select("doc_id", "start", "doc_tokens", "ids").repartition(tasks, F.xxhash64("doc_id", "start", "ids")).sortWithinPartitions(F.xxhash64("ids", "doc_id"), "doc_id", "start")
+    return pieces.filter("sequence_id IS NOT NULL").select(*_NAMES).unionByName(dealt.mapInArrow(second, PIECES))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

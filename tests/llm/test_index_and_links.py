@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -308,6 +310,52 @@ def test_packing_documents(spark, sf_dir, tokenizer):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_long_words_and_texts_cost_little(tokenizer, monkeypatch):
+    """Words of a megabyte beside short ones, and texts that are cut at white space."""
+    path, t = tokenizer
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcdefghij", k=1 << 20))
+    texts = [long, *(f"word{k} other" for k in range(9000)), long[:70], "e\u0301" * 500]
+    code = f"""
+import resource, sys
+sys.path[:0] = {sys.path!r}
+from quillspark.llm import op09_packing as packing
+own = packing.CachedEncoder({path!r})
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+own.encode([{long!r}, *(f"word{{k}} other" for k in range(9000))])
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+"""
+    subprocess.run([sys.executable, "-c", "exec(__import__('sys').stdin.read())"], input=code, text=True, check=True, timeout=60)
+    monkeypatch.setattr(packing, "TEXT_BYTES", 5000)
+    texts.append(" ".join(f"Word{k}," for k in range(5000)))
+    got = [np.frombuffer(c, "<u4").tolist() for c in packing.CachedEncoder(path).encode(texts)]
+    assert got == [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]
+
+
+def test_few_windows_are_cut_freely(spark, sf_dir, tokenizer):
+    """What is open at the end of a partition is packed by the same rule once more."""
+    path, t = tokenizer
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.unionAll(docs).unionAll(docs).unionAll(docs)
+    ids = [(r.doc_id, np.array(t.encode(r.text, add_special_tokens=False).ids + [1], "<u4").tobytes()) for r in docs.collect()]
+    for max_open, left_ids in ((packing.MAX_OPEN, packing.LEFT_IDS), (20, 50_000)):
+        pieces = [tuple(r) for r in packing.pack(docs.repartition(16), max_open=max_open, left_ids=left_ids).collect()]
+        sizes = {}
+        for _, _, n, _, _, window, offset in pieces:
+            sizes.setdefault(window, []).append((offset, n))
+        for own in sizes.values():
+            total = 0
+            for offset, n in sorted(own):
+                assert offset == total
+                total += n
+            assert total & (total - 1) == 0
+        assert sum(n for own in sizes.values() for _, n in own) == sum(len(c) // 4 for _, c in ids)
+        starts = {}
+        for doc, start, n, *_ in pieces:
+            starts.setdefault(doc, []).append((start, n))
+        assert all(sum(n for _, n in v) % 4 == 0 for v in starts.values())
+
+
 # -- sharding
 
 
