@@ -28,11 +28,12 @@ from .common import table
 from .labelled import held_out, sample
 from .op01_decontamination import words
 
-#: Training documents of label 0 and 1 at most; features kept at most; words of a training stretch; stretches at most.
+#: Training documents of label 0 and 1 at most; words of a training stretch.
 PER_CLASS = (3000, 1000)
-MAX_FEATURES, STRETCH, MAX_STRETCHES = 4000, 24, 8000
+STRETCH = 24
 THRESHOLD, SPAN_PROBABILITY = 0.3, 0.5
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+#: Powers of the transfer matrix that are kept; of higher ones only those of two.
 _POWERS = 256
 
 
@@ -72,7 +73,7 @@ def informative(docs: list[tuple[list[bytes], int]]) -> list[bytes]:
         gain = n * (share * math.log(share / q) + ((1 - share) * math.log((1 - share) / (1 - q)) if share < 1 else 0))
         if gain > bar:
             scored.append((-gain, f))
-    return [f for _, f in sorted(scored)[:MAX_FEATURES]]
+    return [f for _, f in sorted(scored)]
 
 
 class Crf:
@@ -90,12 +91,29 @@ class Crf:
             p = powers[-1] @ step
             powers.append(p / p.sum())
         self.powers = [p.tolist() for p in powers]
+        p = powers[-1]
+        self.doubled = [p.tolist()]  # the 256th power, the 512th, ...
+        for _ in range(54):
+            p = p @ p
+            p /= p.sum()
+            self.doubled.append(p.tolist())
         self.seen: dict[bytes, float] = {}
         self.heads = {f[:4] for f in self.weights}  # every feature of a word begins as the word does
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"seen": {}}
 
+    def over(self, gap: int) -> list[list[float]]:
+        """The transfer matrix over so many ordinary words, up to a factor."""
+        if gap <= _POWERS:
+            return self.powers[gap]
+        out, rest = np.array(self.powers[gap % _POWERS]), gap // _POWERS
+        for k in range(rest.bit_length()):
+            if rest >> k & 1:
+                out = out @ np.array(self.doubled[k])
+                out /= out.sum()
+        return out.tolist()
+
     def evidence(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words with weighted features, and the sums of their weights."""
         seen = self.seen
@@ -116,7 +134,7 @@ class Crf:
         m00, m01, m10, m11 = np.exp(self.move).ravel().tolist()
         s0, s1 = np.exp(self.start).tolist()
         e = np.exp(np.clip(values + self.bias, -30, 30)).tolist()
-        at, powers = places.tolist(), self.powers
+        at, over = places.tolist(), self.over
         base = math.exp(self.bias)
         forward, f0, f1, last = [], 0.0, 0.0, -1
         for k, p in enumerate(at):
@@ -125,12 +143,12 @@ class Crf:
                 f0, f1 = s0, s1
                 if gap:  # the first word is an ordinary one
                     f1 *= base
-                    (a, b), (c, d) = powers[min(gap - 1, _POWERS)]
+                    (a, b), (c, d) = over(gap - 1)
                     f0, f1 = f0 * a + f1 * c, f0 * b + f1 * d
                     f0, f1 = f0 * m00 + f1 * m10, f0 * m01 + f1 * m11
             else:
                 if gap:
-                    (a, b), (c, d) = powers[min(gap, _POWERS)]
+                    (a, b), (c, d) = over(gap)
                     f0, f1 = f0 * a + f1 * c, f0 * b + f1 * d
                 f0, f1 = f0 * m00 + f1 * m10, f0 * m01 + f1 * m11
             f1 *= e[k]
@@ -144,7 +162,7 @@ class Crf:
                 c0, c1 = b0, b1 * e[k + 1]
                 b0, b1 = m00 * c0 + m01 * c1, m10 * c0 + m11 * c1
             if gap:
-                (a, b), (c, d) = powers[min(gap, _POWERS)]
+                (a, b), (c, d) = over(gap)
                 b0, b1 = a * b0 + b * b1, c * b0 + d * b1
             total = b0 + b1
             b0, b1, following = b0 / total, b1 / total, at[k]
@@ -187,10 +205,8 @@ def fit(texts: list[tuple[str, int]], share: float, steps: int = 60) -> Crf:
             part = marks[s * STRETCH : (s + 1) * STRETCH]
             rows.append(part)
             targets.append([int(bool(m) and label == 1) for m in part])
-    if len(rows) > MAX_STRETCHES:
-        keep = np.sort(rng.choice(len(rows), MAX_STRETCHES, replace=False)).tolist()
-        rows, targets = [rows[k] for k in keep], [targets[k] for k in keep]
-    for marks, s in pool[: max(200, len(rows))]:
+    for k in rng.permutation(len(pool)).tolist():  # a stretch at a random place of each document
+        marks, s = pool[k]
         part = marks[s * STRETCH : (s + 1) * STRETCH]
         if not any(part):
             rows.append(part)

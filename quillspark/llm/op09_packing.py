@@ -8,7 +8,7 @@ their rest is an item.
 
 The items in windows that are still open at the end of a partition are written to the
 shared folder and dealt to few tasks, of ``left_ids`` ids each, which pack them once more by the
-same rule. Only what is open there at the end is emptied, fullest first, and cut
+same rule, long ones first. Only what is open there at the end is emptied, fullest first, and cut
 freely into whole windows; the last rest is cut at powers of two, which need no padding.
 
 Memory of a task: the open windows (at most ``max_open``; beyond, the fullest half goes on
@@ -435,8 +435,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = stored(spread(slim).mapInArrow(first, PIECES + ", ids binary"), "pieces")
     left = pieces.filter("sequence_id IS NULL")
+    # Long pieces first: fewer windows are open at the end.
     tasks = -(-(left.agg(F.sum("length")).first()[0] or 0) // left_ids) or 1
-    dealt = left.select("doc_id", "start", "doc_tokens", "ids").repartition(tasks, F.xxhash64("doc_id", "start", "ids")).sortWithinPartitions(F.xxhash64("ids", "doc_id"), "doc_id", "start")
+    dealt = left.select("doc_id", "start", "doc_tokens", "ids").repartition(tasks, F.xxhash64("doc_id", "start", "ids")).sortWithinPartitions(F.desc(F.octet_length("ids")), F.xxhash64("ids", "doc_id"), "doc_id", "start")
     return pieces.filter("sequence_id IS NOT NULL").select(*_NAMES).unionByName(dealt.mapInArrow(second, PIECES))
 
 

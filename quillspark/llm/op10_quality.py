@@ -20,8 +20,8 @@ from ..operators.storage import spread
 from .common import table
 from .labelled import held_out, sample
 
-#: Training documents of label 0 and 1 at most, and passages of a training document at most (drawn at random).
-PER_CLASS, BAG = (1500, 3000), 24
+#: Training documents of label 0 and 1 at most; all of their passages train.
+PER_CLASS = (1500, 3000)
 PASSAGE_WORDS, HIDDEN, ATTENTION = 64, 16, 8
 THRESHOLD = 0.7
 
@@ -116,24 +116,23 @@ class Model:
         z = np.add.reduceat(h * a[:, None], starts) / np.add.reduceat(a, starts)[:, None]
         return _sigmoid(z @ p["c"] + p["d"])
 
-    def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients for bags x (documents, passages, features) by back-propagation."""
-        p, n = self.p, len(x)
+    def step(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients for documents of so many passages each, whose features x are in a row, by back-propagation."""
+        p, n, starts = self.p, len(counts), np.cumsum(counts) - counts
+        of = np.repeat(np.arange(n), counts)
         h = np.tanh(x @ p["W"] + p["b"])
         t, g = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-        e = np.where(mask, (t * g) @ p["w"], -1e9)
-        a = np.exp(e - e.max(axis=1, keepdims=True)) * mask
-        a /= a.sum(axis=1, keepdims=True)
-        z = (a[:, :, None] * h).sum(axis=1)
+        e = (t * g) @ p["w"]
+        a = np.exp(e - np.maximum.reduceat(e, starts)[of])
+        a /= np.add.reduceat(a, starts)[of]
+        z = np.add.reduceat(a[:, None] * h, starts)
         miss = (_sigmoid(z @ p["c"] + p["d"]) - y) * weight / n
-        dz = miss[:, None] * p["c"]
-        da = (h * dz[:, None, :]).sum(axis=2)
-        de = a * (da - (a * da).sum(axis=1, keepdims=True))
-        dt, dg = de[:, :, None] * p["w"] * g * (1 - t * t), de[:, :, None] * p["w"] * t * g * (1 - g)
-        dh = a[:, :, None] * dz[:, None, :] + dt @ p["V"].T + dg @ p["U"].T
-        ds = (dh * (1 - h * h)).reshape(-1, HIDDEN)
-        flat = h.reshape(-1, HIDDEN)
-        return {"W": x.reshape(-1, x.shape[2]).T @ ds, "b": ds.sum(axis=0), "V": flat.T @ dt.reshape(-1, ATTENTION), "U": flat.T @ dg.reshape(-1, ATTENTION), "w": ((t * g) * de[:, :, None]).sum(axis=(0, 1)), "c": z.T @ miss, "d": np.array([miss.sum()])}
+        dz = (miss[:, None] * p["c"])[of]
+        da = (h * dz).sum(axis=1)
+        de = (a * (da - np.add.reduceat(a * da, starts)[of]))[:, None]
+        dt, dg = de * p["w"] * g * (1 - t * t), de * p["w"] * t * g * (1 - g)
+        ds = (a[:, None] * dz + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
+        return {"W": x.T @ ds, "b": ds.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g * de).sum(axis=0), "c": z.T @ miss, "d": np.array([miss.sum()])}
 
 
 def fit(texts: list[tuple[str, int]], share: float, steps: int = 600, batch: int = 128) -> Model:
@@ -149,20 +148,17 @@ def fit(texts: list[tuple[str, int]], share: float, steps: int = 600, batch: int
         model.p["c"][:] = 0
         model.p["d"][:] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return model
-    starts = np.cumsum(counts) - counts
-    bags, mask = np.zeros((len(y), BAG, FEATURES)), np.zeros((len(y), BAG), bool)
-    for k, (s, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
-        own = np.arange(s, s + n) if n <= BAG else s + np.sort(rng.choice(n, BAG, replace=False))
-        bags[k, : len(own)] = model.scaled(rows[own]) if n else 0
-        if not n:
-            bags[k, 0] = model.scaled(np.zeros((1, FEATURES)))
-        mask[k, : max(1, len(own))] = True
+    none = counts == 0
+    if none.any():  # a text without passages is one passage without features, as in score()
+        rows, counts = np.insert(rows, np.cumsum(counts)[none], 0, axis=0), np.where(none, 1, counts)
+    starts, scaled = np.cumsum(counts) - counts, model.scaled(rows)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     for step in range(1, steps + 1):
         k = rng.choice(len(y), min(batch, len(y)), replace=False)
         rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
-        for name, grad in model.step(bags[k], mask[k], y[k], weight[k]).items():
+        own = np.repeat(starts[k] - np.cumsum(counts[k]) + counts[k], counts[k]) + np.arange(counts[k].sum())
+        for name, grad in model.step(scaled[own], counts[k], y[k], weight[k]).items():
             m, v = moments[name]
             grad = grad + 1e-4 * model.p[name]
             m[:], v[:] = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2

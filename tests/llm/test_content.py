@@ -236,16 +236,20 @@ def test_crf_finds_planted_words():
 def test_marginals_equal_full_forward_backward():
     rng = np.random.default_rng(4)
     crf = toxicity.Crf({b"bad": 2.0, b"odd": -1.0, b"worse": 0.7}, -1.3, rng.normal(size=(2, 2)), rng.normal(size=2))
-    for _ in range(30):
-        own = [[b"bad", b"odd", b"worse", b"x", b"y"][k] for k in rng.integers(0, 5, rng.integers(1, 40))]
+    gaps = [[b"bad", *[b"x"] * n, b"odd"] for n in (255, 256, 257, 894, 5000, 100_000)]
+    for own in [*([[b"bad", b"odd", b"worse", b"x", b"y"][k] for k in rng.integers(0, 5, rng.integers(1, 40))] for _ in range(30)), *gaps]:
+        crf.move[:] = [[0, -9], [-9, 0]] if len(own) > 200 else crf.move  # states that last
+        crf.prepare()
         emit = np.array([[1.0, np.exp(crf.bias + sum(crf.weights.get(f, 0) for f in toxicity.word_features(w)))] for w in own])
         move, n = np.exp(crf.move), len(own)
         f, b = np.zeros((n, 2)), np.ones((n, 2))
         f[0] = np.exp(crf.start) * emit[0]
         for i in range(1, n):
             f[i] = (f[i - 1] @ move) * emit[i]
+            f[i] /= f[i].sum()
         for i in range(n - 2, -1, -1):
             b[i] = move @ (emit[i + 1] * b[i + 1])
+            b[i] /= b[i].sum()
         full = (f * b)[:, 1] / (f * b).sum(axis=1)
         places, values = crf.evidence(own)
         assert np.allclose(crf.marginals(n, places, values), full[places])
@@ -271,7 +275,7 @@ def test_attention_model_learns_and_its_gradient_is_right():
         s = quality._sigmoid((a[:, :, None] * h).sum(axis=1) @ p["c"] + p["d"])
         return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
 
-    grads = model.step(x, mask, y, np.ones(5))
+    grads = model.step(x[mask], mask.sum(axis=1), y, np.ones(5))
     for name, grad in grads.items():
         k = np.unravel_index(np.abs(grad).argmax(), grad.shape)
         model.p[name] = model.p[name].copy()
