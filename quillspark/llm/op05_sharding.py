@@ -23,8 +23,11 @@ from pyspark.sql import types as T
 from .common import stored, table, with_free_names
 
 SHARDS, SEED = 8, 20240607
-#: Rows of a cell; a shard has as many cells as that takes, up to MAX_CELLS in all, beyond which cells grow (their sort spills).
-CELL_ROWS, MAX_CELLS = 10_000, 32_768
+#: Rows of a cell; a shard has as many cells as that takes, up to MAX_CELLS in all, each a task of the exchange. Beyond 2.6 x 10^9 rows cells grow
+#: (at 10^11 rows to 380,000 rows, about 1 GB, whose sort spills), since each task holds two numbers for every cell.
+CELL_ROWS, MAX_CELLS = 10_000, 1 << 18
+#: numpy's hypergeometric generator takes fewer rows than the first; so many are drawn one by one.
+_LARGE, _FEW = 1_000_000_000, 1000
 
 
 def even_sizes(total: int, parts: int) -> np.ndarray:
@@ -33,28 +36,24 @@ def even_sizes(total: int, parts: int) -> np.ndarray:
 
 
 def hypergeometric_split(sizes: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of ``take`` rows drawn without replacement come from each of the cells.
+    """How many of ``take`` rows drawn without replacement come from each of the cells; exact at any size.
 
-    numpy's generators take up to 10^9 rows. Beyond that a draw has the normal
-    law of the same mean and deviation, rounded; the sums stay exact.
+    Beyond numpy's range each row is first taken with probability take / total, which is a binomial
+    number for each cell. The rows by which their sum is wrong, about its square root, are then drawn back
+    from those taken, or on from the others, by the same law; few rows are drawn one by one.
     """
-    out, left = np.zeros(len(sizes), np.int64), int(sizes.sum())
-    if left < 1_000_000_000:
-        return rng.multivariate_hypergeometric(sizes, min(take, left), method="marginals")
-    for k, n in enumerate(sizes.tolist()):
-        if take <= 0:
-            break
-        rest = left - n
-        if rest <= 0:
-            got = take
-        elif max(n, rest) < 1_000_000_000:
-            got = int(rng.hypergeometric(n, rest, take))
-        else:
-            mean = take * (n / left)
-            sd = (mean * (1 - n / left) * (left - take) / max(1, left - 1)) ** 0.5
-            got = int(min(max(round(rng.normal(mean, sd)), take - rest, 0), n, take))
-        out[k], take, left = got, take - got, rest
-    return out
+    total = int(sizes.sum())
+    take = min(take, total)
+    if total < _LARGE:
+        return rng.multivariate_hypergeometric(sizes, take, method="marginals")
+    if take > total - take:
+        return sizes - hypergeometric_split(sizes, total - take, rng)
+    if take <= _FEW:
+        rows = rng.choice(total, take, replace=False, shuffle=False)
+        return np.bincount(np.searchsorted(np.cumsum(sizes), rows, "right"), minlength=len(sizes))
+    taken = rng.binomial(sizes, take / total)
+    wrong = int(taken.sum()) - take
+    return taken - hypergeometric_split(taken, wrong, rng) if wrong >= 0 else taken + hypergeometric_split(sizes - taken, -wrong, rng)
 
 
 def matrix_row(counts: np.ndarray, cells: np.ndarray, p: int, seed: int) -> np.ndarray:
@@ -70,8 +69,10 @@ def matrix_row(counts: np.ndarray, cells: np.ndarray, p: int, seed: int) -> np.n
 
 def _is_scan(df: DataFrame) -> bool:
     """Whether df is files, projected and filtered: then its partitions are the same each time it runs."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return all(line.lstrip(" +-:").startswith(("Project", "Filter", "Relation")) for line in plan.splitlines() if line.strip())
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() in ("Project", "Filter"):
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
 
 
 def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -92,10 +93,10 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, c
     counts = np.zeros(n, np.int64)
     for p, c in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect():
         counts[p] = c
-    per_shard = even_sizes(int(counts.sum()), shards)
+    total = int(counts.sum())
+    per_shard = even_sizes(total, shards)
     cuts = min(max(1, -(-int(per_shard.max()) // cell_rows)), max(1, MAX_CELLS // shards))
     sizes = np.concatenate([even_sizes(int(s), cuts) for s in per_shard])
-    starts = np.concatenate([np.cumsum(s) - s for s in sizes.reshape(shards, cuts)])
     shared = df.sparkSession.sparkContext.broadcast((counts, sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,12 +120,13 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, c
 
     schema = T.StructType([*df.schema.fields, T.StructField(name["cell"], T.IntegerType()), T.StructField(name["order"], T.LongType())])
     dealt = df.mapInArrow(run, schema)
-    start = F.element_at(F.array(*[F.lit(int(s)).cast("long") for s in starts]), F.col(name["cell"]) + 1) if len(starts) <= 1000 else None
-    if start is None:
-        offsets = df.sparkSession.createDataFrame([(i, int(s)) for i, s in enumerate(starts)], f"{name['cell']} int, __start long")
-        dealt, start = dealt.join(F.broadcast(offsets), name["cell"]), F.col("__start")
+    # A cell is a partition of its own, so no task gets several by chance.
+    dealt = dealt.repartitionById(shards * cuts, F.col(name["cell"]))
     rank = F.row_number().over(Window.partitionBy(name["cell"]).orderBy(name["order"]))
-    placed = dealt.withColumn("slot", start + rank - 1).withColumn("shard", F.floor(F.col(name["cell"]) / cuts).cast("int"))
+    shard, place = F.floor(F.col(name["cell"]) / cuts), F.col(name["cell"]) % cuts
+    rows = F.lit(total // shards) + (shard < total % shards).cast("long")  # of the shard, cut as even_sizes does
+    start = place * F.floor(rows / cuts) + F.least(place.cast("long"), rows % cuts)
+    placed = dealt.withColumn("slot", (start + rank - 1).cast("long")).withColumn("shard", shard.cast("int"))
     return placed.select(*df.columns, "shard", "slot")
 
 

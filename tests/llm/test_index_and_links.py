@@ -373,6 +373,26 @@ def test_draws_are_uniform():
     assert np.abs(total / 400 - np.outer(counts, cells) / 100).max() < 0.6
 
 
+def test_large_draws_have_the_exact_law(monkeypatch):
+    """The way beyond 10^9 rows, forced on small numbers, against numpy's generator; and its sums at 10^12."""
+    sizes, n = np.array([40, 0, 100, 160]), 20_000
+    for take in (90, 210):
+        want = np.random.default_rng(1).multivariate_hypergeometric(sizes, take, n)
+        with monkeypatch.context() as m:
+            m.setattr(sharding, "_LARGE", 20)
+            m.setattr(sharding, "_FEW", 3)
+            rng = np.random.default_rng(2)
+            got = np.array([sharding.hypergeometric_split(sizes, take, rng) for _ in range(n)])
+        assert (got.sum(axis=1) == take).all() and (got <= sizes).all()
+        assert np.abs(got.mean(axis=0) - want.mean(axis=0)).max() < 0.1 and np.abs(got.std(axis=0) - want.std(axis=0)).max() < 0.1
+        for k in (0, 2, 3):
+            a, b = (np.bincount(x[:, k], minlength=200) for x in (got, want))
+            assert np.abs(a - b).max() < 6 * np.sqrt(max(a.max(), b.max()))
+    counts, cells = np.full(1000, 10**9), sharding.even_sizes(10**12, 64)
+    row = sharding.matrix_row(counts, cells, 123, 1)
+    assert row.sum() == 10**9 and abs(row / (10**9 / 64) - 1).max() < 0.001
+
+
 @pytest.mark.parametrize("cell_rows", [10_000, 7])
 def test_shards_are_exact(spark, cell_rows, tmp_path):
     spark.range(0, 203, 1, 5).select(F.col("id").alias("doc_id"), F.lit("t").alias("Shard"), F.lit(1).alias("slot")).write.parquet(f"{tmp_path}/t")
@@ -395,5 +415,22 @@ def test_shards_are_exact(spark, cell_rows, tmp_path):
 def test_sharding_query(spark, sf_dir):
     rows = sharding.op5_sharding(spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
-    assert len(rows) == len(texts)
-    assert all(r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.grown_shard is None for r in rows)
+    assert len(rows) == len(texts) and {r.doc_id for r in rows} == set(texts)
+    assert all(r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.grown_shard is None and r.law == "rows" for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert sorted(by) == list(range(8)) and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    order = [r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    assert abs(np.corrcoef(order, np.arange(len(order)))[0, 1]) < 0.3  # no trace of the order before
+
+
+def test_sharding_of_odd_rows(spark):
+    """Null and repeated rows, very long texts, names that clash in other letter cases, many cells."""
+    rows = [(None, None, 1), (1, "x" * 1_000_000, 2), (1, "x" * 1_000_000, 2), *((k, "", k) for k in range(300))]
+    df = spark.createDataFrame(rows, "doc_id long, Cell string, __start int").withColumn("ORDER", F.lit(1))
+    out = sharding.shuffle_into_shards(df, cell_rows=1)
+    assert out.columns == [*df.columns, "shard", "slot"] and "Window" in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert len(got) == 303 and sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(8) for k in range(38 if s < 7 else 37)]
