@@ -27,6 +27,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, where the session has Spark's own 10,000: whole texts and sets of shingles are long rows.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let batches of rows with whole texts take some MB, not tens of MB, in each executor's JVM and Python workers."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 #: Input below so many bytes for each task slot is dealt out anew before heavy work on each row.
 SMALL_SHARE = 4 << 20
 
@@ -37,6 +48,7 @@ def spread(df: DataFrame) -> DataFrame:
     A small file is often one row group, which only one task can read; all rows
     would then be parsed there. Larger input keeps the partitions of its scan.
     """
+    bounded_batches(df.sparkSession)
     slots = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(2 * slots) if size < SMALL_SHARE * slots else df
