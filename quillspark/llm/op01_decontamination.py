@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is cut by documents: each row of it is a segment of whole documents
+The index holds every word of the documents and is stored. It is cut by documents: each row of it is a segment of whole documents
 with, for each term, the sorted list of its positions. A phrase is found in a
 segment by intersecting the position lists of its terms, each shifted by the
 term's place in the phrase, from the rarest list to the most frequent; with a
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,76 +19,96 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.storage import spread
-from .common import stored, table
+from .common import stored, table, with_free_names
 
-WINDOW = 10
+#: Words of a window, and how far a word of a near window may be from its place.
+WINDOW, SLOP = 10, 2
 #: Words of a segment, unless a single document has more.
 SEGMENT_WORDS = 1_000_000
 #: UTF-8 bytes of the test items that are searched at once; more items go in further rounds.
 BLOCK_BYTES = 16 << 20
+#: Ids to drop that a broadcast may carry: 16 MB of them.
+BROADCAST_IDS = 2_000_000
 
 #: A-Z to a-z; bytes other than 0-9, a-z and those of non-ASCII characters end a word.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-SEGMENT = "segment long, ids array<long>, n_words array<int>, terms array<binary>, counts array<int>, positions binary"
-REPORT = "segment long, place int, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hits array<int>, n_near long"
+SEGMENT = "segment long, gap int, ids array<long>, n_words array<int>, terms array<binary>, counts array<int>, positions binary"
+REPORT = "segment long, place int, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hits array<int>, n_near long, near array<long>"
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
+class Terms(dict):
+    """Numbers of words in the order in which they first come up."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Segment:
     """Position lists of one segment. Positions count on over the documents, with a gap of ``gap`` between two."""
 
-    def __init__(self, gap: int = WINDOW):
-        self.gap, self.ids, self.sizes = gap, [], []
+    def __init__(self, gap: int):
+        self.gap, self.ids, self.sizes, self.terms = gap, [], [], Terms()
         self.columns: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
         self.at = 0
 
-    def add(self, doc_id, found: np.ndarray) -> None:
-        """found: term numbers of the document's words, below 0 where a word isn't indexed."""
+    def add(self, doc_id, own: list[bytes]) -> None:
         self.ids.append(doc_id)
-        self.sizes.append(len(found))
-        k = np.flatnonzero(found >= 0)
-        self.columns.append(found[k])
-        self.places.append((k + self.at).astype(np.uint32))
-        self.at += len(found) + self.gap
+        self.sizes.append(len(own))
+        self.columns.append(np.fromiter(map(self.terms.__getitem__, own), np.int32, len(own)))
+        self.places.append(np.arange(self.at, self.at + len(own), dtype=np.uint32))
+        self.at += len(own) + self.gap
 
-    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Terms in order, the lengths of their lists, and the lists in a row."""
-        terms = np.concatenate(self.columns) if self.columns else np.zeros(0, np.int64)
-        places = np.concatenate(self.places) if self.places else np.zeros(0, np.uint32)
-        own, counts = np.unique(terms, return_counts=True)
-        return own, counts, places[np.argsort(terms, kind="stable")]
+    def lists(self) -> tuple[np.ndarray, np.ndarray]:
+        """The lengths of the terms' lists, and the lists in a row."""
+        terms = np.concatenate(self.columns)
+        counts = np.bincount(terms, minlength=len(self.terms))
+        # numpy sorts 16-bit numbers by radix.
+        order = np.argsort(terms.astype(np.uint16) if len(self.terms) <= 1 << 16 else terms, kind="stable")
+        return counts, np.concatenate(self.places)[order]
 
 
 class Phrases:
-    """Windows of ``size`` words of the items: an item with fewer, but not none, is one window."""
+    """The distinct windows of ``size`` words of the items: an item with fewer, but not none, is one window."""
 
     def __init__(self, items: list[tuple], size: int = WINDOW):
+        import xxhash
+
         self.size, self.numbers = size, {}
-        rows, self.names = [], []
+        known, self.names, pairs, self.marks = {}, [], set(), []
         for name, text in items:
-            own = [self.numbers.setdefault(w, len(self.numbers)) for w in words(text)]
+            own = words(text)
             if own:
                 for i in range(max(1, len(own) - size + 1)):
-                    row = own[i : i + size]
-                    rows.append((len(self.names), len(row), row + [-1] * (size - len(row))))
+                    part = tuple(own[i : i + size])
+                    if part not in known:
+                        known[part] = len(known)
+                        self.marks.append(xxhash.xxh64_intdigest(b" ".join(part)) - (1 << 63))
+                    pairs.add((known[part], len(self.names)))
                 self.names.append(str(name))
-        self.item = np.array([r[0] for r in rows], np.int64)
-        self.length = np.array([r[1] for r in rows], np.int64)
-        self.term = np.array([r[2] for r in rows], np.int64).reshape(len(rows), size)
-
-    def matches(self, lists: dict[int, np.ndarray] | list, counts: np.ndarray, slop: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-        """(window, starts in order). counts: of each term's positions. slop: how far each other term may be from its place beside the rarest."""
+        rows = [[self.numbers.setdefault(w, len(self.numbers)) for w in part] for part in known]
+        self.length = np.array([len(r) for r in rows], np.int64)
+        self.term = np.array([r + [-1] * (size - len(r)) for r in rows], np.int64).reshape(len(rows), size)
+        self.items = [[] for _ in rows]  # of each window
+        for k, item in sorted(pairs):
+            self.items[k].append(item)
+
+    def matches(self, lists: dict[int, np.ndarray], counts: np.ndarray, slop: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+        """(window, starts in order) where each word of the window is at most slop from its place. counts: of each term's positions."""
         if not len(self.term):
             return
         many = np.where(self.term >= 0, counts[self.term], np.iinfo(np.int64).max)
         for k in np.flatnonzero(many.min(axis=1) > 0).tolist():
             order = np.argsort(many[k], kind="stable")[: self.length[k]].tolist()
             starts = lists[self.term[k, order[0]]] - order[0]
+            if slop:
+                starts = np.unique(starts[:, None] + np.arange(-slop, slop + 1))
             for place in order[1:]:
                 other = lists[self.term[k, place]]
                 want = starts + place
@@ -101,40 +120,39 @@ class Phrases:
                 yield k, starts
 
 
-def report(phrases: Phrases, ids: list, sizes: np.ndarray, lists, counts: np.ndarray, slop: int | None) -> list[tuple]:
-    """Per document: (place, id, words, hit words as sorted numbers, items, windows near only)."""
-    gap, n = phrases.size, len(ids)
+def report(phrases: Phrases, ids: list, sizes: np.ndarray, gap: int, lists, counts: np.ndarray, slop: int | None) -> list[tuple]:
+    """Per document: (place, id, words, hit words as sorted numbers, items, marks of the windows that are near but nowhere exact)."""
+    n, m = len(ids), max(1, len(phrases.names))
     first = np.concatenate([[0], np.cumsum(sizes + gap)])
     change = np.zeros(int(first[-1]) + gap + 1, np.int32)
     held: list[np.ndarray] = []
+    exact: dict[int, np.ndarray] = {}
+    near: list[list[int]] = [[] for _ in range(n)]
     for k, starts in phrases.matches(lists, counts):
         np.add.at(change, starts, 1)
         np.add.at(change, starts + phrases.length[k], -1)
-        doc = np.unique(np.searchsorted(first, starts, "right") - 1)
-        held.append(doc * len(phrases.names) + phrases.item[k])
-    near = np.zeros(n, np.int64)
+        exact[k] = np.unique(np.searchsorted(first, starts, "right") - 1)
+        held += [exact[k] * m + item for item in phrases.items[k]]
     if slop:
-        exact = {k: starts for k, starts in phrases.matches(lists, counts)}
         for k, starts in phrases.matches(lists, counts, slop):
-            if k in exact:
-                starts = np.setdiff1d(starts, exact[k])
-            inside = starts[(starts >= 0) & (starts < first[-1])]
-            near += np.bincount(np.searchsorted(first, inside, "right") - 1, minlength=n)[:n]
+            # A start may lie before its document, whose first words are the window's last ones.
+            of = np.unique(np.searchsorted(first, starts + slop + phrases.length[k] - 1, "right") - 1)
+            for doc in np.setdiff1d(of, exact.get(k, of[:0])).tolist():
+                near[doc].append(phrases.marks[k])
     hit = np.flatnonzero(np.cumsum(change[:-1]) > 0)
     of = np.searchsorted(first, hit, "right") - 1
     pairs = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
-    docs = pairs // max(1, len(phrases.names))
+    docs = pairs // m
+    bounds, named = np.searchsorted(of, np.arange(n + 1)), np.searchsorted(docs, np.arange(n + 1))
     out = []
     for i in range(n):
-        a, b = np.searchsorted(of, [i, i + 1])
-        c, d = np.searchsorted(docs, [i, i + 1])
-        names = {phrases.names[x % len(phrases.names)] for x in pairs[c:d].tolist()}
-        out.append((i, ids[i], int(sizes[i]), (hit[a:b] - first[i]).astype(np.int32), sorted(names), int(near[i])))
+        names = {phrases.names[x % m] for x in pairs[named[i] : named[i + 1]].tolist()}
+        out.append((i, ids[i], int(sizes[i]), (hit[bounds[i] : bounds[i + 1]] - first[i]).astype(np.int32), sorted(names), sorted(near[i])))
     return out
 
 
-def _row(segment: int, place: int, doc_id, n_words: int, hits: np.ndarray, items: list[str], near: int) -> tuple:
-    return (segment, place, doc_id, n_words, len(hits), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), len(hits) > 0, items, hits, near)
+def _row(segment: int, place: int, doc_id, n_words: int, hits: np.ndarray, items: list[str], near: list[int]) -> tuple:
+    return (segment, place, doc_id, n_words, len(hits), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), len(hits) > 0, items, hits, len(near), near)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -142,36 +160,30 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_REPORT = pa.schema([("segment", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.int32())), ("n_near", pa.int64())])
-_SEGMENT = pa.schema([("segment", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("positions", pa.binary())])
+_REPORT = pa.schema([("segment", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.int32())), ("n_near", pa.int64()), ("near", pa.list_(pa.int64()))])
+_SEGMENT = pa.schema([("segment", pa.int64()), ("gap", pa.int32()), ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("positions", pa.binary())])
 
 
-def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text", gap: int = WINDOW, segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """The index of whole texts (see SEGMENT); vocabulary: the only terms whose positions are kept."""
-    fixed = None if vocabulary is None else {w: i for i, w in enumerate(vocabulary)}
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = WINDOW + 2 * SLOP, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    """The index of all words of whole texts (see SEGMENT); gap: empty positions between two documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, segment, terms = TaskContext.get().partitionId() << 33, Segment(gap), {} if fixed is None else fixed
+        number, segment = TaskContext.get().partitionId() << 33, Segment(gap)
 
         def out() -> pa.RecordBatch:
-            own, counts, places = segment.lists()
-            names = list(terms)
-            return _batch([(number, segment.ids, np.array(segment.sizes, np.int32), [names[k] for k in own.tolist()], counts.astype(np.int32), places.astype("<u4").tobytes())], _SEGMENT)
+            counts, places = segment.lists()
+            return _batch([(number, gap, segment.ids, np.array(segment.sizes, np.int32), list(segment.terms), counts.astype(np.int32), places.astype("<u4").tobytes())], _SEGMENT)
 
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own = words(text)
-                    if fixed is None:
-                        for w in own:
-                            terms.setdefault(w, len(terms))
-                    segment.add(doc_id, np.fromiter(map(terms.get, own, repeat(-1)), np.int64, len(own)))
+                    segment.add(doc_id, words(text))
                     if segment.at >= segment_words:
                         yield out()
-                        number, segment, terms = number + 1, Segment(gap), {} if fixed is None else fixed
+                        number, segment = number + 1, Segment(gap)
         if segment.ids:
             yield out()
 
@@ -181,27 +193,28 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None, id_col:
 def search(index: DataFrame, items: list[tuple], size: int = WINDOW, slop: int | None = None) -> DataFrame:
     """One row per document of the index (see REPORT). items: (name, text), bounded by the caller.
 
-    slop: also count in n_near the windows whose every word is at most so far
-    from its place beside the window's rarest word, exact ones left out.
+    slop: also count in n_near the distinct windows that a document holds nowhere exactly, but
+    somewhere such that each word is at most so far from its place. The index's
+    gap must be size + 2 slop at least, so that no window spans two documents.
     """
-    if slop and slop >= size:
-        raise ValueError("slop must be below the window's size, which separates the documents of a segment")
     shared = index.sparkSession.sparkContext.broadcast(Phrases(items, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
         for batch in batches:
             for row in range(len(batch)):
-                segment, ids, sizes, terms, counts, positions = (batch.column(c)[row] for c in range(6))
-                segment, sizes = segment.as_py(), sizes.values.to_numpy().astype(np.int64)
-                places = np.frombuffer(positions.as_buffer(), "<u4").astype(np.int64)
+                segment, gap, ids, sizes, terms, counts, positions = (batch.column(c)[row] for c in range(7))
+                segment, gap, sizes = segment.as_py(), gap.as_py(), sizes.values.to_numpy().astype(np.int64)
+                if gap < size + 2 * (slop or 0):
+                    raise ValueError("the index's gap is too small for such windows")
+                places = np.frombuffer(positions.as_buffer(), "<u4")
                 ends = np.cumsum(counts.values.to_numpy())
                 begins = ends - counts.values.to_numpy()
                 lists, many = {}, np.zeros(len(phrases.numbers) + 1, np.int64)
                 for term, a, b in zip(terms.as_py(), begins.tolist(), ends.tolist(), strict=True):
                     if (k := phrases.numbers.get(term)) is not None:
-                        lists[k], many[k] = places[a:b], b - a
-                found = [_row(segment, *x) for x in report(phrases, ids.as_py(), sizes, lists, many, slop)]
+                        lists[k], many[k] = places[a:b].astype(np.int64), b - a
+                found = [_row(segment, *x) for x in report(phrases, ids.as_py(), sizes, gap, lists, many, slop)]
                 for i in range(0, len(found), 5000):
                     yield _batch(found[i : i + 5000], _REPORT)
 
@@ -215,36 +228,30 @@ def _merge(rows):
     first = rows.iloc[0]
     items = sorted({x for some in rows["items"] for x in some})
     hits = np.unique(np.concatenate([np.asarray(x, np.int32) for x in rows["hits"]]))
-    return pd.DataFrame([_row(first["segment"], first["place"], first["doc_id"], first["n_words"], hits, items, int(rows["n_near"].sum()))], columns=_REPORT.names).astype({"doc_id": "Int64"})
+    near = sorted({x for some in rows["near"] for x in some})
+    return pd.DataFrame([_row(first["segment"], first["place"], first["doc_id"], first["n_words"], hits, items, near)], columns=_REPORT.names).astype({"doc_id": "Int64"})
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
-    """Lists of (name, text) of bounded size: all items, or block by block."""
-    named = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """The number of blocks of items of bounded size, and each as a list of (name, text); repeated items count once."""
+    named = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
     size = named.agg(F.sum(F.octet_length("text") + F.octet_length("name"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
-    if n == 1:
-        yield 1, [tuple(r) for r in named.collect()]
-        return
     for k in range(n):
-        yield n, [tuple(r) for r in named.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k).collect()]
+        yield n, [tuple(r) for r in (named if n == 1 else named.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)).collect()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, slop: int | None = SLOP, block_bytes: int = BLOCK_BYTES, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """One row per row of docs (see REPORT): which of its words lie in windows of which items.
 
     Null and wordless texts have no words and no hits. Repeated rows stay
     repeated; a null id stays null. Items with the same id count once, a null
     item id is named "null", items without words have no window. Other columns
-    are ignored. Where the items exceed block_bytes, the index keeps all terms
-    and is searched once per block of items.
+    are ignored. The index is searched once per block of items of block_bytes.
     """
-    index = None
+    index = stored(build_index(docs, id_col, text_col, size + 2 * (slop or 0), segment_words), "postings")
     found = None
     for n, block in _items(benchmark, item_col, item_text_col, block_bytes):
-        if index is None:
-            vocabulary = list(dict.fromkeys(w for _, text in block for w in words(text))) if n == 1 else None
-            index = stored(build_index(docs, vocabulary, id_col, text_col, size, segment_words), "postings")
         part = search(index, block, size, slop)
         if n == 1:
             return part
@@ -252,47 +259,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.groupBy("segment", "place").applyInPandas(_merge, REPORT)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows that hold any window of any item; all columns stay.
 
     Null and wordless texts stay, repeated rows share their fate, an empty table
-    or an empty benchmark changes nothing.
-
-    Each Arrow batch is indexed and searched as a segment of its own, so rows
-    never leave their partition.
+    or an empty benchmark changes nothing. If ids are null or repeat, or aren't
+    numbers, the rows are numbered first, and the numbers serve as ids.
     """
-    spark, schema = docs.sparkSession, docs.schema
-    place = docs.columns.index(text_col)
-    for _, block in _items(benchmark, item_col, item_text_col, block_bytes):
-        shared = spark.sparkContext.broadcast(Phrases(block, size))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            phrases = shared.value
-            for batch in batches:
-                segment = Segment(size)
-                for i in range(0, len(batch), 256):
-                    for text in batch.column(place).slice(i, 256).to_pylist():
-                        own = words(text)
-                        segment.add(None, np.fromiter(map(phrases.numbers.get, own, repeat(-1)), np.int64, len(own)))
-                own, counts, places = segment.lists()
-                ends = np.cumsum(counts)
-                many = np.zeros(len(phrases.numbers) + 1, np.int64)
-                many[own] = counts
-                places = places.astype(np.int64)
-                lists = {k: places[b - c : b] for k, b, c in zip(own.tolist(), ends.tolist(), counts.tolist(), strict=True)}
-                keep = [not len(x[3]) for x in report(phrases, segment.ids, np.array(segment.sizes, np.int64), lists, many, None)]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        docs = spread(docs).mapInArrow(run, schema)
-    return docs
+    n = with_free_names(docs, "rid")["rid"]
+    plain = docs.schema[id_col].dataType.typeName() == "long" and docs.filter(F.col(id_col).isNull()).isEmpty() and docs.groupBy(id_col).count().filter("count > 1").isEmpty()
+    rows = docs if plain else stored(docs.withColumn(n, F.monotonically_increasing_id()), "contaminated-rows")
+    key = id_col if plain else n
+    found = contamination(rows, benchmark, key, text_col, item_col, item_text_col, size, None, block_bytes)
+    gone = stored(found.filter("contaminated").select(F.col("doc_id").alias(key)), "contaminated")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 #: The windows of an item are joined with the windows of the documents at the positions of the window's first word.
+#: Near windows are sought around the occurrences of the window's rarest word.
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -306,10 +297,20 @@ bw AS (
   SELECT DISTINCT item_id, w[i : i + 9] AS win, least(len(w), 10) AS n
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 dw AS (SELECT r, i, w[i : i + n - 1] AS win, n FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
-m AS (SELECT r, i, n, item_id FROM dw JOIN bw USING (win, n)),
+m AS (SELECT r, i, n, item_id, win FROM dw JOIN bw USING (win, n)),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
-t AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT r, coalesce(CAST(item_id AS VARCHAR), 'null') AS s FROM m) GROUP BY r)
+t AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT r, coalesce(CAST(item_id AS VARCHAR), 'null') AS s FROM m) GROUP BY r),
+o AS (SELECT r, p, w[p] AS term FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+f AS (SELECT term, count(*) AS c FROM o GROUP BY term),
+k AS (SELECT DISTINCT win, n FROM bw),
+kt AS (SELECT win, n, k AS place, win[k] AS term FROM (SELECT win, n, unnest(range(1, n + 1)) AS k FROM k)),
+anchor AS (SELECT win, n, place, term FROM kt JOIN f USING (term) QUALIFY row_number() OVER (PARTITION BY win ORDER BY c, place) = 1),
+cand AS (SELECT DISTINCT r, win, n, p - place + 1 + e AS s FROM anchor JOIN o USING (term), (SELECT unnest(range(-2, 3)) AS e)),
+near AS (
+  SELECT DISTINCT r, win FROM cand JOIN d USING (r)
+  WHERE len(list_filter(range(1, n + 1), lambda j: s + j + 1 >= 1 AND list_contains(w[greatest(s + j - 3, 1) : s + j + 1], win[j]))) = n),
+e AS (SELECT r, count(*) AS n_near FROM near ANTI JOIN m USING (r, win) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r) LEFT JOIN e USING (r)
 """

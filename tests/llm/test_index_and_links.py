@@ -81,12 +81,34 @@ def test_contamination_of_nothing(spark):
 
 
 def test_near_matches_allow_gaps(spark):
-    d = spark.createDataFrame([(1, "one two x three"), (2, "one two three"), (3, "three far away one two y z q")], "doc_id long, text string")
-    index = decon.build_index(d, gap=10)
-    got = {r.doc_id: (r.n_hit, r.n_near) for r in decon.search(index, [("a", "one two three")], slop=1).collect()}
-    assert got == {1: (0, 1), 2: (3, 0), 3: (0, 0)}
-    with pytest.raises(ValueError):
-        decon.search(index, [("a", "b")], slop=10)
+    d = spark.createDataFrame([(1, "one two x three"), (2, "one two three"), (3, "three far away one two y z q"), (4, "two three four"), (5, "three"), (6, "three one")], "doc_id long, text string")
+    index = decon.build_index(d, gap=12)
+    got = {r.doc_id: (r.n_hit, r.n_near) for r in decon.search(index, [("a", "one two three"), ("b", "One two three.")], slop=1).collect()}
+    assert got == {1: (0, 1), 2: (3, 0), 3: (0, 0), 4: (0, 0), 5: (0, 0), 6: (0, 0)}
+    with pytest.raises(Exception, match="gap"):
+        decon.search(index, [("a", "b")], slop=2).collect()
+
+
+def brute_near(docs, items, size=10, slop=2):
+    windows = {tuple(w[i : i + size]) for _, t in items if (w := fold(t)) for i in range(max(1, len(w) - size + 1))}
+    out = []
+    for doc_id, text in docs:
+        own, n = fold(text), 0
+        for win in windows:
+            exact = any(tuple(own[k : k + len(win)]) == win for k in range(len(own)))
+            near = any(all(w in own[max(0, s + j - slop) : max(0, s + j + slop + 1)] for j, w in enumerate(win)) for s in range(-size - slop, len(own) + slop))
+            n += near and not exact
+        out.append((doc_id, n))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_near_windows_are_brute_force(spark, phrases, block_bytes):
+    docs, items = phrases
+    docs = docs[:45] + [(60, "alpha Beta x1 the of"), (61, " ".join(items[0][1].split()[3:]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decon.contamination(d, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes, segment_words=500)
+    assert rows_of(got, "doc_id", "n_near") == brute_near(docs, items)
 
 
 # -- SimHash
