@@ -1,8 +1,9 @@
 """TIFF columns: read files into one row per page, and store bytes as TIFF.
 
 The reader walks the chain of image directories in either byte order, takes
-strips or tiles, decodes PackBits, LZW, deflate or raw data, undoes horizontal
-prediction and joins the parts to the page's samples. The writer makes such files.
+strips or tiles, decodes PackBits, LZW, deflate or raw data, undoes horizontal or
+floating-point prediction and joins the parts to the page's samples. Samples may have 1, 4, 8, 16, 32 or
+64 bits. The writer makes such files.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.storage import spread
-from .common import table
+from .common import table, with_free_names
 
 RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CODECS = {RAW: "raw", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
@@ -73,81 +74,77 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return b"".join(out)
 
 
+CLEAR, END = 256, 257
+#: Bits of the k-th code after a clear code, which is written when 258 + k codes are known, and the bits before it.
+_BITS = 9 + sum((258 + np.arange(3839) >= n).astype(np.int64) for n in (512, 1024, 2048))
+_BEFORE = np.cumsum(_BITS) - _BITS
+_START = [bytes([b]) for b in range(256)] + [b"", b""]
+
+
 def lzw_encode(data: bytes) -> bytes:
     """Codes from the highest bit on, one bit longer an entry early, as the format has it."""
-    bits, held, out, width = 0, 0, bytearray(), 9
-
-    def put(code: int) -> None:
-        nonlocal bits, held
-        held = (held << width) | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append((held >> bits) & 255)
-        held &= (1 << bits) - 1
-
-    put(256)
-    known: dict[bytes, int] = {bytes([b]): b for b in range(256)}
-    following, word = 258, b""
-    for k in range(len(data)):
-        longer = word + data[k : k + 1]
-        if longer in known:
+    codes, places, known, n = [CLEAR], [0], {}, 0
+    word = -1
+    for b in data:
+        if word < 0:
+            word = b
+            continue
+        key = word << 8 | b
+        longer = known.get(key)
+        if longer is not None:
             word = longer
             continue
-        put(known[word])
-        known[longer] = following
-        following += 1
-        word = data[k : k + 1]
-        if following == 4094:
-            put(256)
-            known, following, width = {bytes([b]): b for b in range(256)}, 258, 9
-        elif following in (512, 1024, 2048):
-            width += 1
-    if word:
-        put(known[word])
-        following += 1
-        if following == 4094:
-            put(256)
-            width = 9
-        elif following in (512, 1024, 2048):
-            width += 1
-    put(257)
-    if bits:
-        out.append((held << (8 - bits)) & 255)
-    return bytes(out)
+        codes.append(word)
+        places.append(n)
+        known[key] = 258 + n
+        n += 1
+        word = b
+        if n == 3836:
+            codes.append(CLEAR)
+            places.append(n)
+            known, n = {}, 0
+    if word >= 0:
+        codes.append(word)
+        places.append(n)
+        n += 1
+        if n == 3836:
+            codes.append(CLEAR)
+            places.append(n)
+            n = 0
+    codes.append(END)
+    places.append(n)
+    bits = np.unpackbits(np.array(codes, ">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - _BITS[places][:, None]]).tobytes()
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    out, have, at, bits, held, width = [], 0, 0, 0, 0, 9
-    known: list[bytes] = []
-    before = b""
+    """All codes between two clear codes are cut out at once, since their widths are known."""
+    raw, total = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64), 8 * len(data)
+    out: list[bytes] = []
+    have, bit = 0, 0
     while have < size:
-        while bits < width:
-            if at >= len(data):
-                return b"".join(out)
-            held = ((held << 8) | data[at]) & 0xFFFFFFFF
-            at += 1
-            bits += 8
-        bits -= width
-        code = (held >> bits) & ((1 << width) - 1)
-        if code == 257:
+        offsets = bit + _BEFORE
+        offsets = offsets[: np.searchsorted(offsets + _BITS, total, "right")]
+        widths, at = _BITS[: len(offsets)], offsets >> 3
+        codes = (raw[at] << 16 | raw[at + 1] << 8 | raw[at + 2]) >> (24 - (offsets & 7) - widths) & ((1 << widths) - 1)
+        marks = np.flatnonzero((codes == CLEAR) | (codes == END))
+        stop = int(marks[0]) if len(marks) else len(codes)
+        known, before = _START.copy(), b""
+        for code in codes[:stop].tolist():
+            if code < len(known):
+                word = known[code]
+            elif before and code == len(known):
+                word = before + before[:1]
+            else:
+                raise ValueError("LZW code out of range")
+            if before:
+                known.append(before + word[:1])
+            out.append(word)
+            have += len(word)
+            before = word
+        if stop == len(codes) or codes[stop] == END:
             break
-        if code == 256:
-            known, before, width = [bytes([b]) for b in range(256)] + [b"", b""], b"", 9
-            continue
-        if code < len(known):
-            word = known[code]
-        elif before and code == len(known):
-            word = before + before[:1]
-        else:
-            raise ValueError("LZW code out of range")
-        if before:
-            known.append(before + word[:1])
-        out.append(word)
-        have += len(word)
-        before = word
-        if len(known) in (511, 1023, 2047):
-            width += 1  # an entry later than the writer, which is one entry ahead
+        bit = int(offsets[stop] + widths[stop])
     return b"".join(out)
 
 
@@ -158,6 +155,18 @@ def _predict(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _predict_float(rows: np.ndarray) -> np.ndarray:
+    """Each row's bytes, those of highest value of all samples first, as differences to the byte a pixel before."""
+    h, w, s = rows.shape
+    planes = rows.astype(rows.dtype.newbyteorder(">")).view(np.uint8).reshape(h, w * s, -1).transpose(0, 2, 1).reshape(h, -1, s)
+    return _predict(planes)
+
+
+def _undo_float(data: np.ndarray, height: int, width: int, samples: int, kind: np.dtype) -> np.ndarray:
+    planes = np.cumsum(data.reshape(height, -1, samples), axis=1, dtype=np.uint8).reshape(height, kind.itemsize, width * samples)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(height, width * samples).astype(kind)
+
+
 def _encode(data: bytes, codec: int) -> bytes:
     if codec == PACKBITS:
         return packbits_encode(data)
@@ -185,13 +194,13 @@ def _decode(data: bytes, codec: int, size: int) -> bytes:
 
 
 def write_tiff(pages: list[dict], order: str = "<") -> bytes:
-    """A TIFF of 8- or 16-bit pages, each a dict: width, height, samples (1), bits (8), data (rows of
-    interleaved samples in the file's byte order), codec, predictor (1 or 2), and rows_per_strip or tile (width, height)."""
+    """A TIFF of pages of 8 to 64 bits, each a dict: width, height, samples (1), bits (8), data (rows of
+    interleaved samples in the file's byte order), codec, predictor (1, 2 or 3), and rows_per_strip or tile (width, height)."""
     out = bytearray(b"II*\0" if order == "<" else b"MM\0*") + b"\0\0\0\0"
     link = 4
     for page in pages:
         w, h, s, bits, codec, predictor = page["width"], page["height"], page.get("samples", 1), page.get("bits", 8), page.get("codec", RAW), page.get("predictor", 1)
-        kind = np.dtype(np.uint8 if bits == 8 else f"{order}u2")
+        kind = np.dtype(f"{order}u{bits // 8}")
         image = np.frombuffer(page["data"], kind).reshape(h, w, s)
         parts = []
         if tile := page.get("tile"):
@@ -207,7 +216,7 @@ def write_tiff(pages: list[dict], order: str = "<") -> bytes:
             parts = [image[y : y + step] for y in range(0, h, step)]
         offsets, sizes = [], []
         for part in parts:
-            coded = _encode((_predict(part) if predictor == 2 else part).tobytes(), codec)
+            coded = _encode({2: _predict, 3: _predict_float}.get(predictor, np.asarray)(part).tobytes(), codec)
             offsets.append(len(out))
             sizes.append(len(coded))
             out += coded
@@ -256,7 +265,9 @@ def _page(data: bytes, order: str, tags: dict[int, list]) -> dict:
     w, h, s, bits, codec, predictor = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
     if not w or not h:
         raise ValueError("width or height is missing")
-    if bits not in (1, 8, 16) or any(b != bits for b in tags.get(BITS, [bits])) or predictor not in (1, 2) or predictor == 2 and bits == 1:
+    if s < 1:
+        raise ValueError("a pixel has no samples")
+    if bits not in (1, 4, 8, 16, 32, 64) or any(b != bits for b in tags.get(BITS, [bits])) or predictor not in (1, 2, 3) or predictor == 2 and bits < 8 or predictor == 3 and bits < 16:
         raise ValueError("bits or predictor are not supported")
     tiled, planes = TILE_OFFSETS in tags, s if one(PLANAR, 1) == 2 else 1
     per = 1 if planes > 1 else s
@@ -267,8 +278,9 @@ def _page(data: bytes, order: str, tags: dict[int, list]) -> dict:
     across, down = -(-w // pw), -(-h // ph)
     if len(offsets) < across * down * planes:
         raise ValueError("strips or tiles are missing")
-    kind = np.dtype(f"{order}u2") if bits == 16 else np.dtype(np.uint8)
-    row_units = (pw * per + 7) // 8 if bits == 1 else pw * per
+    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
+    units = lambda n: (n * per * bits + 7) // 8 if bits < 8 else n * per
+    row_units = units(pw)
     # Rows are joined per band of parts, so that the page is held once.
     bands: list[np.ndarray] = []
     for plane in range(planes):
@@ -278,13 +290,14 @@ def _page(data: bytes, order: str, tags: dict[int, list]) -> dict:
             band = []
             for x in range(across):
                 k = (plane * down + y) * across + x
-                part = np.frombuffer(_decode(data[offsets[k] : offsets[k] + sizes[k]], codec, height * row_units * kind.itemsize), kind).reshape(height, row_units)
+                raw = _decode(data[offsets[k] : offsets[k] + sizes[k]], codec, height * row_units * kind.itemsize)
+                part = _undo_float(np.frombuffer(raw, np.uint8), height, pw, per, kind) if predictor == 3 else np.frombuffer(raw, kind).reshape(height, row_units)
                 if predictor == 2:
                     part = np.cumsum(part.reshape(height, pw, per), axis=1, dtype=kind.newbyteorder("=")).astype(kind).reshape(height, row_units)
                 band.append(part[: h - y * ph])
             rows.append(band[0] if across == 1 else np.concatenate(band, axis=1))
         image = rows[0] if down == 1 else np.concatenate(rows)
-        bands.append(image[:, : (w * per + 7) // 8 if bits == 1 else w * per])
+        bands.append(image[:, : units(w)])
     image = bands[0] if planes == 1 else np.stack(bands, axis=2).reshape(h, -1)
     return {"width": w, "height": h, "samples": s, "bits": bits, "codec": CODECS[codec], "predictor": predictor, "layout": "tiles" if tiled else "strips", "data": image.astype(kind).tobytes(), "error": None}
 
@@ -315,10 +328,12 @@ def tiff_pages(files: DataFrame, id_col: str, media_col: str = "media") -> DataF
     """One row per page: the file's id, page (from 0) and the columns of PAGE.
 
     A file that isn't readable (null and empty ones too) gives one row with an
-    error and no data, a broken page likewise. Repeated files are read each.
+    error and no data, a broken page likewise. Repeated files are read each, null ids stay, other columns
+    are ignored. If the id is named like a column of PAGE, that column gets an underscore before its name.
     """
     names = [x.split()[0] for x in PAGE.split(", ")]
     slim = files.select(id_col, media_col)
+    free = list(with_free_names(slim.select(id_col), *names).values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = dict(zip(names, [pa.int32()] * 5 + [pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string()], strict=True))
@@ -326,14 +341,12 @@ def tiff_pages(files: DataFrame, id_col: str, media_col: str = "media") -> DataF
             for i in range(len(batch)):
                 for n, page in enumerate(read_tiff(batch.column(1)[i].as_py())):
                     row = {"page": n} | page
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *[pa.array([row[c]], kinds[c]) for c in names]], names=[id_col, *names])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *[pa.array([row[c]], kinds[c]) for c in names]], names=[id_col, *free])
 
     from pyspark.sql import types as T
 
     made = T._parse_datatype_string(PAGE)
-    if id_col.lower() in names:
-        raise ValueError(f"the id column must not be one of {names}")
-    return slim.mapInArrow(run, T.StructType([slim.schema[id_col], *made.fields]))
+    return slim.mapInArrow(run, T.StructType([slim.schema[id_col], *[T.StructField(n, f.dataType) for n, f in zip(free, made.fields, strict=True)]]))
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -343,18 +356,14 @@ def payload(text: str | None) -> tuple[bytes, int]:
 
 
 def store(data: bytes) -> bytes:
-    """A payload as TIFF pages of 64 samples a row: LZW strips if tiny, PackBits strips if small, deflate tiles with prediction otherwise."""
+    """A payload as TIFF pages of 64 samples a row. Each page's codec, layout and prediction follow from its checksum, so that all occur at all sizes."""
     pages = []
     for i in range(0, len(data), ROW * PAGE_ROWS):
         part = data[i : i + ROW * PAGE_ROWS]
-        page = {"width": ROW, "height": len(part) // ROW, "data": part}
-        if len(part) <= 256:
-            page |= {"codec": LZW, "predictor": 2}
-        elif len(part) <= 8192:
-            page |= {"codec": PACKBITS, "rows_per_strip": 64}
-        else:
-            page |= {"codec": DEFLATE, "predictor": 2, "tile": (ROW, 256)}
-        pages.append(page)
+        mark = zlib.crc32(part)
+        codec = (LZW, PACKBITS, DEFLATE)[mark % 3]
+        layout = {"tile": (ROW, 64)} if mark // 3 % 2 else {"rows_per_strip": 128}
+        pages.append({"width": ROW, "height": len(part) // ROW, "data": part, "codec": codec, "predictor": 1 if codec == PACKBITS else 1 + mark // 6 % 2} | layout)
     return write_tiff(pages)
 
 
@@ -374,7 +383,8 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row of docs its text as TIFF (column media, if kept) and what reading that back gives (see DIGEST).
 
     A null text is empty, and its payload 64 zero bytes. Equal texts have equal
-    values. Null ids and repeated rows stay.
+    values. Null ids and repeated rows stay, other columns are ignored. Very long texts have a page for each
+    megabyte. An empty table gives an empty one.
     """
 
     def digest(text: str | None) -> tuple:

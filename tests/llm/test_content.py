@@ -105,16 +105,68 @@ def test_codecs_round_trip(n):
 @pytest.mark.parametrize("order", "<>")
 def test_files_round_trip(codec, order):
     w, h = 37, 29
-    for bits in (8, 16):
+    for bits in (8, 16, 32, 64):
         for samples in (1, 3):
             data = os.urandom(w * h * samples * bits // 8)
             for layout in ({"rows_per_strip": 7}, {"tile": (16, 16)}, {}):
-                for predictor in (1, 2):
+                for predictor in (1, 2, 3)[: 2 + (bits > 8)]:
                     page = {"width": w, "height": h, "samples": samples, "bits": bits, "data": data, "codec": codec, "predictor": predictor} | layout
                     got = list(tiff.read_tiff(tiff.write_tiff([page, page], order)))
                     assert [p["data"] for p in got] == [data, data]
 
 
+def test_lzw_codes_are_those_of_the_format():
+    """The example of the format's description: 7 7 7 8 8 7 7 6 6."""
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    coded = int(bits.ljust(88, "0"), 2).to_bytes(11, "big")
+    data = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert tiff.lzw_encode(data) == coded and tiff.lzw_decode(coded, 9) == data
+
+
+def test_float_prediction_by_hand():
+    """Two pixels 1.0 and 2.0 of 32 bits: bytes 3f 40, 80 00, 00 00, 00 00, as differences."""
+    plain = bytes([0x3F, 0x40, 0x80, 0, 0, 0, 0, 0])
+    coded = bytes([plain[0], *((b - a) & 255 for a, b in zip(plain, plain[1:]))])
+    page = {"width": 2, "height": 1, "bits": 32, "data": np.array([1, 2], "<f4").tobytes(), "predictor": 3}
+    made = tiff.write_tiff([page])
+    assert coded in made and next(tiff.read_tiff(made))["data"] == page["data"]
+
+
+def test_samples_of_four_bits_and_none():
+    page = {"width": 3, "height": 2, "samples": 1, "bits": 8, "data": b"\x12\x30\x45\x60\0\0"}
+    made = bytearray(tiff.write_tiff([page]))
+    at = int.from_bytes(made[4:8], "little")
+    for k in range(int.from_bytes(made[at : at + 2], "little")):
+        entry = at + 2 + 12 * k
+        if int.from_bytes(made[entry : entry + 2], "little") == tiff.BITS:
+            made[entry + 8] = 4
+            assert next(tiff.read_tiff(bytes(made)))["data"] == b"\x12\x30\x45\x60"
+            made[entry + 8] = 8
+        if int.from_bytes(made[entry : entry + 2], "little") == tiff.SAMPLES:
+            odd = made.copy()
+            odd[entry + 8] = 0
+            assert "samples" in next(tiff.read_tiff(bytes(odd)))["error"]
+
+
+def test_pages_beside_clashing_names_and_no_rows(spark):
+    good = tiff.write_tiff([{"width": 4, "height": 2, "data": b"12345678", "codec": tiff.LZW}])
+    files = spark.createDataFrame([(1, good, "x")], "Page long, media binary, data string")
+    rows = tiff.tiff_pages(files, "Page")
+    assert rows.columns[:2] == ["Page", "_page"] and [(r.Page, r._page, bytes(r.data)) for r in rows.collect()] == [(1, 0, b"12345678")]
+    assert tiff.tiff_pages(files.limit(0), "Page").count() == 0
+    docs = spark.createDataFrame([(1, "é" * 1_500_000, 5)], "doc_id long, text string, feature int")
+    r = tiff.text_media(docs).first()
+    assert r.n_bytes == 3_000_000 and r.feature.startswith("pages=3;") and tiff.text_media(docs.limit(0)).count() == 0
+
+
+def test_each_codec_meets_all_sizes(spark, sf_dir):
+    rows = tiff.op3_tiff(spark, sf_dir).collect()
+    for codec in ("lzw", "packbits", "deflate"):
+        sizes = [r.n_bytes for r in rows if f"codecs={codec};" in r.feature]
+        assert len(sizes) > 0.2 * len(rows) and min(sizes) < 1000 < max(sizes)
+
+
 def test_broken_files_say_so(spark):
     good = tiff.write_tiff([{"width": 4, "height": 2, "data": b"12345678", "codec": tiff.DEFLATE}] * 2)
     loop = bytearray(good)
