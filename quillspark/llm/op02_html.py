@@ -7,8 +7,8 @@ adverts, forms and comments are out by their markup. Short blocks stay open.
 Pass two gives an open block the label of its nearest decided neighbours.
 All blocks go through both passes. An article or main element is evidence only, and
 only if it holds at least half of the text that passes by itself: inside, more links are
-allowed and a long block of an article with few stop words stays open; outside,
-short blocks are out.
+allowed, and a long block of an article with few stop words stays open, to follow its
+neighbours; outside, short blocks are out.
 """
 
 from __future__ import annotations
@@ -40,6 +40,9 @@ STOP_WORDS = frozenset(
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li legend main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 OUT_TAGS = frozenset("nav footer aside form button select option datalist noscript template iframe svg canvas object embed audio video map dialog menu math head label input".split())
 RAW_TAGS = frozenset("script style textarea title xmp noembed noframes".split())
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Elements that only their own end tag, or that of one around them, closes.
+_WALLS = frozenset(("article", "main", "body", "table"))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Parts of class and id names whose elements are out; those of the second set only outside an article.
 OUT_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion related respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
@@ -88,32 +91,48 @@ def _out_by_markup(tag: str, attributes: str, article: bool) -> bool:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order; their text is decoded and its white space made single."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, out, in an article
+    stack: list[tuple[str, bool, int]] = []  # tag, out, in a marked region
+    # Where in the stack each tag, any block and any element that end tags of others don't reach beyond is open.
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
+    walls: list[int] = []
     runs: list[str] = []
-    links, link_depth, heading = 0, 0, False
+    links = 0
     out, article = False, 0
 
     def close_block() -> None:
         nonlocal runs, links
         if runs:
             if text := " ".join("".join(runs).split()):
-                found.append(Block(text, links, out, article, heading))
+                found.append(Block(text, links, out, article, any(places.get(t) for t in _HEADINGS)))
             runs, links = [], 0
 
+    def push(tag: str, now: bool, inside: int) -> None:
+        nonlocal out, article
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK_TAGS:
+            blocks.append(len(stack))
+        if tag in _WALLS:
+            walls.append(len(stack))
+        stack.append((tag, now, inside))
+        out, article = now, inside
+
     def pop_to(k: int) -> None:
-        nonlocal out, article, link_depth, heading
-        for tag, _, _ in stack[k:]:
-            link_depth -= tag == "a"
+        nonlocal out, article
+        for tag, _, _ in reversed(stack[k:]):
+            places[tag].pop()
+        for marks in (blocks, walls):
+            while marks and marks[-1] >= k:
+                marks.pop()
         del stack[k:]
         out, article = stack[-1][1:] if stack else (False, 0)
-        heading = any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in stack)
 
     def put(text: str) -> None:
         nonlocal links
         if text:
             text = html.unescape(text) if "&" in text else text
             runs.append(text)
-            if link_depth > 0:
+            if places.get("a"):
                 links += len("".join(text.split()))
 
     at, end = 0, len(page)
@@ -132,12 +151,8 @@ def blocks_of(page: str) -> list[Block]:
         if m[1] or m[4]:  # an end tag
             if tag in BLOCK_TAGS:
                 close_block()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if stack[k][0] in ("article", "main", "body", "table") and tag not in ("article", "main", "body", "html"):
-                    break
+            if (own := places.get(tag)) and (tag in ("article", "main", "body", "html") or not walls or own[-1] >= walls[-1]):
+                pop_to(own[-1])
             continue
         if tag in RAW_TAGS:
             close = _CLOSE[tag].search(page, at)
@@ -152,12 +167,8 @@ def blocks_of(page: str) -> list[Block]:
                 pop_to(len(stack) - 1)
             # A block ends an open paragraph, an item an open item.
             ends = ("p",) if tag not in ("li", "dt", "dd", "tr", "td", "th", "option") else {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    pop_to(k)
-                    break
-                if stack[k][0] in BLOCK_TAGS:
-                    break
+            if blocks and stack[blocks[-1]][0] in ends:
+                pop_to(blocks[-1])
         if tag in VOID_TAGS or (m[3] or m[6] or "").endswith("/") and tag not in BLOCK_TAGS:
             continue
         inside = ARTICLE if tag == "article" else article or MAIN * (tag == "main")
@@ -166,12 +177,7 @@ def blocks_of(page: str) -> list[Block]:
             close_block()
         elif tag in ("article", "main"):
             close_block()
-        stack.append((tag, now, inside))
-        out, article = now, inside
-        link_depth += tag == "a"
-        heading = heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if len(stack) > 2000:
-            del stack[100:1000]
+        push(tag, now, inside)
     close_block()
     return found
 
@@ -180,7 +186,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def first_pass(block: Block, prior: bool = False) -> str:
-    """good, bad, near (probably good) or short (open); prior: the block lies in a region that speaks for it."""
+    """good, bad, near (probably good), short or poor (both open; few stop words); prior: the block lies in a region that speaks for it."""
     n = len(block.text)
     if block.out:
         return "bad"
@@ -195,7 +201,7 @@ def first_pass(block: Block, prior: bool = False) -> str:
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if density >= STOP_HIGH:
         return "good" if n > LONG else "near"
-    return "near" if density >= STOP_LOW or prior and block.article == ARTICLE else "bad"
+    return "near" if density >= STOP_LOW else "poor" if prior and block.article == ARTICLE else "bad"
 
 
 def _trusted(blocks: list[Block]) -> bool:
@@ -226,11 +232,11 @@ def classify(blocks: list[Block]) -> list[Block]:
         last = decided[k] if decided[k] in ("good", "bad", "near") else last
     for b, x, y in zip(shown, before, after, strict=True):
         sides, prior = [s for s in (x, y) if s], marked and bool(b.article)
-        if b.label == "short":
+        if b.label in ("short", "poor"):
             if not sides:
                 b.label = "good" if prior else "bad"
             elif all(s == "bad" for s in sides):
-                b.label = "good" if prior and b.links == 0 else "bad"
+                b.label = "good" if prior and b.label == "short" and b.links == 0 else "bad"
             elif "bad" not in sides or prior or b.heading and y != "bad":
                 b.label = "good"
             else:

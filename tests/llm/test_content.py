@@ -2,9 +2,11 @@
 
 import hashlib
 import html
+import html.parser
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -77,6 +79,133 @@ def test_marked_regions_are_evidence_only():
     assert pages.main_text(f"<p>Short words.</p><article><p>{LONG}</p></article><p>{bad}</p>") == body
 
 
+class PlainBlocks(html.parser.HTMLParser):
+    """Blocks of well-formed pages of p, h2, div, a, nav, article: [text, characters in links, out, in an article, heading]."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.blocks, self.own = [], [], ["", 0]
+        self.feed(page)
+        self.cut()
+
+    def cut(self):
+        if text := " ".join(self.own[0].split()):
+            self.blocks.append([text, self.own[1], "nav" in self.open, "article" in self.open, "h2" in self.open])
+        self.own = ["", 0]
+
+    def handle_starttag(self, tag, attrs):
+        if tag != "a":
+            self.cut()
+        self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag != "a":
+            self.cut()
+        self.open.remove(tag)
+
+    def handle_data(self, data):
+        self.own[0] += data
+        self.own[1] += len("".join(data.split())) * ("a" in self.open)
+
+
+def two_passes(blocks, stop):
+    """The rules as the module states them, by plain loops."""
+
+    def alone(text, links, out, prior):
+        if out:
+            return "bad"
+        if links > (0.7 if prior else 0.2) * len(text) or not prior and links and len(text) < 70:
+            return "bad"
+        if len(text) < 70:
+            return "short"
+        found = re.findall(r"[^\W\d_]+", text.lower())
+        density = len([w for w in found if w in stop]) / max(1, len(found))
+        if density < 0.2:
+            return "poor" if prior else "bad"
+        return "good" if density >= 0.3 and len(text) > 200 else "near"
+
+    passing = {inside: sum(len(b[0]) for b in blocks if b[3] == inside and alone(b[0], b[1], b[2], False) in ("good", "near")) for inside in (True, False)}
+    trusted = any(b[3] and not b[2] for b in blocks) and passing[True] >= passing[False]
+    shown = [b for b in blocks if not b[2]]
+    first = []
+    for b in shown:
+        label = alone(b[0], b[1], False, trusted and b[3])
+        first.append("bad" if trusted and not b[3] and label == "short" else label)
+    kept = []
+    for k, b in enumerate(shown):
+        decided = ("good", "bad", "near")
+        before = next((x for x in reversed(first[:k]) if x in decided), None)
+        after = next((x for x in first[k + 1 :] if x in decided), None)
+        sides = [x for x in (before, after) if x]
+        prior, label = trusted and b[3], first[k]
+        if label == "near":
+            good = sides != ["bad", "bad"]
+        elif label in ("good", "bad"):
+            good = label == "good"
+        elif not sides:
+            good = prior
+        elif set(sides) == {"bad"}:
+            good = prior and label == "short" and not b[1]
+        else:
+            good = "bad" not in sides or prior or b[4] and after != "bad"
+        if good:
+            kept.append(b[0])
+    return "\n".join(kept)
+
+
+def test_pages_by_an_independent_two_pass(monkeypatch):
+    """Random pages of blocks, with the stop words and without; density decides outside articles and inside."""
+    rng = random.Random(7)
+    good, poor = "the cat of a dog in it", "zork blim quax dorn vlim"
+    def words(n, p):
+        return " ".join(rng.choice((good if rng.random() < p else poor).split()) for _ in range(n))
+    made = []
+    for _ in range(400):
+        page = []
+        for _ in range(rng.randint(1, 9)):
+            text = words(rng.choice([2, 6, 20, 25, 60]), rng.choice([0, 0.15, 0.35, 0.6, 1]))
+            if rng.random() < 0.3:
+                text += f" <a href=x>{words(rng.choice([1, 8, 40]), 0.5)}</a>"
+            page.append(f"<{(t := rng.choice(['p', 'p', 'div', 'h2', 'nav']))}>{text}</{t}>")
+        if rng.random() < 0.6:
+            i = rng.randint(0, len(page))
+            j = rng.randint(i, len(page))
+            page[i:i] = ["<article>"]
+            page[j + 1 : j + 1] = ["</article>"]
+        made.append("".join(page))
+    results = []
+    for stop in (pages.STOP_WORDS, frozenset()):
+        monkeypatch.setattr(pages, "STOP_WORDS", stop)
+        results.append([pages.main_text(p) for p in made])
+        assert results[-1] == [two_passes(PlainBlocks(p).blocks, stop) for p in made]
+    assert sum(a != b for a, b in zip(*results, strict=True)) > 100
+
+
+def test_few_stop_words_in_an_article_follow_the_neighbours():
+    poor = "Zzz qqq xxx vvv kkk jjj zzz qqq xxx vvv kkk jjj zzz qqq xxx vvv kkk jjj zzz qqq."
+    links = f"<p><a href=x>{poor}</a></p>"
+    assert pages.main_text(f"<article>{links}<p>{poor}</p>{links}<p>{LONG}</p></article>") == LONG.strip()
+    assert pages.main_text(f"<article><p>{LONG}</p><p>{poor}</p>{links}</article>") == f"{LONG.strip()}\n{poor}"
+
+
+def test_deep_nesting_loses_nothing_and_is_linear():
+    rest = "The rest of the article follows here."
+    for n in (1_950, 100_000):
+        page = f"<article><p>{LONG}</p><div><aside>{'<span>' * n}not this</aside></div><p>{rest}</p></article>"
+        began = time.time()
+        assert pages.main_text(page) == f"{LONG.strip()}\n{rest}"
+        assert pages.main_text(f"<article>{'<div>' * n}<p>{LONG}</p>{'</div>' * n}<p>{rest}</p>{'</b></i>' * n}</article>") == f"{LONG.strip()}\n{rest}"
+        assert pages.main_text(f"<article>{('<span><p>' + rest) * (n // 50)}<p>{LONG}</article>").count(rest) == n // 50
+        assert time.time() - began < 10
+
+
+def test_pages_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, None, f"<p>{LONG}</p>" * 3000), (1, "u", ""), (2, "u", None)], "page_id long, url string, html string")
+    rows = pages.extract(df).collect()
+    assert sorted((r.page_id, r.url or "", r.n_chars) for r in rows) == [(1, "", 3000 * (len(LONG.strip()) + 1) - 1), (1, "u", 0), (2, "u", 0)]
+    assert pages.extract(df.limit(0)).columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_ambiguous_blocks_follow_their_neighbours():
     bad = "Zzz qqq xxx vvv kkk jjj zzz qqq xxx vvv kkk jjj zzz qqq xxx vvv kkk jjj zzz qqq."
     assert pages.main_text(f"<p>{bad}</p><p>Hm.</p><p>{bad}</p><p>{LONG}</p><p>Yes.</p><p>{LONG}</p>") == f"{LONG.strip()}\nYes.\n{LONG.strip()}"
