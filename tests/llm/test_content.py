@@ -6,6 +6,7 @@ import html.parser
 import os
 import random
 import re
+import textwrap
 import time
 import zlib
 
@@ -332,6 +333,7 @@ def test_inheritance_and_ties(spark):
         (1, "r", "LICENSE", "Licensed under the Apache License, Version 2.0."),
         (2, "r", "a/b/x", "nothing"),
         (3, "r", "a/LICENSE", "Released under the MIT License."),
+        (8, "r", "a/COPYING.txt", "text\nThis work is licensed under the GNU General Public License, version 3.\nmore"),
         (4, "r", "a/b/c/y", None),
         (5, "other", "z", "nothing"),
         (6, None, None, ""),
@@ -343,14 +345,48 @@ def test_inheritance_and_ties(spark):
     out = license_scan.scan(df, templates, "file", "repo", "path", "text").collect()
     got = sorted((r.id, r.license, r.origin, r.origin_dir) for r in out if r.id != 6)
     # The directory a has two licenses; the better score, then the first name, speaks for it.
-    best = max((r.score, r.license) for r in out if r.id in (3, 7))
-    assert got[0] == (1, "Apache-2.0", "own", "") and got[2] == (3, "MIT", "own", "a") and got[-1] == (7, "GPL-3.0", "own", "a")
+    best = max((r.score, r.license) for r in out if r.id in (3, 8))
+    assert got[0] == (1, "Apache-2.0", "own", "") and got[2] == (3, "MIT", "own", "a") and got[-2:] == [(7, "GPL-3.0", "own", "a"), (8, "GPL-3.0", "own", "a")]
     assert all(x[2:] == ("inherited", "a") for x in got if x[0] in (2, 4)) and best[0] > 0.9
     assert got[4] == (5, None, "none", None)
     assert sum(r.id == 6 and r.origin == "none" for r in out) == 2
     assert license_scan.scan(df.limit(0), templates, "file", "repo", "path", "text").count() == 0
 
 
+def test_wrapped_headers_licence_files_and_long_lines(spark):
+    bsd = next(n for name, n in license_scan.TEMPLATES if name == "BSD-3-Clause" and "Neither" in n)
+    mit = next(n for name, n in license_scan.TEMPLATES if name == "MIT" and "NONINFRINGEMENT" in n)
+    wrap = lambda text, n, mark: "\n".join(mark + line for line in textwrap.wrap(text, n))
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    rows = [
+        (1, "r", "a.c", "/* " + wrap(mpl, 70, " * ").lstrip(" *") + " */\nint main;\n" + "x " * 300),
+        (2, "r", "lib/LICENSE.txt", "Copyright (c) 2001\n\n" + bsd.replace(". 1.", ".\n\n1.").replace(" 3. ", "\n\n3. ").replace(" THIS SOFTWARE IS", "\n\nTHIS SOFTWARE IS")),
+        (3, "r", "b.py", wrap(gpl, 75, "# ") + "\n\ncode = 1"),
+        (4, "r", "lib/c/d.js", "no license in sight"),
+        (5, "r", "e.js", "word\n\n" + wrap(mit, 60, "") + "\n\nmore words"),
+        (6, "r", "f.js", "Released under the MIT License. " * 100),
+        (7, "r", "lib/g/COPYING", None),
+        (8, "r", "lib/h/own.py", "# Released under the MIT License."),
+        (9, "r", "lib/h/other.py", "nothing"),
+    ]
+    templates = spark.createDataFrame(license_scan.TEMPLATES, "license string, notice string")
+    df = spark.createDataFrame(rows, "file long, repo string, path string, text string")
+    got = {r.id: (r.license, r.origin, r.origin_dir) for r in license_scan.scan(df, templates, "file", "repo", "path", "text").collect()}
+    assert got == {
+        1: ("MPL-2.0", "own", ""),
+        2: ("BSD-3-Clause", "own", "lib"),
+        3: ("GPL-3.0", "own", ""),
+        4: ("BSD-3-Clause", "inherited", "lib"),
+        5: ("MIT", "own", ""),
+        6: ("MIT", "own", ""),
+        7: ("BSD-3-Clause", "inherited", "lib"),
+        8: ("MIT", "own", "lib/h"),
+        9: ("BSD-3-Clause", "inherited", "lib"),  # a file with a notice doesn't speak for its directory
+    }
+    assert {r.origin for r in license_scan.scan(df, templates.limit(0), "file", "repo", "path", "text").collect()} == {"none"}
+
+
 # -- URLs
 
 
