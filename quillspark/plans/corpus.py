@@ -110,8 +110,13 @@ def parsed(files: DataFrame, parser: Callable[[str], object], kind: str, name: s
 
 _TREE = "CASE WHEN k = 0 THEN '' WHEN k <= 3 THEN 'p' || k || '/' WHEN k <= 12 THEN 'p' || ((k - 1) {div} 3) || '/p' || k || '/' ELSE 'p' || (((k - 1) {div} 3 - 1) {div} 3) || '/p' || ((k - 1) {div} 3) || '/p' || k || '/' END"
 _NAME = "CASE id % 13 WHEN 4 THEN 'claude.MD' WHEN 7 THEN 'README.md' WHEN 9 THEN 'notes.txt' ELSE 'CLAUDE.md' END"
-#: Where bind() puts the documents of the slots that CORPUS_SQL leaves out.
-_ASIDE = "aside/"
+#: Some slots lie one directory deeper, so that ancestors are missing; some, and all copies, in the hidden folder.
+_FOLDER = "CASE WHEN k % 7 = 5 THEN 'aside/' ELSE '' END || CASE WHEN k % 11 = 3 OR c = 1 THEN '.claude/' ELSE '' END"
+#: A tenth of the documents have a second file, with the same content or one more line.
+_COPIES = "CASE WHEN id % 10 = 6 THEN [0, 1] ELSE [0] END"
+_MORE = "CASE WHEN c = 1 AND id % 20 = 6 THEN text || chr(10) || 'one more line' ELSE text END"
+#: Copies' ids follow after so many.
+_COPY_IDS = 10_000_000_000
 _LINE = """CASE (i + id) % 8
  WHEN 0 THEN repeat('#', CAST(1 + ((i + id) {div} 8) % 4 AS INT)) || ' ' || CASE WHEN id % 6 = 1 THEN 'Claude-specific notes' ELSE l END
  WHEN 1 THEN '- ' || l
@@ -123,42 +128,34 @@ _LINE = """CASE (i + id) % 8
  ELSE l END"""
 
 
-def _bound(spark: SparkSession, sf_dir: str, moved: bool) -> Corpus:
+def bind(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The corpus of a folder of test tables: documents as Markdown files of synthetic repositories, one per source and 40 slots.
+
+    Every document is a file, and some are two.
+    """
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = docs.selectExpr("doc_id AS id", "source || '/r' || (doc_id div 800) AS repo_full_name", "(doc_id div 20) % 40 AS k", "text", "lang")
     repos = base.groupBy("repo_full_name").agg(F.min("id").alias("m"), F.max("lang").alias("lang"))
     repos = repos.selectExpr("repo_full_name AS full_name", "CASE WHEN m % 7 = 3 THEN NULL ELSE CAST((m * 37) % 5000 AS INT) END AS stars", "CASE WHEN m % 11 = 5 THEN NULL ELSE lang END AS language")
     tree, line = _TREE.format(div="div"), _LINE.format(div="div")
-    files = (base if moved else base.filter("k % 7 <> 5")).selectExpr(
-        "id",
+    files = base.selectExpr("*", f"explode({_COPIES.replace('[', 'array(').replace(']', ')')}) AS c").selectExpr(
+        f"id + c * {_COPY_IDS} AS id",
         "repo_full_name",
-        f"({tree}) || CASE WHEN k % 7 = 5 THEN '{_ASIDE}' ELSE '' END || CASE WHEN k % 11 = 3 THEN '.claude/' ELSE '' END || ({_NAME}) AS path",
+        f"({tree}) || {_FOLDER} || ({_NAME}) AS path",
         "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS tool_id",
-        f"array_join(transform(split(text, '\\n', -1), (l, i) -> {line}), '\\n') AS content",
+        f"array_join(transform(split({_MORE}, '\\n', -1), (l, i) -> {line}), '\\n') AS content",
         "lang",
     )
     files = files.withColumn("content_hash", F.sha2("content", 256)).withColumn("size_bytes", F.octet_length("content").cast("long"))
     return Corpus(fitted(repos, "repos"), fitted(files, "files"))
 
 
-def bind(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The corpus of a folder of test tables: documents as Markdown files of synthetic repositories, one per source and 40 slots.
-
-    Every document is a file. Those of some slots lie one directory deeper, so that some ancestors are missing.
-    """
-    return _bound(spark, sf_dir, True)
-
-
-def bind_as_sql(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The corpus as CORPUS_SQL has it, for the queries that are held to SQL: without the documents of those slots."""
-    return _bound(spark, sf_dir, False)
-
-
 CORPUS_SQL = f"""
 WITH base AS (SELECT doc_id AS id, source || '/r' || (doc_id // 800) AS repo, (doc_id // 20) % 40 AS k, text, lang FROM documents),
 repos AS (SELECT repo AS full_name, CASE WHEN min(id) % 7 = 3 THEN NULL ELSE CAST((min(id) * 37) % 5000 AS INT) END AS stars, CASE WHEN min(id) % 11 = 5 THEN NULL ELSE max(lang) END AS language FROM base GROUP BY repo),
-named AS (SELECT id, repo, ({_TREE.format(div="//")}) || CASE WHEN k % 11 = 3 THEN '.claude/' ELSE '' END || ({_NAME}) AS path, CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS tool_id, text FROM base WHERE k % 7 <> 5),
-marked AS (SELECT id, repo, path, tool_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, j: {_LINE.format(div="//").replace("(i + id)", "(j - 1 + id)")}), chr(10)) AS content FROM named),
+copied AS (SELECT *, unnest({_COPIES}) AS c FROM base),
+named AS (SELECT id, c, repo, ({_TREE.format(div="//")}) || {_FOLDER} || ({_NAME}) AS path, CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS tool_id, {_MORE} AS text FROM copied),
+marked AS (SELECT id + c * {_COPY_IDS} AS id, repo, path, tool_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, j: {_LINE.format(div="//").replace("(i + id)", "(j - 1 + id)")}), chr(10)) AS content FROM named),
 files AS (SELECT *, sha256(content) AS content_hash, CAST(strlen(content) AS BIGINT) AS size_bytes FROM marked),
 exact AS (SELECT * FROM files WHERE lower(path) = 'claude.md' OR lower(path) LIKE '%/claude.md')
 """
