@@ -77,7 +77,8 @@ def test_external_references():
 
 def of(line, category="other_md"):
     r = references.local_references(line)[0]
-    return references.intent(r["syntax"], r["raw"], r["source_line"], r["source_line"], category)
+    rule, acts = references.cue(r["syntax"], r["raw"], r["source_line"], r["source_line"])
+    return rule or (references.ACTION if acts and category in references.ACTION_CATEGORIES else "no_explicit_instructional_cue_v1")
 
 
 @pytest.mark.parametrize(
@@ -93,12 +94,12 @@ def of(line, category="other_md"):
     ],
 )
 def test_intents(line, rule):
-    assert of(line)[2] == rule
+    assert of(line) == rule
 
 
 def test_intent_depends_on_the_target():
-    assert of("Please see team.md", "agents_md")[2] == "instruction_target_action_v1"
-    assert of("Please see team.md")[3] == 0
+    assert of("Please see team.md", "agents_md") == "instruction_target_action_v1"
+    assert of("Please see team.md") == "no_explicit_instructional_cue_v1"
 
 
 def test_context_takes_the_line_that_announces_it():
