@@ -152,17 +152,17 @@ def anomalies(path: Column) -> dict[str, Column]:
 
 #: Directory names that tell what a copy is for.
 CONTEXTS = {
-    "benchmark_or_run": "benchmark benchmarks eval evals evaluation evaluations fixture fixtures run runs",
-    "template_or_example": "example examples sample samples scaffold scaffolds starter starters template templates",
-    "mirror_or_vendor": "mirror mirrors third_party vendor vendored",
-    "skill_plugin_or_agent": "agent agents plugin plugins skill skills",
-    "package_app_or_component": "app apps component components connector connectors crate crates package packages service services",
+    "benchmark_or_run": ["benchmark", "benchmarks", "eval", "evals", "evaluation", "evaluations", "fixture", "fixtures", "run", "runs"],
+    "template_or_example": ["example", "examples", "sample", "samples", "scaffold", "scaffolds", "starter", "starters", "template", "templates"],
+    "mirror_or_vendor": ["mirror", "mirrors", "third_party", "vendor", "vendored"],
+    "skill_plugin_or_agent": ["agent", "agents", "plugin", "plugins", "skill", "skills"],
+    "package_app_or_component": ["app", "apps", "component", "components", "connector", "connectors", "crate", "crates", "package", "packages", "service", "services"],
 }
 
 
 def context_tags(components: Column) -> Column:
     """Tags of a set of lower-cased directory names, joined by semicolons."""
-    found = [F.when(F.arrays_overlap(components, F.array(*map(F.lit, names.split()))), tag) for tag, names in CONTEXTS.items()]
+    found = [F.when(F.arrays_overlap(components, F.array(*map(F.lit, names))), tag) for tag, names in CONTEXTS.items()]
     return F.concat_ws(";", *found)
 
 

@@ -12,38 +12,70 @@ WORD = "[\\p{L}\\p{N}_]+(?:[-'][\\p{L}\\p{N}_]+)*"
 WORD_NO_UNDERSCORE = "[\\p{L}\\p{N}]+(?:['’\\-][\\p{L}\\p{N}]+)*"
 WORD_LETTERS = "[\\p{L}\\p{Nl}\\p{No}]+(?:['’\\-][\\p{L}\\p{Nl}\\p{No}]+)*"
 
-#: The fence labels of a language and the name they are counted under.
-FENCE_FAMILIES = {
+#: Fence labels and the name that they are counted under.
+FENCE_ALIASES = {
     "(untagged)": "(untagged)",
-    "Shell": "bash sh shell shellscript zsh fish ksh",
-    "PowerShell": "powershell ps1",
-    "TypeScript": "typescript ts tsx",
-    "JavaScript": "javascript js jsx node nodejs",
-    "Python": "python py python3",
-    "JSON": "json jsonc json5",
-    "YAML": "yaml yml",
-    "Plain text": "text txt plaintext plain",
-    "Markdown": "markdown md",
-    "C#": "csharp cs c#",
-    "C++": "cpp c++ cxx",
-    "Go": "go golang",
-    "Rust": "rust rs",
-    "SQL": "sql postgresql postgres mysql sqlite",
-    "HTML": "html htm",
-    "CSS": "css",
-    "Java": "java",
-    "Kotlin": "kotlin",
-    "Swift": "swift",
-    "PHP": "php",
-    "Ruby": "ruby",
-    "Lua": "lua",
-    "Dart": "dart",
-    "TOML": "toml",
-    "XML": "xml",
-    "Dockerfile": "dockerfile",
-    "Mermaid": "mermaid",
+    "bash": "Shell",
+    "sh": "Shell",
+    "shell": "Shell",
+    "shellscript": "Shell",
+    "zsh": "Shell",
+    "fish": "Shell",
+    "ksh": "Shell",
+    "powershell": "PowerShell",
+    "ps1": "PowerShell",
+    "typescript": "TypeScript",
+    "ts": "TypeScript",
+    "tsx": "TypeScript",
+    "javascript": "JavaScript",
+    "js": "JavaScript",
+    "jsx": "JavaScript",
+    "node": "JavaScript",
+    "nodejs": "JavaScript",
+    "python": "Python",
+    "py": "Python",
+    "python3": "Python",
+    "json": "JSON",
+    "jsonc": "JSON",
+    "json5": "JSON",
+    "yaml": "YAML",
+    "yml": "YAML",
+    "text": "Plain text",
+    "txt": "Plain text",
+    "plaintext": "Plain text",
+    "plain": "Plain text",
+    "markdown": "Markdown",
+    "md": "Markdown",
+    "csharp": "C#",
+    "cs": "C#",
+    "c#": "C#",
+    "cpp": "C++",
+    "c++": "C++",
+    "cxx": "C++",
+    "go": "Go",
+    "golang": "Go",
+    "rust": "Rust",
+    "rs": "Rust",
+    "sql": "SQL",
+    "postgresql": "SQL",
+    "postgres": "SQL",
+    "mysql": "SQL",
+    "sqlite": "SQL",
+    "html": "HTML",
+    "htm": "HTML",
+    "css": "CSS",
+    "java": "Java",
+    "kotlin": "Kotlin",
+    "swift": "Swift",
+    "php": "PHP",
+    "ruby": "Ruby",
+    "lua": "Lua",
+    "dart": "Dart",
+    "toml": "TOML",
+    "xml": "XML",
+    "dockerfile": "Dockerfile",
+    "mermaid": "Mermaid",
 }
-FENCE_ALIASES = {label: family for family, labels in FENCE_FAMILIES.items() for label in labels.split()}
 UNTAGGED = "(untagged)"
 
 
@@ -154,49 +186,49 @@ def language_code(code: Column) -> Column:
 
 #: Script blocks as code point ranges, in the order in which they are tried, and the languages of a script.
 SCRIPTS = {
-    "Japanese kana": "3040-30FF 31F0-31FF",
-    "Hangul": "1100-11FF 3130-318F AC00-D7AF",
-    "Han": "3400-4DBF 4E00-9FFF F900-FAFF",
-    "Cyrillic": "0400-052F",
-    "Arabic": "0600-06FF 0750-077F 08A0-08FF",
-    "Hebrew": "0590-05FF",
-    "Greek": "0370-03FF",
-    "Devanagari": "0900-097F",
-    "Bengali": "0980-09FF",
-    "Gurmukhi": "0A00-0A7F",
-    "Gujarati": "0A80-0AFF",
-    "Tamil": "0B80-0BFF",
-    "Telugu": "0C00-0C7F",
-    "Kannada": "0C80-0CFF",
-    "Malayalam": "0D00-0D7F",
-    "Thai": "0E00-0E7F",
-    "Georgian": "10A0-10FF 2D00-2D2F",
-    "Armenian": "0530-058F",
+    "Japanese kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF)],
+    "Hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)],
+    "Han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)],
+    "Cyrillic": [(0x0400, 0x052F)],
+    "Arabic": [(0x0600, 0x06FF), (0x0750, 0x077F), (0x08A0, 0x08FF)],
+    "Hebrew": [(0x0590, 0x05FF)],
+    "Greek": [(0x0370, 0x03FF)],
+    "Devanagari": [(0x0900, 0x097F)],
+    "Bengali": [(0x0980, 0x09FF)],
+    "Gurmukhi": [(0x0A00, 0x0A7F)],
+    "Gujarati": [(0x0A80, 0x0AFF)],
+    "Tamil": [(0x0B80, 0x0BFF)],
+    "Telugu": [(0x0C00, 0x0C7F)],
+    "Kannada": [(0x0C80, 0x0CFF)],
+    "Malayalam": [(0x0D00, 0x0D7F)],
+    "Thai": [(0x0E00, 0x0E7F)],
+    "Georgian": [(0x10A0, 0x10FF), (0x2D00, 0x2D2F)],
+    "Armenian": [(0x0530, 0x058F)],
 }
 SCRIPT_LANGUAGES = {
-    "Japanese kana": "ja",
-    "Hangul": "ko",
-    "Han": "zh ja",
-    "Cyrillic": "be bg kk ky mk mn ru sr tg uk",
-    "Arabic": "ar fa ps sd ug ur",
-    "Hebrew": "he yi",
-    "Greek": "el",
-    "Devanagari": "hi mr ne sa",
-    "Bengali": "as bn",
-    "Gurmukhi": "pa",
-    "Gujarati": "gu",
-    "Tamil": "ta",
-    "Telugu": "te",
-    "Kannada": "kn",
-    "Malayalam": "ml",
-    "Thai": "th",
-    "Georgian": "ka",
-    "Armenian": "hy",
+    "Japanese kana": ["ja"],
+    "Hangul": ["ko"],
+    "Han": ["zh", "ja"],
+    "Cyrillic": ["be", "bg", "kk", "ky", "mk", "mn", "ru", "sr", "tg", "uk"],
+    "Arabic": ["ar", "fa", "ps", "sd", "ug", "ur"],
+    "Hebrew": ["he", "yi"],
+    "Greek": ["el"],
+    "Devanagari": ["hi", "mr", "ne", "sa"],
+    "Bengali": ["as", "bn"],
+    "Gurmukhi": ["pa"],
+    "Gujarati": ["gu"],
+    "Tamil": ["ta"],
+    "Telugu": ["te"],
+    "Kannada": ["kn"],
+    "Malayalam": ["ml"],
+    "Thai": ["th"],
+    "Georgian": ["ka"],
+    "Armenian": ["hy"],
 }
 
 
-def _script_class(ranges: str) -> str:
-    return "[" + "".join(f"\\x{{{a}}}-\\x{{{b}}}" for a, b in (r.split("-") for r in ranges.split())) + "]"
+def _script_class(ranges: list[tuple[int, int]]) -> str:
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
 def dominant_script(text: Column) -> Column:
@@ -207,5 +239,5 @@ def dominant_script(text: Column) -> Column:
 
 
 def script_fits(language: Column, script: Column) -> Column:
-    known = F.create_map(*[x for name, codes in SCRIPT_LANGUAGES.items() for x in (F.lit(name), F.array(*map(F.lit, codes.split())))])
+    known = F.create_map(*[x for name, codes in SCRIPT_LANGUAGES.items() for x in (F.lit(name), F.array(*map(F.lit, codes)))])
     return F.coalesce(F.array_contains(F.element_at(known, script), language), F.lit(True))

@@ -7,30 +7,30 @@ import re
 _BLOCK = re.compile(r"^```(\S*)[ \t]*\n(.*?)^```", re.M | re.S)
 SNIPPET, DETECTIONS, EDGES = 600, 30, 100
 
-#: The catalogue. labels: fence labels; bounds: marks around a block outside fences; subtypes: texts in the first lines; patterns: of blocks whose label names no notation.
+#: The catalogue. boundary_markers stand around a block outside fences, subtype_markers in its first lines; untagged_heuristics are of blocks whose label names no notation.
 CATALOGUE = [
     {
         "id": "mermaid",
         "name": "Mermaid",
-        "labels": ["mermaid"],
-        "subtypes": {"flowchart": ["graph ", "graph;", "flowchart "], "sequence": ["sequenceDiagram"], "state": ["stateDiagram"], "class": ["classDiagram"], "er": ["erDiagram"], "gantt": ["gantt"], "journey": ["journey"], "pie": ["pie "]},
-        "patterns": ["sequenceDiagram", "classDiagram", "stateDiagram", "erDiagram"],
+        "fence_languages": ["mermaid"],
+        "subtype_markers": {"flowchart": ["graph ", "graph;", "flowchart "], "sequence": ["sequenceDiagram"], "state": ["stateDiagram"], "class": ["classDiagram"], "er": ["erDiagram"], "gantt": ["gantt"], "journey": ["journey"], "pie": ["pie "]},
+        "untagged_heuristics": ["sequenceDiagram", "classDiagram", "stateDiagram", "erDiagram"],
     },
     {
         "id": "plantuml",
         "name": "PlantUML",
-        "labels": ["plantuml", "puml", "uml"],
-        "bounds": ["@startuml", "@enduml"],
-        "subtypes": {"sequence": ["participant ", "actor "], "class": ["class ", "interface "], "state": ["state "], "usecase": ["usecase "]},
-        "patterns": ["@startuml"],
+        "fence_languages": ["plantuml", "puml", "uml"],
+        "boundary_markers": ["@startuml", "@enduml"],
+        "subtype_markers": {"sequence": ["participant ", "actor "], "class": ["class ", "interface "], "state": ["state "], "usecase": ["usecase "]},
+        "untagged_heuristics": ["@startuml"],
     },
-    {"id": "graphviz", "name": "Graphviz / DOT", "labels": ["dot", "graphviz"], "subtypes": {"directed": ["digraph"], "undirected": ["graph "]}, "patterns": ["digraph ", "digraph{", "rankdir="]},
-    {"id": "d2", "name": "D2", "labels": ["d2"]},
-    {"id": "ascii_diagram", "name": "ASCII / box-drawing diagram", "labels": ["ascii", "asciiart"], "patterns": ["[┌┐└┘├┤┬┴┼─│]", "\\+[-]{2,}\\+", "<-{2,}>|-{2,}>|<-{2,}"]},
-    {"id": "bnf_ebnf", "name": "BNF / EBNF grammar", "labels": ["bnf", "ebnf", "abnf"], "patterns": ["::="]},
-    {"id": "regex_dsl", "name": "Regular expression listing", "labels": ["regex", "regexp"]},
-    {"id": "json_schema", "name": "JSON Schema", "labels": ["json"], "patterns": ['"$schema"', '"type": "object"', '"properties":']},
-    {"id": "yaml_schema", "name": "YAML-defined schema/spec", "labels": ["yaml", "yml"], "patterns": ["openapi:", "swagger:", "$schema:"]},
+    {"id": "graphviz", "name": "Graphviz / DOT", "fence_languages": ["dot", "graphviz"], "subtype_markers": {"directed": ["digraph"], "undirected": ["graph "]}, "untagged_heuristics": ["digraph ", "digraph{", "rankdir="]},
+    {"id": "d2", "name": "D2", "fence_languages": ["d2"]},
+    {"id": "ascii_diagram", "name": "ASCII / box-drawing diagram", "fence_languages": ["ascii", "asciiart"], "untagged_heuristics": ["[┌┐└┘├┤┬┴┼─│]", "\\+[-]{2,}\\+", "<-{2,}>|-{2,}>|<-{2,}"]},
+    {"id": "bnf_ebnf", "name": "BNF / EBNF grammar", "fence_languages": ["bnf", "ebnf", "abnf"], "untagged_heuristics": ["::="]},
+    {"id": "regex_dsl", "name": "Regular expression listing", "fence_languages": ["regex", "regexp"]},
+    {"id": "json_schema", "name": "JSON Schema", "fence_languages": ["json"], "untagged_heuristics": ['"$schema"', '"type": "object"', '"properties":']},
+    {"id": "yaml_schema", "name": "YAML-defined schema/spec", "fence_languages": ["yaml", "yml"], "untagged_heuristics": ["openapi:", "swagger:", "$schema:"]},
 ]
 
 # How relations and rules look.
@@ -77,8 +77,8 @@ def shape(notation: str, subtype: str | None, body: str) -> dict:
 class Detector:
     def __init__(self, catalogue: list[dict] | None = None):
         self.catalogue = catalogue or CATALOGUE
-        self.by_label = {x.lower(): n for n in self.catalogue for x in n.get("labels", [])}
-        self.tests = {n["id"]: [self._test(p) for p in n.get("patterns", [])] for n in self.catalogue}
+        self.by_label = {x.lower(): n for n in self.catalogue for x in n.get("fence_languages", [])}
+        self.tests = {n["id"]: [self._test(p) for p in n.get("untagged_heuristics", [])] for n in self.catalogue}
 
     @staticmethod
     def _test(pattern: str):
@@ -97,7 +97,7 @@ class Detector:
     @staticmethod
     def subtype(notation: dict, body: str) -> str | None:
         head = "\n".join(body.strip().splitlines()[:3]).lower()
-        return next((name for name, marks in notation.get("subtypes", {}).items() if any(m.lower() in head for m in marks)), None)
+        return next((name for name, marks in notation.get("subtype_markers", {}).items() if any(m.lower() in head for m in marks)), None)
 
     def _found(self, notation: dict, body: str, confidence: str, via: str) -> dict:
         subtype, snippet = self.subtype(notation, body), body.strip()
@@ -112,8 +112,8 @@ class Detector:
             else:
                 out += [self._found(n, body, "medium", "untagged_heuristic") for n in self.matching(body)]
         for n in self.catalogue:
-            if len(n.get("bounds", [])) == 2:
-                a, b = map(re.escape, n["bounds"])
+            if len(n.get("boundary_markers", [])) == 2:
+                a, b = map(re.escape, n["boundary_markers"])
                 for body in re.findall(f"{a}(.*?){b}", text, re.S):
                     head = body.strip()[:40]
                     if not any(d["id"] == n["id"] and d["snippet"].strip().startswith(head) for d in out):

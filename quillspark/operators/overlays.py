@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from .imports import CANDIDATE, import_tokens, resolve
+from .imports import CANDIDATE, import_tokens, target_name
 from .markdown import headings
 
 # Names, words and cues.
@@ -81,11 +81,11 @@ def label_kind(name: str) -> str:
     return next((kind for kind, p in _KINDS if p.search(name)), "notes_configuration_or_context")
 
 
-def analyze(text: str, path: str, minimum_words: int = 3, limit: int = 500) -> dict | None:
+def analyze(text: str, minimum_words: int = 3, limit: int = 500) -> dict | None:
     """See OVERLAY; None if the file has no active import of the target."""
     if minimum_words <= 0 or limit <= 0:
         raise ValueError("minimum_words and limit must be positive")
-    found = [t for t in import_tokens(text) if t["decision"] == CANDIDATE and resolve(path, t["target"])["name"].casefold() == TARGET]
+    found = [t for t in import_tokens(text) if t["decision"] == CANDIDATE and target_name(t["target"]).casefold() == TARGET]
     if not found:
         return None
     spans, last = [(t["start"], t["end"]) for t in found], max(t["end"] for t in found)

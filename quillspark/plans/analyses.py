@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, paths, sampling, stats, text
 from ..operators import forms, imports, markdown, notations, overlays, prose, references, relational
-from ..operators.storage import written
+from ..operators.storage import small, written
 from .corpus import TARGET, Corpus, parsed
 
 WINDOWS = {"200k": 200_000, "500k": 500_000, "1M": 1_000_000}
@@ -94,9 +94,14 @@ def duplicates(corpus: Corpus, scope: str = "markdown", rank: bool = True) -> di
 
 
 def families(corpus: Corpus, scope: str = "exact") -> DataFrame:
-    """One row per distinct content with its number of copies, represented by its first file."""
-    keyed = corpus.population(scope).filter("content IS NOT NULL").withColumn("identity", text.identity(F.col("content_hash"), F.col("id")))
-    return relational.representative(keyed, "identity", *relational.folded_order())
+    """One row per distinct content with its number of copies, represented by its first file.
+
+    The file is chosen among ids, names and hashes; its content stays where the scan has put it, unless there are
+    too many families for a broadcast.
+    """
+    files = corpus.population(scope).filter("content IS NOT NULL").withColumn("identity", text.identity(F.col("content_hash"), F.col("id")))
+    first = relational.representative(files.select("id", "repo_full_name", "path", "identity"), "identity", *relational.folded_order())
+    return files.join(small(written(first.select("id", "copies"), "families")), "id")
 
 
 # -- Markdown structure ------------------------------------------------------------------------------
@@ -104,8 +109,8 @@ def families(corpus: Corpus, scope: str = "exact") -> DataFrame:
 
 def sections(corpus: Corpus, scope: str = "exact", heading_limit: int = 1000) -> dict[str, DataFrame]:
     """Headings and section bodies, parsed once per content and weighted by copies."""
-    own = parsed(families(corpus, scope), markdown.structure, f"struct<{markdown.STRUCTURE.replace(' array', ':array').replace(' int', ':int').replace(' boolean', ':boolean')}>", "s", ["identity", "copies", "content"])
-    own = written(own.drop("content"), "structures")  # several tables read it
+    own = parsed(families(corpus, scope), markdown.structure, f"struct<{markdown.STRUCTURE.replace(' array', ':array').replace(' int', ':int').replace(' boolean', ':boolean')}>", "s", ["identity", "copies"])
+    own = written(own, "structures")  # several tables read it
     flat = own.select("identity", "copies", F.explode("s.sections").alias("b")).select("identity", "copies", "b.*")
     files = own.select("copies", F.size("s.headings").alias("headings"), "s.top_level_sections", "s.maximum_depth", "s.skipped_jumps", "s.starts_below_h1", "s.h1_count", "s.empty_sections")
     w = F.col("copies")
@@ -151,7 +156,7 @@ def structure_tags(content: Column) -> Column:
 
 def notation_candidates(corpus: Corpus, scope: str = "all", per_category: int = 10) -> dict[str, DataFrame]:
     """Notations by confidence and subtype, and a digest-ordered sample of each."""
-    found = parsed(corpus.population(scope), notations.parse, notations.DETECTED, "n", ["id", "path", "content_hash", "content"]).drop("content")
+    found = parsed(corpus.population(scope), notations.parse, notations.DETECTED, "n", ["id", "path", "content_hash"])
     rows = found.select("id", "path", "content_hash", F.posexplode("n.detections").alias("place", "d")).select("id", "path", "content_hash", "place", F.col("d.id").alias("notation"), "d.subtype", "d.confidence", "d.via", "d.snippet", "d.shape")
     rows = rows.withColumn("subtype", F.coalesce("subtype", F.lit("(unclassified)")))
     summary = rows.groupBy("notation", "confidence").agg(F.count("*").alias("occurrences"), F.count_distinct("id").alias("files"))
@@ -180,7 +185,7 @@ def replayed_notations(corpus: Corpus, without: tuple[str, ...] = ("plantuml",))
 
     Notations with boundary marks outside fences are left out of the comparison.
     """
-    found = parsed(corpus.files, notations.parse, notations.DETECTED, "n", ["id", "content"])
+    found = parsed(corpus.files, notations.parse, notations.DETECTED, "n", ["id"])
     again = found.select(F.explode("n.detections").alias("d")).groupBy(F.col("d.id").alias("notation")).agg(F.count("*").alias("replayed"))
     both = again.join(stored_notations(corpus)["notations"].select("notation", "occurrences"), "notation", "full_outer").na.fill(0).filter(~F.col("notation").isin(*without))
     fine = F.col("replayed") == F.col("occurrences")
@@ -198,7 +203,7 @@ def paragraph_languages(corpus: Corpus, scope: str = "exact", first: prose.Langu
             rows.append({"index": p["index"], "text": p["text"], "words": p["words"], "eligible": able, "d": prose.decide(p["text"], one, two, config) if able else None})
         return rows
 
-    docs = parsed(families(corpus, scope), judged, f"array<struct<index:int,text:string,words:int,eligible:boolean,d:{prose.DECISION}>>", "p", ["identity", "copies", "content"]).drop("content")
+    docs = parsed(families(corpus, scope), judged, f"array<struct<index:int,text:string,words:int,eligible:boolean,d:{prose.DECISION}>>", "p", ["identity", "copies"])
     docs = written(docs, "paragraphs")  # several tables read it
     rows = docs.select("identity", "copies", F.explode("p").alias("q")).select("identity", "copies", "q.*").filter("eligible")
     decisions = rows.groupBy(F.col("d.decision").alias("decision")).agg(F.count("*").alias("paragraphs"), F.sum("words").alias("words"))
@@ -271,7 +276,7 @@ def normalized_lines(files: DataFrame, ascii_only: bool = False) -> DataFrame:
         cleaned = F.transform(text.lines(F.col("content")), lambda x: F.lower(F.trim(F.regexp_replace(x, "[ \t]+", " "))))
         rows = files.withColumn("line", F.explode(F.array_distinct(F.filter(cleaned, lambda x: x != ""))))
     else:
-        rows = parsed(files, fold, "array<string>", "l").withColumn("line", F.explode("l"))
+        rows = parsed(files, fold, "array<string>", "l", ["repo_full_name", "id", "content_hash"]).withColumn("line", F.explode("l"))
     return rows.select(F.col("repo_full_name").alias("repo"), F.col("id").alias("file"), F.col("content_hash").alias("hash"), "line")
 
 
@@ -306,7 +311,7 @@ def allocation(corpus: Corpus, heading_limit: int = 1000) -> dict[str, DataFrame
         }
 
     kind = "struct<lines:int,words:int,sections:int,fences:int,names:array<string>,line_set:array<string>,targets:array<string>>"
-    known = parsed(files, measure, kind, "m", ["id", "repo_full_name", "path", "content_hash", "size_bytes", "depth", "content"]).drop("content")
+    known = parsed(files, measure, kind, "m", ["id", "repo_full_name", "path", "content_hash", "size_bytes", "depth"])
     known = written(known.withColumn("reached", F.transform("m.targets", lambda t: F.lower(paths.resolved(F.col("path"), t)))), "measures")
     edges = relational.nearest_ancestors(files, "repo_full_name", paths.directory(F.col("path")), ["id"]).select("repo_full_name", "child_id", "parent_id")
     side = lambda name: known.select(F.col("id").alias(f"{name}_id"), *[F.col(c).alias(f"{name}_{c}") for c in ("path", "content_hash", "size_bytes", "reached")], *[F.col(f"m.{c}").alias(f"{name}_{c}") for c in ("lines", "words", "sections", "names", "line_set")])
@@ -346,18 +351,20 @@ def allocation(corpus: Corpus, heading_limit: int = 1000) -> dict[str, DataFrame
 
 
 def _context(corpus: Corpus) -> DataFrame:
-    """Files of the exact population with their repository's facts and their copies in the corpus and the repository."""
-    files = corpus.population("exact").filter("content IS NOT NULL").withColumn("identity", text.identity(F.col("content_hash"), F.col("id")))
+    """Facts of the files of the exact population, of their repositories and of their copies in the corpus and the repository; no contents."""
+    files = corpus.population("exact").filter("content IS NOT NULL").select("id", "repo_full_name", "path", text.identity(F.col("content_hash"), F.col("id")).alias("identity"), "size_bytes")
+    files = written(files, "exact-files")  # read three times here
     repos = corpus.repos.select(F.col("full_name").alias("repo_full_name"), "stars", F.coalesce(F.when(F.col("language") != "", F.col("language")), F.lit("Unknown")).alias("language"))
-    sets = files.groupBy("repo_full_name", "identity").agg(F.count("*").alias("repo_copies"))
+    sets = written(files.groupBy("repo_full_name", "identity").agg(F.count("*").alias("repo_copies")), "content-sets")
     sizes = sets.groupBy("repo_full_name").agg(F.sum("repo_copies").alias("repo_files"))
     copies = sets.groupBy("identity").agg(F.sum("repo_copies").alias("copies"))
-    joined = files.join(repos, "repo_full_name", "left").join(sizes, "repo_full_name").join(sets, ["repo_full_name", "identity"]).join(copies, "identity")
+    # What there is one row of for each repository and content, joined with the files once.
+    known = sets.join(sizes, "repo_full_name").join(copies, "identity").join(repos, "repo_full_name", "left")
+    joined = files.join(known, ["repo_full_name", "identity"])
     return joined.select(
         "id",
         "repo_full_name",
         "path",
-        "content",
         "identity",
         "size_bytes",
         F.coalesce("language", F.lit("Unknown")).alias("language"),
@@ -372,19 +379,27 @@ def _context(corpus: Corpus) -> DataFrame:
     )
 
 
+def _parsed_facts(corpus: Corpus, parser, kind: str, name: str, table: str) -> DataFrame:
+    """The facts of the exact population's files and what a parser makes of their contents, joined by id and written once."""
+    own = parsed(corpus.population("exact").filter("content IS NOT NULL"), parser, kind, name, ["id"])
+    return written(own.join(_context(corpus), "id").select(*_FACTS, name), table)
+
+
 _FACTS = ["id", "repo_full_name", "path", "identity", "size_bytes", "language", "size_band", "star_band", "location", "depth", "multiplicity", "duplication", "copies", "repo_copies"]
 
 
 def reference_analysis(corpus: Corpus) -> dict[str, DataFrame]:
     """References to Markdown files: occurrences, files, targets and strata."""
-    intent = F.udf(lambda s, r, l, c, k: dict(zip(("intent", "confidence", "rule", "high"), references.intent(s, r, l, c, k), strict=True)), "intent string, confidence string, rule string, high int", useArrow=True)
-    docs = parsed(_context(corpus), references.parse, f"struct<{references.PARSED.replace('refs ', 'refs:').replace('residual_words int', 'residual_words:int').replace('has_fence boolean', 'has_fence:boolean')}>", "p", [*_FACTS, "content"]).drop("content")
-    docs = written(docs, "references")  # several tables read it
+    docs = _parsed_facts(corpus, references.parse, references.PARSED, "p", "references")
     flat = docs.select(*_FACTS, F.posexplode("p.refs").alias("place", "r")).select(*_FACTS, "place", "r.*")
     local = flat.filter("scope = 'local'").withColumn("resolved", paths.resolved(F.col("path"), F.col("target")))
     local = local.withColumn("relation", paths.relation(F.col("path"), F.col("resolved"))).withColumn("category", paths.target_category(F.col("name"), F.col("resolved"))).withColumn("is_self", (F.lower("resolved") == F.lower("path")).cast("int"))
-    local = local.withColumn("i", intent("syntax", "raw", "source_line", "context", "category")).select("*", "i.intent", "i.confidence", "i.rule", F.when((F.col("is_self") == 1) | (F.col("relation") == "outside_repository"), 0).otherwise(F.col("i.high")).alias("high")).drop("i")
-    far = flat.filter("scope = 'external'").select(*_FACTS, "place", *[c for c in flat.columns if c not in (*_FACTS, "place")], F.lit("").alias("resolved"), F.lit("external").alias("relation"), paths.target_category(F.col("name"), F.col("raw")).alias("category"), F.lit(0).alias("is_self"), F.lit("external_reference").alias("intent"), F.lit("high").alias("confidence"), F.lit("external_markdown_url_v1").alias("rule"), F.lit(0).alias("high"))
+    instruction = F.col("acts") & F.col("category").isin(*references.ACTION_CATEGORIES)
+    local = local.withColumn("rule", F.coalesce("rule", F.when(instruction, references.ACTION), F.lit("no_explicit_instructional_cue_v1")))
+    plain = F.col("rule") == "no_explicit_instructional_cue_v1"
+    local = local.withColumn("intent", F.when(F.col("rule").isin(*references.INCLUDE_RULES), "direct_inclusion").when(plain, "contextual_documentation").otherwise("instructional_delegation")).withColumn("confidence", F.when(plain, "low").otherwise("high"))
+    local = local.withColumn("high", F.when(plain | (F.col("is_self") == 1) | (F.col("relation") == "outside_repository"), 0).otherwise(1)).drop("acts")
+    far = flat.filter("scope = 'external'").select(*_FACTS, "place", *[c for c in flat.columns if c not in (*_FACTS, "place", "rule", "acts")], F.lit("").alias("resolved"), F.lit("external").alias("relation"), paths.target_category(F.col("name"), F.col("raw")).alias("category"), F.lit(0).alias("is_self"), F.lit("external_reference").alias("intent"), F.lit("high").alias("confidence"), F.lit("external_markdown_url_v1").alias("rule"), F.lit(0).alias("high"))
     occurrences = local.unionByName(far)
     other = (F.col("scope") == "local") & (F.col("is_self") == 0)
     per = occurrences.groupBy("id").agg(
@@ -414,8 +429,7 @@ def reference_analysis(corpus: Corpus) -> dict[str, DataFrame]:
 
 def import_analysis(corpus: Corpus, earlier: DataFrame | None = None) -> dict[str, DataFrame]:
     """@path imports: tokens, files, targets, strata, and how they meet the direct references found before (columns repo_full_name, path, line, target, in order of place)."""
-    docs = parsed(_context(corpus), imports.import_tokens, imports.IMPORTS, "t", [*_FACTS, "content"]).drop("content")
-    docs = written(docs, "imports")  # several tables read it
+    docs = _parsed_facts(corpus, imports.import_tokens, imports.IMPORTS, "t", "imports")
     flat = docs.select(*_FACTS, F.posexplode("t").alias("place", "r")).select(*_FACTS, "place", "r.*")
     name = paths.basename(F.col("target"), True)
     plain_kind = F.col("kind") == "relative"
@@ -447,7 +461,7 @@ def repeated_content(corpus: Corpus, limits: forms.Thresholds = forms.Thresholds
     def classified(content: str) -> dict:
         return forms.classify(content, len(content.encode()), limits)
 
-    known = parsed(files, classified, forms.FORM, "f", ["id", "repo_full_name", "path", "content_hash", "size_bytes", "content"]).drop("content")
+    known = parsed(files, classified, forms.FORM, "f", ["id", "repo_full_name", "path", "content_hash", "size_bytes"])
     groups = known.groupBy("repo_full_name", "content_hash").agg(F.count("*").alias("files"), F.first("f").alias("f"), F.first("size_bytes").alias("size_bytes"), F.min("path").alias("representative"), F.array_distinct(F.flatten(F.collect_set(F.transform(paths.directory_parts(F.col("path")), F.lower)))).alias("parts"))
     groups = groups.withColumn("tags", paths.context_tags(F.col("parts"))).select("repo_full_name", "content_hash", "files", "size_bytes", "representative", "tags", "f.*")
     contents = groups.groupBy("content_hash").agg(F.count("*").alias("repositories"), F.sum("files").alias("files"), F.first("category").alias("category"), F.first("subtype").alias("subtype"), F.first("size_bytes").alias("size_bytes"))
@@ -463,8 +477,7 @@ def repeated_content(corpus: Corpus, limits: forms.Thresholds = forms.Thresholds
 def overlay_analysis(corpus: Corpus, substantive: int = 10, minimum_words: int = 3, limit: int = 500) -> dict[str, DataFrame]:
     """Files that import shared instructions: what they add. The prefilter drops only files that can't have such an import."""
     files = corpus.population("exact").filter(F.col("content").contains("@") & F.lower("content").contains(overlays.TARGET))
-    analyze = F.udf(lambda c, p: overlays.analyze(c, p, minimum_words, limit), overlays.OVERLAY, useArrow=True)
-    found = files.select("id", "repo_full_name", "path", "content_hash", analyze("content", "path").alias("o")).filter("o IS NOT NULL")
+    found = parsed(files, lambda content: overlays.analyze(content, minimum_words, limit), overlays.OVERLAY, "o", ["id", "repo_full_name", "path", "content_hash"]).filter("o IS NOT NULL")
     residual = F.when(F.col("o.strict") == 1, "strict_import_only").when(F.col("o.comments_only") == 1, "imports_plus_html_comments_only").when(F.col("o.residual_words") == 0, "markup_or_punctuation_only_residual").when(F.col("o.residual_words") < substantive, "short_residual").otherwise("substantive_residual")
     rows = found.select("id", "repo_full_name", "path", "content_hash", residual.alias("residual_class"), "o.*")
     parts = rows.select("id", "repo_full_name", "content_hash", F.explode("sections").alias("s")).select("id", "repo_full_name", "content_hash", "s.*")

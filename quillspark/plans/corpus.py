@@ -81,29 +81,37 @@ def structure_fields(content: Column) -> dict[str, Column]:
     }
 
 
+#: Characters of contents whose results a task keeps.
+_KNOWN_CHARS = 16 << 20
+
+
 def parsed(files: DataFrame, parser: Callable[[str], object], kind: str, name: str = "parsed", keep: list[str] | None = None) -> DataFrame:
-    """files with a column of parser(content), a crossing to Python once per distinct content.
+    """The columns keep of files (all by default) with a column of parser(content); null for rows without content.
 
-    kind: the column's type as DDL. Rows without content have null there, and
-    contents are told apart by their SHA-256. Equal contents are reduced to one before
-    the exchange, and the join back can be split by adaptive execution, so a
-    content with very many copies is no hot spot.
+    kind: the column's type as DDL. Contents are parsed where the scan has put them, and no exchange carries
+    them. A task parses a content once, as long as it is among the last ones of some MB, so many copies cost
+    little.
     """
-    keep = [c for c in (keep or files.columns)]
-    keyed = files.withColumn("_key", F.sha2("content", 256))
-    distinct = keyed.filter(F.col("content").isNotNull()).groupBy("_key").agg(F.first("content").alias("content"))
-    schema = T._parse_datatype_string(f"_key string, {name} {kind}")
+    keep = keep or files.columns
+    slim = files.select(*keep, F.col("content").alias("_content"))
+    schema = T.StructType([*slim.schema.fields[:-1], T.StructField(name, T._parse_datatype_string(kind))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, chars = {None: None}, 0
         for batch in batches:
             for i in range(0, len(batch), 200):
-                part = batch.slice(i, 200)
-                values = [parser(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, arrow.field(1).type)], names=["_key", name])
-
-    found = distinct.mapInArrow(run, schema)
-    return keyed.select(*keep, "_key").join(found, "_key", "left").drop("_key")
+                part, values = batch.slice(i, 200), []
+                for content in part.column(len(keep)).to_pylist():
+                    if content not in known:
+                        if chars > _KNOWN_CHARS:
+                            known, chars = {None: None}, 0
+                        known[content] = parser(content)
+                        chars += len(content)
+                    values.append(known[content])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(values, arrow.field(name).type)], schema=arrow)
+
+    return slim.mapInArrow(run, schema)
 
 
 # The driver's tables carry no markup or paths; this binding adds both by rule, in Spark and in SQL alike.

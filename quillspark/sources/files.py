@@ -33,10 +33,12 @@ def dialect(head: bytes) -> tuple[str, str]:
 def read_csv(spark: SparkSession, path: str, required: list[str], head_bytes: int = 65_536) -> DataFrame:
     """A CSV with a header, all columns as strings, in whatever dialect; a missing required column is an error.
 
-    The first bytes are read through Spark, so any store that Spark reads will do.
+    The encoding is judged from the whole file, the separator from the first bytes; both are read through Spark, so any store that Spark reads will do.
     """
-    part = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head_bytes).alias("head")).first()
+    whole = spark.read.format("binaryFile").load(path)
+    part = whole.select(F.substring("content", 1, head_bytes).alias("head"), F.expr("is_valid_utf8(CAST(content AS STRING))").alias("utf8")).first()
     encoding, sep = dialect(bytes(part["head"]))
+    encoding = "UTF-8" if part["utf8"] else "windows-1252"
     # Spark has no Windows-1252; it is Latin-1 with letters and marks in place of control characters.
     latin = encoding != "UTF-8"
     df = spark.read.csv(path, header=True, sep=sep, encoding="ISO-8859-1" if latin else encoding, multiLine=True, escape='"', inferSchema=False)
@@ -75,8 +77,7 @@ def read_catalogue(path: str) -> list[dict]:
 
         rows = yaml.safe_load(text)
     rows = rows["notations"] if isinstance(rows, dict) else rows
-    rename = {"fence_languages": "labels", "boundary_markers": "bounds", "subtype_markers": "subtypes", "untagged_heuristics": "patterns"}
-    return [{rename.get(k, k): v for k, v in row.items()} for row in rows]
+    return [dict(row) for row in rows]
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:

@@ -214,14 +214,14 @@ def test_duplicates(corpus):
     assert one(got["summary"])["repeated_files"] == 2 and got["members"].count() == 3
 
 
-def test_parsing_happens_once_per_content(spark, corpus):
+def test_parsing_happens_once_per_content_and_task(spark, corpus):
     counter = spark.sparkContext.accumulator(0)
 
     def parser(content):
         counter.add(1)
         return len(content)
 
-    rows = parsed(corpus.files, parser, "int").select("id", "parsed").collect()
+    rows = parsed(corpus.files.coalesce(1), parser, "int").select("id", "parsed").collect()
     assert {r.id: r.parsed for r in rows} == {k + 1: len(c) for k, (*_, c) in enumerate(FILES)}
     assert counter.value == len({c for *_, c in FILES})
 
@@ -381,7 +381,7 @@ def test_snapshots_and_catalogues(spark, tmp_path):
     with pytest.raises(ValueError, match="version"):
         readers.read_snapshot(spark, str(tmp_path / "s.json"), 2)
     (tmp_path / "c.yaml").write_text("notations:\n  - id: x\n    name: X\n    fence_languages: [xx]\n    untagged_heuristics: ['<<']\n")
-    assert readers.read_catalogue(str(tmp_path / "c.yaml")) == [{"id": "x", "name": "X", "labels": ["xx"], "patterns": ["<<"]}]
+    assert readers.read_catalogue(str(tmp_path / "c.yaml")) == [{"id": "x", "name": "X", "fence_languages": ["xx"], "untagged_heuristics": ["<<"]}]
     assert readers.digests(spark, str(tmp_path / "s.json")).first()["sha256"] == readers.file_sha256(str(tmp_path / "s.json"))
 
 

@@ -201,25 +201,25 @@ def test_forms(text, category, subtype):
 
 
 def test_overlays():
-    strict = overlays.analyze("@AGENTS.md\n", "F.md")
+    strict = overlays.analyze("@AGENTS.md\n")
     assert (strict["strict"], strict["comments_only"], strict["residual_words"], strict["literal"]) == (1, 1, 0, 1)
-    noted = overlays.analyze("@AGENTS.md\n<!-- only a note -->\n", "F.md")
+    noted = overlays.analyze("@AGENTS.md\n<!-- only a note -->\n")
     assert (noted["strict"], noted["comments_only"]) == (0, 1)
-    assert overlays.analyze("see `@AGENTS.md`", "F.md") is None
-    assert overlays.analyze("@../AGENTS.md", "d/F.md")["literal"] == 0
+    assert overlays.analyze("see `@AGENTS.md`") is None
+    assert overlays.analyze("@../AGENTS.md")["literal"] == 0
     with pytest.raises(ValueError):
-        overlays.analyze("", "F.md", minimum_words=0)
+        overlays.analyze("", minimum_words=0)
 
 
 def test_overlay_sections():
     text = "@AGENTS.md\n\n## Claude-specific rules\n\nAlways use plan mode and /check it.\n\n### Deeper\nmore\n\n## Other\nno\n"
-    (s,) = overlays.analyze(text, "F.md")["sections"]
+    (s,) = overlays.analyze(text)["sections"]
     assert (s["line"], s["label"], s["directive"], s["placeholder"], s["concrete"]) == (3, "explicit_specificity_or_adapter", 1, 0, 1)
     assert s["themes"] == ["plan_mode", "skills_or_slash_commands"] and "more" in s["excerpt"] and "no" not in s["excerpt"].split()
-    (empty,) = overlays.analyze("@AGENTS.md\n# Claude notes\n_(None yet)_\n", "F.md")["sections"]
+    (empty,) = overlays.analyze("@AGENTS.md\n# Claude notes\n_(None yet)_\n")["sections"]
     assert (empty["placeholder"], empty["concrete"]) == (1, 0)
     before = "# Claude notes\nAlways.\n@AGENTS.md\n```\n# Claude rules\nUse it\n```\n<!--\n# Claude rules\nUse\n-->\n"
-    assert overlays.analyze(before, "F.md")["sections"] == []
+    assert overlays.analyze(before)["sections"] == []
     assert overlays.is_labelled("claude code — extra notes") and not overlays.is_labelled("see .claude/rules") and not overlays.is_labelled("claude.md")
 
 
