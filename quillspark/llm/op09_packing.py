@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,18 +129,6 @@ class WordBpe:
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-class _Cache(dict):
-    """Bytes by chunk; a chunk that isn't known counts as empty and is noted."""
-
-    def __init__(self):
-        super().__init__()
-        self.missing: set[bytes] = set()
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        self.missing.add(chunk)
-        return b""
-
-
 class CachedEncoder:
     """Ids of the tokenizer in a file, with a cache by white-space-free chunk.
 
@@ -148,7 +137,8 @@ class CachedEncoder:
     lower-cased first (the tokenizer does so itself) unless combining marks,
     which compose with some letters of one case only, occur in the text. Words
     of Latin letters are one piece, which WordBpe encodes; anything else goes to
-    the tokenizer itself. The cache is emptied beyond ``limit`` chunks or CACHE_BYTES of them.
+    the tokenizer itself. Arrow cuts the texts and numbers their distinct chunks, of which each is looked up
+    once a batch. The cache is emptied beyond ``limit`` chunks or CACHE_BYTES of them.
     """
 
     def __init__(self, path: str, limit: int = 700_000):
@@ -158,17 +148,11 @@ class CachedEncoder:
         self.tokenizer.encode_special_tokens = True
         self.bpe = WordBpe(path)
         self.limit, self.held = limit, 0
-        self.cache = _Cache()
-
-    def _learn(self) -> None:
-        """Put the missing chunks into the cache."""
-        cache, chunks = self.cache, self.cache.missing
-        cache.missing = set()
-        self.held += sum(map(len, chunks))
-        if len(cache) + len(chunks) > self.limit or self.held > CACHE_BYTES:
-            cache.clear()
-            self.held = sum(map(len, chunks))
-        split, words, other = [], {}, set()
+        self.cache: dict[bytes, bytes] = {b"": b""}
+
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks that the cache lacks; it takes them in."""
+        found, split, words, other = {}, [], {}, set()
         for c in chunks:
             if len(c) > LONG_WORD:
                 other.add(c)
@@ -177,93 +161,93 @@ class CachedEncoder:
             elif m := _TAIL.fullmatch(c):
                 a, b = m.groups()
                 split.append((c, a, b))
-                if b not in cache:
-                    other.add(b)
-                if a not in cache:
-                    if a.isalpha():
-                        words[a] = a.lower()
-                    elif _WORD.fullmatch(a):
-                        words[a] = a.decode().lower().encode()
-                    else:
-                        other.add(a)
+                other.add(b)
+                if a.isalpha():
+                    words[a] = a.lower()
+                elif _WORD.fullmatch(a):
+                    words[a] = a.decode().lower().encode()
+                else:
+                    other.add(a)
             elif _WORD.fullmatch(c):
                 words[c] = c.decode().lower().encode()
             else:
                 other.add(c)
-        cache.update(zip(words, self.bpe.encode(list(words.values())), strict=True))
-        rest = sorted(other, key=len)
+        cache = self.cache
+        known = {c: ids for some in (words, other) for c in some if (ids := cache.get(c)) is not None}
+        words = {c: w for c, w in words.items() if c not in known}
+        found.update(zip(words, self.bpe.encode(list(words.values())), strict=True))
+        rest = sorted(other.difference(known), key=len)
         while rest:
             some, size = [], 0
             while rest and (not some or size + len(rest[-1]) <= CALL_BYTES):
                 size += len(rest[-1])
                 some.append(rest.pop())
             for e, x in zip(self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), some, strict=True):
-                cache[x] = np.array(e.ids, "<u4").tobytes()
+                found[x] = np.array(e.ids, "<u4").tobytes()
+        known |= found
         for c, a, b in split:
-            cache[c] = cache[a] + cache[b]
-
-    def _joined(self, chunks: list[bytes]) -> bytes:
-        """For chunks of which some may have gone from the cache meanwhile."""
-        parts, step = [], max(1, self.limit // 4)
-        for i in range(0, len(chunks), step):
-            part = chunks[i : i + step]
-            while True:
-                ids = b"".join(map(self.cache.__getitem__, part))
-                if not self.cache.missing:
-                    break
-                self._learn()
-            parts.append(ids)
-        return b"".join(parts)
-
-    def _long(self, raw: bytes) -> bytes:
-        """A text beyond TEXT_BYTES, cut at white space."""
-        parts, at = [], 0
-        while at < len(raw):
-            border = _SPACE.search(raw, at + TEXT_BYTES)
-            end = border.start() if border else len(raw)
-            parts.append(self._joined(raw[at:end].split()))
-            at = end
-        return b"".join(parts)
+            found[c] = known[a] + known[b]
+        self.held += sum(map(len, found))
+        if len(cache) + len(found) > self.limit or self.held > CACHE_BYTES:
+            cache.clear()
+            cache[b""], self.held = b"", sum(map(len, found))
+        cache.update(found)
+        return known | found
+
+    def _encoded(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of texts that are cut and looked up together."""
+        cut = pc.ascii_split_whitespace(pa.array(raws, pa.binary()).cast(pa.string()))
+        numbered = cut.values.dictionary_encode()
+        chunks = numbered.dictionary.cast(pa.binary()).to_pylist()
+        codes = list(map(self.cache.get, chunks))
+        if None in codes:
+            learnt = self._learn([c for c, ids in zip(chunks, codes, strict=True) if ids is None])
+            codes = [learnt[c] if ids is None else ids for c, ids in zip(chunks, codes, strict=True)]
+        ids = np.frombuffer(b"".join(codes), "<u4")
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        which = numbered.indices.to_numpy()
+        n = sizes[which]
+        ends = np.cumsum(n)
+        # The place of each id of the texts in the ids of the distinct chunks.
+        place = np.repeat((np.cumsum(sizes) - sizes)[which] - ends + n, n)
+        place += np.arange(len(place))
+        out = ids[place].tobytes()
+        borders = (4 * np.concatenate([[0], ends])[cut.offsets.to_numpy()]).tolist()
+        return [out[a:b] for a, b in zip(borders, borders[1:], strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids and the closing id as little-endian unsigned 32-bit numbers."""
-        end, get, missing = np.array([END_ID], "<u4").tobytes(), self.cache.__getitem__, self.cache.missing
-        done: dict[str | None, bytes] = {}
-        wait: dict[str | None, list[bytes]] = {}
+        end = np.array([END_ID], "<u4").tobytes()
+        done: dict[str | None, list[bytes]] = {}
+        wait: list[tuple[str | None, bytes]] = []
         waiting = 0
 
         def finish() -> None:
-            nonlocal missing, waiting
-            self._learn()
-            missing, waiting = self.cache.missing, 0
-            for text, chunks in wait.items():
-                done[text] = self._joined(chunks)
-            missing = self.cache.missing
+            nonlocal waiting
+            for (text, _), ids in zip(wait, self._encoded([raw for _, raw in wait]), strict=True):
+                done[text].append(ids)
             wait.clear()
+            waiting = 0
 
         for text in texts:
-            if text in done or text in wait:
+            if text in done:
                 continue
+            done[text] = []
             raw = (text or "").encode()
             if b"\xcc" not in raw and b"\xcd" not in raw:
                 raw = raw.lower()
-            if len(raw) > TEXT_BYTES:
-                finish()
-                done[text] = self._long(raw)
-                missing = self.cache.missing
-                continue
-            chunks, before = raw.split(), len(missing)
-            ids = b"".join(map(get, chunks))
-            if len(missing) > before or before and not missing.isdisjoint(chunks):
-                wait[text] = chunks
-                waiting += len(raw)
-                if len(missing) > self.limit // 4 or waiting > TEXT_BYTES:
+            at = 0
+            while at < len(raw):  # a long text in parts that end at white space
+                border = _SPACE.search(raw, at + TEXT_BYTES) if len(raw) > at + TEXT_BYTES else None
+                part = raw[at : border.start()] if border else raw[at:]
+                at += len(part)
+                if wait and waiting + len(part) > TEXT_BYTES:
                     finish()
-            else:
-                done[text] = ids
-        if missing or wait:
+                wait.append((text, part))
+                waiting += len(part)
+        if wait:
             finish()
-        return [done[text] + end for text in texts]
+        return [b"".join([*done[text], end]) for text in texts]
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -409,9 +393,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for i in range(0, len(batch), 256):
-                part = texts.slice(i, 256).to_pylist()
-                for doc, code in zip(ids.slice(i, 256).to_pylist(), codes.encode(part), strict=True):
+            for i in range(0, len(batch), 1000):
+                part = texts.slice(i, 1000).to_pylist()
+                for doc, code in zip(ids.slice(i, 1000).to_pylist(), codes.encode(part), strict=True):
                     packer.add(doc, code)
             if packer.out or packer.left:
                 yield flush()
