@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from ..operators.storage import small
+from .common import stored, table, with_free_names
 
 #: The contract's rules.
 RULES = [
@@ -23,8 +24,10 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 KEYS_PER_BLOCK = 16
-#: Listed keys up to which the list and its filter may be broadcast.
-BROADCAST_KEYS = 200_000
+#: Blocks of the filter (some 150 bytes each) and bytes of listed keys up to which they are broadcast.
+BROADCAST_BLOCKS, BROADCAST_BYTES = 400_000, 32 << 20
+#: Pages without a host are dealt over so many keys of the last join.
+_SALTS = 4096
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,14 +56,16 @@ def _bit_columns(key: str) -> list[Column]:
     return [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({key}, 'bits'), {5 * k}) & 31 as int))") for k in range(8)]
 
 
-def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """host, path, rule, verdict for each distinct host and path of urls.
+def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
+    """host, path, rule, verdict for each distinct host and path of urls that a rule fits.
 
     rules: verdict, host, path. A rule fits its host and all subdomains if the
     path starts with the rule's; the longest rule wins (of equal ones a block).
-    rule is the winner's host and path, null if none fits; the verdict is then
-    ``default``, as for a URL that is not listed. Null URLs and URLs without ://
-    have an empty host and path. No rules, or no URLs, are fine.
+    rule is the winner's host and path. Null URLs and URLs without ://
+    have an empty host and path. No rules, or no URLs, are fine. A URL of any length makes a key for each
+    suffix of its host and each length of a listed path up to its own, so lists should have few lengths.
+    Beyond BROADCAST_BLOCKS the filter would have to be joined by an exchange, which the exact join needs
+    anyway; the keys then go to that directly.
     """
     listed = rules.select(
         F.concat_ws("\n", F.coalesce("host", F.lit("")), F.coalesce("path", F.lit(""))).alias("key"),
@@ -69,31 +74,43 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         F.length(F.coalesce("path", F.lit(""))).alias("n"),
     )
     listed = listed.groupBy("key", "rule", "n").agg(F.max(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("blocks"))
-    size, lengths = listed.agg(F.count("*"), F.sort_array(F.collect_set("n"))).first()
+    size, weight, lengths = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key") + F.octet_length("rule") + 32), F.lit(0)), F.sort_array(F.collect_set("n"))).first()
     pairs = urls.select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).distinct()
-    small = F.broadcast if size <= BROADCAST_KEYS else (lambda df: df)
     blocks = max(1, -(-size // KEYS_PER_BLOCK))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.concat_ws("\n", s, F.substring(F.col("path"), F.lit(1), n)))))
-    possible = pairs.select("host", "path", F.explode(F.array_distinct(keys)).alias("key"))
-    possible = possible.select("host", "path", "key", _block("key", blocks))
-    bloom = small(blocked_bloom(listed, blocks))
-    passed = possible.join(bloom, "block")
-    for k, bit in enumerate(_bit_columns("key")):
-        passed = passed.filter(F.col(f"w{k}").bitwiseAND(bit) != 0)
-    hits = passed.select("host", "path", "key").join(small(listed), "key")
+    passed = pairs.select("host", "path", F.explode(F.array_distinct(keys)).alias("key"))
+    if blocks <= BROADCAST_BLOCKS:
+        passed = passed.select("host", "path", "key", _block("key", blocks)).join(F.broadcast(blocked_bloom(listed, blocks)), "block")
+        for k, bit in enumerate(_bit_columns("key")):
+            passed = passed.filter(F.col(f"w{k}").bitwiseAND(bit) != 0)
+    hits = passed.select("host", "path", "key").join(F.broadcast(listed) if weight <= BROADCAST_BYTES else listed, "key")
     won = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "blocks", "rule")).alias("won"))
     return won.select("host", "path", F.col("won.rule").alias("rule"), F.when(F.col("won.blocks") == 1, "block").otherwise("allow").alias("verdict"))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """pages with host, path, rule and verdict (see judge); columns of these names give way to them."""
-    kept = pages.drop("host", "path", "rule", "verdict") if url_col not in ("host", "path", "rule", "verdict") else pages
-    placed = kept.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
-    found = judge(pages, rules, url_col, default)
-    return placed.join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    """pages with host, path, rule and verdict (see judge); columns of these names give way to them.
+
+    Where no rule fits, rule is null and the verdict is ``default``. Rows stay as they are, repeated ones too.
+    Pages without a host, often many, have a key of the join of their own, so that they don't meet in one task.
+    """
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    names = with_free_names(pages, "host_key", "path_key")
+    found = stored(judge(pages, rules, url_col), "url-verdicts")
+    bare = found.filter("host = '' AND path = ''").first()  # one row at most
+    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
+    none = (host == "") & (path == "")
+    salt = F.concat(F.lit("\n"), F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("string"))
+    placed = pages.select(*kept, host.alias("host"), path.alias("path"), host.alias(names["host_key"]), F.when(none, salt).otherwise(path).alias(names["path_key"]))
+    keyed = found.select(F.col("host").alias(names["host_key"]), F.col("path").alias(names["path_key"]), "rule", "verdict")
+    joined = placed.join(small(keyed), list(names.values()), "left").drop(*names.values())
+    if bare:
+        none = (F.col("host") == "") & (F.col("path") == "")
+        joined = joined.withColumn("rule", F.when(none, F.lit(bare["rule"])).otherwise(F.col("rule"))).withColumn("verdict", F.when(none, F.lit(bare["verdict"])).otherwise(F.col("verdict")))
+    return joined.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -413,6 +413,20 @@ def test_urls_by_rule(spark):
     assert {r.verdict for r in urls.filter_urls(df, rules.limit(0), default="block").collect()} == {"block"}
 
 
+def test_large_lists_odd_rules_and_pages_without_hosts(spark, monkeypatch):
+    """The ways beyond the broadcast bounds, a rule for the empty host, many pages without one, very long URLs."""
+    cases = [None] * 50 + ["none"] * 50 + ["http://a.com/en/", "http://org/es/x", "http://x.y/" + "p/" * 50_000]
+    df = spark.createDataFrame([(k, u, "x") for k, u in enumerate(cases)], "page_id long, Host string, host_key string")
+    rules = spark.createDataFrame([*urls.RULES, ("block", None, ""), ("allow", "com", "/en/"), ("block", "y", "/p/p/")], "verdict string, host string, path string")
+    want = {**{k: ("", "block") for k in range(100)}, 100: ("com/en/", "block"), 101: ("org/es/", "block"), 102: ("y/p/p/", "block")}
+    for blocks, size in ((urls.BROADCAST_BLOCKS, urls.BROADCAST_BYTES), (0, 0)):
+        monkeypatch.setattr(urls, "BROADCAST_BLOCKS", blocks)
+        monkeypatch.setattr(urls, "BROADCAST_BYTES", size)
+        out = urls.filter_urls(df, rules, "Host")
+        assert out.columns == ["page_id", "host_key", "host", "path", "rule", "verdict"]
+        assert {r.page_id: (r.rule, r.verdict) for r in out.collect()} == want
+
+
 def test_filter_has_no_false_negatives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     bloom = urls.blocked_bloom(keys, 3000 // urls.KEYS_PER_BLOCK)
