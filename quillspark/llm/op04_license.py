@@ -58,6 +58,11 @@ TERM = "[a-z0-9]+(?:[.][0-9]+)*"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _tf() -> Column:
+    """Of the rows of a term: logarithmic, so that frequent function words don't outweigh rare words."""
+    return 1.0 + F.log(F.count("*"))
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(TERM), F.lit(0))
 
@@ -80,7 +85,7 @@ def _small(df: DataFrame) -> DataFrame:
 def scan(files: DataFrame, templates: DataFrame, id_col: str, repo_col: str, path_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """id, repo, path, license, score, origin (own, inherited or none), origin_dir: one row per row of files.
 
-    templates: license, notice; no templates give no licenses. idf = ln((1 + N) / (1 + df)) + 1 over all N files and
+    templates: license, notice; no templates give no licenses. tf = 1 + ln(occurrences), idf = ln((1 + N) / (1 + df)) + 1 over all N files and
     templates, df of them with the term. Of equal scores the first license by name wins.
     Null texts have no statements; a null path counts as a file in the root, a
     null repo as "". Copies, ties and repeated rows each get a row, lines of any length are compared. A directory
@@ -93,8 +98,8 @@ def scan(files: DataFrame, templates: DataFrame, id_col: str, repo_col: str, pat
     counted = base.select(F.col("text")).unionByName(notices.select(F.col("notice").alias("text"))).select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = base.count() + notices.count()
     idf = stored(counted.select("term", (F.log((1.0 + F.lit(total)) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "license-idf")
-    listed = notices.select("license", "notice", F.explode(terms(F.col("notice"))).alias("term")).groupBy("license", "notice", "term").agg(F.count("*").alias("tf"))
-    against = stored(listed.join(idf, "term").select("license", "notice", "term", (F.col("tf") * F.col("idf")).alias("y")), "license-templates")
+    listed = notices.select("license", "notice", F.explode(terms(F.col("notice"))).alias("term")).groupBy("license", "notice", "term").agg(_tf().alias("tf"))
+    against = stored(listed.join(idf, "term").select("license", "notice", "term", (F.col("tf") * F.col("idf")).alias("y")).coalesce(1), "license-templates")
     own, square = Window.partitionBy("license", "notice"), F.col("y") * F.col("y")
     rest = F.sum(square).over(own.orderBy(F.desc("y"), "term").rowsBetween(0, Window.unboundedFollowing))
     heavy = against.select("term", (rest >= F.sum(square).over(own) * (threshold * threshold * (1 - 1e-9))).alias("h")).filter("h").select("term").distinct()
@@ -103,7 +108,7 @@ def scan(files: DataFrame, templates: DataFrame, id_col: str, repo_col: str, pat
     rows = base.filter(may(F.col("text"))).select("id", "repo", "path", F.explode(F.filter(statements(F.col("text"), F.col("path")), may)).alias("statement"))
     rows = stored(rows.select("id", "repo", "path", "statement", F.sha2("statement", 256).alias("s")), "license-statements")
     # Each distinct statement once against all templates.
-    said = rows.groupBy("s").agg(F.min("statement").alias("statement")).select("s", F.explode(terms(F.col("statement"))).alias("term")).groupBy("s", "term").agg(F.count("*").alias("tf"))
+    said = rows.groupBy("s").agg(F.min("statement").alias("statement")).select("s", F.explode(terms(F.col("statement"))).alias("term")).groupBy("s", "term").agg(_tf().alias("tf"))
     said = stored(said, "license-terms")
     weighed = said.join(_small(stored(idf.join(_small(said.select("term").distinct()), "term", "left_semi"), "license-known")), "term").select("s", "term", (F.col("tf") * F.col("idf")).alias("x"))
     norm = weighed.groupBy("s").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
@@ -179,8 +184,8 @@ lines AS (SELECT DISTINCT doc_id, repo, path, folder, legal, statement FROM (SEL
 n AS (SELECT (SELECT count(*) FROM f) + (SELECT count(*) FROM t) AS n),
 idf AS (SELECT term, ln((1.0 + (SELECT n FROM n))::DOUBLE / (1.0 + count(*))::DOUBLE) + 1 AS idf
         FROM (SELECT unnest(list_distinct({_TERMS.format("text")})) AS term FROM f UNION ALL SELECT unnest(list_distinct({_TERMS.format("notice")})) FROM t) GROUP BY term),
-st AS (SELECT statement, term, count(*) AS tf FROM (SELECT statement, unnest({_TERMS.format("statement")}) AS term FROM (SELECT DISTINCT statement FROM lines)) GROUP BY ALL),
-tt AS (SELECT license, notice, term, count(*) AS tf FROM (SELECT license, notice, unnest({_TERMS.format("notice")}) AS term FROM t) GROUP BY ALL),
+st AS (SELECT statement, term, 1 + ln(count(*)) AS tf FROM (SELECT statement, unnest({_TERMS.format("statement")}) AS term FROM (SELECT DISTINCT statement FROM lines)) GROUP BY ALL),
+tt AS (SELECT license, notice, term, 1 + ln(count(*)) AS tf FROM (SELECT license, notice, unnest({_TERMS.format("notice")}) AS term FROM t) GROUP BY ALL),
 w AS (SELECT statement, term, tf * idf AS x FROM st JOIN idf USING (term)),
 v AS (SELECT license, notice, term, tf * idf AS y FROM tt JOIN idf USING (term)),
 nw AS (SELECT statement, sqrt(sum(x * x)) AS nx FROM w GROUP BY 1), nv AS (SELECT license, notice, sqrt(sum(y * y)) AS ny FROM v GROUP BY ALL),
