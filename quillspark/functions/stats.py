@@ -51,6 +51,14 @@ def describe(col: str, kind: str = "full", cast: str = "long") -> list[Column]:
     return out
 
 
+def triple(ordered: Column) -> list[Column]:
+    """Median (nearest rank), mean and maximum of a sorted array of numbers; nulls if it is empty."""
+    n = F.size(ordered)
+    middle = F.try_element_at(ordered, F.greatest(F.ceil(n / 2), F.lit(1)).cast("int"))
+    mean = F.try_divide(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x), n)
+    return [middle.alias("median"), mean.alias("mean"), F.array_max(ordered).alias("maximum")]
+
+
 def weighted_histogram(df: DataFrame, value: str, weight: str | None = None, by: list[str] | None = None) -> DataFrame:
     """by, value, weight: how much weight each value has. Partial sums before the shuffle keep heavy values cheap."""
     return df.groupBy(*(by or []), F.col(value).alias("value")).agg((F.sum(weight) if weight else F.count("*")).alias("weight"))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bands, paths, sampling, stats, text
-from ..operators import forms, imports, markdown, notations, overlays, prose, references, relational
+from ..operators import analyzers, forms, imports, markdown, notations, overlays, prose, references, relational
 from ..operators.storage import small, written
+from . import populations as summaries
 from .corpus import TARGET, Corpus, parsed
 
 WINDOWS = {"200k": 200_000, "500k": 500_000, "1M": 1_000_000}
@@ -133,7 +134,8 @@ def sections(corpus: Corpus, scope: str = "exact", heading_limit: int = 1000) ->
     counted = names.groupBy("name").agg(F.sum("copies").alias("occurrences"))
     distinct = names.distinct().groupBy("name").agg(F.sum("copies").alias("files"), F.count("*").alias("contents"))
     top = counted.join(distinct, "name").orderBy(F.desc("files"), F.desc("occurrences"), "name").limit(heading_limit)
-    return {"totals": totals, "styles": styles, "quantiles": quantiles, "headings": top, "list_items": stats.weighted_histogram(flat, "list_items", "copies")}
+    out = {"totals": totals, "styles": styles, "quantiles": quantiles, "headings": top, "list_items": stats.weighted_histogram(flat, "list_items", "copies")}
+    return out | summaries.section_populations(own)
 
 
 def fence_languages(corpus: Corpus, scope: str = "all") -> dict[str, DataFrame]:
@@ -209,29 +211,19 @@ def paragraph_languages(corpus: Corpus, scope: str = "exact", first: prose.Langu
     decisions = rows.groupBy(F.col("d.decision").alias("decision")).agg(F.count("*").alias("paragraphs"), F.sum("words").alias("words"))
     agreed = rows.filter("d.decision = 'accepted'").select("identity", "copies", "index", "words", F.col("d.language").alias("language"))
     eligible = docs.select("identity", "copies", F.aggregate(F.filter("p", lambda x: x["eligible"]), F.lit(0), lambda a, x: a + x["words"]).alias("eligible_words"))
-    by = agreed.groupBy("identity", "language").agg(F.sum("words").alias("w"), F.min("index").alias("at"))
-    totals = by.groupBy("identity").agg(F.sum("w").alias("accepted"), F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("o"), "at", "language"))).alias("ranked"))
-    joined = eligible.join(totals, "identity", "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)))
-    share = F.try_divide(-F.try_element_at("ranked", F.lit(1))["o"], F.col("accepted"))
-    second_words = -F.try_element_at("ranked", F.lit(2))["o"]
-    reason = (
-        F.when(F.col("eligible_words") == 0, "no_eligible_prose")
-        .when(F.col("accepted") < config.min_document_words, "insufficient_accepted_words")
-        .when(F.col("accepted") / F.col("eligible_words") < config.min_coverage, "low_accepted_word_coverage")
-        .when(share >= config.dominant_share, "dominant_language")
-        .when((second_words / F.col("accepted") >= config.secondary_share) & (second_words >= config.secondary_words), "multiple_substantial_languages")
-        .otherwise("no_dominant_or_substantial_secondary_language")
-    )
-    documents = joined.select("identity", "copies", "eligible_words", "accepted", reason.alias("reason"), F.when(reason == "dominant_language", F.try_element_at("ranked", F.lit(1))["language"]).alias("language"))
-    documents = documents.withColumn("class", F.when(F.col("reason") == "dominant_language", "primary").when(F.col("reason") == "multiple_substantial_languages", "multilingual").otherwise("unknown"))
+    joined = eligible.join(summaries.ranked_languages(agreed, ["identity"]), "identity", "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)))
+    documents = summaries.document_classes(joined, F.col("eligible_words"), config).select("identity", "copies", "eligible_words", "accepted", "reason", "language", "class")
+    documents = written(documents, "language-documents")
     distribution = agreed.groupBy("language").agg(F.sum(F.col("words") * F.col("copies")).alias("words_full"), F.sum("words").alias("words_unique"), F.sum("copies").alias("paragraphs_full"), F.count("*").alias("paragraphs_unique"), F.count_distinct("identity").alias("contents"))
     primaries = documents.filter("class = 'primary'").groupBy("language").agg(F.sum("copies").alias("primary_files"))
     distribution = distribution.join(primaries, "language", "full_outer").na.fill(0).withColumn("share_full", text.share(F.col("words_full"), F.sum("words_full").over(Window.partitionBy())))
     levels = F.array(*[F.lit(t) for t in config.thresholds])
     sure = (F.col("d.first.language") == F.col("d.second.language")) & (F.least("d.first.confidence", "d.second.confidence") >= F.col("threshold")) & (F.least("d.first.margin", "d.second.margin") >= config.min_margin) & text.script_fits(F.col("d.first.language"), F.col("d.script")) & F.col("d.stable")
-    sensitivity = rows.withColumn("threshold", F.explode(levels)).filter(sure).groupBy("threshold", F.col("d.first.language").alias("language")).agg(F.sum("words").alias("words"), F.count("*").alias("paragraphs"))
+    sure = rows.withColumn("threshold", F.explode(levels)).filter(sure).select("identity", "copies", "threshold", F.col("d.first.language").alias("language"), "words", "index")
+    sensitivity = sure.groupBy("threshold", "language").agg(F.sum("words").alias("words"), F.count("*").alias("paragraphs"))
     keyed = rows.select(F.col("d.decision").alias("decision"), F.concat_ws(":", "identity", "index").alias("key"), "words")
-    return {"decisions": decisions, "documents": documents, "distribution": distribution, "sensitivity": sensitivity, "audit": sampling.smallest_digests(keyed, "decision", "key", audit, "language-audit-v1\0")}
+    more = summaries.language_populations(docs, rows, agreed, sure, documents, config)
+    return more | {"decisions": decisions, "documents": documents, "distribution": distribution, "sensitivity": sensitivity, "audit": sampling.smallest_digests(keyed, "decision", "key", audit, "language-audit-v1\0")}
 
 
 # -- placement and hierarchy ---------------------------------------------------------------------------
@@ -250,12 +242,23 @@ def placement(corpus: Corpus) -> dict[str, DataFrame]:
     )
     every = F.concat(kinds, F.transform(F.array_distinct(parts), lambda x: F.struct(F.lit("any_directory").alias("dimension"), x.alias("component"))))
     component = files.select("id", "repo_full_name", "path", F.explode(every).alias("c")).select("id", "repo_full_name", "path", "c.dimension", F.lower("c.component").alias("component")).filter("component IS NOT NULL")
-    counted = component.groupBy("dimension", "component").agg(F.count("*").alias("files"), F.count_distinct("repo_full_name").alias("repositories"), F.min("path").alias("example"))
+    component = written(component, "components")
+    counted = component.groupBy("dimension", "component").agg(F.count("*").alias("files"), F.count_distinct("repo_full_name").alias("repositories"))
+    # The first three paths of each; the limit of a group is applied before the exchange too.
+    scan = Window.partitionBy("dimension", "component").orderBy(F.lower("repo_full_name"), "repo_full_name", F.lower("path"), "path")
+    firsts = component.withColumn("_n", F.row_number().over(scan)).filter("_n <= 3")
+    examples = firsts.groupBy("dimension", "component").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.concat_ws("::", "repo_full_name", "path").alias("x")))), lambda s: s["x"]).alias("examples"))
+    counted = counted.join(examples, ["dimension", "component"])
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("files"), F.desc("repositories"), "component")))
     flags = files.agg(*[F.sum(v).alias(k) for k, v in paths.anomalies(F.col("path")).items()])
     return {"repositories": per, "components": ranked, "anomalies": flags, "bins": bands.range_histogram(corpus.session, per, "files")}
 
 
+def scope_mapping(corpus: Corpus) -> dict[str, DataFrame]:
+    """Placement forms, scope configurations, alternative placements and topology by the scope that files speak for."""
+    return summaries.scope_mapping(corpus)
+
+
 def hierarchy(corpus: Corpus, logical: bool = False) -> dict[str, DataFrame]:
     """Edges to nearest enclosing files, and how long their chains are; by physical directory or by the scope that files speak for."""
     files = corpus.population("exact")
@@ -550,13 +553,45 @@ def star_comparison(repos: DataFrame, files: DataFrame, current: DataFrame, top:
 
 
 def report(corpus: Corpus, top: int = 15) -> dict[str, DataFrame]:
-    """Languages weighted by files, totals of structure, files by tool, repositories with the largest files."""
+    """Overview, languages weighted by files, structure, notations and notable files; the last parts need stored results. Ties keep the files' order."""
     joined = corpus.files.join(corpus.repos.select("full_name", "language", "stars"), F.col("repo_full_name") == F.col("full_name"), "left")
     languages = joined.groupBy(F.coalesce("language", F.lit("(unknown)")).alias("language")).agg(F.count("*").alias("files"))
     tools = corpus.files.groupBy("tool_id").agg(F.count("*").alias("files"), F.count_distinct("repo_full_name").alias("repositories"))
-    popular = joined.groupBy("repo_full_name").agg(F.max(F.coalesce("stars", F.lit(0))).alias("stars")).orderBy(F.desc("stars"), "repo_full_name").limit(top)
-    largest = corpus.files.orderBy(F.desc("size_bytes"), "id").limit(top).select("id", "path", "size_bytes")
-    return {"languages": languages, "tools": tools, "popular": popular, "largest": largest}
+    popular = joined.groupBy("repo_full_name").agg(F.max(F.coalesce("stars", F.lit(0))).alias("stars"), F.min("id").alias("first")).orderBy(F.desc("stars"), "first").limit(top).drop("first")
+    largest = corpus.files.orderBy(F.desc(F.coalesce("size_bytes", F.lit(0))), "id").limit(top).select("id", "path", "size_bytes")
+    named = joined.filter("language <> ''")
+    out = {"languages": languages, "tools": tools, "popular": popular, "largest": largest, "top_languages": most_common(named, "language", top)}
+    if corpus.analysis is None:
+        return out
+    own = corpus.files.select(F.col("id").alias("file_id"), "tool_id", "repo_full_name", "path").join(written(corpus.structures(), "report-structures"), "file_id")
+    code = F.count_if(F.col("code_block_count") > 0)
+    out |= {f"structure_{c}": own.agg(*stats.describe(c, "short")) for c in ("word_count", "line_count", "header_count")}
+    out["structure_code"] = own.agg(F.count("*").alias("files"), code.alias("files_with_code"), (F.lit(100.0) * F.try_divide(code, F.count("*"))).alias("percent"))
+    labels = own.select("file_id", F.explode("code_block_languages").alias("label", "n"))
+    out["fences"] = most_common(labels, "label", top, F.sum("n"), "file_id")
+    found = written(corpus.notations(), "report-notations")
+    out["notation_files"] = found.agg(F.count("*").alias("files"), F.count_if("any_notation_detected").alias("files_with_any"))
+    each = corpus.files.select(F.col("id").alias("file_id"), "tool_id").join(found.select("file_id", F.explode("notations_summary").alias("notation", "s")), "file_id")
+    out["notations"] = most_common(each.withColumn("n", F.col("s.count")), "notation", None, F.sum("n"), "file_id")
+    out["notations_by_tool"] = each.groupBy("tool_id", "notation").agg(F.sum("s.count").alias("n"))
+    out["subtypes"] = each.select("notation", F.explode("s.subtypes").alias("subtype")).groupBy("notation", "subtype").agg(F.count("*").alias("files"))
+    out["confidences"] = each.select(F.explode("s.confidences").alias("confidence")).groupBy("confidence").agg(F.count("*").alias("n"))
+    most = found.filter("notation_count_total > 0").orderBy(F.desc("notation_count_total"), "file_id").limit(10)
+    out["most_notations"] = most.select("file_id", F.col("notation_count_total").alias("n"), F.array_join(F.map_keys("notations_summary"), ", ").alias("notations"))
+    return out
+
+
+def most_common(df: DataFrame, value: str, top: int | None, count: Column | None = None, order: str = "id") -> DataFrame:
+    """value, n of the most frequent values; of equal ones that first which the lowest number in column order has."""
+    counted = df.groupBy(value).agg((count if count is not None else F.count("*")).alias("n"), F.min(order).alias("_first")).orderBy(F.desc("n"), "_first", value)
+    return (counted.limit(top) if top else counted).select(value, "n")
+
+
+def analyze(corpus: Corpus, names: list[str] | None = None) -> DataFrame:
+    """file_id, analyzer_id, result_json of registered analyzers, as Corpus.analysis holds them."""
+    names = names or analyzers.names()
+    found = parsed(corpus.files.filter("content IS NOT NULL"), lambda content: [{"analyzer_id": n, "result_json": analyzers.analyze(n, content)} for n in names], "array<struct<analyzer_id:string,result_json:string>>", "r", ["id"])
+    return found.select(F.col("id").alias("file_id"), F.explode("r").alias("r")).select("file_id", "r.analyzer_id", "r.result_json")
 
 
 def export(corpus: Corpus, analyzers: list[str], content: bool = False) -> DataFrame:
@@ -567,7 +602,26 @@ def export(corpus: Corpus, analyzers: list[str], content: bool = False) -> DataF
     return corpus.files.select(*cols).join(facts, "repo_full_name", "left").join(wide.withColumnRenamed("file_id", "id"), "id", "left")
 
 
-def verify(spark: SparkSession, corpus: Corpus, expected: dict[str, int]) -> dict[str, tuple[int, int | None]]:
-    """Counts of the corpus against expected ones, by name; a missing expectation is None."""
+class VerificationError(ValueError):
+    """What differs from the frozen data, one line each."""
+
+
+def verify(spark: SparkSession, corpus: Corpus, expected: dict[str, int], database: str | None = None, size: int | None = None, sha256: str | None = None) -> dict[str, tuple[int, int | None]]:
+    """Counts of the corpus against expected ones, by name; a missing expectation is None.
+
+    database: a SQLite file whose tables, size and digest are checked too. Anything that differs raises, all of it at once.
+    """
+    from ..sources import files as readers
+    from ..sources.sqlite import table_names
+
+    failures = []
+    if database is not None:
+        if missing := {"repos", "files", "analysis"} - set(table_names(database)):
+            failures.append(f"missing tables: {', '.join(sorted(missing))}")
+        own = readers.file_facts(database)
+        failures += [f"{what} is {got}; expected {want}" for what, got, want in (("size", own[0], size), ("SHA-256", own[1], sha256)) if want is not None and got != want]
     row = populations(corpus).first().asDict() | {"repos": corpus.repos.count(), "analysis": corpus.analysis.count() if corpus.analysis is not None else 0}
+    failures += [f"{k} is {row.get(k)}; expected {n}" for k, n in expected.items() if row.get(k) != n]
+    if failures:
+        raise VerificationError("\n".join(failures))
     return {k: (int(v), expected.get(k)) for k, v in row.items()}

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, paths, sampling, stats, text
 from ..operators import relational
-from . import analyses
+from ..operators.storage import written
+from . import analyses, oracles
 from .corpus import CORPUS_SQL, Corpus, bind, structure_fields
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -377,10 +378,10 @@ def a28_placement(spark, sf_dir):
     "a15_components",
     f""", e AS (SELECT id, repo, path, {_DIR} AS dir FROM exact WHERE contains(path, '/')), p AS (SELECT id, repo, path, string_split(dir, '/') AS parts FROM e),
  c AS (SELECT id, repo, path, 'first_directory' AS dimension, lower(parts[1]) AS component FROM p UNION ALL SELECT id, repo, path, 'parent_directory', lower(parts[-1]) FROM p UNION ALL SELECT id, repo, path, 'any_directory', lower(unnest(list_distinct(parts))) FROM p)
- SELECT dimension, component, count(*) AS files, count(DISTINCT repo) AS repositories, min(path) AS example, CAST(row_number() OVER (PARTITION BY dimension ORDER BY count(*) DESC, count(DISTINCT repo) DESC, component) AS INT) AS rank FROM c GROUP BY dimension, component""",
+ SELECT dimension, component, count(*) AS files, count(DISTINCT repo) AS repositories, array_to_string(list(repo || '::' || path ORDER BY lower(repo), repo, lower(path), path)[1:3], '; ') AS examples, CAST(row_number() OVER (PARTITION BY dimension ORDER BY count(*) DESC, count(DISTINCT repo) DESC, component) AS INT) AS rank FROM c GROUP BY dimension, component""",
 )
 def a15_components(spark, sf_dir):
-    return analyses.placement(bind(spark, sf_dir))["components"]
+    return analyses.placement(bind(spark, sf_dir))["components"].withColumn("examples", F.array_join("examples", "; "))
 
 
 @query("p14_anomalies", "SELECT CAST(sum(CAST(starts_with(path, '/') AS INT)) AS BIGINT) AS leading_slash, CAST(sum(CAST(contains(path, '//') AS INT)) AS BIGINT) AS double_slash, CAST(sum(CAST(contains(path, chr(92)) AS INT)) AS BIGINT) AS backslash, CAST(sum(CAST(list_has_any(string_split(path, '/'), ['.', '..']) AS INT)) AS BIGINT) AS dot_component FROM exact")
@@ -581,7 +582,7 @@ def d2_star_comparison(spark, sf_dir):
     return states[0].unionByName(states[1]).unionByName(states[2]).join(got["comparison"].select("full_name", "stars", "current_stars"), "full_name")
 
 
-@query("d18_partition")
+@query("d18_partition", oracles.IMPORTS + r", f AS (SELECT id, len(regexp_extract_all(array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x, i: CASE WHEN x = '@AGENTS.md' AND list_contains(outside, CAST(i AS INT)) THEN '' ELSE x END), lambda x: true), chr(10)), '[\p{L}\p{N}]+(?:[''’\-][\p{L}\p{N}]+)*')) AS n, repo, content_hash, content FROM st WHERE id IN (SELECT id FROM imports WHERE decision = 'import_candidate' AND target = 'AGENTS.md')) SELECT CASE WHEN regexp_full_match(replace(content, '@AGENTS.md', ''), '[ \t\r\n]*') THEN 'strict_import_only' WHEN n = 0 THEN 'markup_or_punctuation_only_residual' WHEN n < 10 THEN 'short_residual' ELSE 'substantive_residual' END AS residual_class, count(*) AS files, count(DISTINCT repo) AS repositories, count(DISTINCT content_hash) AS contents FROM f GROUP BY 1")
 def d18_partition(spark, sf_dir):
     return analyses.overlay_analysis(bind(spark, sf_dir))["partition"]
 
@@ -594,7 +595,7 @@ def d18_sections(spark, sf_dir):
 # -- parsers and classifiers in Python, once per distinct content: no SQL says these; tests hold them to fixtures ---
 
 
-@query("d6_section_totals")
+@query("d6_section_totals", oracles.HEADINGS + " " + oracles.totals({"files": "1", "headed_files": "CAST(n > 0 AS INT)", "sections": "n", "empty_sections": "empties", "skipped_jumps": "jumps", "starts_below_h1": "CAST(below AS INT)", "multiple_h1": "CAST(h1 > 1 AS INT)"}))
 def d6_section_totals(spark, sf_dir):
     return analyses.sections(bind(spark, sf_dir))["totals"]
 
@@ -604,7 +605,7 @@ def d6_styles(spark, sf_dir):
     return analyses.sections(bind(spark, sf_dir))["styles"]
 
 
-@query("d6_headings")
+@query("d6_headings", oracles.HEADINGS + " SELECT name, CAST(sum(w) AS BIGINT) AS occurrences, CAST((SELECT sum(w) FROM (SELECT DISTINCT id, w FROM named_headings x WHERE x.name = h.name)) AS BIGINT) AS files, count(DISTINCT id) AS contents FROM named_headings h GROUP BY name ORDER BY files DESC, occurrences DESC, name LIMIT 1000")
 def d6_headings(spark, sf_dir):
     return analyses.sections(bind(spark, sf_dir))["headings"]
 
@@ -639,14 +640,22 @@ def d9_distribution(spark, sf_dir):
     return analyses.paragraph_languages(bind(spark, sf_dir))["distribution"]
 
 
-@query("d11_line_overlaps")
+@query("d11_line_overlaps", _SQL["j6_line_overlaps"].removeprefix(CORPUS_SQL))
 def d11_line_overlaps(spark, sf_dir):
     return analyses.line_overlaps(bind(spark, sf_dir))
 
 
-@query("d12_repositories")
+@query("d12_repositories", f""", several AS (SELECT *, {_DIR} AS dir FROM exact SEMI JOIN (SELECT repo FROM exact GROUP BY repo HAVING count(*) > 1) USING (repo)),
+ d AS (SELECT DISTINCT repo, dir FROM several),
+ up AS (SELECT c.repo, c.dir, p.dir AS up FROM d c JOIN d p ON c.repo = p.repo AND c.dir <> p.dir AND (p.dir = '' OR starts_with(c.dir, p.dir || '/')) QUALIFY row_number() OVER (PARTITION BY c.repo, c.dir ORDER BY length(p.dir) DESC) = 1),
+ ed AS (SELECT c.repo, count(*) AS edges FROM several c JOIN up USING (repo, dir) JOIN several p ON p.repo = c.repo AND p.dir = up.up GROUP BY 1),
+ per AS (SELECT repo, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(CASE WHEN dir = '' THEN size_bytes ELSE 0 END) AS BIGINT) AS root_bytes, CAST(max(CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END) AS INT) AS maximum_depth,
+   round(sum(size_bytes::DOUBLE * size_bytes) / (sum(size_bytes)::DOUBLE * sum(size_bytes)), 9) AS hhi, round(max(size_bytes)::DOUBLE / sum(size_bytes), 9) AS largest_share FROM several GROUP BY repo)
+ SELECT repo AS repo_full_name, files, bytes, root_bytes, maximum_depth, hhi, largest_share, coalesce(edges, 0) AS edges, round(root_bytes::DOUBLE / bytes, 9) AS root_share,
+ CASE WHEN files = 2 THEN '2' WHEN files = 3 THEN '3' WHEN files <= 5 THEN '4-5' WHEN files <= 10 THEN '6-10' WHEN files <= 20 THEN '11-20' ELSE '>20' END AS band FROM per LEFT JOIN ed USING (repo)""")
 def d12_repositories(spark, sf_dir):
-    return analyses.allocation(bind(spark, sf_dir))["repositories"]
+    found = analyses.allocation(bind(spark, sf_dir))["repositories"]
+    return found.select(*[F.round(c, 9).alias(c) if c in ("hhi", "largest_share", "root_share") else c for c in found.columns])
 
 
 @query("d12_edges")
@@ -664,37 +673,40 @@ def d12_headings(spark, sf_dir):
     return analyses.allocation(bind(spark, sf_dir))["headings"]
 
 
-@query("d13_occurrences")
+@query("d13_occurrences", oracles.REFERENCES + " SELECT id, repo_full_name, path, line, syntax, 'local' AS scope, raw, target, name, source_line, context, resolved, relation, category, 0 AS is_self, rule, intent, CASE WHEN rule = 'no_explicit_instructional_cue_v1' THEN 'low' ELSE 'high' END AS confidence, high FROM ro")
 def d13_occurrences(spark, sf_dir):
-    return analyses.reference_analysis(bind(spark, sf_dir))["occurrences"]
+    found = analyses.reference_analysis(bind(spark, sf_dir))["occurrences"]
+    return found.select("id", "repo_full_name", "path", "line", "syntax", "scope", "raw", "target", "name", "source_line", "context", "resolved", "relation", "category", "is_self", "rule", "intent", "confidence", "high")
 
 
-@query("d13_files")
+@query("d13_files", oracles.REFERENCES + f" SELECT {oracles.FACT_COLUMNS}, residual_words, has_fence, local, local AS local_nonself, CAST(0 AS BIGINT) AS external, high, fan_out, distinct_targets, coalesce(target_categories, '') AS target_categories, form FROM forms")
 def d13_files(spark, sf_dir):
-    return analyses.reference_analysis(bind(spark, sf_dir))["files"]
+    found = analyses.reference_analysis(bind(spark, sf_dir))["files"].withColumn("target_categories", F.coalesce("target_categories", F.lit("")))
+    return found.select(*oracles.FACT_COLUMNS.split(", "), "residual_words", "has_fence", "local", "local_nonself", "external", "high", "fan_out", "distinct_targets", "target_categories", "form")
 
 
-@query("d13_targets")
+@query("d13_targets", oracles.REFERENCES + " SELECT 'local' AS scope, category, name, count(*) AS occurrences, count(DISTINCT id) AS files, count(DISTINCT repo_full_name) AS repositories, count(*) FILTER (WHERE high = 1) AS high_occurrences, count(DISTINCT id) FILTER (WHERE high = 1) AS high_files, count(*) FILTER (WHERE intent = 'direct_inclusion') AS direct_inclusion, count(*) FILTER (WHERE intent = 'instructional_delegation') AS instructional_delegation, count(*) FILTER (WHERE intent = 'contextual_documentation') AS contextual_documentation FROM ro GROUP BY category, name")
 def d13_targets(spark, sf_dir):
     return analyses.reference_analysis(bind(spark, sf_dir))["targets"]
 
 
-@query("d13_strata")
+@query("d13_strata", oracles.REFERENCES + ", x AS (SELECT unnest([{'d': 'size_band', 'v': size_band}, {'d': 'star_band', 'v': star_band}, {'d': 'language', 'v': language}, {'d': 'location', 'v': location}, {'d': 'multiplicity', 'v': multiplicity}, {'d': 'duplication', 'v': duplication}, {'d': 'form', 'v': form}]) AS x, repo_full_name, high FROM forms) SELECT x.d AS dimension, x.v AS value, count(*) AS files, count(DISTINCT repo_full_name) AS repositories, count(*) FILTER (WHERE high > 0) AS files_with_high, CAST(sum(high) AS BIGINT) AS high_occurrences FROM x GROUP BY ALL")
 def d13_strata(spark, sf_dir):
     return analyses.reference_analysis(bind(spark, sf_dir))["strata"]
 
 
-@query("d14_tokens")
+@query("d14_tokens", oracles.IMPORTS + " SELECT id, repo_full_name, path, place, line, 1 AS \"column\", CAST(length(token) + 1 AS INT) AS end_column, token, target, context, decision, CASE WHEN context = 'plain_text' THEN 'documented_at_path_candidate_v1' ELSE 'fenced_code_exclusion_v1' END AS rule, 'whole_line' AS surface, 'relative' AS kind, replace(content[greatest(start - 180, 0) + 1 : start + length(token) + 180], chr(10), ' ') AS evidence, CAST(start AS INT) AS start, CAST(start + length(token) AS INT) AS \"end\", name, 'markdown' AS extension, 'markdown_file' AS shape, target AS normalized, resolved, relation FROM imports")
 def d14_tokens(spark, sf_dir):
-    return analyses.import_analysis(bind(spark, sf_dir))["tokens"]
+    found = analyses.import_analysis(bind(spark, sf_dir))["tokens"]
+    return found.select("id", "repo_full_name", "path", F.col("place").cast("long").alias("place"), "line", "column", "end_column", "token", "target", "context", "decision", "rule", "surface", "kind", "evidence", "start", "end", "name", "extension", "shape", "normalized", "resolved", "relation")
 
 
-@query("d14_targets")
+@query("d14_targets", oracles.IMPORTS + " SELECT 'relative' AS kind, relation, 'markdown' AS extension, 'markdown_file' AS shape, lower(name) AS name, count(*) AS occurrences, count(DISTINCT id) AS files, count(DISTINCT repo_full_name) AS repositories, arg_min(name, {'a': repo_full_name, 'b': path, 'c': place}) AS first_spelling FROM imports WHERE decision = 'import_candidate' GROUP BY relation, lower(name)")
 def d14_targets(spark, sf_dir):
     return analyses.import_analysis(bind(spark, sf_dir))["targets"]
 
 
-@query("d14_comparison")
+@query("d14_comparison", oracles.IMPORTS + " SELECT CASE WHEN decision = 'import_candidate' THEN 'kept_import_candidate' ELSE 'new_excluded_fenced_code' END AS transition, 'markdown' AS extension, count(*) AS n FROM imports GROUP BY 1")
 def d14_comparison(spark, sf_dir):
     corpus = bind(spark, sf_dir)
     found = analyses.reference_analysis(corpus)["occurrences"].filter("syntax = 'direct_include'").select("repo_full_name", "path", "line", "target", "place")
@@ -714,3 +726,122 @@ def d15_summary(spark, sf_dir):
 @query("d18_overlays")
 def d18_overlays(spark, sf_dir):
     return analyses.overlay_analysis(bind(spark, sf_dir))["files"]
+
+
+# -- placement by documented scope, analyzers, report ----------------------------------------------------------------
+
+
+@query(
+    "d11_placement",
+    oracles.SCOPES
+    + """, p AS (SELECT repo, count(*) AS files, count(*) FILTER (WHERE NOT hidden) AS d, count(*) FILTER (WHERE hidden) AS h, count(*) FILTER (WHERE scope = '') AS r, count(*) FILTER (WHERE scope = '' AND NOT hidden) AS rd, count(*) FILTER (WHERE scope = '' AND hidden) AS rh FROM sc GROUP BY repo)
+ SELECT CAST(sum(files) AS BIGINT) AS files, CAST(sum(d) AS BIGINT) AS direct_files, CAST(sum(h) AS BIGINT) AS hidden_files, CAST(sum(r) AS BIGINT) AS project_root_files, CAST(sum(files - r) AS BIGINT) AS nonroot_files, CAST(sum(rd) AS BIGINT) AS project_root_direct_files, CAST(sum(rh) AS BIGINT) AS project_root_hidden_files,
+ count(*) FILTER (WHERE d > 0) AS direct_repositories, count(*) FILTER (WHERE h > 0) AS hidden_repositories, count(*) FILTER (WHERE rd > 0 AND rh > 0) AS project_root_both_repositories, count(*) FILTER (WHERE rh > 0 AND rd = 0) AS project_root_hidden_only_repositories, sum(h)::DOUBLE / sum(files) AS hidden_share FROM p""",
+)
+def d11_placement(spark, sf_dir):
+    names = ["files", "direct_files", "hidden_files", "project_root_files", "nonroot_files", "project_root_direct_files", "project_root_hidden_files", "direct_repositories", "hidden_repositories", "project_root_both_repositories", "project_root_hidden_only_repositories", "hidden_share"]
+    return analyses.scope_mapping(bind(spark, sf_dir))["placement"].select(*names)
+
+
+@query(
+    "d11_configurations",
+    oracles.SCOPES
+    + """, p AS (SELECT repo, count(*) AS files, bool_or(scope = '') AS r, bool_or(scope <> '') AS n FROM sc GROUP BY repo),
+ c AS (SELECT CASE WHEN r AND n THEN 'project_root_and_nonroot' WHEN r THEN 'project_root_only' ELSE 'nonroot_only' END AS configuration, files FROM p),
+ k(configuration) AS (VALUES ('project_root_only'), ('nonroot_only'), ('project_root_and_nonroot'))
+ SELECT k.configuration, count(c.files) AS repositories, CAST(coalesce(sum(c.files), 0) AS BIGINT) AS files, count(c.files)::DOUBLE / (SELECT count(*) FROM c) AS repositories_share, coalesce(sum(c.files), 0)::DOUBLE / (SELECT sum(files) FROM c) AS files_share FROM k LEFT JOIN c USING (configuration) GROUP BY 1""",
+)
+def d11_configurations(spark, sf_dir):
+    return analyses.scope_mapping(bind(spark, sf_dir))["configurations"]
+
+
+@query(
+    "d11_alternatives",
+    oracles.SCOPES
+    + """, g AS (SELECT repo, scope, count(*) FILTER (WHERE NOT hidden) AS d, count(*) FILTER (WHERE hidden) AS h FROM sc GROUP BY ALL HAVING d > 0 AND h > 0),
+ q AS (SELECT a.content_hash = b.content_hash AS same FROM sc a JOIN sc b ON a.repo = b.repo AND a.scope = b.scope AND NOT a.hidden AND b.hidden)
+ SELECT count(*) AS scope_groups, count(DISTINCT repo) AS repositories, count(*) FILTER (WHERE scope = '') AS project_root_groups, count(*) FILTER (WHERE scope <> '') AS nonroot_groups, (SELECT count(*) FROM q) AS file_pairs, (SELECT count(*) FROM q WHERE same) AS same_content_pairs, (SELECT count(*) FROM q WHERE NOT same) AS different_content_pairs FROM g""",
+)
+def d11_alternatives(spark, sf_dir):
+    return analyses.scope_mapping(bind(spark, sf_dir))["alternatives"]
+
+
+@query(
+    "d11_topology",
+    oracles.SCOPES
+    + """, s AS (SELECT DISTINCT repo, scope FROM sc), c AS (SELECT a.repo, a.scope, 1 + count(b.scope) AS chain FROM s a LEFT JOIN s b ON a.repo = b.repo AND a.scope <> b.scope AND (b.scope = '' OR starts_with(a.scope, b.scope || '/')) GROUP BY ALL)
+ SELECT count(*) AS scopes, count(*) FILTER (WHERE chain > 1) AS edges, count(DISTINCT repo) FILTER (WHERE chain > 1) AS repositories_with_edges, max(chain) AS longest_chain FROM c""",
+)
+def d11_topology(spark, sf_dir):
+    return analyses.scope_mapping(bind(spark, sf_dir))["topology"]
+
+
+@query("d11_nonroot_depths", oracles.SCOPES + " " + _describe_sql("d", "(SELECT len(string_split(scope, '/')) AS d FROM sc WHERE scope <> '')", "integer"))
+def d11_nonroot_depths(spark, sf_dir):
+    return analyses.scope_mapping(bind(spark, sf_dir))["nonroot_depths"]
+
+
+def _analyzed(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The bound corpus with the stored results of all analyzers."""
+    corpus = bind(spark, sf_dir)
+    return Corpus(corpus.repos, corpus.files, written(analyses.analyze(corpus), "analysis"))
+
+
+@query(
+    "s11_stored_structure",
+    rf"""SELECT id AS file_id, CAST({_LINES} AS INT) AS line_count, CAST({_WORDS} AS INT) AS word_count, CAST(length(content) AS INT) AS char_count, CAST(len(regexp_extract_all(content, '(?m)^(#{{1,6}})[\t-\r ]+([^\n]*)$')) AS INT) AS header_count,
+ CAST(len(regexp_extract_all(content, '(?ms)^```([^\t-\r ]*)[\t-\r ]*\n(.*?)^```')) AS INT) AS code_block_count, CAST(len(regexp_extract_all(content, '\[[^\]]+\]\([^)]+\)')) AS INT) AS link_count FROM files""",
+)
+def s11_stored_structure(spark, sf_dir):
+    """What the registered analyzer stores, read back."""
+    return _analyzed(spark, sf_dir).structures().select("file_id", "line_count", "word_count", "char_count", "header_count", "code_block_count", "link_count")
+
+
+@query("d20_top_languages", "SELECT language, count(*) AS n FROM files JOIN repos ON repo = full_name WHERE language <> '' GROUP BY language ORDER BY n DESC, min(id), language LIMIT 15")
+def d20_top_languages(spark, sf_dir):
+    return analyses.report(bind(spark, sf_dir))["top_languages"]
+
+
+@query("d20_popular", "SELECT repo AS repo_full_name, max(coalesce(stars, 0)) AS stars FROM files JOIN repos ON repo = full_name GROUP BY repo ORDER BY stars DESC, min(id) LIMIT 15")
+def d20_popular(spark, sf_dir):
+    return analyses.report(bind(spark, sf_dir))["popular"]
+
+
+@query("d20_structure_words", _describe_sql("w", f"(SELECT {_WORDS} AS w FROM files)", "short"))
+def d20_structure_words(spark, sf_dir):
+    return analyses.report(_analyzed(spark, sf_dir))["structure_word_count"]
+
+
+@query("d20_fences", _LABELLED + " SELECT label, count(*) AS n FROM b GROUP BY label ORDER BY n DESC, min(id), label LIMIT 15")
+def d20_fences(spark, sf_dir):
+    return analyses.report(_analyzed(spark, sf_dir))["fences"]
+
+
+@query("d20_notations_by_tool")
+def d20_notations_by_tool(spark, sf_dir):
+    return analyses.report(_analyzed(spark, sf_dir))["notations_by_tool"]
+
+
+@query("d6_populations")
+def d6_populations(spark, sf_dir):
+    return analyses.sections(bind(spark, sf_dir))["populations"]
+
+
+@query("d6_distributions")
+def d6_distributions(spark, sf_dir):
+    return analyses.sections(bind(spark, sf_dir))["distributions"]
+
+
+@query("d9_populations")
+def d9_populations(spark, sf_dir):
+    return analyses.paragraph_languages(bind(spark, sf_dir))["populations"]
+
+
+@query("d9_language_table")
+def d9_language_table(spark, sf_dir):
+    return analyses.paragraph_languages(bind(spark, sf_dir))["language_table"]
+
+
+@query("d9_threshold_documents")
+def d9_threshold_documents(spark, sf_dir):
+    return analyses.paragraph_languages(bind(spark, sf_dir))["threshold_documents"]

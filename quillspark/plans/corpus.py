@@ -131,7 +131,7 @@ _LINE = """CASE (i + id) % 8
  WHEN 2 THEN '- [ ] ' || l
  WHEN 3 THEN '```' || CASE ((i + id) {div} 8) % 6 WHEN 0 THEN 'bash' WHEN 1 THEN 'py' WHEN 2 THEN 'json' WHEN 3 THEN '' WHEN 4 THEN 'ts' ELSE 'mermaid' END
  WHEN 5 THEN '```'
- WHEN 6 THEN '[guide](docs/g' || (id % 7) || '.md) ' || l
+ WHEN 6 THEN CASE WHEN id % 4 = 0 THEN 'Always read [guide](../docs/g' ELSE '[guide](docs/g' END || (id % 7) || '.md) ' || l
  WHEN 7 THEN CASE WHEN id % 3 = 1 THEN '@AGENTS.md' ELSE '@docs/setup' || (id % 5) || '.md' END
  ELSE l END"""
 

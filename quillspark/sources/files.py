@@ -90,6 +90,11 @@ def file_sha256(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
+def file_facts(path: str) -> tuple[int, str]:
+    """Size and SHA-256 of a file on the driver."""
+    return Path(path).stat().st_size, file_sha256(path)
+
+
 def read_lines_csv(path: str) -> list[dict]:
     """A small CSV as rows, on the driver, in whatever dialect."""
     raw = Path(path).read_bytes()

@@ -22,6 +22,11 @@ def connect(path: str) -> sqlite3.Connection:
     return con
 
 
+def table_names(path: str) -> list[str]:
+    with connect(path) as con:
+        return [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
+
+
 def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
@@ -77,8 +82,6 @@ def read_corpus(spark: SparkSession, path: str, partitions: int = 8):
     """The corpus of a SQLite file with the tables repos, files and analysis; a missing one is an error."""
     from ..plans.corpus import SCHEMAS, Corpus, fitted
 
-    with connect(path) as con:
-        have = {r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
-    if missing := sorted(set(SCHEMAS) - have):
+    if missing := sorted(set(SCHEMAS) - set(table_names(path))):
         raise ValueError(f"tables are missing: {', '.join(missing)}")
     return Corpus(*[fitted(read_table(spark, path, n, partitions), n) for n in SCHEMAS])

@@ -204,7 +204,9 @@ def test_populations(corpus):
     assert (got["files"], got["exact_files"], got["strict_files"], got["other_files"], got["exact_repositories"]) == (8, 7, 6, 1, 3)
     assert {r.language: r.repositories for r in analyses.dataset(corpus)["languages"].collect()} == {"Go": 1, "(unknown)": 2}
     assert corpus.structures().agg(F.sum("word_count")).first()[0] == sum(len(c.split()) for *_, c in FILES)
-    assert analyses.verify(corpus.session, corpus, {"files": 8, "repos": 4})["repos"] == (3, 4)
+    assert analyses.verify(corpus.session, corpus, {"files": 8, "repos": 3})["repos"] == (3, 3)
+    with pytest.raises(analyses.VerificationError, match="repos is 3; expected 4\nnothing is None"):
+        analyses.verify(corpus.session, corpus, {"files": 8, "repos": 4, "nothing": 1})
 
 
 def test_duplicates(corpus):
