@@ -41,7 +41,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # snappy's buffers outside the heap wait for a garbage collection
     return spark.read.schema(df.schema).parquet(path)
 
 

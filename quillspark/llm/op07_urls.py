@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import small
 from .common import stored, table, with_free_names
 
 #: The contract's rules.
@@ -24,7 +23,7 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 KEYS_PER_BLOCK = 16
-#: Blocks of the filter (some 150 bytes each) and bytes of listed keys up to which they are broadcast.
+#: Blocks of the filter (some 150 bytes each) and bytes of listed keys or found verdicts up to which they are broadcast.
 BROADCAST_BLOCKS, BROADCAST_BYTES = 400_000, 32 << 20
 #: Pages without a host are dealt over so many keys of the last join.
 _SALTS = 4096
@@ -101,12 +100,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     names = with_free_names(pages, "host_key", "path_key")
     found = stored(judge(pages, rules, url_col), "url-verdicts")
     bare = found.filter("host = '' AND path = ''").first()  # one row at most
+    weight = found.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0))).first()[0]
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     none = (host == "") & (path == "")
     salt = F.concat(F.lit("\n"), F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("string"))
     placed = pages.select(*kept, host.alias("host"), path.alias("path"), host.alias(names["host_key"]), F.when(none, salt).otherwise(path).alias(names["path_key"]))
     keyed = found.select(F.col("host").alias(names["host_key"]), F.col("path").alias(names["path_key"]), "rule", "verdict")
-    joined = placed.join(small(keyed), list(names.values()), "left").drop(*names.values())
+    joined = placed.join(F.broadcast(keyed) if weight <= BROADCAST_BYTES else keyed, list(names.values()), "left").drop(*names.values())
     if bare:
         none = (F.col("host") == "") & (F.col("path") == "")
         joined = joined.withColumn("rule", F.when(none, F.lit(bare["rule"])).otherwise(F.col("rule"))).withColumn("verdict", F.when(none, F.lit(bare["verdict"])).otherwise(F.col("verdict")))
