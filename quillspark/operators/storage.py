@@ -21,13 +21,28 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back."""
-    path = f"{shared_folder(df.sparkSession)}/corpus/{name}-{uuid.uuid4().hex}"
+    """df, written to the shared folder and read back.
+
+    This cuts the lineage (a lost executor costs no recomputation beyond the
+    table) and fixes row identity for the steps after it. The table stays until drop_written().
+    """
+    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    # snappy's buffers outside the heap wait for a garbage collection
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> bool:
+    """Delete all tables that this session has written; results that still read them can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of ids and numbers that a broadcast may carry, some 50 MB.
 BROADCAST_ROWS = 1_000_000
 

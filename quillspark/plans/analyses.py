@@ -20,12 +20,15 @@ READING_RATES = (175, 238, 300)
 
 
 def populations(corpus: Corpus, target: str = TARGET) -> DataFrame:
-    """One row of counts: files and repositories of each case rule (a single pass, conditional counts)."""
+    """One row of counts: files and repositories of each case rule. Repositories are aggregated first, so no distinct count expands rows."""
     exact, strict = paths.named(F.col("path"), target), paths.named_exactly(F.col("path"), target)
-    cols = [F.count("*").alias("files"), F.count_distinct("repo_full_name").alias("repositories")]
-    for name, p in (("exact", exact), ("strict", strict), ("other", ~exact)):
-        cols += [F.count_if(p).alias(f"{name}_files"), F.count_distinct(F.when(p, F.col("repo_full_name"))).alias(f"{name}_repositories")]
-    return corpus.files.agg(*cols)
+    kinds = {"exact": exact, "strict": strict, "other": ~exact}
+    per = corpus.files.groupBy("repo_full_name").agg(F.count("*").alias("files"), *[F.count_if(p).alias(name) for name, p in kinds.items()])
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0)).cast("long")
+    cols = [total("files").alias("files"), F.count("repo_full_name").alias("repositories")]
+    for name in kinds:
+        cols += [total(name).alias(f"{name}_files"), F.count_if((F.col(name) > 0) & F.col("repo_full_name").isNotNull()).alias(f"{name}_repositories")]
+    return per.agg(*cols)
 
 
 def dataset(corpus: Corpus, per_token: float = 3.5, top: int = 15) -> dict[str, DataFrame]:

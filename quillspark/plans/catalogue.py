@@ -615,7 +615,7 @@ def d6_quantiles(spark, sf_dir):
     return analyses.sections(bind(spark, sf_dir))["quantiles"]
 
 
-@query("d8_notations")
+@query("d8_notations", oracles.NOTATIONS + " SELECT notation, confidence, count(*) AS occurrences, count(DISTINCT id) AS files FROM seen GROUP BY ALL")
 def d8_notations(spark, sf_dir):
     return analyses.notation_candidates(bind(spark, sf_dir))["summary"]
 
@@ -645,30 +645,35 @@ def d11_line_overlaps(spark, sf_dir):
     return analyses.line_overlaps(bind(spark, sf_dir))
 
 
-@query("d12_repositories", f""", several AS (SELECT *, {_DIR} AS dir FROM exact SEMI JOIN (SELECT repo FROM exact GROUP BY repo HAVING count(*) > 1) USING (repo)),
- d AS (SELECT DISTINCT repo, dir FROM several),
- up AS (SELECT c.repo, c.dir, p.dir AS up FROM d c JOIN d p ON c.repo = p.repo AND c.dir <> p.dir AND (p.dir = '' OR starts_with(c.dir, p.dir || '/')) QUALIFY row_number() OVER (PARTITION BY c.repo, c.dir ORDER BY length(p.dir) DESC) = 1),
- ed AS (SELECT c.repo, count(*) AS edges FROM several c JOIN up USING (repo, dir) JOIN several p ON p.repo = c.repo AND p.dir = up.up GROUP BY 1),
- per AS (SELECT repo, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(CASE WHEN dir = '' THEN size_bytes ELSE 0 END) AS BIGINT) AS root_bytes, CAST(max(CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END) AS INT) AS maximum_depth,
-   round(sum(size_bytes::DOUBLE * size_bytes) / (sum(size_bytes)::DOUBLE * sum(size_bytes)), 9) AS hhi, round(max(size_bytes)::DOUBLE / sum(size_bytes), 9) AS largest_share FROM several GROUP BY repo)
- SELECT repo AS repo_full_name, files, bytes, root_bytes, maximum_depth, hhi, largest_share, coalesce(edges, 0) AS edges, round(root_bytes::DOUBLE / bytes, 9) AS root_share,
- CASE WHEN files = 2 THEN '2' WHEN files = 3 THEN '3' WHEN files <= 5 THEN '4-5' WHEN files <= 10 THEN '6-10' WHEN files <= 20 THEN '11-20' ELSE '>20' END AS band FROM per LEFT JOIN ed USING (repo)""")
+@query("d12_repositories", oracles.HIERARCHY + " SELECT repo AS repo_full_name, files, bytes, root_bytes, maximum_depth, round(hhi, 9) AS hhi, round(largest_share, 9) AS largest_share, (SELECT count(*) FROM edge WHERE edge.repo = per.repo) AS edges, round(root_share, 9) AS root_share, band FROM per")
 def d12_repositories(spark, sf_dir):
     found = analyses.allocation(bind(spark, sf_dir))["repositories"]
     return found.select(*[F.round(c, 9).alias(c) if c in ("hhi", "largest_share", "root_share") else c for c in found.columns])
 
 
-@query("d12_edges")
+@query("d12_edges", oracles.FILE_HEADINGS + oracles.HIERARCHY + rf""", ln AS (SELECT DISTINCT id, line FROM (SELECT id, replace(lower(trim(regexp_replace(unnest(string_split(content, chr(10))), '\s+', ' ', 'g'), ' ')), 'ß', 'ss') AS line FROM several) WHERE line <> ''),
+ n AS (SELECT id, count(*) AS n FROM ln GROUP BY id), nh AS (SELECT id, count(*) AS sections FROM named_headings GROUP BY id), hs AS (SELECT DISTINCT id, name FROM named_headings),
+ f AS (SELECT s.id, path, content_hash, size_bytes, CAST({_LINES} AS INT) AS lines, CAST({_WORDS} AS INT) AS words, CAST(coalesce(sections, 0) AS INT) AS sections, coalesce(n, 0) AS n FROM several s LEFT JOIN nh USING (id) LEFT JOIN n USING (id)),
+ sh AS (SELECT child, parent, count(*) AS shared FROM edge JOIN ln a ON a.id = child JOIN ln b ON b.id = parent AND a.line = b.line GROUP BY ALL),
+ sn AS (SELECT child, parent, count(*) AS names FROM edge JOIN hs a ON a.id = child JOIN hs b ON b.id = parent AND a.name = b.name GROUP BY ALL)
+ SELECT e.repo AS repo_full_name, p.path AS parent_path, c.path AS child_path, p.size_bytes AS parent_size_bytes, p.lines AS parent_lines, p.words AS parent_words, p.sections AS parent_sections, c.size_bytes AS child_size_bytes, c.lines AS child_lines, c.words AS child_words, c.sections AS child_sections,
+ CAST(c.content_hash = p.content_hash AS INT) AS same_content_hash, CAST(coalesce(shared, 0) AS INT) AS shared_lines, coalesce(round(coalesce(shared, 0)::DOUBLE / nullif(c.n + p.n - coalesce(shared, 0), 0), 9), 0) AS jaccard, coalesce(round(coalesce(shared, 0)::DOUBLE / nullif(c.n, 0), 9), 0) AS child_coverage, coalesce(round(coalesce(shared, 0)::DOUBLE / nullif(p.n, 0), 9), 0) AS parent_coverage,
+ 0 AS parent_refers_to_child, 0 AS child_refers_to_parent, CAST(coalesce(names, 0) AS INT) AS shared_headings
+ FROM edge e JOIN f c ON c.id = e.child JOIN f p ON p.id = e.parent LEFT JOIN sh USING (child, parent) LEFT JOIN sn USING (child, parent)""")
 def d12_edges(spark, sf_dir):
-    return analyses.allocation(bind(spark, sf_dir))["edges"]
+    found = analyses.allocation(bind(spark, sf_dir))["edges"]
+    return found.select(*[F.round(c, 9).alias(c) if c in ("jaccard", "child_coverage", "parent_coverage") else c for c in found.columns])
 
 
-@query("d12_strata")
+@query("d12_strata", oracles.HIERARCHY + " SELECT band, count(*) AS repositories, " + ", ".join(f"round({x}, 9) AS {n}" for c in ("hhi", "root_share") for n, x in ((f"{c}_minimum", f"min({c})"), (f"{c}_p25", f"quantile_disc({c}, 0.25)"), (f"{c}_median", f"quantile_disc({c}, 0.5)"), (f"{c}_mean", f"avg({c})"), (f"{c}_p90", f"quantile_disc({c}, 0.9)"), (f"{c}_maximum", f"max({c})"))) + " FROM per GROUP BY band")
 def d12_strata(spark, sf_dir):
-    return analyses.allocation(bind(spark, sf_dir))["strata"]
+    found = analyses.allocation(bind(spark, sf_dir))["strata"]
+    return found.select("band", "repositories", *[F.round(F.col(f"{c}.{m}"), 9).alias(f"{c}_{m}") for c in ("hhi", "root_share") for m in ("minimum", "p25", "median", "mean", "p90", "maximum")])
 
 
-@query("d12_headings")
+@query("d12_headings", oracles.FILE_HEADINGS + oracles.HIERARCHY + """, role AS (SELECT id, CASE WHEN id IN (SELECT parent FROM edge) AND id IN (SELECT child FROM edge) THEN 'middle' WHEN id IN (SELECT parent FROM edge) THEN 'parent' WHEN id IN (SELECT child FROM edge) THEN 'child' WHEN dir = '' THEN 'single_root' ELSE 'single_nested' END AS role FROM several),
+ x AS (SELECT DISTINCT n.id, name, role FROM named_headings n JOIN role ON n.id = role.id)
+ SELECT name AS heading, count(*) FILTER (WHERE role = 'parent') AS parent, count(*) FILTER (WHERE role = 'middle') AS middle, count(*) FILTER (WHERE role = 'child') AS child, count(*) FILTER (WHERE role = 'single_root') AS single_root, count(*) FILTER (WHERE role = 'single_nested') AS single_nested, count(*) AS files FROM x GROUP BY name ORDER BY files DESC, name LIMIT 1000""")
 def d12_headings(spark, sf_dir):
     return analyses.allocation(bind(spark, sf_dir))["headings"]
 

@@ -83,3 +83,22 @@ FACT_COLUMNS = "id, repo_full_name, path, size_bytes, language, size_band, star_
 def totals(names: dict[str, str], source: str = "own") -> str:
     """Each measure of the families weighted by copies and counted once."""
     return "SELECT " + ", ".join(f"CAST(sum(({x}) * w) AS BIGINT) AS {n}_full, CAST(sum({x}) AS BIGINT) AS {n}_unique" for n, x in names.items()) + f" FROM {source}"
+
+
+#: Repositories with several files, their nearest enclosing directories with files, and what each repository's sizes are.
+HIERARCHY = f""", several AS (SELECT *, {_DIR} AS dir FROM exact SEMI JOIN (SELECT repo FROM exact GROUP BY repo HAVING count(*) > 1) USING (repo)),
+ d AS (SELECT DISTINCT repo, dir FROM several),
+ up AS (SELECT c.repo, c.dir, p.dir AS up FROM d c JOIN d p ON c.repo = p.repo AND c.dir <> p.dir AND (p.dir = '' OR starts_with(c.dir, p.dir || '/')) QUALIFY row_number() OVER (PARTITION BY c.repo, c.dir ORDER BY length(p.dir) DESC) = 1),
+ edge AS (SELECT c.repo, c.id AS child, p.id AS parent FROM several c JOIN up USING (repo, dir) JOIN several p ON p.repo = c.repo AND p.dir = up.up),
+ per AS (SELECT repo, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(CASE WHEN dir = '' THEN size_bytes ELSE 0 END) AS BIGINT) AS root_bytes, CAST(max(CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END) AS INT) AS maximum_depth,
+   sum(size_bytes::DOUBLE * size_bytes) / (sum(size_bytes)::DOUBLE * sum(size_bytes)) AS hhi, max(size_bytes)::DOUBLE / sum(size_bytes) AS largest_share, root_bytes::DOUBLE / sum(size_bytes) AS root_share,
+   CASE WHEN count(*) = 2 THEN '2' WHEN count(*) = 3 THEN '3' WHEN count(*) <= 5 THEN '4-5' WHEN count(*) <= 10 THEN '6-10' WHEN count(*) <= 20 THEN '11-20' ELSE '>20' END AS band FROM several GROUP BY repo)"""
+
+#: Heading names of every file.
+FILE_HEADINGS = LINED + HEADINGS.removeprefix(LINED).split(",\n nx AS")[0].replace("min(id) AS id FROM exact GROUP BY content_hash", "id FROM exact GROUP BY content_hash, id") + ",\n named_headings AS" + HEADINGS.split("named_headings AS")[1]
+
+#: Fenced blocks and the notations that they name or look like.
+NOTATIONS = r""", blk AS (SELECT id, lower(label) AS label, body FROM (SELECT id, unnest(regexp_extract_all(content, '(?ms)^```([^\s]*)[ \t]*\n(.*?)^```', 1)) AS label, unnest(regexp_extract_all(content, '(?ms)^```([^\s]*)[ \t]*\n(.*?)^```', 2)) AS body FROM files)),
+ looks(notation, pattern) AS (VALUES ('mermaid', 'sequenceDiagram|classDiagram|stateDiagram|erDiagram'), ('plantuml', '@startuml'), ('graphviz', 'digraph |digraph\{|rankdir='), ('ascii_diagram', '[┌┐└┘├┤┬┴┼─│]|\+[-]{2,}\+|<-{2,}>|-{2,}>|<-{2,}'), ('bnf_ebnf', '::='), ('json_schema', '"type": "object"|"properties":'), ('yaml_schema', 'openapi:|swagger:')),
+ seen AS (SELECT id, CASE label WHEN 'mermaid' THEN 'mermaid' ELSE 'json_schema' END AS notation, 'high' AS confidence FROM blk WHERE label IN ('mermaid', 'json')
+   UNION ALL SELECT id, notation, 'medium' FROM blk, looks WHERE label NOT IN ('mermaid', 'json') AND regexp_matches(body, pattern))"""
