@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.storage import written as stored
+
+__all__ = ["HELD_OUT", "stored", "table", "with_free_names"]
+
 #: Rows with crc32(doc_id as text) % 4 equal to this never train a model.
 HELD_OUT = 2
 
@@ -14,37 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session, whose executors are the driver, may go without that
-    setting; it then gets a folder of its own.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    sc = spark.sparkContext
-    if sc.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    import tempfile
-
-    at = f"file://{tempfile.gettempdir()}/quillspark-{sc.applicationId}"
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    This cuts the lineage (a lost executor costs no recomputation beyond the
-    table) and fixes row identity for the steps after it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)  # snappy's buffers outside the heap wait for a garbage collection
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_free_names(df: DataFrame, *names: str) -> dict[str, str]:
     """For each wanted helper column, a name that df doesn't have (in any letter case)."""
     taken = {c.lower() for c in df.columns}

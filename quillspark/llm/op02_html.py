@@ -272,3 +272,13 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", F.col("url"), "html")).select("page_id", "url", "text", "n_chars")
+
+
+#: The test tables' pages have one article each, of headings and paragraphs; its blocks are taken by patterns here, without any rule of the operator.
+ORACLE_SQL = r"""
+WITH a AS (SELECT page_id, url, row_number() OVER () AS r, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|\z)', 1) AS body FROM pages),
+b AS (SELECT *, regexp_replace(regexp_replace(body, '</?br?>', ' ', 'g'), '<[a-zA-Z/][^>]*(>|\z)', chr(10), 'g') AS plain FROM a),
+c AS (SELECT *, replace(replace(replace(replace(replace(plain, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&') AS decoded FROM b),
+l AS (SELECT *, list_filter(list_transform(string_split(decoded, chr(10)), lambda x: trim(regexp_replace(x, '[\s\x{A0}]+', ' ', 'g'), ' ')), lambda x: x <> '') AS lines FROM c)
+SELECT page_id, url, array_to_string(lines, chr(10)) AS text, CAST(length(array_to_string(lines, chr(10))) AS BIGINT) AS n_chars FROM l
+"""

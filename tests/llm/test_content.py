@@ -580,3 +580,63 @@ def test_pipeline_stages(spark, sf_dir):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.collect()}
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == {r.doc_id for r in docs.collect()}
+
+
+def similar_roots(texts):
+    """The first row of each component of texts with five-word Jaccard similarity of 0.8 or more, by all pairs."""
+    sets = []
+    for text in texts:
+        own = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+        sets.append({tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return sorted(set(root))
+
+
+def test_pipeline_is_brute_force_on_odd_rows(spark, tmp_path):
+    """Null and repeated texts, near copies, benchmark passages, extra columns with clashing names: stage by stage against plain loops."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng, rows = random.Random(3), [(k, t) for k, t, _, _ in labelled(5, 160)]
+    passage = "seven brave foxes walk over the quiet green hill at noon today"
+    for k in range(20):
+        words = rows[k][1].split()
+        words[rng.randrange(len(words))] = "changed"
+        rows.append((1000 + k, " ".join(words)))  # near copies, and their sources too if one word is little
+        rows.append((2000 + k, rows[20 + k][1]))
+    rows += [(3000, rows[50][1] + " " + passage.upper()), (3001, None), (3002, ""), (3003, rows[51][1] + "\n" * 50_000)]
+    docs = spark.createDataFrame([(k, t, "en", f"s{k % 3}", len(t or ""), k, "x", 1.0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars int, id long, node string, score double")
+    labels = spark.createDataFrame([(k, q, x) for k, _, q, x in labelled(5, 160)], "doc_id long, quality int, toxic int")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", spark.createDataFrame([(1, passage)], "item_id long, text string"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    stages, own = dict(corpus_pipeline.STAGES), dict(rows)
+
+    def after(name, df):
+        out = stages[name](spark, df, str(tmp_path))
+        assert out.columns == docs.columns
+        return spark.createDataFrame(out.collect(), docs.schema)
+
+    crf = toxicity.train(docs, labels)
+    clean = after("toxicity", docs)
+    want = [k for k, t in rows if crf.score(toxicity.words(t))[0] < toxicity.THRESHOLD]
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(want) and 0 < len(want) < len(rows)
+    model = quality.train(clean, labels)
+    good = after("quality", clean)
+    want = [k for k in want if model.score(*quality.encode([own[k]]))[0] >= quality.THRESHOLD]
+    assert sorted(r.doc_id for r in good.collect()) == sorted(want)
+    single = after("near-duplicates", good)
+    ids = sorted(want)
+    want = [ids[k] for k in similar_roots([own[k] for k in ids])]
+    assert sorted(r.doc_id for r in single.collect()) == want and len(want) < len(ids)
+    plain = after("decontamination", single)
+    fold = lambda t: " ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower()))
+    windows = [" ".join(passage.split()[i : i + 10]) for i in range(3)]
+    want = [k for k in want if not any(f" {w} " in f" {fold(own[k])} " for w in windows)]
+    assert sorted(r.doc_id for r in plain.collect()) == want
+    assert {r.doc_id for r in stages["packing"](spark, plain, str(tmp_path)).collect()} == set(want)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(want)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
