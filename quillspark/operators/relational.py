@@ -94,17 +94,22 @@ def line_overlaps(lines: DataFrame, minimum_shared: int = 5, jaccard: float = 0.
     lines. Whatever the kind, the smaller set of n lines has at least a share t of
     them in common with the other, so one of its n - ceil(t n) + 1 rarest lines is
     common: only those look for partners, which keeps lines that a whole
-    repository shares out of the join. Candidates are then counted in full.
+    repository shares out of the join. Sets of fewer than minimum_shared lines can only be equal,
+    and are joined whole. Candidates are then counted in full.
     """
     t = min(jaccard, containment)
     known = lines.join(lines.groupBy("repo", "line").agg(F.count("*").alias("df")), ["repo", "line"])
     sets = known.groupBy("repo", "file", "hash").agg(F.sort_array(F.collect_list(F.struct("df", "line"))).alias("s"))
     sets = sets.select("repo", "file", "hash", F.size("s").cast("long").alias("n"), F.transform("s", lambda x: x["line"]).alias("own"))
     sets = written(sets, "line-sets")  # read four times below
-    rare = sets.select("repo", F.col("file").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("own", 1, (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))).alias("line"))
-    held = sets.select("repo", F.col("file").alias("y"), F.col("n").alias("ny"), F.explode("own").alias("line"))
+    many = sets.filter(F.col("n") >= minimum_shared)
+    rare = many.select("repo", F.col("file").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("own", 1, (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))).alias("line"))
+    held = many.select("repo", F.col("file").alias("y"), F.col("n").alias("ny"), F.explode("own").alias("line"))
     smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     pairs = rare.join(held, ["repo", "line"]).filter(smaller).select("repo", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    few = sets.filter(F.col("n") < minimum_shared).select("repo", "file", F.sha2(F.array_join("own", "\n"), 256).alias("whole"))
+    equal = few.withColumnRenamed("file", "a").join(few.withColumnRenamed("file", "b"), ["repo", "whole"]).filter("a < b").select("repo", "a", "b")
+    pairs = pairs.unionByName(equal)
     side = lambda k: sets.select("repo", F.col("file").alias(k), F.col("hash").alias(f"h{k}"), F.col("n").alias(f"n{k}"), F.col("own").alias(f"own{k}"))
     scored = pairs.join(side("a"), ["repo", "a"]).join(side("b"), ["repo", "b"]).filter("ha <> hb").withColumn("shared", F.size(F.array_intersect("owna", "ownb")).cast("long"))
     scored = scored.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).withColumn("containment", F.col("shared") / F.least("na", "nb"))
