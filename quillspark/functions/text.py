@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -173,6 +175,21 @@ def truncated(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.trim(F.regexp_replace(cut, " [^ ]*$", "")))
 
 
+@cache
+def foldings() -> dict[str, str]:
+    """Characters whose full case folding isn't their lower case, or whose lower case depends on their neighbours."""
+    every = (chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    return {c: c.casefold() for c in every if c.casefold() != c.lower() or c in "\u03a3\u03c2\u0130"}
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding: lower case, but character by character where one of some 300 special characters occurs."""
+    known = F.create_map(*[F.lit(x) for pair in foldings().items() for x in pair])
+    special = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in foldings()) + "]"
+    by_character = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(F.element_at(known, x), F.lower(x))), "")
+    return F.when(text.rlike(special), by_character).otherwise(F.lower(text))
+
+
 def letters_only(text: Column) -> Column:
     """Lower-cased words of letters, joined by spaces."""
     return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(WORD_LETTERS), F.lit(0)), " ")

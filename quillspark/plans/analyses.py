@@ -244,7 +244,7 @@ def placement(corpus: Corpus) -> dict[str, DataFrame]:
         F.struct(F.lit("parent_directory").alias("dimension"), F.try_element_at(parts, F.lit(-1)).alias("component")),
     )
     every = F.concat(kinds, F.transform(F.array_distinct(parts), lambda x: F.struct(F.lit("any_directory").alias("dimension"), x.alias("component"))))
-    component = files.select("id", "repo_full_name", "path", F.explode(every).alias("c")).select("id", "repo_full_name", "path", "c.dimension", F.lower("c.component").alias("component")).filter("component IS NOT NULL")
+    component = files.select("id", "repo_full_name", "path", F.explode(every).alias("c")).select("id", "repo_full_name", "path", "c.dimension", text.casefold(F.col("c.component")).alias("component")).filter("component IS NOT NULL")
     component = written(component, "components")
     counted = component.groupBy("dimension", "component").agg(F.count("*").alias("files"), F.count_distinct("repo_full_name").alias("repositories"))
     # The first three paths of each; the limit of a group is applied before the exchange too.

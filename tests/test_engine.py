@@ -68,6 +68,17 @@ def test_scripts_excerpts_codes(spark):
     assert values(spark, text.half_even(F.col("x"), 2), [0.125, 0.135, 2.5], "double") == [round(v, 2) for v in (0.125, 0.135, 2.5)]
 
 
+def test_case_folding_is_full(spark):
+    every = [chr(c) for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["Straße ΑΣ ςΣ İi ﬁne", "PLAIN Text", "", None, *("".join(every[i : i + 500]) for i in range(0, len(every), 500))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", text.casefold(F.col("t")).alias("t")).collect()
+    # Letters that the running Java doesn't know yet have no lower case there.
+    new = {c for c in every if c.casefold() != c and c not in text.foldings() and c > "\u1c7f"}
+    for r in rows:
+        want = texts[r.id] and texts[r.id].casefold()
+        assert r.t == want or set(texts[r.id]) & new
+
+
 def test_bands(spark):
     assert values(spark, bands.star_band(F.col("x")), [None, 0, 9, 10, 999, 1000], "int") == ["unknown", "0", "1-9", "10-99", "100-999", ">=1000"]
     counts = spark.createDataFrame([(1,), (1,), (7,), (500,)], "n int")
