@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,10 +120,25 @@ def line_overlaps(lines: DataFrame, minimum_shared: int = 5, jaccard: float = 0.
     return scored.withColumn("relation", kind).filter(F.col("relation").isNotNull()).select("repo", "a", "b", "na", "nb", "shared", "jaccard", "containment", "relation")
 
 
-def fifo_match(left: DataFrame, right: DataFrame, keys: list[str], left_order: list, right_order: list) -> DataFrame:
-    """Left and right rows of a key paired in order, each used once; unpaired rows have nulls on the other side (left_row, right_row)."""
-    l = left.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(*left_order)).alias("_n"), F.struct(*left.columns).alias("left_row"))  # noqa: E741
-    r = right.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(*right_order)).alias("_n"), F.struct(*right.columns).alias("right_row"))
+def _turns(df: DataFrame, keys: list[str], order: list, side: str, hot_rows: int) -> DataFrame:
+    """keys, _n (the place among the rows of the key) and the row as a struct."""
+    row = F.struct(*df.columns).alias(side)
+    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= hot_rows:
+        return df.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long").alias("_n"), row)
+    # A hot key's rows are ranked with all others, in ranges, and count from its first rank.
+    placed = ranked(df, [F.struct(*keys), *[o if isinstance(o, Column) else F.col(o) for o in order]], "_r")
+    first = placed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_r").alias("_first"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return placed.join(first, same).select(*keys, (F.col("_r") - F.col("_first") + 1).cast("long").alias("_n"), row)
+
+
+def fifo_match(left: DataFrame, right: DataFrame, keys: list[str], left_order: list, right_order: list, hot_rows: int = 1_000_000) -> DataFrame:
+    """Left and right rows of a key paired in order, each used once; unpaired rows have nulls on the other side (left_row, right_row).
+
+    Orders are names or expressions, ascending. Keys of more than hot_rows rows are ranked without a window over the key.
+    """
+    l, r = _turns(left, keys, left_order, "left_row", hot_rows), _turns(right, keys, right_order, "right_row", hot_rows)  # noqa: E741
     return l.join(r, [*keys, "_n"], "full_outer").drop("_n")
 
 

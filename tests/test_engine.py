@@ -148,8 +148,13 @@ def test_nearest_ancestors_and_chains(spark):
 def test_fifo_match_uses_each_row_once(spark):
     left = spark.createDataFrame([("k", 1), ("k", 2), ("m", 3)], "key string, a int")
     right = spark.createDataFrame([("k", 10), ("n", 11)], "key string, b int")
-    got = {(r.key, r.left_row and r.left_row.a, r.right_row and r.right_row.b) for r in relational.fifo_match(left, right, ["key"], ["a"], ["b"]).collect()}
-    assert got == {("k", 1, 10), ("k", 2, None), ("m", 3, None), ("n", None, 11)}
+    for hot_rows in (10, 0):
+        found = relational.fifo_match(left, right, ["key"], ["a"], ["b"], hot_rows)
+        got = {(r.key, r.left_row and r.left_row.a, r.right_row and r.right_row.b) for r in found.collect()}
+        assert got == {("k", 1, 10), ("k", 2, None), ("m", 3, None), ("n", None, 11)}
+    many = spark.createDataFrame([(None if k % 7 == 0 else k % 3, k) for k in range(300)], "key int, a int")
+    both = [{(r.key, r.left_row and r.left_row.a, r.right_row and r.right_row.a) for r in relational.fifo_match(many, many.filter("a > 50"), ["key"], ["a"], [-F.col("a")], n).collect()} for n in (1000, 1)]
+    assert both[0] == both[1]
 
 
 def test_bijection_raises(spark):
