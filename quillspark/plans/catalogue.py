@@ -718,12 +718,14 @@ def d14_comparison(spark, sf_dir):
     return analyses.import_analysis(corpus, found)["comparison"]
 
 
-@query("d15_groups")
+@query("d15_groups", oracles.REPEATED + " SELECT repo AS repo_full_name, content_hash, files, size_bytes, representative, '' AS tags, category, CAST(words AS INT) AS words, CAST(full_lines AS INT) AS nonempty_lines, CAST(n_refs AS INT) AS refs FROM formed")
 def d15_groups(spark, sf_dir):
-    return analyses.repeated_content(bind(spark, sf_dir))["groups"]
+    return analyses.repeated_content(bind(spark, sf_dir))["groups"].select("repo_full_name", "content_hash", "files", "size_bytes", "representative", "tags", "category", "words", "nonempty_lines", "refs")
 
 
-@query("d15_summary")
+@query("d15_summary", oracles.REPEATED + """, k(ordinal, category) AS (VALUES (0, 'pointer_shim'), (1, 'empty_placeholder'), (2, 'generated_context'), (3, 'template_scaffold'), (4, 'substantive_repeated_document'), (5, 'short_ambiguous')),
+ c AS (SELECT k.ordinal, k.category, count(f.id) AS groups, CAST(coalesce(sum(f.files), 0) AS BIGINT) AS files, count(DISTINCT f.repo) AS repositories, count(DISTINCT f.content_hash) AS contents FROM k LEFT JOIN formed f USING (category) GROUP BY ALL)
+ SELECT *, groups::DOUBLE / sum(groups) OVER () AS groups_share, files::DOUBLE / sum(files) OVER () AS files_share, contents::DOUBLE / sum(contents) OVER () AS contents_share FROM c""")
 def d15_summary(spark, sf_dir):
     return analyses.repeated_content(bind(spark, sf_dir))["summary"]
 

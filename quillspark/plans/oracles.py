@@ -102,3 +102,14 @@ NOTATIONS = r""", blk AS (SELECT id, lower(label) AS label, body FROM (SELECT id
  looks(notation, pattern) AS (VALUES ('mermaid', 'sequenceDiagram|classDiagram|stateDiagram|erDiagram'), ('plantuml', '@startuml'), ('graphviz', 'digraph |digraph\{|rankdir='), ('ascii_diagram', '[┌┐└┘├┤┬┴┼─│]|\+[-]{2,}\+|<-{2,}>|-{2,}>|<-{2,}'), ('bnf_ebnf', '::='), ('json_schema', '"type": "object"|"properties":'), ('yaml_schema', 'openapi:|swagger:')),
  seen AS (SELECT id, CASE label WHEN 'mermaid' THEN 'mermaid' ELSE 'json_schema' END AS notation, 'high' AS confidence FROM blk WHERE label IN ('mermaid', 'json')
    UNION ALL SELECT id, notation, 'medium' FROM blk, looks WHERE label NOT IN ('mermaid', 'json') AND regexp_matches(body, pattern))"""
+
+#: Contents that repeat within a repository, by the form of what they hold beside the binding's own references.
+REPEATED = REFERENCES + rf""",
+ grp AS (SELECT repo, content_hash, count(*) AS files, min(id) AS id, min(path) AS representative, min(size_bytes) AS size_bytes, min(content) AS content FROM exact GROUP BY repo, content_hash HAVING count(*) > 1),
+ beside AS (SELECT id, string_agg(CASE WHEN contains(line, '[guide](') THEN replace(line, regexp_extract(line, '\[guide\]\(([^)]*)\)', 1), '') ELSE line END, chr(10)) AS t
+   FROM outl WHERE NOT regexp_matches(line, '{_HEADING}') AND NOT regexp_matches(line, '^@(AGENTS|docs/setup[0-9])\.md$') GROUP BY id),
+ known AS (SELECT g.*, (SELECT count(*) FROM (SELECT DISTINCT i, syntax, raw FROM found x WHERE x.id = g.id)) AS n_refs, (SELECT count(*) FROM found x WHERE x.id = g.id AND syntax = 'direct_include') AS includes,
+   contains(content, '```') AS fenced, len(regexp_extract_all(coalesce(t, ''), '{_WORD}')) AS left_words, regexp_matches(coalesce(t, ''), '(?i)\b(instruction|instructions|read|refer|follow|use|uses|using|load|loads|import(s|ed|ing)?|source of truth|guidance|see)\b') AS cue,
+   len(regexp_extract_all(content, '{_WORD}')) AS words, len(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')) AS full_lines FROM grp g LEFT JOIN beside USING (id)),
+ formed AS (SELECT *, CASE WHEN n_refs > 0 AND NOT fenced AND (left_words = 0 OR cue AND (includes > 0 AND left_words <= 60 OR includes = 0 AND left_words <= 50)) THEN 'pointer_shim'
+   WHEN NOT regexp_matches(content, '[\p{{L}}\p{{N}}_]') THEN 'empty_placeholder' WHEN words >= 50 OR full_lines >= 8 OR size_bytes >= 500 THEN 'substantive_repeated_document' ELSE 'short_ambiguous' END AS category FROM known)"""
