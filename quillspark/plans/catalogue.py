@@ -600,9 +600,9 @@ def d6_section_totals(spark, sf_dir):
     return analyses.sections(bind(spark, sf_dir))["totals"]
 
 
-@query("d6_styles")
+@query("d6_styles", oracles.SECTIONS + " SELECT style, CAST(sum(w) AS BIGINT) AS sections_full, count(*) AS sections_unique, round(100.0::DOUBLE * sum(w) / (SELECT sum(w) FROM styled), 9) AS percent_full FROM styled GROUP BY style")
 def d6_styles(spark, sf_dir):
-    return analyses.sections(bind(spark, sf_dir))["styles"]
+    return analyses.sections(bind(spark, sf_dir))["styles"].withColumn("percent_full", F.round("percent_full", 9))
 
 
 @query("d6_headings", oracles.HEADINGS + " SELECT name, CAST(sum(w) AS BIGINT) AS occurrences, CAST((SELECT sum(w) FROM (SELECT DISTINCT id, w FROM named_headings x WHERE x.name = h.name)) AS BIGINT) AS files, count(DISTINCT id) AS contents FROM named_headings h GROUP BY name ORDER BY files DESC, occurrences DESC, name LIMIT 1000")
@@ -610,9 +610,10 @@ def d6_headings(spark, sf_dir):
     return analyses.sections(bind(spark, sf_dir))["headings"]
 
 
-@query("d6_quantiles")
+@query("d6_quantiles", oracles.SECTIONS + ", long AS (SELECT w, unnest([{'k': 'line_count', 'v': line_count}, {'k': 'word_count', 'v': word_count}, {'k': 'list_items', 'v': list_items}, {'k': 'prose_blocks', 'v': prose_blocks}, {'k': 'list_lines', 'v': list_lines}, {'k': 'prose_lines', 'v': prose_lines}]) AS m FROM sect), flat AS (SELECT m.k AS measure, m.v AS value, w FROM long), q AS (SELECT * FROM (" + oracles.weighted("flat", "measure", [25, 50, 90, 99]).replace(", h AS", "WITH h AS", 1) + ")) SELECT measure, q25, q50, q90, q99 FROM q")
 def d6_quantiles(spark, sf_dir):
-    return analyses.sections(bind(spark, sf_dir))["quantiles"]
+    found = analyses.sections(bind(spark, sf_dir))["quantiles"]
+    return found.select("measure", *[F.col(c).cast("long").alias(c) for c in ("q25", "q50", "q90", "q99")])
 
 
 @query("d8_notations", oracles.NOTATIONS + " SELECT notation, confidence, count(*) AS occurrences, count(DISTINCT id) AS files FROM seen GROUP BY ALL")
@@ -824,19 +825,47 @@ def d20_fences(spark, sf_dir):
     return analyses.report(_analyzed(spark, sf_dir))["fences"]
 
 
-@query("d20_notations_by_tool")
+@query("d20_notations_by_tool", oracles.NOTATIONS + " SELECT tool_id, notation, count(*) AS n FROM seen JOIN files USING (id) GROUP BY ALL")
 def d20_notations_by_tool(spark, sf_dir):
     return analyses.report(_analyzed(spark, sf_dir))["notations_by_tool"]
 
 
-@query("d6_populations")
+#: Measures of a file that the populations add up.
+_POPULATION = {
+    "files": "1",
+    "files_with_headings": "CAST(n > 0 AS INT)",
+    "files_without_headings": "CAST(n = 0 AS INT)",
+    "sections": "n",
+    "files_with_skipped_jumps": "CAST(jumps > 0 AS INT)",
+    "skipped_jumps": "jumps",
+    "files_starting_below_h1": "CAST(below AS INT)",
+    "files_without_h1": "CAST(h1 = 0 AS INT)",
+    "headed_files_without_h1": "CAST(n > 0 AND h1 = 0 AS INT)",
+    "files_with_multiple_h1": "CAST(h1 > 1 AS INT)",
+    "files_with_empty_sections": "CAST(empties > 0 AS INT)",
+    "empty_sections": "empties",
+    "files_with_list_sections": "CAST(list_sections > 0 AS INT)",
+    "files_with_prose_sections": "CAST(prose_sections > 0 AS INT)",
+    "sections_with_list_items": "list_sections",
+    "sections_with_prose": "prose_sections",
+    "sections_with_other": "other_sections",
+    "list_items": "list_items",
+    "task_items": "task_items",
+    "prose_blocks": "prose_blocks",
+    "list_lines": "list_lines",
+    "prose_lines": "prose_lines",
+    "other_lines": "other_lines",
+}
+
+
+@query("d6_populations", oracles.SECTIONS + " SELECT population, " + ", ".join(f"CAST(sum(CASE WHEN one THEN 1 ELSE w END * ({x})) AS BIGINT) AS {n}" for n, x in _POPULATION.items()) + " FROM perfile, pop GROUP BY population")
 def d6_populations(spark, sf_dir):
-    return analyses.sections(bind(spark, sf_dir))["populations"]
+    return analyses.sections(bind(spark, sf_dir))["populations"].select("population", *_POPULATION)
 
 
-@query("d6_distributions")
+@query("d6_distributions", oracles.SECTIONS + oracles.weighted("measured", "population, measure", [25, 50, 75, 90, 95, 99]))
 def d6_distributions(spark, sf_dir):
-    return analyses.sections(bind(spark, sf_dir))["distributions"]
+    return analyses.sections(bind(spark, sf_dir))["distributions"].withColumn("mean", F.round("mean", 9))
 
 
 @query("d9_populations")

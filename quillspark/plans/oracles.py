@@ -113,3 +113,36 @@ REPEATED = REFERENCES + rf""",
    len(regexp_extract_all(content, '{_WORD}')) AS words, len(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')) AS full_lines FROM grp g LEFT JOIN beside USING (id)),
  formed AS (SELECT *, CASE WHEN n_refs > 0 AND NOT fenced AND (left_words = 0 OR cue AND (includes > 0 AND left_words <= 60 OR includes = 0 AND left_words <= 50)) THEN 'pointer_shim'
    WHEN NOT regexp_matches(content, '[\p{{L}}\p{{N}}_]') THEN 'empty_placeholder' WHEN words >= 50 OR full_lines >= 8 OR size_bytes >= 500 THEN 'substantive_repeated_document' ELSE 'short_ambiguous' END AS category FROM known)"""
+
+#: Sections, their lines folded into list, prose and other blocks. A list goes on over plain lines until a blank line, a fence or another block.
+SECTIONS = HEADINGS + r""",
+ body AS (SELECT id, w, i, level, ls[i + 1 : coalesce(following - 1, len(ls))] AS b FROM nx),
+ fold AS (SELECT id, w, i, b, list_reduce(list_prepend('', b), lambda a, x: CASE
+    WHEN a.f THEN struct_pack(s := 'none', f := NOT regexp_full_match(x, ' {0,3}```+[ \t]*'), k := CASE WHEN trim(x) = '' THEN 'blank' ELSE 'other' END, n := a.n, t := a.t, ks := list_append(a.ks, CASE WHEN trim(x) = '' THEN 'blank' ELSE 'other' END))
+    WHEN trim(x) = '' THEN struct_pack(s := CASE WHEN a.s = 'none' THEN 'none' ELSE 'loose' END, f := false, k := 'blank', n := a.n, t := a.t, ks := list_append(a.ks, 'blank'))
+    WHEN regexp_matches(x, '^ {0,3}[-+*][ \t]') THEN struct_pack(s := 'flowing', f := false, k := 'list', n := a.n + 1, t := a.t + CAST(regexp_matches(x, '^- \[[ xX]\]([ \t]|$)') AS INT), ks := list_append(a.ks, 'list'))
+    WHEN regexp_matches(x, '^ {0,3}```') THEN struct_pack(s := 'none', f := true, k := 'other', n := a.n, t := a.t, ks := list_append(a.ks, 'other'))
+    WHEN regexp_matches(x, '^ {4}') OR length(x) - length(replace(x, '|', '')) > 1 THEN struct_pack(s := 'none', f := false, k := 'other', n := a.n, t := a.t, ks := list_append(a.ks, 'other'))
+    WHEN a.s = 'flowing' THEN struct_pack(s := 'flowing', f := false, k := 'list', n := a.n, t := a.t, ks := list_append(a.ks, 'list'))
+    ELSE struct_pack(s := 'none', f := false, k := 'prose', n := a.n, t := a.t, ks := list_append(a.ks, 'prose')) END,
+    struct_pack(s := 'none', f := false, k := '', n := 0, t := 0, ks := CAST([] AS VARCHAR[]))) AS r FROM body),
+ sect AS (SELECT id, w, i, CAST(len(b) AS BIGINT) AS line_count, CAST(len(regexp_extract_all(array_to_string(b, chr(10)), '[^\s\x{A0}]+')) AS BIGINT) AS word_count, CAST(r.n AS BIGINT) AS list_items, CAST(r.t AS BIGINT) AS task_items,
+   CAST(len(list_filter(r.ks, lambda k: k = 'list')) AS BIGINT) AS list_lines, CAST(len(list_filter(r.ks, lambda k: k = 'prose')) AS BIGINT) AS prose_lines, CAST(len(list_filter(r.ks, lambda k: k = 'other')) AS BIGINT) AS other_lines,
+   CAST(len(list_filter(list_zip(r.ks, list_prepend('', r.ks)), lambda z: z[1] = 'prose' AND coalesce(z[2], '') <> 'prose')) AS BIGINT) AS prose_blocks FROM fold),
+ styled AS (SELECT *, CASE WHEN list_lines > 0 AND prose_lines > 0 AND other_lines > 0 THEN 'list_prose_and_other' WHEN list_lines > 0 AND prose_lines > 0 THEN 'list_and_prose' WHEN list_lines > 0 AND other_lines > 0 THEN 'list_and_other' WHEN prose_lines > 0 AND other_lines > 0 THEN 'prose_and_other'
+   WHEN list_lines > 0 THEN 'list_only' WHEN prose_lines > 0 THEN 'prose_only' WHEN other_lines > 0 THEN 'other_only' ELSE 'empty' END AS style FROM sect),
+ depths AS (SELECT id, max(deep) AS depth, count(*) FILTER (WHERE deep = 1) AS top FROM (SELECT a.id, a.i, 1 + (SELECT count(*) FROM hd b WHERE b.id = a.id AND b.i < a.i AND b.level < a.level AND NOT EXISTS (SELECT 1 FROM hd c WHERE c.id = a.id AND c.i > b.i AND c.i < a.i AND c.level <= b.level)) AS deep FROM hd a) GROUP BY id),
+ perfile AS (SELECT o.*, coalesce(d.depth, 0) AS depth, coalesce(d.top, 0) AS top, coalesce(x.ls, 0) AS list_sections, coalesce(x.ps, 0) AS prose_sections, coalesce(x.os, 0) AS other_sections, coalesce(x.li, 0) AS list_items, coalesce(x.ti, 0) AS task_items, coalesce(x.pb, 0) AS prose_blocks, coalesce(x.ll, 0) AS list_lines, coalesce(x.pl, 0) AS prose_lines, coalesce(x.ol, 0) AS other_lines
+   FROM own o LEFT JOIN depths d USING (id) LEFT JOIN (SELECT id, count(*) FILTER (WHERE list_items > 0) AS ls, count(*) FILTER (WHERE prose_blocks > 0) AS ps, count(*) FILTER (WHERE other_lines > 0) AS os, sum(list_items) AS li, sum(task_items) AS ti, sum(prose_blocks) AS pb, sum(list_lines) AS ll, sum(prose_lines) AS pl, sum(other_lines) AS ol FROM sect GROUP BY id) x USING (id)),
+ pop(population, one) AS (VALUES ('full', false), ('unique', true)),
+ measured AS (SELECT population, CASE WHEN one THEN 1 ELSE w END AS w, m.k AS measure, CAST(m.v AS BIGINT) AS value FROM pop, (
+     SELECT w, unnest([{'k': 'sections_per_file', 'v': n}, {'k': 'sections_per_headed_file', 'v': CASE WHEN n > 0 THEN n END}, {'k': 'top_level_sections_per_file', 'v': top}, {'k': 'top_level_sections_per_headed_file', 'v': CASE WHEN n > 0 THEN top END},
+       {'k': 'maximum_depth_per_file', 'v': depth}, {'k': 'maximum_depth_per_headed_file', 'v': CASE WHEN n > 0 THEN depth END}, {'k': 'skipped_jumps_per_file', 'v': jumps}]) AS m FROM perfile
+     UNION ALL SELECT w, unnest([{'k': 'section_lines', 'v': line_count}, {'k': 'section_words', 'v': word_count}, {'k': 'list_items_per_section', 'v': list_items}, {'k': 'list_items_per_list_section', 'v': CASE WHEN list_items > 0 THEN list_items END}, {'k': 'prose_blocks_per_section', 'v': prose_blocks}]) FROM sect) WHERE m.v IS NOT NULL)"""
+
+
+def weighted(source: str, by: str, quantiles: list[int]) -> str:
+    """Weighted nearest-rank quantiles of value by w, with count, total, minimum, maximum and mean."""
+    picks = ", ".join(f"min(value) FILTER (WHERE upto >= greatest(1, ceil({q / 100}::DOUBLE * n))) AS q{q}" for q in quantiles)
+    return f""", h AS (SELECT {by}, value, sum(w) AS w FROM {source} GROUP BY ALL), acc AS (SELECT *, sum(w) OVER (PARTITION BY {by} ORDER BY value) AS upto, sum(w) OVER (PARTITION BY {by}) AS n FROM h)
+ SELECT {by}, CAST(max(n) AS BIGINT) AS count, CAST(sum(value * w) AS BIGINT) AS total, min(value) AS minimum, max(value) AS maximum, round(sum(value * w)::DOUBLE / max(n), 9) AS mean, {picks} FROM acc GROUP BY {by}"""
