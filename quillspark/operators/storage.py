@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,15 +53,46 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-#: Rows of an Arrow batch, where the session has Spark's own 10,000: whole texts and sets of shingles are long rows.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bounds of an Arrow batch, where the session has Spark's own: whole texts and sets of shingles are long rows.
+_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Let batches of rows with whole texts take some MB, not tens of MB, in each executor's JVM and Python workers."""
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    for name, (usual, own) in _BOUNDS.items():
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, own)
+
+
+#: Batches after which a task gives freed memory back.
+_TIDY = 16
+
+
+def _release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives freed memory back to the system now and then, and at its end: workers live on, idle or for other work."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            for k, out in enumerate(run(batches), 1):
+                yield out
+                if k % _TIDY == 0:
+                    _release()
+        finally:
+            _release()
+
+    return tidied
 
 
 #: Input below so many bytes for each task slot is dealt out anew before heavy work on each row.

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import paths, text
-from ..operators.storage import spread
+from ..operators.storage import spread, tidy
 
 SCHEMAS = {
     "repos": "full_name string, stars int, language string, fetched_at string",
@@ -111,7 +111,7 @@ def parsed(files: DataFrame, parser: Callable[[str], object], kind: str, name: s
                     values.append(known[content])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(values, arrow.field(name).type)], schema=arrow)
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(tidy(run), schema)
 
 
 # The driver's tables carry no markup or paths; this binding adds both by rule, in Spark and in SQL alike.
