@@ -18,17 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import spread
-from .common import stored, table, with_free_names
+from ..operators.storage import spread, tidy
+from .common import stored, table, with_ids, without
 
 #: Words of a window, and how far a word of a near window may be from its place.
 WINDOW, SLOP = 10, 2
-#: Words of a segment, unless a single document has more.
-SEGMENT_WORDS = 1_000_000
+#: Words of a segment, unless a single document has more: rows of the index then take below 1 MB, which the JVM's heap holds without waste.
+SEGMENT_WORDS = 100_000
 #: UTF-8 bytes of the test items that are searched at once; more items go in further rounds.
 BLOCK_BYTES = 16 << 20
-#: Ids to drop that a broadcast may carry: 16 MB of them.
-BROADCAST_IDS = 2_000_000
 
 #: A-Z to a-z; bytes other than 0-9, a-z and those of non-ASCII characters end a word.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -187,7 +185,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if segment.ids:
             yield out()
 
-    return spread(docs.select(F.col(id_col).cast("long"), F.col(text_col))).mapInArrow(run, SEGMENT)
+    return spread(docs.select(F.col(id_col).cast("long"), F.col(text_col))).mapInArrow(tidy(run), SEGMENT)
 
 
 def search(index: DataFrame, items: list[tuple], size: int = WINDOW, slop: int | None = None) -> DataFrame:
@@ -218,7 +216,7 @@ def search(index: DataFrame, items: list[tuple], size: int = WINDOW, slop: int |
                 for i in range(0, len(found), 5000):
                     yield _batch(found[i : i + 5000], _REPORT)
 
-    return index.mapInArrow(run, REPORT)
+    return index.mapInArrow(tidy(run), REPORT)
 
 
 def _merge(rows):
@@ -266,15 +264,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     or an empty benchmark changes nothing. If ids are null or repeat, or aren't
     numbers, the rows are numbered first, and the numbers serve as ids.
     """
-    n = with_free_names(docs, "rid")["rid"]
-    plain = docs.schema[id_col].dataType.typeName() == "long" and docs.filter(F.col(id_col).isNull()).isEmpty() and docs.groupBy(id_col).count().filter("count > 1").isEmpty()
-    rows = docs if plain else stored(docs.withColumn(n, F.monotonically_increasing_id()), "contaminated-rows")
-    key = id_col if plain else n
+    rows, key = with_ids(docs, id_col)
     found = contamination(rows, benchmark, key, text_col, item_col, item_text_col, size, None, block_bytes)
     gone = stored(found.filter("contaminated").select(F.col("doc_id").alias(key)), "contaminated")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return rows.join(gone, key, "left_anti").select(*docs.columns)
+    return without(rows, key, gone).select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import spread
+from ..operators.storage import spread, tidy
 from .common import table
 
 SHORT, LONG = 70, 200
@@ -267,7 +267,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
 
     slim = pages.select(*kept, html_col)
     schema = slim.drop(html_col).schema.add(text_col, "string").add("n_chars", "long")
-    return spread(slim).mapInArrow(run, schema)
+    return spread(slim).mapInArrow(tidy(run), schema)
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:

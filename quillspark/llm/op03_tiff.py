@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.storage import spread
+from ..operators.storage import spread, tidy
 from .common import table, with_free_names
 
 RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -346,7 +346,7 @@ def tiff_pages(files: DataFrame, id_col: str, media_col: str = "media") -> DataF
     from pyspark.sql import types as T
 
     made = T._parse_datatype_string(PAGE)
-    return slim.mapInArrow(run, T.StructType([slim.schema[id_col], *[T.StructField(n, f.dataType) for n, f in zip(free, made.fields, strict=True)]]))
+    return slim.mapInArrow(tidy(run), T.StructType([slim.schema[id_col], *[T.StructField(n, f.dataType) for n, f in zip(free, made.fields, strict=True)]]))
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -405,7 +405,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[x.split()[0] for x in schema.split(", ")])
 
     schema = DIGEST + ", media binary" * keep_media
-    return spread(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")).mapInArrow(run, schema)
+    return spread(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")).mapInArrow(tidy(run), schema)
 
 
 def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.storage import tidy
 from .common import stored, table, with_free_names
 
 SHARDS, SEED = 8, 20240607
@@ -119,7 +120,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, c
             raise RuntimeError(f"partition {p} has fewer rows than were counted")
 
     schema = T.StructType([*df.schema.fields, T.StructField(name["cell"], T.IntegerType()), T.StructField(name["order"], T.LongType())])
-    dealt = df.mapInArrow(run, schema)
+    dealt = df.mapInArrow(tidy(run), schema)
     # A cell is a partition of its own, so no task gets several by chance.
     dealt = dealt.repartitionById(shards * cuts, F.col(name["cell"]))
     rank = F.row_number().over(Window.partitionBy(name["cell"]).orderBy(name["order"]))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import spread
+from ..operators.storage import spread, tidy
 from .common import table
 from .labelled import held_out, sample
 from .op01_decontamination import words
@@ -311,7 +311,7 @@ def score_texts(docs: DataFrame, model: Crf, text_col: str = "text", keep: list[
     slim = docs.select(*kept, F.col(text_col).alias("__text"))
     from pyspark.sql import types as T
 
-    return spread(slim).mapInArrow(run, T.StructType([*slim.schema.fields[:-1], *T._parse_datatype_string(SCORED).fields]))
+    return spread(slim).mapInArrow(tidy(run), T.StructType([*slim.schema.fields[:-1], *T._parse_datatype_string(SCORED).fields]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import spread
-from .common import stored, table, with_free_names
+from ..operators.storage import spread, tidy
+from .common import stored, table, with_ids, without
 
 SHINGLE, SEED, RADIUS, SHARD_ROWS = 3, 42, 2, 4096
 _ALL = (1 << 64) - 1
-#: Ids to drop that a broadcast may carry: 16 MB of them.
-BROADCAST_IDS = 2_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -70,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.int64())], names=["id", "fp"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return spread(slim).mapInArrow(run, slim.schema[0:1].add("fp", "long", False))
+    return spread(slim).mapInArrow(tidy(run), slim.schema[0:1].add("fp", "long", False))
 
 
 class BkTree:
@@ -192,7 +190,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = shards.repartition(n, "k", "v", "s", "w").sortWithinPartitions("k", "v", "s", "w")
-    return dealt.select("fp", "k", "v", "s", "w").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("fp", "k", "v", "s", "w").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,18 +239,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each component, that of the smallest id; all columns stay.
 
-    If ids are null or repeat, the rows are numbered first, and the numbers
-    serve as ids.
+    If ids are null or repeat, or aren't numbers, the rows are numbered first,
+    and the numbers serve as ids.
     """
-    n = with_free_names(docs, "rid")["rid"]
-    plain = docs.filter(F.col(id_col).isNull()).isEmpty() and docs.groupBy(id_col).count().filter("count > 1").isEmpty()
-    rows = docs if plain else stored(docs.withColumn(n, F.monotonically_increasing_id()), "simhash-rows")
-    key = id_col if plain else n
+    rows, key = with_ids(docs, id_col)
     classes = near_duplicates(rows, key, text_col, **options)
     gone = stored(classes.filter("id != component").select(F.col("id").alias(key)), "simhash-gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return rows.join(gone, key, "left_anti").select(*docs.columns)
+    return without(rows, key, gone).select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

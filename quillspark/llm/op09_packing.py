@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import spread
+from ..operators.storage import spread, tidy
 from .common import stored, table
 
 WINDOW = 2048
@@ -417,12 +417,12 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
         yield _batch(packer.out, None)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = stored(spread(slim).mapInArrow(first, PIECES + ", ids binary"), "pieces")
+    pieces = stored(spread(slim).mapInArrow(tidy(first), PIECES + ", ids binary"), "pieces")
     left = pieces.filter("sequence_id IS NULL")
     # Long pieces first: fewer windows are open at the end.
     tasks = -(-(left.agg(F.sum("length")).first()[0] or 0) // left_ids) or 1
     dealt = left.select("doc_id", "start", "doc_tokens", "ids").repartition(tasks, F.xxhash64("doc_id", "start", "ids")).sortWithinPartitions(F.desc(F.octet_length("ids")), F.xxhash64("ids", "doc_id"), "doc_id", "start")
-    return pieces.filter("sequence_id IS NOT NULL").select(*_NAMES).unionByName(dealt.mapInArrow(second, PIECES))
+    return pieces.filter("sequence_id IS NOT NULL").select(*_NAMES).unionByName(dealt.mapInArrow(tidy(second), PIECES))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

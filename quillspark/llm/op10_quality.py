@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.storage import spread
+from ..operators.storage import spread, tidy
 from .common import table
 from .labelled import held_out, sample
 
@@ -189,7 +189,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: lis
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, "score"])
 
     slim = docs.select(*kept, F.col(text_col).alias("__text"))
-    return spread(slim).mapInArrow(run, T.StructType([*slim.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    return spread(slim).mapInArrow(tidy(run), T.StructType([*slim.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
