@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ from .common import stored, table, with_ids, without
 
 #: Words of a window, and how far a word of a near window may be from its place.
 WINDOW, SLOP = 10, 2
-#: Words of a segment, unless a single document has more: rows of the index then take below 1 MB, which the JVM's heap holds without waste.
+#: Words of a segment, unless a single document has more: rows of the index then take below 1 MB. Terms (which hold no spaces), counts and positions
+#: are each one binary value, so that the JVM only hands bytes on.
 SEGMENT_WORDS = 100_000
 #: UTF-8 bytes of the test items that are searched at once; more items go in further rounds.
 BLOCK_BYTES = 16 << 20
@@ -31,7 +33,7 @@ BLOCK_BYTES = 16 << 20
 #: A-Z to a-z; bytes other than 0-9, a-z and those of non-ASCII characters end a word.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-SEGMENT = "segment long, gap int, ids array<long>, n_words array<int>, terms array<binary>, counts array<int>, positions binary"
+SEGMENT = "segment long, gap int, ids array<long>, n_words array<int>, terms binary, counts binary, positions binary"
 REPORT = "segment long, place int, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hits array<int>, n_near long, near array<long>"
 
 
@@ -97,25 +99,30 @@ class Phrases:
         for k, item in sorted(pairs):
             self.items[k].append(item)
 
-    def matches(self, lists: dict[int, np.ndarray], counts: np.ndarray, slop: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-        """(window, starts in order) where each word of the window is at most slop from its place. counts: of each term's positions."""
+    def starts(self, k: int, many: np.ndarray, lists: dict[int, np.ndarray], slop: int = 0) -> np.ndarray:
+        """Where each word of window k is at most slop from its place, in order. many: positions of each of its words."""
+        order = np.argsort(many, kind="stable")[: self.length[k]].tolist()
+        starts = lists[self.term[k, order[0]]] - order[0]
+        if slop:
+            starts = np.unique(starts[:, None] + np.arange(-slop, slop + 1))
+        for place in order[1:]:
+            other = lists[self.term[k, place]]
+            want = starts + place
+            at = np.searchsorted(other, want - slop)
+            starts = starts[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= want + slop)]
+            if not len(starts):
+                break
+        return starts
+
+    def matches(self, lists: dict[int, np.ndarray], counts: np.ndarray, slop: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(window, exact starts, near starts) of the windows with any. counts: of each term's positions."""
         if not len(self.term):
             return
         many = np.where(self.term >= 0, counts[self.term], np.iinfo(np.int64).max)
         for k in np.flatnonzero(many.min(axis=1) > 0).tolist():
-            order = np.argsort(many[k], kind="stable")[: self.length[k]].tolist()
-            starts = lists[self.term[k, order[0]]] - order[0]
-            if slop:
-                starts = np.unique(starts[:, None] + np.arange(-slop, slop + 1))
-            for place in order[1:]:
-                other = lists[self.term[k, place]]
-                want = starts + place
-                at = np.searchsorted(other, want - slop)
-                starts = starts[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= want + slop)]
-                if not len(starts):
-                    break
-            if len(starts):
-                yield k, starts
+            near = self.starts(k, many[k], lists, slop)
+            if len(near):  # an exact start is a near one
+                yield k, self.starts(k, many[k], lists) if slop else near, near
 
 
 def report(phrases: Phrases, ids: list, sizes: np.ndarray, gap: int, lists, counts: np.ndarray, slop: int | None) -> list[tuple]:
@@ -124,18 +131,16 @@ def report(phrases: Phrases, ids: list, sizes: np.ndarray, gap: int, lists, coun
     first = np.concatenate([[0], np.cumsum(sizes + gap)])
     change = np.zeros(int(first[-1]) + gap + 1, np.int32)
     held: list[np.ndarray] = []
-    exact: dict[int, np.ndarray] = {}
     near: list[list[int]] = [[] for _ in range(n)]
-    for k, starts in phrases.matches(lists, counts):
+    for k, starts, near_starts in phrases.matches(lists, counts, slop or 0):
         np.add.at(change, starts, 1)
         np.add.at(change, starts + phrases.length[k], -1)
-        exact[k] = np.unique(np.searchsorted(first, starts, "right") - 1)
-        held += [exact[k] * m + item for item in phrases.items[k]]
-    if slop:
-        for k, starts in phrases.matches(lists, counts, slop):
+        exact = np.unique(np.searchsorted(first, starts, "right") - 1)
+        held += [exact * m + item for item in phrases.items[k]]
+        if slop:
             # A start may lie before its document, whose first words are the window's last ones.
-            of = np.unique(np.searchsorted(first, starts + slop + phrases.length[k] - 1, "right") - 1)
-            for doc in np.setdiff1d(of, exact.get(k, of[:0])).tolist():
+            of = np.unique(np.searchsorted(first, near_starts + slop + phrases.length[k] - 1, "right") - 1)
+            for doc in np.setdiff1d(of, exact).tolist():
                 near[doc].append(phrases.marks[k])
     hit = np.flatnonzero(np.cumsum(change[:-1]) > 0)
     of = np.searchsorted(first, hit, "right") - 1
@@ -159,7 +164,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _REPORT = pa.schema([("segment", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.int32())), ("n_near", pa.int64()), ("near", pa.list_(pa.int64()))])
-_SEGMENT = pa.schema([("segment", pa.int64()), ("gap", pa.int32()), ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("positions", pa.binary())])
+_SEGMENT = pa.schema([("segment", pa.int64()), ("gap", pa.int32()), ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = WINDOW + 2 * SLOP, segment_words: int = SEGMENT_WORDS) -> DataFrame:
@@ -172,7 +177,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def out() -> pa.RecordBatch:
             counts, places = segment.lists()
-            return _batch([(number, gap, segment.ids, np.array(segment.sizes, np.int32), list(segment.terms), counts.astype(np.int32), places.astype("<u4").tobytes())], _SEGMENT)
+            return _batch([(number, gap, segment.ids, np.array(segment.sizes, np.int32), b" ".join(segment.terms), counts.astype("<u4").tobytes(), places.astype("<u4").tobytes())], _SEGMENT)
 
         for batch in batches:
             for i in range(0, len(batch), 256):
@@ -199,6 +204,7 @@ def search(index: DataFrame, items: list[tuple], size: int = WINDOW, slop: int |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
+        wanted = pa.array(list(phrases.numbers), pa.binary())
         for batch in batches:
             for row in range(len(batch)):
                 segment, gap, ids, sizes, terms, counts, positions = (batch.column(c)[row] for c in range(7))
@@ -206,12 +212,13 @@ def search(index: DataFrame, items: list[tuple], size: int = WINDOW, slop: int |
                 if gap < size + 2 * (slop or 0):
                     raise ValueError("the index's gap is too small for such windows")
                 places = np.frombuffer(positions.as_buffer(), "<u4")
-                ends = np.cumsum(counts.values.to_numpy())
-                begins = ends - counts.values.to_numpy()
+                sizes_of = np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)
+                ends = np.cumsum(sizes_of)
+                number = pc.index_in(pa.array(terms.as_py().split(), pa.binary()), value_set=wanted).fill_null(-1).to_numpy()
                 lists, many = {}, np.zeros(len(phrases.numbers) + 1, np.int64)
-                for term, a, b in zip(terms.as_py(), begins.tolist(), ends.tolist(), strict=True):
-                    if (k := phrases.numbers.get(term)) is not None:
-                        lists[k], many[k] = places[a:b].astype(np.int64), b - a
+                for t in np.flatnonzero(number >= 0).tolist():
+                    lists[int(number[t])] = places[ends[t] - sizes_of[t] : ends[t]].astype(np.int64)
+                many[number[number >= 0]] = sizes_of[number >= 0]
                 found = [_row(segment, *x) for x in report(phrases, ids.as_py(), sizes, gap, lists, many, slop)]
                 for i in range(0, len(found), 5000):
                     yield _batch(found[i : i + 5000], _REPORT)
