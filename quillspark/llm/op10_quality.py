@@ -138,7 +138,9 @@ class Model:
 def fit(texts: list[tuple[str, int]], share: float, steps: int = 600, batch: int = 128) -> Model:
     """A model from (text, label) pairs by Adam steps; share: of label 1 in the population, to which labels are weighted."""
     rng = np.random.default_rng(5)
-    rows, counts = encode([t for t, _ in texts])
+    # A few hundred texts at a time: encoding takes some ten times their bytes.
+    parts = [encode([t for t, _ in texts[i : i + 256]]) for i in range(0, len(texts), 256)] or [encode([])]
+    rows, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     mean = rows.mean(axis=0) if len(rows) else np.zeros(FEATURES)
     scale = rows.std(axis=0) + 0.01 if len(rows) else np.ones(FEATURES)
     model = Model(mean, scale, rng)
