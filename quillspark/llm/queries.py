@@ -15,6 +15,7 @@ _MODULES = {
     "op8_simhash": "op08_simhash",
     "op9_packing": "op09_packing",
     "op10_quality": "op10_quality",
+    "op11_search": "op11_search",
     "op12_runs": "op12_runs",
     "op13_pii": "op13_pii",
 }
