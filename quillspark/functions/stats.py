@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 Z95, Z_WILSON = 1.96, 1.959963984540054
 
 
-def nearest_rank(col: str, p: float) -> Column:
-    """The value at rank max(1, ceil(p n)) of n sorted values."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{col}`)")
-
-
 #: Which measures a kind of description has, what it says of no rows, and whether its mean is rounded.
 KINDS = {
     "full": ("count total minimum p25 median mean p75 p90 p95 p99 maximum zero", None, False),
@@ -25,32 +20,6 @@ KINDS = {
 }
 
 
-def describe(col: str, kind: str = "full", cast: str = "long") -> list[Column]:
-    """Measures of a numeric column, to be passed to agg()."""
-    names, empty, rounded = KINDS[kind]
-    out = []
-    for name in names.split():
-        if name == "count":
-            c = F.count(col)
-        elif name == "total":
-            c = F.sum(col).cast(cast)
-        elif name == "minimum":
-            c = F.min(col).cast(cast)
-        elif name == "maximum":
-            c = F.max(col).cast(cast)
-        elif name == "mean":
-            c = F.avg(col)
-            c = F.bround(c, 6) if rounded else c
-        elif name == "zero":
-            c = F.count_if(F.col(col) == 0)
-        else:
-            c = nearest_rank(col, 0.5 if name == "median" else int(name[1:]) / 100).cast(cast)
-        if empty is not None and name != "count":
-            c = F.coalesce(c, F.lit(empty).cast("double" if name == "mean" else cast))
-        out.append(c.alias(name))
-    return out
-
-
 def triple(ordered: Column) -> list[Column]:
     """Median (nearest rank), mean and maximum of a sorted array of numbers; nulls if it is empty."""
     n = F.size(ordered)

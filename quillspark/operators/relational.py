@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from .storage import written
+from .storage import small, written
 
 
 def repeated(df: DataFrame, *keys: str, least: int = 2) -> DataFrame:
@@ -87,6 +87,42 @@ def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     return placed.join(offsets, "_p").withColumn(name, (F.col("_before") + within + 1).cast("int" if before < 2**31 else "long")).select(*df.columns, name)
 
 
+def ranked_within(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
+    """df with the place of each row (int, from 1) in a total order among the rows of its keys (nulls are a key), however many those are.
+
+    As in ranked(), rows are dealt to ranges of keys and order. A range holds a stretch of each of its keys, which
+    begins after the rows that the key has in the ranges before: a sum of one row a key and range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = [c.alias(f"k{i}") for i, c in enumerate(order)]
+    dealt = df.withColumn("_key", F.struct(*keys)).withColumn("_order", F.struct(*place)).repartitionByRange(n, "_key", "_order").sortWithinPartitions("_key", "_order")
+    placed = written(dealt.withColumn("_m", F.monotonically_increasing_id()).drop("_order"), "ranked-within").withColumn("_p", F.shiftright("_m", 33))
+    own = placed.groupBy("_p", "_key").agg(F.min("_m").alias("_low"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = own.select("_p", "_key", (before - F.col("_low") + 1).alias("_shift"))
+    return placed.join(small(starts), ["_p", "_key"]).withColumn(name, (F.col("_m") + F.col("_shift")).cast("int")).select(*df.columns, name)
+
+
+def line_postings(lines: DataFrame) -> DataFrame:
+    """repo, file, line (a number from 1, rare lines first): rows repo, file, line (text), each once, with numbers for the texts.
+
+    A line's text is exchanged to be counted and to meet its number; what comes after moves numbers only.
+    """
+    counted = written(lines.groupBy("line").agg(F.count("*").alias("n")), "lines")
+    numbers = ranked(counted, [F.col("n"), F.col("line")], "number").select("line", "number")
+    return written(lines.join(numbers, "line").select("repo", "file", F.col("number").alias("line")), "line-postings")
+
+
+def shared_lines(pairs: DataFrame, postings: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b and shared for the pairs (columns a and b, files) that have lines in common, counted from postings.
+
+    Rows are numbers, and the second join is on file and line: a file with many partners is spread by its lines.
+    """
+    own = pairs.select(a, b).distinct().join(postings.select(F.col("file").alias(a), "line"), a)
+    both = own.join(postings.select(F.col("file").alias(b), "line"), [b, "line"], "left_semi")
+    return both.groupBy(a, b).agg(F.count("*").alias("shared"))
+
+
 def line_overlaps(lines: DataFrame, minimum_shared: int = 5, jaccard: float = 0.80, containment: float = 0.90) -> DataFrame:
     """Pairs of files of a repository with much the same lines.
 
@@ -96,24 +132,28 @@ def line_overlaps(lines: DataFrame, minimum_shared: int = 5, jaccard: float = 0.
     lines. Whatever the kind, the smaller set of n lines has at least a share t of
     them in common with the other, so one of its n - ceil(t n) + 1 rarest lines is
     common: only those look for partners, which keeps lines that a whole
-    repository shares out of the join. Sets of fewer than minimum_shared lines can only be equal,
-    and are joined whole. Candidates are then counted in full.
+    repository shares out of the join. Where such a line stands in both sets, sorted by rarity, bounds what they can share, and pairs
+    below that are no candidates. Sets of fewer than minimum_shared lines can only be equal,
+    and are joined whole. Candidates are counted from postings.
     """
     t = min(jaccard, containment)
-    known = lines.join(lines.groupBy("repo", "line").agg(F.count("*").alias("df")), ["repo", "line"])
-    sets = known.groupBy("repo", "file", "hash").agg(F.sort_array(F.collect_list(F.struct("df", "line"))).alias("s"))
-    sets = sets.select("repo", "file", "hash", F.size("s").cast("long").alias("n"), F.transform("s", lambda x: x["line"]).alias("own"))
-    sets = written(sets, "line-sets")  # read four times below
+    postings = line_postings(lines.select("repo", "file", "line"))
+    sizes = lines.groupBy("repo", "file", "hash").agg(F.count("*").alias("n"))
+    # A set's numbers, rarest first, each with its place.
+    sets = postings.groupBy("repo", "file").agg(F.sort_array(F.collect_list("line")).alias("own")).withColumn("n", F.size("own").cast("long"))
+    sets = written(sets, "line-sets")
     many = sets.filter(F.col("n") >= minimum_shared)
-    rare = many.select("repo", F.col("file").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("own", 1, (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))).alias("line"))
-    held = many.select("repo", F.col("file").alias("y"), F.col("n").alias("ny"), F.explode("own").alias("line"))
+    at = lambda name, own: many.select("repo", F.col("file").alias(name), F.col("n").alias(f"n{name}"), F.posexplode(own).alias(f"p{name}", "line"))
+    rare = at("x", F.slice("own", 1, (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int")))
+    held = at("y", F.col("own"))
     smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    pairs = rare.join(held, ["repo", "line"]).filter(smaller).select("repo", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    few = sets.filter(F.col("n") < minimum_shared).select("repo", "file", F.sha2(F.array_join("own", "\n"), 256).alias("whole"))
-    equal = few.withColumnRenamed("file", "a").join(few.withColumnRenamed("file", "b"), ["repo", "whole"]).filter("a < b").select("repo", "a", "b")
-    pairs = pairs.unionByName(equal)
-    side = lambda k: sets.select("repo", F.col("file").alias(k), F.col("hash").alias(f"h{k}"), F.col("n").alias(f"n{k}"), F.col("own").alias(f"own{k}"))
-    scored = pairs.join(side("a"), ["repo", "a"]).join(side("b"), ["repo", "b"]).filter("ha <> hb").withColumn("shared", F.size(F.array_intersect("owna", "ownb")).cast("long"))
+    most = F.least("px", "py") + 1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1
+    pairs = rare.join(held, ["repo", "line"]).filter(smaller & (most >= F.ceil(F.col("nx") * t - 1e-9))).select("repo", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    few = sets.filter(F.col("n") < minimum_shared).select("repo", "file", "own")
+    equal = few.withColumnRenamed("file", "a").join(few.withColumnRenamed("file", "b"), ["repo", "own"]).filter("a < b").select("repo", "a", "b")
+    side = lambda k: sizes.select("repo", F.col("file").alias(k), F.col("hash").alias(f"h{k}"), F.col("n").alias(f"n{k}"))
+    pairs = written(pairs.unionByName(equal).join(side("a"), ["repo", "a"]).join(side("b"), ["repo", "b"]).filter("ha <> hb").drop("ha", "hb"), "line-pairs")
+    scored = pairs.join(shared_lines(pairs, postings, "a", "b"), ["a", "b"])
     scored = scored.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).withColumn("containment", F.col("shared") / F.least("na", "nb"))
     enough = F.col("shared") >= minimum_shared
     kind = F.when((F.col("shared") == F.col("na")) & (F.col("shared") == F.col("nb")), "normalized_equivalent").when(enough & (F.col("jaccard") >= jaccard), "high_jaccard").when(enough & (F.col("containment") >= containment), "high_containment")
@@ -142,10 +182,60 @@ def fifo_match(left: DataFrame, right: DataFrame, keys: list[str], left_order: l
     return l.join(r, [*keys, "_n"], "full_outer").drop("_n")
 
 
-def strata(df: DataFrame, dimensions: list[str], measures: list[Column]) -> DataFrame:
-    """dimension, value and measures, one group per value of each dimension: rows unpivoted, then grouped once."""
-    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
-    return df.withColumn("_d", F.explode(pairs)).select("*", "_d.dimension", "_d.value").groupBy("dimension", "value").agg(*measures)
+def distinct_cube(df: DataFrame, key: str, dimensions: list[str], sums: dict[str, Column]) -> DataFrame:
+    """dimensions, bucket, the sums and keys: for each combination of values and each bucket of 32,768 keys, which keys occur, as a bitmap of 4 kB.
+
+    Keys get dense numbers first. Bitmaps of any rows of the cube can be united, so that one cube, stored, gives the distinct
+    keys of every roll-up and every condition on the dimensions, and no row is read or repeated again. It takes an eighth
+    of a byte for each key and combination, so dimensions should be such that combinations are few (bands, flags, kinds).
+    """
+    names = {d: f"_d{i}" for i, d in enumerate(dimensions)}
+    values = df.select(F.col(key).alias("_of"), *[F.col(d).alias(n) for d, n in names.items()], *[c.alias(f"_s_{n}") for n, c in sums.items()])
+    # What a frequent key has is added up before it meets its number.
+    per = values.groupBy("_of", *names.values()).agg(*[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums])
+    dense = ranked(values.select("_of").filter("_of IS NOT NULL").distinct(), [F.col("_of")], "_place")
+    bit = (F.col("_place") - 1).cast("long")
+    # Rows without a key have no bit, and a bucket (null) of their own.
+    numbered = per.join(small(dense), "_of", "left")
+    cells = numbered.groupBy(*names.values(), F.bitmap_bucket_number(bit).alias("bucket")).agg(*[F.sum(f"_s_{n}").alias(n) for n in sums], F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("keys"))
+    return cells.select(*[F.col(n).alias(d) for d, n in names.items()], "bucket", *sums, "keys")
+
+
+def rolled_up(cube: DataFrame, by: list[str], sums: list[str], distinct: str) -> DataFrame:
+    """by, the sums, and the number of distinct keys of each group of a cube."""
+    buckets = cube.groupBy(*by, "bucket").agg(*[F.sum(n).alias(n) for n in sums], F.bitmap_or_agg("keys").alias("keys"))
+    return buckets.groupBy(*by).agg(*[F.sum(n).alias(n) for n in sums], F.coalesce(F.sum(F.when(F.col("bucket").isNotNull(), F.bitmap_count("keys"))), F.lit(0)).alias(distinct))
+
+
+def strata(df: DataFrame, dimensions: list[str], sums: dict[str, Column], key: str | None = None, distinct: str = "distinct") -> DataFrame:
+    """dimension, value, the sums and the number of distinct keys (if key is set): one group per value of each dimension.
+
+    Rows are added up by their combination of values once, and stored; the dimensions are roll-ups of that.
+    """
+    if key is None:
+        cube = df.groupBy(*dimensions).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+        roll = lambda by: cube.groupBy(by).agg(*[F.sum(n).alias(n) for n in sums])
+    else:
+        cube = distinct_cube(df, key, dimensions, sums)
+        roll = lambda by: rolled_up(cube, [by], list(sums), distinct)
+    cube = written(cube, "cube")
+    parts = [roll(d).select(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"), *sums, *([distinct] if key else [])) for d in dimensions]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def cohorts(df: DataFrame, predicates: list[str], keys: dict[str, str]) -> DataFrame:
+    """cohort, files and, under each name of keys, the distinct values of that column among the rows for which a predicate (a boolean column) holds.
+
+    Each key's rows are first reduced to whether any of them fulfils each predicate: partial maxima, so nothing is expanded or repeated.
+    """
+    wide = df.agg(*[F.count_if(F.col(p)).alias(p) for p in predicates])
+    out = [("files", wide)]
+    for name, key in keys.items():
+        any_of = df.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(F.coalesce(F.col(p), F.lit(False))).alias(p) for p in predicates])
+        out.append((name, any_of.agg(*[F.count_if(F.col(p)).alias(p) for p in predicates])))
+    long = [w.select(F.explode(F.array(*[F.struct(F.lit(p).alias("cohort"), F.col(p).alias("n")) for p in predicates])).alias("c"), F.lit(name).alias("of")) for name, w in out]
+    both = reduce(lambda a, b: a.unionByName(b), long)
+    return both.groupBy(F.col("c.cohort").alias("cohort")).agg(*[F.max(F.when(F.col("of") == name, F.col("c.n"))).alias(name) for name, _ in out])
 
 
 def first_matching(left: DataFrame, right: DataFrame, key: str, alias: str, right_key: str, value: str) -> DataFrame:
@@ -163,8 +253,3 @@ def bijection(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     joined = a.join(b, key, "full_outer")
     fine = (F.coalesce("_a", F.lit(0)) == 1) & (F.coalesce("_b", F.lit(0)) == 1)
     return joined.withColumn(key, F.when(fine, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("not matched once: "), F.col(key).cast("string"))))).drop("_a", "_b")
-
-
-def conditional_cohort(predicate: Column, file: str, repo: str, content: str) -> list[Column]:
-    """Files, repositories and contents that fulfil a predicate, to be passed to agg()."""
-    return [F.count_if(predicate).alias("files"), F.count_distinct(F.when(predicate, F.col(repo))).alias("repositories"), F.count_distinct(F.when(predicate, F.col(content))).alias("contents")]

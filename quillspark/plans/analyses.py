@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, paths, sampling, stats, text
 from ..operators import analyzers, forms, imports, markdown, notations, overlays, prose, references, relational
+from ..operators.selection import described
 from ..operators.storage import small, written
 from . import populations as summaries
 from .corpus import TARGET, Corpus, parsed
+from .tables import Tables, descriptions
 
 WINDOWS = {"200k": 200_000, "500k": 500_000, "1M": 1_000_000}
 GUIDELINE = 200
@@ -41,8 +43,8 @@ def dataset(corpus: Corpus, per_token: float = 3.5, top: int = 15) -> dict[str,
     best = stars.orderBy(F.desc("stars"), F.lower("full_name"), "full_name").limit(top)
     best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("stars"), F.lower("full_name"), "full_name")))
     sizes = corpus.population("exact").select("size_bytes", F.length("content").alias("chars"), text.tokens(F.length("content"), per_token).alias("tokens"))
-    out = {"populations": populations(corpus), "languages": languages, "top": best, "stars": stars.agg(*stats.describe("stars"))}
-    return out | {f"describe_{c}": sizes.agg(*stats.describe(c)) for c in ("size_bytes", "chars", "tokens")}
+    out = {"populations": populations(corpus), "languages": languages, "top": best, "stars": lambda: described(stars, "stars")}
+    return Tables(out | descriptions(sizes, ["size_bytes", "chars", "tokens"]))
 
 
 def context_windows(corpus: Corpus, per_token: float = 3.5, uplift: float = 0.30, guideline: int = GUIDELINE) -> dict[str, DataFrame]:
@@ -54,14 +56,14 @@ def context_windows(corpus: Corpus, per_token: float = 3.5, uplift: float = 0.30
     windows = largest.select("baseline", "uplift", F.explode(rows).alias("w")).select(F.col("w.window").alias("window"), *[text.half_even(F.lit(100.0) * F.col(c) / F.col("w.size")).alias(f"{c}_percent") for c in ("baseline", "uplift")])
     n = F.col("lines")
     line = files.agg(F.count_if(n < guideline).alias("below"), F.count_if(n == guideline).alias("at"), F.count_if(n > guideline).alias("above"), F.count_if(n > 500).alias("above_500"), F.count_if(n > 1000).alias("above_1000"), text.half_even(F.avg((n >= guideline).cast("double"))).alias("share_at_or_above"))
-    return {"windows": windows, "lines": line} | {f"describe_{c}": files.agg(*stats.describe(c, "plain")) for c in ("chars", "tokens", "tokens_uplift", "lines")}
+    return Tables({"windows": windows, "lines": line} | descriptions(files, ["chars", "tokens", "tokens_uplift", "lines"], "plain"))
 
 
 def size_series(corpus: Corpus, rates: tuple[int, ...] = READING_RATES) -> dict[str, DataFrame]:
     """ECDF of sizes, reading-time survival, size histograms."""
     files = corpus.population("exact").select("size_bytes", text.word_count(F.col("content")).alias("words"), F.length("content").alias("chars"))
-    out = {"ecdf_bytes": stats.ecdf(files, "size_bytes"), "profile_words": files.agg(*stats.describe("words", "profile"))}
-    return out | {f"survival_{r}": stats.survival(files, "words", r) for r in rates}
+    out = {"ecdf_bytes": stats.ecdf(files, "size_bytes"), "profile_words": lambda: described(files, "words", "profile")}
+    return Tables(out) | {f"survival_{r}": stats.survival(files, "words", r) for r in rates}
 
 
 def size_histogram(corpus: Corpus, high: float, bins: int, tool: str | None = None, scope: str = "markdown") -> DataFrame:
@@ -245,16 +247,19 @@ def placement(corpus: Corpus) -> dict[str, DataFrame]:
     )
     every = F.concat(kinds, F.transform(F.array_distinct(parts), lambda x: F.struct(F.lit("any_directory").alias("dimension"), x.alias("component"))))
     component = files.select("id", "repo_full_name", "path", F.explode(every).alias("c")).select("id", "repo_full_name", "path", "c.dimension", text.casefold(F.col("c.component")).alias("component")).filter("component IS NOT NULL")
-    component = written(component, "components")
-    counted = component.groupBy("dimension", "component").agg(F.count("*").alias("files"), F.count_distinct("repo_full_name").alias("repositories"))
-    # The first three paths of each; the limit of a group is applied before the exchange too.
-    scan = Window.partitionBy("dimension", "component").orderBy(F.lower("repo_full_name"), "repo_full_name", F.lower("path"), "path")
-    firsts = component.withColumn("_n", F.row_number().over(scan)).filter("_n <= 3")
-    examples = firsts.groupBy("dimension", "component").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.concat_ws("::", "repo_full_name", "path").alias("x")))), lambda s: s["x"]).alias("examples"))
-    counted = counted.join(examples, ["dimension", "component"])
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("files"), F.desc("repositories"), "component")))
+
+    def components() -> DataFrame:
+        keys = ["dimension", "component"]
+        own = written(component, "components")
+        counted = own.groupBy(*keys, "repo_full_name").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum("n").alias("files"), F.count("repo_full_name").alias("repositories"))
+        # The first three paths of each; a task keeps three of each before the exchange.
+        scan = Window.partitionBy(*keys).orderBy(F.lower("repo_full_name"), "repo_full_name", F.lower("path"), "path")
+        firsts = own.withColumn("_n", F.row_number().over(scan)).filter("_n <= 3")
+        examples = firsts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.concat_ws("::", "repo_full_name", "path").alias("x")))), lambda s: s["x"]).alias("examples"))
+        return relational.ranked_within(counted.join(examples, keys), ["dimension"], [-F.col("files"), -F.col("repositories"), F.col("component")])
+
     flags = files.agg(*[F.sum(v).alias(k) for k, v in paths.anomalies(F.col("path")).items()])
-    return {"repositories": per, "components": ranked, "anomalies": flags, "bins": bands.range_histogram(corpus.session, per, "files")}
+    return Tables({"repositories": per, "components": components, "anomalies": flags, "bins": lambda: bands.range_histogram(corpus.session, per, "files")})
 
 
 def scope_mapping(corpus: Corpus) -> dict[str, DataFrame]:
@@ -320,20 +325,25 @@ def allocation(corpus: Corpus, heading_limit: int = 1000) -> dict[str, DataFrame
     known = parsed(files, measure, kind, "m", ["id", "repo_full_name", "path", "content_hash", "size_bytes", "depth"])
     known = written(known.withColumn("reached", F.transform("m.targets", lambda t: F.lower(paths.resolved(F.col("path"), t)))), "measures")
     edges = relational.nearest_ancestors(files, "repo_full_name", paths.directory(F.col("path")), ["id"]).select("repo_full_name", "child_id", "parent_id")
-    side = lambda name: known.select(F.col("id").alias(f"{name}_id"), *[F.col(c).alias(f"{name}_{c}") for c in ("path", "content_hash", "size_bytes", "reached")], *[F.col(f"m.{c}").alias(f"{name}_{c}") for c in ("lines", "words", "sections", "names", "line_set")])
+    side = lambda name: known.select(F.col("id").alias(f"{name}_id"), *[F.col(c).alias(f"{name}_{c}") for c in ("path", "content_hash", "size_bytes", "reached")], *[F.col(f"m.{c}").alias(f"{name}_{c}") for c in ("lines", "words", "sections", "names")], F.size("m.line_set").alias(f"{name}_distinct"))
     joined = edges.join(side("child"), "child_id").join(side("parent"), "parent_id")
-    shared = F.size(F.array_intersect("child_line_set", "parent_line_set"))
-    union = F.size("child_line_set") + F.size("parent_line_set") - shared
-    compared = joined.select(
+
+    def compare() -> DataFrame:
+        postings = relational.line_postings(known.select(F.col("repo_full_name").alias("repo"), F.col("id").alias("file"), F.explode("m.line_set").alias("line")))
+        counts = relational.shared_lines(edges.select("child_id", "parent_id"), postings, "child_id", "parent_id")
+        return compared(joined.join(counts, ["child_id", "parent_id"], "left").na.fill(0, ["shared"]))
+
+    union = F.col("child_distinct") + F.col("parent_distinct") - F.col("shared")
+    compared = lambda rows: rows.select(
         "repo_full_name",
         "parent_path",
         "child_path",
         *[F.col(f"{s}_{c}") for s in ("parent", "child") for c in ("size_bytes", "lines", "words", "sections")],
         (F.col("child_content_hash") == F.col("parent_content_hash")).cast("int").alias("same_content_hash"),
-        shared.alias("shared_lines"),
-        text.share(shared, union).alias("jaccard"),
-        text.share(shared, F.size("child_line_set")).alias("child_coverage"),
-        text.share(shared, F.size("parent_line_set")).alias("parent_coverage"),
+        F.col("shared").cast("int").alias("shared_lines"),
+        text.share(F.col("shared"), union).alias("jaccard"),
+        text.share(F.col("shared"), F.col("child_distinct")).alias("child_coverage"),
+        text.share(F.col("shared"), F.col("parent_distinct")).alias("parent_coverage"),
         F.array_contains("parent_reached", F.lower("child_path")).cast("int").alias("parent_refers_to_child"),
         F.array_contains("child_reached", F.lower("parent_path")).cast("int").alias("child_refers_to_parent"),
         F.size(F.array_intersect("child_names", "parent_names")).alias("shared_headings"),
@@ -342,15 +352,20 @@ def allocation(corpus: Corpus, heading_limit: int = 1000) -> dict[str, DataFrame
     per = known.groupBy("repo_full_name").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.sum(F.when(F.col("depth") == 0, F.col("size_bytes")).otherwise(0)).alias("root_bytes"), F.max("depth").alias("maximum_depth"))
     per = per.join(hhi, "repo_full_name").join(edges.groupBy("repo_full_name").agg(F.count("*").alias("edges")), "repo_full_name", "left").na.fill(0, ["edges"])
     per = per.withColumn("root_share", text.share(F.col("root_bytes"), F.col("bytes"))).withColumn("band", bands.multiplicity_band(F.col("files")))
-    grouped = per.groupBy("band").agg(F.count("*").alias("repositories"), F.struct(*stats.describe("hhi", "integer", "double")).alias("hhi"), F.struct(*stats.describe("root_share", "integer", "double")).alias("root_share"))
+
+    def grouped() -> DataFrame:
+        each = described(per, ["hhi", "root_share"], "integer", "double", ["band"])
+        own = F.struct(*[c for c in each.columns if c not in ("band", "measure")])
+        return each.groupBy("band").agg(F.max("count").alias("repositories"), *[F.max(F.when(F.col("measure") == m, own)).alias(m) for m in ("hhi", "root_share")])
+
     is_parent = edges.select(F.col("parent_id").alias("id")).distinct().withColumn("p", F.lit(1))
     is_child = edges.select(F.col("child_id").alias("id")).distinct().withColumn("c", F.lit(1))
     roles = known.join(is_parent, "id", "left").join(is_child, "id", "left")
     role = F.when(F.col("p").isNotNull() & F.col("c").isNotNull(), "middle").when(F.col("p").isNotNull(), "parent").when(F.col("c").isNotNull(), "child").when(F.col("depth") == 0, "single_root").otherwise("single_nested")
     headings = roles.select(role.alias("role"), F.explode("m.names").alias("heading")).groupBy("heading").pivot("role", ["parent", "middle", "child", "single_root", "single_nested"]).count().na.fill(0)
     headings = headings.withColumn("files", sum((F.col(c) for c in ("parent", "middle", "child", "single_root", "single_nested")), F.lit(0))).orderBy(F.desc("files"), "heading").limit(heading_limit)
-    smaller = compared.agg(F.count_if(F.col("child_size_bytes") < F.col("parent_size_bytes")).alias("child_smaller"), F.count_if(F.col("child_size_bytes") == F.col("parent_size_bytes")).alias("equal"), F.count_if(F.col("child_size_bytes") > F.col("parent_size_bytes")).alias("child_larger"))
-    return {"repositories": per, "edges": compared, "strata": grouped, "headings": headings, "comparison": smaller}
+    smaller = joined.agg(F.count_if(F.col("child_size_bytes") < F.col("parent_size_bytes")).alias("child_smaller"), F.count_if(F.col("child_size_bytes") == F.col("parent_size_bytes")).alias("equal"), F.count_if(F.col("child_size_bytes") > F.col("parent_size_bytes")).alias("child_larger"))
+    return Tables({"repositories": per, "edges": compare, "strata": grouped, "headings": headings, "comparison": smaller})
 
 
 # -- references and imports -----------------------------------------------------------------------------
@@ -429,7 +444,7 @@ def reference_analysis(corpus: Corpus) -> dict[str, DataFrame]:
     files = files.withColumn("form", form)
     hi = F.col("high") == 1
     targets = occurrences.groupBy("scope", "category", "name").agg(F.count("*").alias("occurrences"), F.count_distinct("id").alias("files"), F.count_distinct("repo_full_name").alias("repositories"), F.count_if(hi).alias("high_occurrences"), F.count_distinct(F.when(hi, F.col("id"))).alias("high_files"), *[F.count_if(F.col("intent") == x).alias(x) for x in ("direct_inclusion", "instructional_delegation", "contextual_documentation")])
-    strata = relational.strata(files, ["size_band", "star_band", "language", "location", "multiplicity", "duplication", "form"], [F.count("*").alias("files"), F.count_distinct("repo_full_name").alias("repositories"), F.count_if(F.col("high") > 0).alias("files_with_high"), F.sum("high").alias("high_occurrences")])
+    strata = relational.strata(files, ["size_band", "star_band", "language", "location", "multiplicity", "duplication", "form"], {"files": F.lit(1), "files_with_high": (F.col("high") > 0).cast("int"), "high_occurrences": F.col("high")}, "repo_full_name", "repositories")
     return {"occurrences": occurrences, "files": files, "targets": targets, "strata": strata}
 
 
@@ -448,7 +463,7 @@ def import_analysis(corpus: Corpus, earlier: DataFrame | None = None) -> dict[st
     files = docs.select(*_FACTS).join(files, "id", "left").na.fill(0, ["tokens", "candidates", "explicit", "fan_out"])
     targets = tokens.filter(active).groupBy("kind", "relation", "extension", "shape", F.lower("name").alias("name")).agg(F.count("*").alias("occurrences"), F.count_distinct("id").alias("files"), F.count_distinct("repo_full_name").alias("repositories"), F.min_by("name", F.struct("repo_full_name", "path", "place")).alias("first_spelling"))
     decisions = tokens.groupBy("decision", "context", "surface").agg(F.count("*").alias("occurrences"), F.count_distinct("id").alias("files"))
-    strata = relational.strata(files, ["size_band", "star_band", "language", "location", "multiplicity", "duplication"], [F.count("*").alias("files"), F.count_if(F.col("candidates") > 0).alias("files_with_imports"), F.sum("candidates").alias("candidates")])
+    strata = relational.strata(files, ["size_band", "star_band", "language", "location", "multiplicity", "duplication"], {"files": F.lit(1), "files_with_imports": (F.col("candidates") > 0).cast("int"), "candidates": F.col("candidates")})
     out = {"tokens": tokens, "files": files, "targets": targets, "decisions": decisions, "strata": strata}
     if earlier is not None:
         keys = ["repo_full_name", "path", "line", "key"]
@@ -489,7 +504,7 @@ def overlay_analysis(corpus: Corpus, substantive: int = 10, minimum_words: int =
     parts = rows.select("id", "repo_full_name", "content_hash", F.explode("sections").alias("s")).select("id", "repo_full_name", "content_hash", "s.*")
     partition = rows.groupBy("residual_class").agg(F.count("*").alias("files"), F.count_distinct("repo_full_name").alias("repositories"), F.count_distinct("content_hash").alias("contents"))
     themes = parts.select("id", F.explode("themes").alias("theme")).groupBy("theme").agg(F.count("*").alias("sections"), F.count_distinct("id").alias("files"))
-    return {"files": rows.drop("sections"), "sections": parts, "partition": partition, "themes": themes, "words": rows.agg(*stats.describe("residual_words", "plain"))}
+    return Tables({"files": rows.drop("sections"), "sections": parts, "partition": partition, "themes": themes, "words": lambda: described(rows, "residual_words", "plain")})
 
 
 # -- audits, snapshots, reports ----------------------------------------------------------------------
@@ -568,7 +583,7 @@ def report(corpus: Corpus, top: int = 15) -> dict[str, DataFrame]:
         return out
     own = corpus.files.select(F.col("id").alias("file_id"), "tool_id", "repo_full_name", "path").join(written(corpus.structures(), "report-structures"), "file_id")
     code = F.count_if(F.col("code_block_count") > 0)
-    out |= {f"structure_{c}": own.agg(*stats.describe(c, "short")) for c in ("word_count", "line_count", "header_count")}
+    out |= descriptions(own, ["word_count", "line_count", "header_count"], "short", "structure_")
     out["structure_code"] = own.agg(F.count("*").alias("files"), code.alias("files_with_code"), (F.lit(100.0) * F.try_divide(code, F.count("*"))).alias("percent"))
     labels = own.select("file_id", F.explode("code_block_languages").alias("label", "n"))
     out["fences"] = most_common(labels, "label", top, F.sum("n"), "file_id")
@@ -581,7 +596,7 @@ def report(corpus: Corpus, top: int = 15) -> dict[str, DataFrame]:
     out["confidences"] = each.select(F.explode("s.confidences").alias("confidence")).groupBy("confidence").agg(F.count("*").alias("n"))
     most = found.filter("notation_count_total > 0").orderBy(F.desc("notation_count_total"), "file_id").limit(10)
     out["most_notations"] = most.select("file_id", F.col("notation_count_total").alias("n"), F.array_join(F.map_keys("notations_summary"), ", ").alias("notations"))
-    return out
+    return Tables(out)
 
 
 def most_common(df: DataFrame, value: str, top: int | None, count: Column | None = None, order: str = "id") -> DataFrame:

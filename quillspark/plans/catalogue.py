@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, paths, sampling, stats, text
 from ..operators import relational
+from ..operators.selection import described
 from ..operators.storage import written
 from . import analyses, oracles
 from .corpus import CORPUS_SQL, Corpus, bind, structure_fields
@@ -42,7 +43,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _describe_sql(col: str, source: str, kind: str = "full", cast: str = "BIGINT") -> str:
+def _describe_sql(col: str, source: str, kind: str = "full", cast: str = "BIGINT", by: str = "") -> str:
     q = lambda p: f"CAST(quantile_disc({col}, {p}) AS {cast})"
     parts = {
         "count": f"count({col})",
@@ -60,7 +61,7 @@ def _describe_sql(col: str, source: str, kind: str = "full", cast: str = "BIGINT
         "zero": f"count(*) FILTER (WHERE {col} = 0)",
     }
     names, _, rounded = stats.KINDS[kind]
-    return "SELECT " + ", ".join(f"{f'round_even({parts[n]}, 6)' if rounded and n == 'mean' else parts[n]} AS {n}" for n in names.split()) + f" FROM {source}"
+    return "SELECT " + ", ".join(f"{f'round_even({parts[n]}, 6)' if rounded and n == 'mean' else parts[n]} AS {n}" for n in names.split()) + f"{by and ', ' + by} FROM {source}{by and ' GROUP BY ' + by}"
 
 
 # -- duplicates: families of equal texts over the whole documents table ---------------------------------
@@ -139,7 +140,23 @@ def m2_describe_tokens(spark, sf_dir):
 
 @query("m7_describe_prices", _describe_sql("l_extendedprice", "lineitem", "short", "DOUBLE").replace("avg(l_extendedprice)", "round(avg(l_extendedprice), 4)"), False)
 def m7_describe_prices(spark, sf_dir):
-    out = _table(spark, sf_dir, "lineitem").agg(*stats.describe("l_extendedprice", "short", "double"))
+    out = described(_table(spark, sf_dir, "lineitem"), "l_extendedprice", "short", "double")
+    return out.withColumn("mean", F.round("mean", 4))
+
+
+_LINE_GROUPS = "l_linenumber, l_returnflag"
+
+
+@query("m1_line_prices", _describe_sql("l_extendedprice", "lineitem", "full", "DOUBLE", _LINE_GROUPS).replace("CAST(sum(l_extendedprice) AS DOUBLE)", "round(sum(l_extendedprice), 2)").replace("avg(l_extendedprice)", "round(avg(l_extendedprice), 4)"), False)
+def m1_line_prices(spark, sf_dir):
+    """Prices of line items by their place in the order and return flag."""
+    out = described(_table(spark, sf_dir, "lineitem"), "l_extendedprice", "full", "double", _LINE_GROUPS.split(", "))
+    return out.withColumn("total", F.round("total", 2)).withColumn("mean", F.round("mean", 4))
+
+
+@query("m1_order_prices", _describe_sql("o_totalprice", "orders", "plain", "DOUBLE", "o_orderpriority").replace("round_even(avg(o_totalprice), 6)", "round(avg(o_totalprice), 4)"), False)
+def m1_order_prices(spark, sf_dir):
+    out = described(_table(spark, sf_dir, "orders"), "o_totalprice", "plain", "double", ["o_orderpriority"])
     return out.withColumn("mean", F.round("mean", 4))
 
 
@@ -350,7 +367,7 @@ def j11_label_bijection(spark, sf_dir):
 )
 def a10_strata(spark, sf_dir):
     files = analyses._context(bind(spark, sf_dir))
-    return relational.strata(files, ["size_band", "star_band", "language", "location"], [F.count("*").alias("files"), F.count_distinct("repo_full_name").alias("repositories"), F.sum("size_bytes").alias("bytes")])
+    return relational.strata(files, ["size_band", "star_band", "language", "location"], {"files": F.lit(1), "bytes": F.col("size_bytes")}, "repo_full_name", "repositories")
 
 
 @query(
@@ -442,9 +459,45 @@ def o7_round_robin(spark, sf_dir):
     return sampling.round_robin(docs, "lang", "band", ["a", "b", "c"], "doc_id", 7, 7)
 
 
-@query("a17_cohorts", "SELECT count(*) FILTER (WHERE contains(content, '@docs')) AS files, count(DISTINCT repo) FILTER (WHERE contains(content, '@docs')) AS repositories, count(DISTINCT content_hash) FILTER (WHERE contains(content, '@docs')) AS contents FROM exact")
+_COHORTS = {"docs": "contains(content, '@docs')", "agents": "contains(content, '@AGENTS.md')", "large": "size_bytes > 2000"}
+
+
+@query("a17_cohorts", " UNION ALL ".join(f"SELECT '{k}' AS cohort, count(*) FILTER (WHERE {p}) AS files, count(DISTINCT repo) FILTER (WHERE {p}) AS repositories, count(DISTINCT content_hash) FILTER (WHERE {p}) AS contents FROM exact" for k, p in _COHORTS.items()))
 def a17_cohorts(spark, sf_dir):
-    return bind(spark, sf_dir).population("exact").agg(*relational.conditional_cohort(F.col("content").contains("@docs"), "id", "repo_full_name", "content_hash"))
+    files = bind(spark, sf_dir).population("exact").select("repo_full_name", "content_hash", *[F.expr(p).alias(k) for k, p in _COHORTS.items()])
+    return relational.cohorts(files, list(_COHORTS), {"repositories": "repo_full_name", "contents": "content_hash"})
+
+
+_LINE_DIMENSIONS = ["l_returnflag", "l_linestatus", "l_linenumber", "o_orderstatus", "o_orderpriority", "discount"]
+
+
+@query(
+    "a10_customer_strata",
+    f"""WITH c AS (SELECT *, CASE WHEN l_discount < 0.03 THEN 'low' WHEN l_discount < 0.07 THEN 'middle' ELSE 'high' END AS discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ u AS (SELECT unnest([{", ".join(f"{{'d': '{d}', 'v': CAST({d} AS VARCHAR)}}" for d in _LINE_DIMENSIONS)}]) AS x, o_custkey, l_quantity FROM c)
+ SELECT x.d AS dimension, x.v AS value, count(*) AS lines, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(DISTINCT o_custkey) AS customers FROM u GROUP BY ALL""",
+    False,
+)
+def a10_customer_strata(spark, sf_dir):
+    """Line items and customers by six properties."""
+    lines = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    d = F.col("l_discount")
+    lines = lines.withColumn("discount", F.when(d < 0.03, "low").when(d < 0.07, "middle").otherwise("high"))
+    return relational.strata(lines, _LINE_DIMENSIONS, {"lines": F.lit(1), "quantity": F.col("l_quantity").cast("long")}, "o_custkey", "customers")
+
+
+@query(
+    "a10_customer_pairs",
+    """SELECT o_orderstatus, o_orderpriority, count(*) AS orders, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY ALL
+ UNION ALL SELECT o_orderstatus, NULL, count(*), count(DISTINCT o_custkey) FROM orders GROUP BY ALL UNION ALL SELECT NULL, NULL, count(*), count(DISTINCT o_custkey) FROM orders""",
+    False,
+)
+def a10_customer_pairs(spark, sf_dir):
+    """Distinct customers of pairs of properties, of one, and of all, from one cube."""
+    cube = written(relational.distinct_cube(_table(spark, sf_dir, "orders"), "o_custkey", ["o_orderstatus", "o_orderpriority"], {"orders": F.lit(1)}), "cube")
+    parts = [relational.rolled_up(cube, by, ["orders"], "customers") for by in (["o_orderstatus", "o_orderpriority"], ["o_orderstatus"], [])]
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    return parts[0].unionByName(parts[1].withColumn("o_orderpriority", none("p"))).unionByName(parts[2].withColumn("o_orderstatus", none("s")).withColumn("o_orderpriority", none("p")))
 
 
 @query("u4_top_overlap", "WITH a AS (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100), b AS (SELECT o_custkey AS c_custkey FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100) SELECT c_custkey, CASE WHEN b.c IS NULL THEN 'left' WHEN a.c IS NULL THEN 'entered' ELSE 'stayed' END AS state FROM (SELECT c_custkey, 1 AS c FROM a) a FULL JOIN (SELECT c_custkey, 1 AS c FROM b) b USING (c_custkey)", False)

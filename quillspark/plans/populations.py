@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, stats, text
 from ..operators import relational
+from ..operators.selection import described
 from ..operators.storage import written
 from .corpus import Corpus
+from .tables import Tables
 
 
 def in_both(df: DataFrame, copies: str = "copies") -> DataFrame:
@@ -79,13 +81,14 @@ def scope_mapping(corpus: Corpus, folder: str = ".claude") -> dict[str, DataFram
     counted = lambda keys: files.groupBy(*keys).agg(F.count_if(direct).alias("d"), F.count_if(hidden).alias("h")).filter("d > 0 AND h > 0")
     groups, same = counted(["repo_full_name", "scope"]), counted(["repo_full_name", "scope", "content_hash"]).filter("content_hash IS NOT NULL")
     pairs = groups.agg(F.count("*").alias("scope_groups"), F.count_distinct("repo_full_name").alias("repositories"), F.count_if(root).alias("project_root_groups"), F.count_if(~root).alias("nonroot_groups"), F.coalesce(F.sum(F.col("d") * F.col("h")), F.lit(0)).alias("file_pairs"))
-    equal = same.agg(F.coalesce(F.sum(F.col("d") * F.col("h")), F.lit(0))).first()[0]
-    alternatives = pairs.withColumn("same_content_pairs", F.lit(equal)).withColumn("different_content_pairs", F.col("file_pairs") - equal)
+    equal = same.agg(F.coalesce(F.sum(F.col("d") * F.col("h")), F.lit(0)).alias("same_content_pairs"))
+    # Both are one row.
+    alternatives = pairs.withColumn("_k", F.lit(0)).join(F.broadcast(equal.withColumn("_k", F.lit(0))), "_k").drop("_k").withColumn("different_content_pairs", F.col("file_pairs") - F.col("same_content_pairs"))
     chains = relational.chain_lengths(files, "repo_full_name", F.col("scope"))
     nested = F.col("chain") > 1
     topology = chains.agg(F.count("*").alias("scopes"), F.count_if(nested).alias("edges"), F.count_distinct(F.when(nested, F.col("repo_full_name"))).alias("repositories_with_edges"), F.coalesce(F.max("chain"), F.lit(0)).alias("longest_chain"))
-    depths = files.filter(~root).select(F.size(F.split("scope", "/")).alias("depth")).agg(*stats.describe("depth", "integer"))
-    return {"placement": placement, "configurations": configurations, "alternatives": alternatives, "topology": topology, "nonroot_depths": depths}
+    depths = files.filter(~root).select(F.size(F.split("scope", "/")).alias("depth"))
+    return Tables({"placement": placement, "configurations": configurations, "alternatives": alternatives, "topology": topology, "nonroot_depths": lambda: described(depths, "depth", "integer")})
 
 
 # -- sections ------------------------------------------------------------------------------------------------

@@ -12,9 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import bands, paths, sampling, stats, text
-from quillspark.operators import relational
+from quillspark.operators import relational, selection
 from quillspark.plans import analyses
 from quillspark.plans.corpus import Corpus, fitted, parsed, structure_fields
+from quillspark.plans.tables import Tables
 from quillspark.sources import files as readers
 from quillspark.sources import sinks, sqlite
 from quillspark.streaming import ingest
@@ -89,12 +90,75 @@ def test_bands(spark):
 # -- statistics
 
 
-def test_nearest_rank_and_describe(spark):
-    df = spark.createDataFrame([(10,), (0,), (3,), (4,)], "v long")
-    r = df.agg(*stats.describe("v")).first()
-    assert (r["p25"], r["median"], r["p90"], r["total"], r["zero"], r["mean"]) == (0, 3, 10, 17, 1, 4.25)
-    empty = df.filter("false").agg(*stats.describe("v", "integer")).first()
-    assert (empty["count"], empty["median"], empty["mean"]) == (0, 0, 0.0)
+def test_described_equals_sorting(spark):
+    import math
+    import random
+
+    rnd = random.Random(1)
+    odd = [0.0, -5e-324, math.inf, -math.inf, 1e300, -2.0**-1030, 2.0**10, math.nextafter(2.0**10, 0), None]
+    rows = [(rnd.choice(["a", None, "c"]), rnd.choice([rnd.gauss(0, 1e5), rnd.random(), float(rnd.randint(-3, 3)), rnd.choice(odd)]), rnd.choice([None, rnd.randint(-(2**62), 2**62), rnd.randint(0, 9)])) for _ in range(3000)]
+    rows += [("hot", 1.0 + i * 2.0**-40, i % 7) for i in range(3000)] + [("empty", None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, n long").repartition(5)
+    ranks = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    for cols, cast in ((["x"], "double"), (["n"], "decimal(38,0)")):
+        for r in selection.described(df, cols, "full", cast, ["g"]).collect():
+            own = sorted(v for v in (row[1 if cols == ["x"] else 2] for row in rows if row[0] == r["g"]) if v is not None)
+            assert (r["measure"], r["count"], r["zero"]) == (cols[0], len(own), sum(v == 0 for v in own))
+            assert [r[c] for c in ranks] == [own[max(1, math.ceil(p * len(own))) - 1] if own else None for p in ranks.values()]
+            assert (r["minimum"], r["maximum"]) == ((own[0], own[-1]) if own else (None, None))
+    one = selection.described(spark.createDataFrame([(10,), (0,), (3,), (4,)], "v long"), "v").first()
+    assert (one["p25"], one["median"], one["p90"], one["total"], one["zero"], one["mean"]) == (0, 3, 10, 17, 1, 4.25)
+    empty = selection.described(df.filter("false"), ["n", "x"], "integer").collect()
+    assert [(r["measure"], r["count"], r["median"], r["mean"]) for r in empty] == [("n", 0, 0, 0.0), ("x", 0, 0, 0.0)]
+    nan = selection.described(spark.createDataFrame([(1.0,), (math.nan,), (math.inf,)], "v double"), "v", "short", "double").first()
+    assert nan["median"] == math.inf and math.isnan(nan["p99"]) and math.isnan(nan["maximum"])
+
+
+def test_described_sorts_no_whole_group(spark):
+    plan = selection.described(spark.range(1000), "id")._jdf.queryExecution().toString()
+    assert "percentile" not in plan
+
+
+def test_tables_make_what_is_asked_for(spark):
+    asked = []
+    both = Tables({"a": spark.range(1), "b": lambda: asked.append("b") or spark.range(2)}) | {"c": lambda: asked.append("c") or spark.range(3)}
+    assert set(both) == {"a", "b", "c"} and not asked
+    assert both["b"].count() == 2 and both["b"].count() == 2 and asked == ["b"]
+
+
+def test_distinct_cube_and_strata(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice([None, *range(50)]), rnd.choice("xyz"), rnd.choice([None, 1, 2]), rnd.randint(0, 5)) for _ in range(2000)] + [(100_000 + i, "x", 1, 1) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "k int, a string, b int, n int").repartition(6)
+    got = {(r["dimension"], r["value"]): (r["rows"], r["n"], r["keys"]) for r in relational.strata(df, ["a", "b"], {"rows": F.lit(1), "n": F.col("n")}, "k", "keys").collect()}
+    for d, at in (("a", 1), ("b", 2)):
+        for v in {r[at] for r in rows}:
+            own = [r for r in rows if r[at] == v]
+            assert got.pop((d, None if v is None else str(v))) == (len(own), sum(r[3] for r in own), len({r[0] for r in own} - {None}))
+    assert not got
+    flagged = df.withColumn("p", F.col("n") > 3).withColumn("q", F.when(F.col("n") > 2, F.col("a") == "x"))
+    for r in relational.cohorts(flagged, ["p", "q"], {"ks": "k", "as": "a"}).collect():
+        own = [x for x in rows if (x[3] > 3 if r["cohort"] == "p" else x[3] > 2 and x[1] == "x")]
+        assert (r["files"], r["ks"], r["as"]) == (len(own), len({x[0] for x in own} - {None}), len({x[1] for x in own}))
+
+
+def test_ranks_within_groups_of_any_size(spark):
+    rows = spark.range(120_000).selectExpr("CASE WHEN id % 100 < 90 THEN 'hot' WHEN id % 100 < 99 THEN NULL ELSE 'g' || id END AS g", "xxhash64(id) AS v", "id").repartition(7)
+    got = relational.ranked_within(rows, ["g"], [F.col("v"), F.col("id")])
+    want = rows.selectExpr("*", "CAST(row_number() OVER (PARTITION BY g ORDER BY v, id) AS INT) AS rank")
+    assert got.exceptAll(want).isEmpty() and got.count() == 120_000
+    assert "PartitionBy" not in got._jdf.queryExecution().toString() and relational.ranked_within(rows.limit(0), ["g"], [F.col("v")]).isEmpty()
+
+
+def test_shared_lines(spark):
+    lines = {1: "a b c d", 2: "b c x", 3: "y", 4: "a b c d"}
+    df = spark.createDataFrame([("r", f, w) for f, own in lines.items() for w in own.split()], "repo string, file long, line string")
+    postings = relational.line_postings(df)
+    pairs = spark.createDataFrame([(a, b) for a in lines for b in lines if a < b] + [(1, 2)], "a long, b long")
+    got = {(r["a"], r["b"]): r["shared"] for r in relational.shared_lines(pairs, postings, "a", "b").collect()}
+    assert got == {(1, 2): 2, (1, 4): 4, (2, 4): 2}
 
 
 def test_series(spark):
