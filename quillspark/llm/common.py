@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.storage import written as stored
 
-__all__ = ["BROADCAST_IDS", "HELD_OUT", "stored", "table", "with_free_names", "with_ids", "without"]
+__all__ = ["BROADCAST_IDS", "HELD_OUT", "plainly_named", "stored", "table", "with_free_names", "with_ids", "without"]
 
 #: Rows with crc32(doc_id as text) % 4 equal to this never train a model.
 HELD_OUT = 2
@@ -40,6 +40,12 @@ def with_ids(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     return stored(docs.withColumn(n, F.monotonically_increasing_id()), "numbered-rows"), n
 
 
+def plainly_named(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ..., which no column that an operator adds is called; and the name of each of df's."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """rows without those whose number is in the stored table gone (one column, named key)."""
     return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti")

@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.storage import spread, tidy
 from .common import stored, table, with_ids, without
@@ -27,8 +29,8 @@ WINDOW, SLOP = 10, 2
 #: Words of a segment, unless a single document has more: rows of the index then take below 1 MB. Terms (which hold no spaces), counts and positions
 #: are each one binary value, so that the JVM only hands bytes on.
 SEGMENT_WORDS = 100_000
-#: UTF-8 bytes of the test items that are searched at once; more items go in further rounds.
-BLOCK_BYTES = 16 << 20
+#: UTF-8 bytes of the test items that are searched at once (their windows take some 250 MB of the driver); more items go in further rounds.
+BLOCK_BYTES = 2 << 20
 
 #: A-Z to a-z; bytes other than 0-9, a-z and those of non-ASCII characters end a word.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -158,6 +160,13 @@ def _row(segment: int, place: int, doc_id, n_words: int, hits: np.ndarray, items
     return (segment, place, doc_id, n_words, len(hits), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), len(hits) > 0, items, hits, len(near), near)
 
 
+def _typed(ddl: str, schema: pa.Schema, place: int, kind: T.DataType) -> tuple[T.StructType, pa.Schema]:
+    """Both schemas with the type of the documents' ids at a place."""
+    fields = T._parse_datatype_string(ddl).fields
+    fields[place] = T.StructField(fields[place].name, kind)
+    return T.StructType(fields), schema.set(place, pa.field(schema.field(place).name, to_arrow_type(kind)))
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -177,7 +186,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def out() -> pa.RecordBatch:
             counts, places = segment.lists()
-            return _batch([(number, gap, segment.ids, np.array(segment.sizes, np.int32), b" ".join(segment.terms), counts.astype("<u4").tobytes(), places.astype("<u4").tobytes())], _SEGMENT)
+            return _batch([(number, gap, segment.ids, np.array(segment.sizes, np.int32), b" ".join(segment.terms), counts.astype("<u4").tobytes(), places.astype("<u4").tobytes())], arrow)
 
         for batch in batches:
             for i in range(0, len(batch), 256):
@@ -190,7 +199,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if segment.ids:
             yield out()
 
-    return spread(docs.select(F.col(id_col).cast("long"), F.col(text_col))).mapInArrow(tidy(run), SEGMENT)
+    schema, arrow = _typed(SEGMENT, _SEGMENT, 2, T.ArrayType(docs.schema[id_col].dataType))
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(tidy(run), schema)
 
 
 def search(index: DataFrame, items: list[tuple], size: int = WINDOW, slop: int | None = None) -> DataFrame:
@@ -221,20 +231,18 @@ def search(index: DataFrame, items: list[tuple], size: int = WINDOW, slop: int |
                 many[number[number >= 0]] = sizes_of[number >= 0]
                 found = [_row(segment, *x) for x in report(phrases, ids.as_py(), sizes, gap, lists, many, slop)]
                 for i in range(0, len(found), 5000):
-                    yield _batch(found[i : i + 5000], _REPORT)
+                    yield _batch(found[i : i + 5000], arrow)
 
-    return index.mapInArrow(tidy(run), REPORT)
+    schema, arrow = _typed(REPORT, _REPORT, 2, index.schema["ids"].dataType.elementType)
+    return index.mapInArrow(tidy(run), schema)
 
 
-def _merge(rows):
+def _merge(rows: pa.Table) -> pa.Table:
     """Several rounds' rows of one document as one."""
-    import pandas as pd
-
-    first = rows.iloc[0]
-    items = sorted({x for some in rows["items"] for x in some})
-    hits = np.unique(np.concatenate([np.asarray(x, np.int32) for x in rows["hits"]]))
-    near = sorted({x for some in rows["near"] for x in some})
-    return pd.DataFrame([_row(first["segment"], first["place"], first["doc_id"], first["n_words"], hits, items, near)], columns=_REPORT.names).astype({"doc_id": "Int64"})
+    first = rows.slice(0, 1).select(["segment", "place", "doc_id", "n_words"]).to_pylist()[0]
+    every = {c: [x for some in rows[c].to_pylist() for x in some] for c in ("items", "hits", "near")}
+    row = _row(*first.values(), np.unique(np.array(every["hits"], np.int32)), sorted(set(every["items"])), sorted(set(every["near"])))
+    return pa.Table.from_batches([_batch([row], rows.schema)])
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
@@ -250,7 +258,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per row of docs (see REPORT): which of its words lie in windows of which items.
 
     Null and wordless texts have no words and no hits. Repeated rows stay
-    repeated; a null id stays null. Items with the same id count once, a null
+    repeated; ids may have any type, and a null id stays null. Very long texts are read whole, and fill a segment of their own. An empty table gives an empty one. Items with the same id count once, a null
     item id is named "null", items without words have no window. Other columns
     are ignored. The index is searched once per block of items of block_bytes.
     """
@@ -261,7 +269,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if n == 1:
             return part
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("segment", "place").applyInPandas(_merge, REPORT)
+    return found.groupBy("segment", "place").applyInArrow(_merge, found.schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -269,7 +277,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Null and wordless texts stay, repeated rows share their fate, an empty table
     or an empty benchmark changes nothing. If ids are null or repeat, or aren't
-    numbers, the rows are numbered first, and the numbers serve as ids.
+    long numbers, the rows are numbered first, and the numbers serve as ids.
     """
     rows, key = with_ids(docs, id_col)
     found = contamination(rows, benchmark, key, text_col, item_col, item_text_col, size, None, block_bytes)

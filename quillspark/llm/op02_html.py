@@ -2,8 +2,9 @@
 
 The page is cut into blocks at block-level tags. Pass one decides each block by
 itself from its length, the share of its characters in links and the share of
-stop words among its words; blocks in menus, headers, footers, sidebars, notices,
-adverts, forms and comments are out by their markup. Short blocks stay open.
+stop words among its words. Text in menus, headers, footers, sidebars, notices,
+adverts, forms and comments is out by its markup, and no part of a block: an element
+within a line that is out leaves its block whole. Short blocks stay open.
 Pass two gives an open block the label of its nearest decided neighbours.
 All blocks go through both passes. An article or main element is evidence only, and
 only if it holds at least half of the text that passes by itself: inside, more links are
@@ -50,21 +51,30 @@ OUTER_NAMES = frozenset("header top bottom copyright meta tags".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?/][^>]*>?|<[a-zA-Z][^>]*\Z""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
+#: Whole attributes one after the other, so that nothing is found within the value of another one.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Parts of names that say where or in what an element stands, not what it is.
+_FRAMES = frozenset("area articles bar block body bottom box btn button buttons col column container content heading icon icons inner item items left link links list main outer panel posts right row section slot stories text title top unit wrap wrapper".split())
 _CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW_TAGS}
 
 
 class Block:
-    __slots__ = ("text", "links", "out", "article", "heading", "label")
+    __slots__ = ("text", "links", "article", "heading", "label")
 
-    def __init__(self, text: str, links: int, out: bool, article: int, heading: bool):
-        self.text, self.links, self.out, self.article, self.heading, self.label = text, links, out, article, heading, ""
+    def __init__(self, text: str, links: int, article: int, heading: bool):
+        self.text, self.links, self.article, self.heading, self.label = text, links, article, heading, ""
 
 
-def _names(value: str) -> set[str]:
-    """The parts of class and id names: whole words, and those that capitals mark."""
-    return {p.lower() for p in _PART.findall(value)} | set(re.split("[^a-z]+", value.lower()))
+def _kinds(value: str) -> set[str]:
+    """What the names of a class or id attribute say: each as a whole, and its last part that isn't a frame; parts are marked by other characters than letters, or by capitals."""
+    found = set()
+    for name in value.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        while len(parts) > 1 and (parts[-1] in _FRAMES or len(parts[-1]) == 1):
+            parts.pop()
+        found |= {name.lower(), *parts[-1:]}
+    return found
 
 
 def _out_by_markup(tag: str, attributes: str, article: bool) -> bool:
@@ -78,12 +88,12 @@ def _out_by_markup(tag: str, attributes: str, article: bool) -> bool:
             return True
         if name == "role" and value.lower() in OUT_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            parts = _names(value)
-            if parts & OUT_NAMES or not article and parts & OUTER_NAMES:
-                return True
-        elif name in ("class", "id") and tag == "article":
-            if _names(value) & {"comment", "comments", "related", "promo", "ad", "teaser"}:
+        if name in ("class", "id") and tag not in ("html", "body", "main", *_HEADINGS):
+            kinds = _kinds(value)
+            if tag == "article":
+                if kinds & {"comment", "comments", "related", "promo", "ad", "teaser"}:
+                    return True
+            elif kinds & OUT_NAMES or not article and kinds & OUTER_NAMES:
                 return True
     return False
 
@@ -104,7 +114,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal runs, links
         if runs:
             if text := " ".join("".join(runs).split()):
-                found.append(Block(text, links, out, article, any(places.get(t) for t in _HEADINGS)))
+                found.append(Block(text, links, article, any(places.get(t) for t in _HEADINGS)))
             runs, links = [], 0
 
     def push(tag: str, now: bool, inside: int) -> None:
@@ -129,7 +139,7 @@ def blocks_of(page: str) -> list[Block]:
 
     def put(text: str) -> None:
         nonlocal links
-        if text:
+        if text and not out:
             text = html.unescape(text) if "&" in text else text
             runs.append(text)
             if places.get("a"):
@@ -149,9 +159,12 @@ def blocks_of(page: str) -> list[Block]:
                 put(m[7])
             continue
         if m[1] or m[4]:  # an end tag
-            if tag in BLOCK_TAGS:
+            own = places.get(tag)
+            at_end = own and (tag in ("article", "main", "body", "html") or not walls or own[-1] >= walls[-1])
+            # What ends within an element that is out doesn't cut the block around it.
+            if tag in BLOCK_TAGS and not (stack[own[-1] - 1][1] if at_end and own[-1] else out and not at_end):
                 close_block()
-            if (own := places.get(tag)) and (tag in ("article", "main", "body", "html") or not walls or own[-1] >= walls[-1]):
+            if at_end:
                 pop_to(own[-1])
             continue
         if tag in RAW_TAGS:
@@ -162,7 +175,8 @@ def blocks_of(page: str) -> list[Block]:
             runs.append(" ")
             continue
         if tag in BLOCK_TAGS:
-            close_block()
+            if not out:
+                close_block()
             if stack and stack[-1][0] == "head":  # its end tag may be left out
                 pop_to(len(stack) - 1)
             # A block ends an open paragraph, an item an open item.
@@ -173,10 +187,6 @@ def blocks_of(page: str) -> list[Block]:
             continue
         inside = ARTICLE if tag == "article" else article or MAIN * (tag == "main")
         now = out or _out_by_markup(tag, m[3] or m[6] or "", inside)
-        if now and not out:
-            close_block()
-        elif tag in ("article", "main"):
-            close_block()
         push(tag, now, inside)
     close_block()
     return found
@@ -188,8 +198,6 @@ _WORDS = re.compile(r"[^\W\d_]+")
 def first_pass(block: Block, prior: bool = False) -> str:
     """good, bad, near (probably good), short or poor (both open; few stop words); prior: the block lies in a region that speaks for it."""
     n = len(block.text)
-    if block.out:
-        return "bad"
     share = block.links / max(1, n)
     if share > (ARTICLE_LINKS if prior else LINKS):
         return "bad"
@@ -208,29 +216,28 @@ def _trusted(blocks: list[Block]) -> bool:
     """Whether the marked regions speak for their blocks: they hold at least half of the text that passes by itself."""
     inside = outside = 0
     for b in blocks:
-        if not b.out and first_pass(b) in ("good", "near"):
+        if first_pass(b) in ("good", "near"):
             inside, outside = inside + len(b.text) * bool(b.article), outside + len(b.text) * (not b.article)
     return inside >= outside
 
 
 def classify(blocks: list[Block]) -> list[Block]:
     """Both passes; returns the good blocks."""
-    marked = any(b.article and not b.out for b in blocks) and _trusted(blocks)
+    marked = any(b.article for b in blocks) and _trusted(blocks)
     for b in blocks:
         b.label = first_pass(b, marked and bool(b.article))
         if marked and not b.article and b.label == "short":
             b.label = "bad"  # beside a trusted region a block must pass by its own text
-    shown = [b for b in blocks if not b.out]
-    decided: list[str] = [b.label for b in shown]
+    decided: list[str] = [b.label for b in blocks]
     before, last = [], ""
     for x in decided:
         before.append(last)
         last = x if x in ("good", "bad", "near") else last
-    after, last = [""] * len(shown), ""
-    for k in range(len(shown) - 1, -1, -1):
+    after, last = [""] * len(blocks), ""
+    for k in range(len(blocks) - 1, -1, -1):
         after[k] = last
         last = decided[k] if decided[k] in ("good", "bad", "near") else last
-    for b, x, y in zip(shown, before, after, strict=True):
+    for b, x, y in zip(blocks, before, after, strict=True):
         sides, prior = [s for s in (x, y) if s], marked and bool(b.article)
         if b.label in ("short", "poor"):
             if not sides:
@@ -254,7 +261,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     """pages without html_col, with text_col (empty if a page has no main text, or is null) and n_chars.
 
     Rows stay as they are, repeated ones too; columns named like the new ones
-    give way to them.
+    give way to them. Pages of any length are read whole; an empty table gives an empty one.
     """
     kept = [c for c in pages.columns if c.lower() not in (html_col.lower(), text_col.lower(), "n_chars")]
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.storage import spread, tidy
 from .common import table, with_free_names
@@ -383,7 +384,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row of docs its text as TIFF (column media, if kept) and what reading that back gives (see DIGEST).
 
     A null text is empty, and its payload 64 zero bytes. Equal texts have equal
-    values. Null ids and repeated rows stay, other columns are ignored. Very long texts have a page for each
+    values. Ids may have any type; null ids and repeated rows stay, other columns are ignored. Very long texts have a page for each
     megabyte. An empty table gives an empty one.
     """
 
@@ -402,10 +403,14 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i in range(0, len(batch), 128):
                 part = batch.slice(i, 128)
                 rows = [digest(t)[: len(kinds)] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[x.split()[0] for x in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=names)
 
-    schema = DIGEST + ", media binary" * keep_media
-    return spread(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")).mapInArrow(tidy(run), schema)
+    from pyspark.sql import types as T
+
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    fields = [slim.schema["doc_id"], *T._parse_datatype_string(DIGEST + ", media binary" * keep_media).fields[1:]]
+    names = [f.name for f in fields]
+    return spread(slim).mapInArrow(tidy(run), T.StructType(fields))
 
 
 def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.storage import spread, tidy
-from .common import table
-from .labelled import held_out, sample
+from .common import plainly_named, table
+from .labelled import ALL_CHARS, TRAIN_CHARS, held_out, sample
 from .op01_decontamination import words
 
 #: Training documents of label 0 and 1 at most; words of a training stretch.
@@ -277,9 +277,9 @@ def fit(texts: list[tuple[str, int]], share: float, steps: int = 60) -> Crf:
     return crf
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> Crf:
-    """A model from a bounded sample of the labelled rows that aren't held out."""
-    return fit(*sample(docs, labels, label_col, per_class))
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: tuple[int, int] = PER_CLASS, text_col: str = "text", train_chars: int = TRAIN_CHARS, all_chars: int = ALL_CHARS) -> Crf:
+    """A model from a bounded sample of the labelled rows that aren't held out (see labelled.sample)."""
+    return fit(*sample(docs, labels, label_col, per_class, text_col=text_col, train_chars=train_chars, all_chars=all_chars))
 
 
 SCORED = "score double, spans array<struct<start:int,end:int,probability:double>>"
@@ -315,14 +315,15 @@ def score_texts(docs: DataFrame, model: Crf, text_col: str = "text", keep: list[
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose score reaches the threshold; columns stay.
+    """docs without the rows whose score reaches the threshold; all columns stay with their values, whatever their names.
 
     Rows are judged each by its own text: null and wordless ones stay, repeated
     rows share their fate, and no labels at all drop nothing (or, if all training
     labels are toxic, everything). An empty table stays empty.
     """
-    scored = score_texts(docs, train(docs, labels), text_col)
-    return scored.filter(F.col("score") < threshold).select(*docs.columns)
+    rows, names = plainly_named(docs)
+    scored = score_texts(rows, train(docs, labels, text_col=text_col), names[text_col])
+    return scored.filter(F.col("score") < threshold).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

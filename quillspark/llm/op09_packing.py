@@ -28,6 +28,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.storage import spread, tidy
 from .common import stored, table
@@ -358,18 +360,18 @@ class Packer:
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
-def _batch(rows: list[tuple], left: list[tuple] | None) -> pa.RecordBatch:
+def _batch(rows: list[tuple], left: list[tuple] | None, kind: pa.DataType) -> pa.RecordBatch:
     """Pieces as a batch; with a column of ids if left is given, null but for the pieces without a window."""
     rows = rows if left is None else [r + (None,) for r in rows] + [(doc, start, len(ids) // 4, None, total, None, None, ids) for doc, start, total, ids in left]
     columns = list(zip(*rows, strict=True)) or [()] * (7 + (left is not None))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 7 else pa.int64()) for k, c in enumerate(columns)], names=[*_NAMES, "ids"][: len(columns)])
+    return pa.RecordBatch.from_arrays([pa.array(c, kind if k == 0 else pa.binary() if k == 7 else pa.int64()) for k, c in enumerate(columns)], names=[*_NAMES, "ids"][: len(columns)])
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_open: int = MAX_OPEN, left_ids: int = LEFT_IDS) -> DataFrame:
     """Tokenise and pack whole texts; one row per piece (see PIECES).
 
     A null text is an empty one and has the closing id alone. Repeated rows are
-    packed as often as they occur; a null id stays null. An empty table gives no
+    packed as often as they occur; ids may have any type, and a null id stays null. An empty table gives no
     pieces. Other columns are ignored, whatever their names. sequence_id is the partition number times
     2^33 plus the window's number in it, in the second pass beyond SECOND.
     """
@@ -389,7 +391,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
 
         def flush() -> pa.RecordBatch:
             rows, left, packer.out, packer.left = packer.out, packer.left, [], []
-            return _batch(rows, left)
+            return _batch(rows, left, kind)
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -411,18 +413,20 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
                 for doc, start, total, ids in zip(*(c.to_pylist() for c in batch.slice(i, 1024).columns), strict=True):
                     packer.place((doc, start, total, ids), len(ids) // 4)
                 if packer.out:
-                    yield _batch(packer.out, None)
+                    yield _batch(packer.out, None, kind)
                     packer.out = []
         packer.drain()
-        yield _batch(packer.out, None)
+        yield _batch(packer.out, None, kind)
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = stored(spread(slim).mapInArrow(tidy(first), PIECES + ", ids binary"), "pieces")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    made = [slim.schema["doc_id"], *T._parse_datatype_string(PIECES + ", ids binary").fields[1:]]
+    kind = to_arrow_type(made[0].dataType)
+    pieces = stored(spread(slim).mapInArrow(tidy(first), T.StructType(made)), "pieces")
     left = pieces.filter("sequence_id IS NULL")
     # Long pieces first: fewer windows are open at the end.
     tasks = -(-(left.agg(F.sum("length")).first()[0] or 0) // left_ids) or 1
     dealt = left.select("doc_id", "start", "doc_tokens", "ids").repartition(tasks, F.xxhash64("doc_id", "start", "ids")).sortWithinPartitions(F.desc(F.octet_length("ids")), F.xxhash64("ids", "doc_id"), "doc_id", "start")
-    return pieces.filter("sequence_id IS NOT NULL").select(*_NAMES).unionByName(dealt.mapInArrow(tidy(second), PIECES))
+    return pieces.filter("sequence_id IS NOT NULL").select(*_NAMES).unionByName(dealt.mapInArrow(tidy(second), T.StructType(made[:-1])))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

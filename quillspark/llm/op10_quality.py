@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.storage import spread, tidy
-from .common import table
-from .labelled import held_out, sample
+from .common import plainly_named, table
+from .labelled import ALL_CHARS, TRAIN_CHARS, held_out, sample
 
 #: Training documents of label 0 and 1 at most; all of their passages train.
 PER_CLASS = (1500, 3000)
@@ -168,9 +168,9 @@ def fit(texts: list[tuple[str, int]], share: float, steps: int = 600, batch: int
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: tuple[int, int] = PER_CLASS) -> Model:
-    """A model from a bounded sample of the labelled rows that aren't held out."""
-    return fit(*sample(docs, labels, label_col, per_class))
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: tuple[int, int] = PER_CLASS, text_col: str = "text", train_chars: int = TRAIN_CHARS, all_chars: int = ALL_CHARS) -> Model:
+    """A model from a bounded sample of the labelled rows that aren't held out (see labelled.sample)."""
+    return fit(*sample(docs, labels, label_col, per_class, text_col=text_col, train_chars=train_chars, all_chars=all_chars))
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -195,14 +195,15 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: lis
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose score stays below the threshold; columns stay.
+    """docs without the rows whose score stays below the threshold; all columns stay with their values, whatever their names.
 
     Rows are judged each by its own text: null and wordless ones as one passage
     without features, repeated rows alike. With labels of one kind every
     row has the share of label 1 as its score, and without labels nothing goes. An empty table stays empty.
     """
-    scored = score_texts(docs, train(docs, labels), text_col)
-    return scored.filter(F.col("score") >= threshold).select(*docs.columns)
+    rows, names = plainly_named(docs)
+    scored = score_texts(rows, train(docs, labels, text_col=text_col), names[text_col])
+    return scored.filter(F.col("score") >= threshold).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,29 @@ def test_few_stop_words_in_an_article_follow_the_neighbours():
     assert pages.main_text(f"<article><p>{LONG}</p><p>{poor}</p>{links}</article>") == f"{LONG.strip()}\n{poor}"
 
 
+_OUT_IN_LINE = ["<button>Subscribe now</button>", "<label>Name</label>", "<noscript>on</noscript>", "<svg><text>x</text></svg>", "<iframe>i</iframe>", "<object>o</object>", "<span class='ad'>buy</span>", "<span hidden>h</span>", "<i style='display:none'>d</i>", "<b aria-hidden=true>b</b>", "<select><option>a<option>b</select>", "<select><option>a</option></select>", "<em class='site-nav nav'>n</em>"]
+
+
+@pytest.mark.parametrize("element", _OUT_IN_LINE)
+def test_text_out_of_the_article_leaves_its_block_whole(element):
+    assert pages.main_text(f"<article><p>{LONG}</p><p>before {element} after it</p></article>") == f"{LONG.strip()}\nbefore after it"
+
+
+def test_unclosed_select_takes_the_rest_of_its_block():
+    assert pages.main_text(f"<article><p>before <select><option>a<option>b</p><p>{LONG}</p></article>") == f"before\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("tag", ['p title="Hidden costs"', 'p data-state="hidden"', 'p data-id="comment-5"', "p data-x='class=ad'", 'h2 id="related-work"', 'h2 id="search"', 'section id="search-algorithms"', 'p class="navigate"', 'p id="readers"'])
+def test_names_and_values_that_only_look_like_marks_stay(tag):
+    assert pages.main_text(f"<article><p>{LONG}</p><{tag}>Some words of the text.</{tag.split()[0]}></article>") == f"{LONG.strip()}\nSome words of the text."
+    assert pages.main_text(f"<article><p>{LONG} <a href='/the-hidden-valley?id=search'>link</a> end</p></article>") == f"{LONG.strip()} link end"
+
+
+@pytest.mark.parametrize("tag", ['div class="sidebar-left"', 'div id="comment-5"', 'div class="x cookieBanner"', "div class=share-buttons", "section class=related-posts", 'div class="ad-300x250"', "div role=search", "div hidden", "p class='newsletter-signup'"])
+def test_marked_elements_go(tag):
+    assert pages.main_text(f"<article><p>{LONG}</p><{tag}>Some words of the text.</{tag.split()[0]}></article>") == LONG.strip()
+
+
 def test_deep_nesting_loses_nothing_and_is_linear():
     rest = "The rest of the article follows here."
     for n in (1_950, 100_000):
@@ -529,6 +552,12 @@ def test_classifiers_on_odd_rows(spark, module, label):
     assert scored.count() == docs.count() and all(0 <= r.score <= 1 for r in scored.select(F.col("score").alias("score")).collect())
     kept = module.drop_toxic(docs, labels) if label == "toxic" else module.drop_poor(docs, labels)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    drop = module.drop_toxic if label == "toxic" else module.drop_poor
+    odd = docs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "text", F.lit(42).alias("score"), F.lit("s").alias("Spans"), F.col("doc_id").alias("rid"), F.lit(1).alias("cell"))
+    named = labels.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    some = drop(odd, named)
+    assert some.schema == odd.schema and some.exceptAll(odd).isEmpty() and 0 < some.count() < odd.count()
+    assert drop(odd, labels).schema == odd.schema  # other ids: no labels fit
     none = labels.limit(0)
     assert (module.drop_toxic(docs, none) if label == "toxic" else module.drop_poor(docs, none)).count() == docs.count()
     assert module.score_texts(docs.limit(0), model).count() == 0

@@ -456,3 +456,29 @@ def test_sharding_of_odd_rows(spark):
     assert out.columns == [*df.columns, "shard", "slot"] and "Window" in out._jdf.queryExecution().executedPlan().toString()
     got = out.collect()
     assert len(got) == 303 and sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(8) for k in range(38 if s < 7 else 37)]
+
+
+def test_ids_of_any_type(spark):
+    from quillspark.llm import op01_decontamination, op03_tiff, op09_packing
+
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([("a", text), (None, "nothing"), ("b", None)], "doc_id string, text string")
+    items = spark.createDataFrame([("i", text), ("j", "two three")], "item_id string, text string")
+    for block in (1 << 20, 30):
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in op01_decontamination.contamination(docs, items, block_bytes=block).collect()}
+        assert got == {"a": (11, 11, ["i", "j"]), None: (1, 0, []), "b": (0, 0, [])}
+    assert [r["doc_id"] for r in op01_decontamination.drop_contaminated(docs, items).orderBy("doc_id").collect()] == [None, "b"]
+    assert {r["doc_id"]: r["n_bytes"] for r in op03_tiff.text_media(docs).collect()} == {"a": len(text), None: 7, "b": 0}
+    assert {r["doc_id"]: r["doc_tokens"] for r in op09_packing.pack(docs).collect()}["b"] == 1
+
+
+def test_training_sample_is_bounded(spark):
+    from quillspark.llm.labelled import sample
+
+    docs = spark.createDataFrame([(i, "x" * 10) for i in range(40)] + [(i, "w" * 10) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, y int")
+    every, share = sample(docs, labels, "y", (100, 100))
+    assert 20 < len(every) < 40 and {t for t, _ in every} == {"w" * 10} and 0.3 < share < 0.7
+    few, _ = sample(docs, labels, "y", (100, 100), all_chars=55)
+    assert len(few) == 5 and not sample(docs, labels, "y", (100, 100), train_chars=9)[0]
+    assert sorted(sample(docs.withColumn("doc_id", F.col("doc_id").cast("string")), labels, "y", (100, 100))[0]) == sorted(every)
