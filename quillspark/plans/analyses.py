@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bands, paths, sampling, stats, text
-from ..operators import analyzers, forms, imports, markdown, notations, overlays, prose, references, relational
+from ..operators import analyzers, forms, imports, language, markdown, notations, overlays, prose, references, relational
 from ..operators.selection import described
 from ..operators.storage import small, written
 from . import populations as summaries
@@ -199,20 +199,51 @@ def replayed_notations(corpus: Corpus, without: tuple[str, ...] = ("plantuml",))
     return both.withColumn("notation", F.when(fine, F.col("notation")).otherwise(F.raise_error(F.concat(F.lit("replay differs from the stored results: "), F.col("notation")))))
 
 
-def paragraph_languages(corpus: Corpus, scope: str = "exact", first: prose.LanguageDetector | None = None, second: prose.LanguageDetector | None = None, config: prose.Config = prose.Config(), audit: int = 20) -> dict[str, DataFrame]:
-    """Languages of prose paragraphs by two agreeing detectors, and of documents by their paragraphs; weighted by copies."""
+def _judged_by_models(docs: DataFrame, models: tuple[language.LanguageModel, language.LanguageModel], config: prose.Config) -> DataFrame:
+    """identity, copies, index, words, d of eligible paragraphs (see prose.DECISION), by expressions over the predictions of two models.
+
+    A paragraph's features are made where it is stored; only its scores are exchanged.
+    """
+    keys = ["identity", "index"]
+    rows = docs.select("identity", "copies", F.explode("p").alias("q")).select("identity", "copies", "q.*").filter("eligible").drop("eligible")
+    # A second look at the words alone: a language that letter case or marks decide isn't stable.
+    plain = language.predict(rows.withColumn("text", language.bare(F.col("text"))), keys, models[0]).select(*keys, F.col("language").alias("again"))
+    sides = [language.predict(rows, keys, m).select(*keys, F.struct("language", "confidence", "margin").alias(name)) for m, name in zip(models, ("first", "second"), strict=True)]
+    own = rows.select("identity", "copies", "index", "words", text.dominant_script(F.col("text")).alias("script")).join(sides[0], keys).join(sides[1], keys).join(plain, keys)
+    a, b = F.col("first"), F.col("second")
+    stable = F.col("again") == a["language"]
+    checks = [
+        ("detector_disagreement", a["language"] == b["language"]),
+        ("fasttext_low_confidence", a["confidence"] >= config.min_confidence),
+        ("fasttext_low_margin", a["margin"] >= config.min_margin),
+        ("lingua_low_confidence", b["confidence"] >= config.min_confidence),
+        ("lingua_low_margin", b["margin"] >= config.min_margin),
+        ("script_mismatch", text.script_fits(a["language"], F.col("script"))),
+        ("normalization_instability", stable),
+    ]
+    decision = F.coalesce(*[F.when(~fine, F.lit(name)) for name, fine in checks], F.lit("accepted"))
+    found = own.withColumn("decision", decision).withColumn("stable", stable).withColumn("language", F.when(F.col("decision") == "accepted", a["language"]))
+    return written(found.select("identity", "copies", "index", "words", F.struct("language", "decision", "script", "stable", "first", "second").alias("d")), "paragraph-decisions")
+
+
+def paragraph_languages(corpus: Corpus, scope: str = "exact", first: prose.LanguageDetector | None = None, second: prose.LanguageDetector | None = None, config: prose.Config = prose.Config(), audit: int = 20, models: tuple[language.LanguageModel, language.LanguageModel] | None = None) -> dict[str, DataFrame]:
+    """Languages of prose paragraphs by two that agree, and of documents by their paragraphs; weighted by copies.
+
+    models: two fitted ones (operators.language), which Spark applies; else two detectors, which run beside the parser.
+    """
     one, two = first or prose.StopWordDetector("stop words"), second or prose.TrigramDetector()
+    able = lambda p: p["words"] >= config.min_words and p["letters"] >= config.min_letters
 
     def judged(content: str) -> list[dict]:
-        rows = []
-        for p in prose.paragraphs(content):
-            able = p["words"] >= config.min_words and p["letters"] >= config.min_letters
-            rows.append({"index": p["index"], "text": p["text"], "words": p["words"], "eligible": able, "d": prose.decide(p["text"], one, two, config) if able else None})
-        return rows
+        return [{"index": p["index"], "words": p["words"], "eligible": able(p), "d": prose.decide(p["text"], one, two, config) if able(p) else None} for p in prose.paragraphs(content)]
+
+    def told(content: str) -> list[dict]:
+        return [{"index": p["index"], "words": p["words"], "eligible": able(p), "text": prose.cut(p["text"], config.max_characters) if able(p) else None} for p in prose.paragraphs(content)]
 
-    docs = parsed(families(corpus, scope), judged, f"array<struct<index:int,text:string,words:int,eligible:boolean,d:{prose.DECISION}>>", "p", ["identity", "copies"])
+    parse, field = (told, "text:string") if models else (judged, f"d:{prose.DECISION}")
+    docs = parsed(families(corpus, scope), parse, f"array<struct<index:int,words:int,eligible:boolean,{field}>>", "p", ["identity", "copies"])
     docs = written(docs, "paragraphs")  # several tables read it
-    rows = docs.select("identity", "copies", F.explode("p").alias("q")).select("identity", "copies", "q.*").filter("eligible")
+    rows = _judged_by_models(docs, models, config) if models else docs.select("identity", "copies", F.explode("p").alias("q")).select("identity", "copies", "q.*").filter("eligible")
     decisions = rows.groupBy(F.col("d.decision").alias("decision")).agg(F.count("*").alias("paragraphs"), F.sum("words").alias("words"))
     agreed = rows.filter("d.decision = 'accepted'").select("identity", "copies", "index", "words", F.col("d.language").alias("language"))
     eligible = docs.select("identity", "copies", F.aggregate(F.filter("p", lambda x: x["eligible"]), F.lit(0), lambda a, x: a + x["words"]).alias("eligible_words"))

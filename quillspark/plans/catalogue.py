@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bands, paths, sampling, stats, text
-from ..operators import relational
+from ..operators import language, relational
 from ..operators.selection import described
 from ..operators.storage import written
 from . import analyses, oracles
@@ -679,19 +679,75 @@ def d8_sample(spark, sf_dir):
     return analyses.notation_candidates(bind(spark, sf_dir))["sample"]
 
 
+_TRAINS = "substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) > '2'"
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    """Documents with their language and whether they train, which three in sixteen (by id) don't."""
+    return _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1) > "2").alias("trains"))
+
+
+def _language_models(spark, sf_dir) -> tuple:
+    texts = _labelled(spark, sf_dir).filter("trains")
+    return tuple(language.fit(texts, kind) for kind in language.KINDS)
+
+
+_FEATURES = {
+    "characters": r"flatten(list_transform(list_filter(regexp_split_to_array(text, '[\x09-\x0D\x20]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 1), lambda k: substr(' ' || w || ' ', k, 3))))",
+    "words": r"list_transform(regexp_extract_all(text, '\p{L}+'), lambda w: lower(w))",
+}
+#: Counts of features by language, those that stay, and their scores.
+_MODEL = "WITH " + ", ".join(
+    f"""{k}_f AS (SELECT doc_id, lang, {_TRAINS} AS trains, unnest({f}) AS feature FROM documents WHERE text IS NOT NULL),
+ {k}_c AS (SELECT feature, lang, count(*) AS n FROM {k}_f WHERE trains AND lang IS NOT NULL GROUP BY ALL),
+ {k}_k AS (SELECT feature FROM {k}_c GROUP BY feature HAVING sum(n) >= 5 ORDER BY sum(n) DESC, feature LIMIT 50000),
+ {k}_g AS (SELECT feature, l.lang, coalesce(c.n, 0) AS n FROM {k}_k CROSS JOIN (SELECT DISTINCT lang FROM {k}_c) l LEFT JOIN {k}_c c USING (feature, lang)),
+ {k}_m AS (SELECT feature, lang, CAST(round(1000 * ln((n + 0.5::DOUBLE) / (sum(n) OVER (PARTITION BY lang) + 0.5::DOUBLE * count(*) OVER (PARTITION BY lang)))) AS BIGINT) AS score FROM {k}_g),
+ {k}_s AS (SELECT doc_id, m.lang, sum(score) AS s, count(*) AS n FROM {k}_f f JOIN {k}_m m USING (feature) WHERE NOT trains GROUP BY ALL),
+ {k}_o AS (SELECT doc_id, lang, s, exp((s - max(s) OVER (PARTITION BY doc_id)) / 1000.0::DOUBLE / n * least(n, 12)) AS o FROM {k}_s),
+ {k}_p AS (SELECT doc_id, min_by(lang, {{'a': -s, 'b': lang}}) AS predicted, 1 / sum(o) AS confidence FROM {k}_o GROUP BY doc_id)"""
+    for k, f in _FEATURES.items()
+)
+
+
+@query("c9_language_model", f"{_MODEL} " + " UNION ALL ".join(f"SELECT '{k}' AS kind, feature, lang AS language, score FROM {k}_m" for k in _FEATURES), False)
+def c9_language_model(spark, sf_dir):
+    """The scores of all features of two models fitted on the documents' languages."""
+    rows = []
+    for m in _language_models(spark, sf_dir):
+        each = F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in m.languages]).alias("language"), F.col("scores").alias("score")))
+        rows.append(m.table.select(F.lit(m.kind).alias("kind"), "feature", each.alias("x")).select("kind", "feature", F.col("x.language").alias("language"), F.col("x.score").alias("score")))
+    return rows[0].unionByName(rows[1])
+
+
+@query(
+    "c9_language_accuracy",
+    f"{_MODEL} " + " UNION ALL ".join(f"SELECT '{k}' AS kind, lang AS language, coalesce(predicted, 'und') AS predicted, count(*) AS documents, round(avg(coalesce(confidence, 0)), 6) AS confidence FROM documents LEFT JOIN {k}_p USING (doc_id) WHERE NOT {_TRAINS} GROUP BY ALL" for k in _FEATURES),
+    False,
+)
+def c9_language_accuracy(spark, sf_dir):
+    """What the models say of the documents that didn't train them."""
+    held = _labelled(spark, sf_dir).filter("NOT trains")
+    parts = []
+    for m in _language_models(spark, sf_dir):
+        found = held.select("doc_id", "lang").join(language.predict(held, ["doc_id"], m).withColumnRenamed("language", "predicted"), "doc_id")
+        parts.append(found.groupBy(F.lit(m.kind).alias("kind"), F.col("lang").alias("language"), "predicted").agg(F.count("*").alias("documents"), F.round(F.avg("confidence"), 6).alias("confidence")))
+    return parts[0].unionByName(parts[1])
+
+
 @query("d9_decisions")
 def d9_decisions(spark, sf_dir):
-    return analyses.paragraph_languages(bind(spark, sf_dir))["decisions"]
+    return analyses.paragraph_languages(bind(spark, sf_dir), models=_language_models(spark, sf_dir))["decisions"]
 
 
 @query("d9_documents")
 def d9_documents(spark, sf_dir):
-    return analyses.paragraph_languages(bind(spark, sf_dir))["documents"]
+    return analyses.paragraph_languages(bind(spark, sf_dir), models=_language_models(spark, sf_dir))["documents"]
 
 
 @query("d9_distribution")
 def d9_distribution(spark, sf_dir):
-    return analyses.paragraph_languages(bind(spark, sf_dir))["distribution"]
+    return analyses.paragraph_languages(bind(spark, sf_dir), models=_language_models(spark, sf_dir))["distribution"]
 
 
 @query("d11_line_overlaps", _SQL["j6_line_overlaps"].removeprefix(CORPUS_SQL))
@@ -923,14 +979,14 @@ def d6_distributions(spark, sf_dir):
 
 @query("d9_populations")
 def d9_populations(spark, sf_dir):
-    return analyses.paragraph_languages(bind(spark, sf_dir))["populations"]
+    return analyses.paragraph_languages(bind(spark, sf_dir), models=_language_models(spark, sf_dir))["populations"]
 
 
 @query("d9_language_table")
 def d9_language_table(spark, sf_dir):
-    return analyses.paragraph_languages(bind(spark, sf_dir))["language_table"]
+    return analyses.paragraph_languages(bind(spark, sf_dir), models=_language_models(spark, sf_dir))["language_table"]
 
 
 @query("d9_threshold_documents")
 def d9_threshold_documents(spark, sf_dir):
-    return analyses.paragraph_languages(bind(spark, sf_dir))["threshold_documents"]
+    return analyses.paragraph_languages(bind(spark, sf_dir), models=_language_models(spark, sf_dir))["threshold_documents"]
