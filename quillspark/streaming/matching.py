@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: What a key keeps of an event that waits.
-_EVENT = "at long, event long, is_left boolean"
+_EVENT = T.StructType([T.StructField("at", T.LongType()), T.StructField("event", T.LongType()), T.StructField("is_left", T.BooleanType())])
 
 
 class FifoMatcher(StatefulProcessor):
@@ -27,9 +27,8 @@ class FifoMatcher(StatefulProcessor):
         self.key, self.patience = key, patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        kind = T._parse_datatype_string(_EVENT)
         self.handle = handle
-        self.pending, self.queue = handle.getListState("pending", kind), handle.getListState("queue", kind)
+        self.pending, self.queue = handle.getListState("pending", _EVENT), handle.getListState("queue", _EVENT)
 
     @staticmethod
     def _read(state) -> list[tuple]:
