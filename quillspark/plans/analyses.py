@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..operators import analyzers, forms, imports, language, markdown, notations
 from ..operators.selection import described
 from ..operators.storage import small, written
 from . import populations as summaries
-from .corpus import TARGET, Corpus, parsed
+from .corpus import TARGET, Corpus, parsed, parsed_once
 from .tables import Tables, descriptions
 
 WINDOWS = {"200k": 200_000, "500k": 500_000, "1M": 1_000_000}
@@ -115,7 +117,8 @@ def families(corpus: Corpus, scope: str = "exact") -> DataFrame:
 
 def sections(corpus: Corpus, scope: str = "exact", heading_limit: int = 1000) -> dict[str, DataFrame]:
     """Headings and section bodies, parsed once per content and weighted by copies."""
-    own = parsed(families(corpus, scope), markdown.structure, f"struct<{markdown.STRUCTURE.replace(' array', ':array').replace(' int', ':int').replace(' boolean', ':boolean')}>", "s", ["identity", "copies"])
+    kind = f"struct<{markdown.STRUCTURE.replace(' array', ':array').replace(' int', ':int').replace(' boolean', ':boolean')}>"
+    own = parsed_once(corpus, families(corpus, scope), markdown.structure, kind, "s", ["identity", "copies"], ("structures", "1"))
     own = written(own, "structures")  # several tables read it
     flat = own.select("identity", "copies", F.explode("s.sections").alias("b")).select("identity", "copies", "b.*")
     files = own.select("copies", F.size("s.headings").alias("headings"), "s.top_level_sections", "s.maximum_depth", "s.skipped_jumps", "s.starts_below_h1", "s.h1_count", "s.empty_sections")
@@ -241,7 +244,9 @@ def paragraph_languages(corpus: Corpus, scope: str = "exact", first: prose.Langu
         return [{"index": p["index"], "words": p["words"], "eligible": able(p), "text": prose.cut(p["text"], config.max_characters) if able(p) else None} for p in prose.paragraphs(content)]
 
     parse, field = (told, "text:string") if models else (judged, f"d:{prose.DECISION}")
-    docs = parsed(families(corpus, scope), parse, f"array<struct<index:int,words:int,eligible:boolean,{field}>>", "p", ["identity", "copies"])
+    # Limits and detectors are part of what a stored result depends on.
+    version = hashlib.md5(repr((config, None if models else (one.name, two.name))).encode()).hexdigest()[:12]
+    docs = parsed_once(corpus, families(corpus, scope), parse, f"array<struct<index:int,words:int,eligible:boolean,{field}>>", "p", ["identity", "copies"], ("paragraphs", f"1-{version}"))
     docs = written(docs, "paragraphs")  # several tables read it
     rows = _judged_by_models(docs, models, config) if models else docs.select("identity", "copies", F.explode("p").alias("q")).select("identity", "copies", "q.*").filter("eligible")
     decisions = rows.groupBy(F.col("d.decision").alias("decision")).agg(F.count("*").alias("paragraphs"), F.sum("words").alias("words"))

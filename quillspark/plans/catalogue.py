@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bands, paths, sampling, stats, text
 from ..operators import language, relational
 from ..operators.selection import described
-from ..operators.storage import written
+from ..operators.storage import shared_folder, written
 from . import analyses, oracles
 from .corpus import CORPUS_SQL, Corpus, bind, structure_fields
 
@@ -348,6 +349,43 @@ def j9_fifo_match(spark, sf_dir):
     return relational.fifo_match(one(low), one(high), ["user_id"], ["ts", "event_id"], ["ts", "event_id"]).select("user_id", F.col("left_row.event_id").alias("left_event"), F.col("right_row.event_id").alias("right_event"))
 
 
+@query("j9_fifo_stream", _SQL["j9_fifo_match"], False)
+def j9_fifo_stream(spark, sf_dir):
+    """The same matches from a stream: events arrive in five stretches of time, each a batch, and the end of time settles what is left."""
+    from ..streaming.matching import fifo_matches
+
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    low, high, first, last = events.agg(F.min("event_type"), F.max("event_type"), F.min("ts"), F.max("ts")).first()
+    chosen = events.filter(F.col("event_type").isin(low, high)).withColumn("part", F.least(F.floor((F.unix_millis("ts") - F.unix_millis(F.lit(first))) / F.greatest(F.lit(1), F.unix_millis(F.lit(last)) - F.unix_millis(F.lit(first)) + 1) * 5), F.lit(4)))
+    at = f"{shared_folder(spark)}/fifo-{uuid.uuid4().hex}"
+    # Two events of nobody, long after all others, let the watermark pass them.
+    ends = [spark.range(1).select(F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit(-k).cast("long").alias("event_id"), (F.lit(last) + F.expr(f"INTERVAL {20 * k} YEAR")).alias("ts"), F.lit(low).alias("event_type")) for k in (1, 2)]
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for rows in [*[chosen.filter(F.col("part") == k).drop("part") for k in range(5)], *ends]:
+            rows.write.mode("append").parquet(f"{at}/in")
+            stream = fifo_matches(spark.readStream.schema(events.schema).parquet(f"{at}/in"), "user_id", "ts", "event_id", F.col("event_type") == low)
+            stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    found = spark.read.schema(f"key {events.schema['user_id'].dataType.simpleString()}, left_event long, right_event long").parquet(f"{at}/out")
+    return found.filter(F.coalesce(F.least("left_event", "right_event"), F.lit(0)) >= 0).withColumnRenamed("key", "user_id")
+
+
+@query("k1_csv_parts", "SELECT * REPLACE (CAST(p_partkey AS VARCHAR) AS p_partkey) FROM (SELECT p_partkey, p_name, p_brand FROM part)", False)
+def k1_csv_parts(spark, sf_dir):
+    """Parts written as CSV by all tasks in the order of their names, and read back."""
+    from ..sources.ordered_csv import write_parts
+
+    at = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    df = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    write_parts(df, at, ["p_name", "p_partkey"])
+    names = ", ".join(f"{c} string" for c in df.columns)
+    return spark.read.schema(names).option("multiLine", True).csv(f"{at}/*.csv").filter("p_partkey <> 'p_partkey'")
+
+
 @query("j11_label_bijection", "SELECT doc_id, quality, toxic FROM labels", False)
 def j11_label_bijection(spark, sf_dir):
     labels = _table(spark, sf_dir, "labels")

@@ -37,6 +37,8 @@ class Corpus:
     repos: DataFrame
     files: DataFrame
     analysis: DataFrame | None = None
+    #: A folder where parser results are kept from run to run (see sources.results).
+    store: str | None = None
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Corpus:
@@ -114,6 +116,17 @@ def parsed(files: DataFrame, parser: Callable[[str], object], kind: str, name: s
     return slim.mapInArrow(tidy(run), schema)
 
 
+def parsed_once(corpus: Corpus, contents: DataFrame, parser: Callable[[str], object], kind: str, name: str, keep: list[str], store: tuple[str, str], key: str = "identity") -> DataFrame:
+    """As parsed(), but through the corpus's store, if it has one: what the parser of that name and version knows isn't parsed again."""
+    if corpus.store is None:
+        return parsed(contents, parser, kind, name, keep)
+    from ..sources.results import ResultStore
+
+    known = ResultStore(corpus.session, corpus.store, *store, kind)
+    known.fill(contents.select(key, "content"), lambda new: parsed(new, parser, kind, "result", [key]), key)
+    return contents.select(*keep).join(known.rows().select(F.col("key").alias(key), F.col("result").alias(name)), key, "left")
+
+
 # The driver's tables carry no markup or paths; this binding adds both by rule, in Spark and in SQL alike.
 
 _TREE = "CASE WHEN k = 0 THEN '' WHEN k <= 3 THEN 'p' || k || '/' WHEN k <= 12 THEN 'p' || ((k - 1) {div} 3) || '/p' || k || '/' ELSE 'p' || (((k - 1) {div} 3 - 1) {div} 3) || '/p' || ((k - 1) {div} 3) || '/p' || k || '/' END"

@@ -59,25 +59,24 @@ class ResultStore:
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/rows/{e}" for e in known]) if known else self.spark.createDataFrame([], schema)
 
     def missing(self, contents: DataFrame, key: str) -> DataFrame:
-        """One row of contents for each of its keys that the store doesn't have; a null key has none.
+        """The rows of contents whose key the store doesn't have; not those without one.
 
         Keys are compared without the contents, which stay where they are unless the new keys are too many for a broadcast.
         """
-        numbered = contents.filter(F.col(key).isNotNull()).withColumn("_row", F.struct(F.input_file_name().alias("f"), F.col(key).alias("k")))
-        new = numbered.select(key).distinct().join(self.rows().select(F.col("key").alias(key)), key, "left_anti")
-        return numbered.drop("_row").join(small(new), key, "left_semi").dropDuplicates([key])
+        new = contents.select(key).filter(F.col(key).isNotNull()).distinct().join(self.rows().select(F.col("key").alias(key)), key, "left_anti")
+        return contents.join(small(new), key, "left_semi")
 
     def fill(self, contents: DataFrame, parse: Callable[[DataFrame], DataFrame], key: str = "content_hash", epoch: str | None = None) -> int:
         """Parse what is new in contents and publish it as an epoch; returns the number of results that were added.
 
-        parse takes rows of contents with different keys, and returns key (named as in contents) and result. An epoch that is there already
+        parse takes rows of contents, and returns key (named as in contents) and result; of copies one result stays. An epoch that is there already
         is left as it is; without new contents none is made.
         """
         name = epoch or uuid.uuid4().hex
         if epoch and epoch in self.epochs():
             return 0
         at = f"{self.path}/rows/{name}"
-        made = parse(self.missing(contents, key)).select(F.col(key).cast("string").alias("key"), "result")
+        made = parse(self.missing(contents, key)).select(F.col(key).cast("string").alias("key"), "result").dropDuplicates(["key"])
         made.write.mode("overwrite").option("compression", "zstd").parquet(at)
         n = self.spark.read.schema(f"key string, result {self.kind}").parquet(at).count()
         if not n and epoch is None:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import csv
 import json
-from collections.abc import Callable
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import ranked
+from ..operators.storage import shared_folder
+from . import ordered_csv
 
 
 def numbered(df: DataFrame, prefix: str, order: list) -> DataFrame:
@@ -33,19 +34,19 @@ def formatted(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, order: list | None = None, bom: bool = False, crlf: bool = False, refuse_empty: bool = False) -> int:
-    """One CSV file on the driver's disk, streamed partition by partition; returns the number of rows."""
-    rows = (df.orderBy(*order) if order else df).toLocalIterator(prefetchPartitions=True)
-    first = next(rows, None)
-    if first is None and refuse_empty:
-        raise ValueError("there is nothing to write")
-    n = 0
-    with open(path, "w", encoding="utf-8-sig" if bom else "utf-8", newline="") as f:
-        out = csv.writer(f, lineterminator="\r\n" if crlf else "\n")
-        out.writerow(df.columns)
-        while first is not None:
-            out.writerow(["" if v is None else v for v in first])
-            n, first = n + 1, next(rows, None)
-    return n
+    """One CSV file on the driver's disk; returns the number of rows.
+
+    All tasks write the parts (see ordered_csv); only their bytes are put together here, some at a time.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    made = ordered_csv.write_parts(df, folder, order, bom=bom, crlf=crlf)
+    try:
+        if refuse_empty and not made["rows"]:
+            raise ValueError("there is nothing to write")
+        return ordered_csv.join_parts(folder, path)
+    finally:
+        files, at = ordered_csv.filesystem(folder)
+        files.delete_dir(at)
 
 
 def write_folder(df: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -73,28 +74,3 @@ def text_report(tables: dict[str, DataFrame], rows: int = 20) -> str:
         shown = ["  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in [df.columns, *found[:rows]]]
         parts.append("\n".join([name, "=" * len(name), *shown, *(["..."] if len(found) > rows else [])]))
     return "\n\n".join(parts) + "\n"
-
-
-class KeyedCache:
-    """Results kept in a Parquet folder by key: only keys that are not there are computed, and then appended.
-
-    A run that is stopped in the middle has lost only its last append.
-    """
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def fill(self, df: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], batches: int = 1) -> DataFrame:
-        """Results for all keys of df. compute takes rows of df with new keys and returns a table with the same key."""
-        spark = df.sparkSession
-        distinct = df.dropDuplicates([key])
-        for k in range(batches):
-            todo = distinct.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == k)
-            try:
-                todo = todo.join(spark.read.parquet(self.path).select(key), key, "left_anti")
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-            new = compute(todo)
-            new.write.mode("append").parquet(self.path)
-        return spark.read.parquet(self.path).join(distinct.select(key), key, "left_semi")

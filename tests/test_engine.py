@@ -9,6 +9,7 @@ import sqlite3
 import unicodedata
 
 import pytest
+from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from quillspark.functions import bands, paths, sampling, stats, text
@@ -439,6 +440,32 @@ def test_sqlite_source(spark, database, tmp_path):
         sqlite.connect(database).execute("DELETE FROM repos")
 
 
+def test_sqlite_takes_filters_and_columns(spark, tmp_path):
+    path = str(tmp_path / "p.db")
+    rows = [(k, random.choice(["a", "A", "b%", "é_", None, ""]), random.choice([None, k / 3, -1.5]), bytes([k % 256]), "2024") for k in [*range(0, 60), *range(10**12, 10**12 + 40)]]
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, s TEXT COLLATE NOCASE, x REAL, b BLOB, d DATETIME)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?)", rows)
+    con.commit()
+    con.close()
+    df = sqlite.read_table(spark, path, "t", 4)
+    plain = spark.createDataFrame([(*r[:4], "2024") for r in rows], "id long, s string, x double, b binary, d string")
+    x, t, n = ("x",), ("s",), ("id",)
+    tests = {"s = 'a'": [ds.EqualTo(t, "a")], "s <=> NULL": [ds.IsNull(t)], "s IN ('A', 'é_')": [ds.In(t, ("A", "é_"))], "NOT (s = 'a')": [ds.Not(ds.EqualTo(t, "a"))], "s LIKE 'b%'": [ds.StringStartsWith(t, "b")], "contains(s, '%')": [ds.StringContains(t, "%")], "endswith(s, '_')": [ds.StringEndsWith(t, "_")]}
+    tests |= {"id > 1000 AND x IS NOT NULL": [ds.GreaterThan(n, 1000), ds.IsNotNull(x)], "x >= 2.5": [ds.GreaterThanOrEqual(x, 2.5)], "id <= 7 AND NOT (x = -1.5)": [ds.LessThanOrEqual(n, 7), ds.Not(ds.EqualTo(x, -1.5))], "s > 'a'": [ds.GreaterThan(t, "a")], "x < 0": [ds.LessThan(x, 0)], "true": []}
+    for test, filters in tests.items():
+        want = sorted(map(str, plain.filter(test).collect()))
+        assert sorted(map(str, df.filter(test).collect())) == want and sorted(map(str, sqlite.read_table(spark, path, "t", 4, where=filters).collect())) == want, test
+    for odd in (ds.EqualTo(("d",), "2024"), ds.EqualTo(t, "a\0"), ds.EqualTo(n, 1.5), ds.In(t, ("a", None)), ds.EqualTo(("y",), 1)):
+        with pytest.raises(Exception, match="can't judge"):
+            sqlite.read_table(spark, path, "t", where=[odd]).collect()
+    reader = sqlite.SqliteSource({"path": path, "table": "t", "partitions": "4"}).reader(df.schema)
+    assert [sum(p.low <= r[0] <= p.high for r in rows) for p in reader.partitions()] == [25] * 4  # sparse ids, even parts
+    assert sqlite.read_table(spark, path, "t", 4, ["x", "id"]).columns == ["x", "id"] and sqlite.read_table(spark, path, "t", 4, ["s"]).count() == 100
+    with pytest.raises(ValueError, match="missing: y"):
+        sqlite.read_table(spark, path, "t", 4, ["y"])
+
+
 def test_csv_dialects(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,Wörd\n1,ä\n", encoding="utf-8-sig")
     (tmp_path / "b.csv").write_bytes("id;Wörd;x\n1;ä;\"a;b\"\n".encode("cp1252"))
@@ -481,18 +508,15 @@ def test_sinks_are_deterministic(spark, tmp_path):
     assert json.loads((tmp_path / "s.json").read_text())["t"][0] == {"k": "a", "v": None}
 
 
-def test_cache_computes_only_what_is_new(spark, tmp_path):
-    cache = sinks.KeyedCache(str(tmp_path / "cache"))
-    seen = []
-
-    def compute(rows):
-        seen.append(sorted(r.k for r in rows.collect()))
-        return rows.select("k", F.length("k").alias("n"))
-
-    df = spark.createDataFrame([("a",), ("bb",), ("a",)], "k string")
-    assert {tuple(r) for r in cache.fill(df, "k", compute).collect()} == {("a", 1), ("bb", 2)}
-    more = df.unionByName(spark.createDataFrame([("ccc",)], "k string"))
-    assert cache.fill(more, "k", compute).count() == 3 and seen == [["a", "bb"], ["ccc"]]
+def test_analyses_parse_a_stored_content_once(spark, tmp_path, corpus, monkeypatch):
+    kept = Corpus(corpus.repos, corpus.files, corpus.analysis, f"file://{tmp_path}/store")
+    fresh = {n: sorted(map(str, analyses.sections(corpus)[n].collect())) for n in ("totals", "styles")}
+    for _ in range(2):
+        assert {n: sorted(map(str, analyses.sections(kept)[n].collect())) for n in fresh} == fresh
+    epochs = list((tmp_path / "store" / "structures" / "1" / "manifests").glob("[!.]*"))
+    assert len(epochs) == 1  # the second run had nothing to parse
+    analyses.paragraph_languages(kept)["decisions"].collect()
+    assert analyses.paragraph_languages(kept)["decisions"].collect() == analyses.paragraph_languages(corpus)["decisions"].collect()
 
 
 def test_stream_takes_each_content_once(spark, tmp_path, corpus):
