@@ -354,17 +354,18 @@ def j9_fifo_stream(spark, sf_dir):
     """The same matches from a stream: events arrive in five stretches of time, each a batch, and the end of time settles what is left."""
     from ..streaming.matching import fifo_matches
 
-    events = _table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     low, high, first, last = events.agg(F.min("event_type"), F.max("event_type"), F.min("ts"), F.max("ts")).first()
     chosen = events.filter(F.col("event_type").isin(low, high)).withColumn("part", F.least(F.floor((F.unix_millis("ts") - F.unix_millis(F.lit(first))) / F.greatest(F.lit(1), F.unix_millis(F.lit(last)) - F.unix_millis(F.lit(first)) + 1) * 5), F.lit(4)))
     at = f"{shared_folder(spark)}/fifo-{uuid.uuid4().hex}"
-    # Two events of nobody, long after all others, let the watermark pass them.
-    ends = [spark.range(1).select(F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit(-k).cast("long").alias("event_id"), (F.lit(last) + F.expr(f"INTERVAL {20 * k} YEAR")).alias("ts"), F.lit(low).alias("event_type")) for k in (1, 2)]
+    # An event of nobody, long after all others, comes with the last ones: after that batch the watermark has passed them all.
+    end = spark.range(1).select(F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit(-1).cast("long").alias("event_id"), (F.lit(last) + F.expr("INTERVAL 20 YEAR")).alias("ts"), F.lit(low).alias("event_type"))
+    parts = [chosen.filter(F.col("part") == k).drop("part") for k in range(5)]
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        for rows in [*[chosen.filter(F.col("part") == k).drop("part") for k in range(5)], *ends]:
+        for rows in [*parts[:-1], parts[-1].unionByName(end)]:
             rows.write.mode("append").parquet(f"{at}/in")
             stream = fifo_matches(spark.readStream.schema(events.schema).parquet(f"{at}/in"), "user_id", "ts", "event_id", F.col("event_type") == low)
             stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: What a key keeps of an event that waits.
+#: What a key keeps of an event that waits; times are microseconds.
 _EVENT = T.StructType([T.StructField("at", T.LongType()), T.StructField("event", T.LongType()), T.StructField("is_left", T.BooleanType())])
 
 
@@ -24,7 +24,7 @@ class FifoMatcher(StatefulProcessor):
     """
 
     def __init__(self, key: T.StructField, patience_ms: int):
-        self.key, self.patience = key, patience_ms
+        self.key, self.patience = key, 1000 * patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -43,10 +43,10 @@ class FifoMatcher(StatefulProcessor):
 
     def _wait(self, pending: list[tuple], queue: list[tuple]) -> None:
         """Come back when all that is pending is final, or the first of the queue has waited for long enough."""
-        when = [max(x[0] for x in pending) + 1] if pending else []
-        when += [queue[0][0] + self.patience + 1] if queue else []
+        when = [max(x[0] for x in pending)] if pending else []
+        when += [queue[0][0] + self.patience] if queue else []
         if when:
-            self.handle.registerTimer(min(when))
+            self.handle.registerTimer(min(when) // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pending = self._read(self.pending)
@@ -57,7 +57,7 @@ class FifoMatcher(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
+        now = 1000 * timerValues.getCurrentWatermarkInMs()
         pending, queue, out = self._read(self.pending), self._read(self.queue), []
         final = sorted(x for x in pending if x[0] < now)
         pending = [x for x in pending if x[0] >= now]
@@ -93,7 +93,7 @@ def fifo_matches(events: DataFrame, key: str, time: str, event: str, is_left, de
     is_left: a condition that tells the two kinds apart. Rows that come later than the watermark, which is delay behind
     the newest time, are dropped. Keys, times and numbers must not be null; such rows are left out. Needs the RocksDB state store.
     """
-    at = F.unix_millis(F.col("_time"))
+    at = F.unix_micros(F.col("_time"))
     rows = events.select(F.col(key).alias("key"), F.col(time).cast("timestamp").alias("_time"), F.col(event).cast("long").alias("event"), is_left.alias("is_left"))
     rows = rows.dropna().withColumn("at", at).withWatermark("_time", delay)
     field = T.StructField("key", events.schema[key].dataType)
