@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bands, paths, sampling, stats, text
 from ..operators import language, relational
 from ..operators.selection import described
-from ..operators.storage import shared_folder, written
+from ..operators.storage import shared_folder, spread, written
 from . import analyses, oracles
 from .corpus import CORPUS_SQL, Corpus, bind, structure_fields
 
@@ -723,7 +723,7 @@ _TRAINS = "substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) > '2'"
 
 def _labelled(spark, sf_dir) -> DataFrame:
     """Documents with their language and whether they train, which three in sixteen (by id) don't."""
-    return _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1) > "2").alias("trains"))
+    return spread(_table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", (F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1) > "2").alias("trains"))
 
 
 def _language_models(spark, sf_dir) -> tuple:
