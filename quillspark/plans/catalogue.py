@@ -1029,3 +1029,30 @@ def d9_language_table(spark, sf_dir):
 @query("d9_threshold_documents")
 def d9_threshold_documents(spark, sf_dir):
     return analyses.paragraph_languages(bind(spark, sf_dir), models=_language_models(spark, sf_dir))["threshold_documents"]
+
+
+# -- CSV of unknown dialects: the documents written in up to six, and read back ---------------------------
+
+
+@query(
+    "s5_csv_dialects",
+    r"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, sha256(coalesce(text, '')) AS text_sha256, CAST(n_chars AS VARCHAR) AS n_chars,
+ CASE WHEN doc_id % 2 = 0 AND regexp_full_match(coalesce(text, ''), '[\x{00}-\x{7F}\x{A0}-\x{FF}]*') THEN 'windows-1252' ELSE 'UTF-8' END AS encoding,
+ CASE doc_id % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS separator FROM documents""",
+    False,
+)
+def s5_csv_dialects(spark, sf_dir):
+    """Every document goes into a file of its dialect; line ends within texts stay. Ranges are short, so that texts cross their ends."""
+    from ..sources.split_csv import read_csv
+
+    docs = spread(_table(spark, sf_dir, "documents"))
+    latin = (F.col("doc_id") % 2 == 0) & F.coalesce("text", F.lit("")).rlike(r"\A[\x00-\x7F\xA0-\xFF]*\z")
+    dealt = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("größe"), "n_chars", latin.alias("_latin"), (F.col("doc_id") % 3).alias("_kind"))
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    for one, encoding in ((True, "ISO-8859-1"), (False, "UTF-8")):
+        for kind, sep in enumerate(",;\t"):
+            # Numbers in another place in some files: columns are found by name.
+            part = dealt.filter((F.col("_latin") == one) & (F.col("_kind") == kind)).select(*(["n_chars"] * (kind == 1)), "doc_id", "lang", "source", "größe", *(["n_chars"] * (kind != 1)))
+            part.write.csv(f"{folder}/{encoding}-{kind}", header=True, sep=sep, encoding=encoding, escape='"', quoteAll=kind == 2, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = read_csv(spark, folder, ["doc_id", "größe"], 1 << 18, with_dialect=True)
+    return rows.select("doc_id", "lang", "source", F.sha2("größe", 256).alias("text_sha256"), "n_chars", F.col("_encoding").alias("encoding"), F.col("_separator").alias("separator"))

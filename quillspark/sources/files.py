@@ -10,10 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SNAPSHOT = "schema_version int, search array<struct<full_name:string,stars:long>>, lookups map<string,struct<full_name:string,stars:long>>"
+from .split_csv import read_csv  # noqa: F401 (readers are found here)
 
-_CONTROLS = "".join(chr(c) for c in range(0x80, 0xA0))
-_WINDOWS = "".join(bytes([c]).decode("cp1252", "replace") for c in range(0x80, 0xA0))
+SNAPSHOT = "schema_version int, search array<struct<full_name:string,stars:long>>, lookups map<string,struct<full_name:string,stars:long>>"
 
 
 def dialect(head: bytes) -> tuple[str, str]:
@@ -30,26 +29,6 @@ def dialect(head: bytes) -> tuple[str, str]:
     return encoding, max(",;\t", key=line.count)
 
 
-def read_csv(spark: SparkSession, path: str, required: list[str], head_bytes: int = 65_536) -> DataFrame:
-    """A CSV with a header, all columns as strings, in whatever dialect; a missing required column is an error.
-
-    The encoding is judged from the whole file, the separator from the first bytes; both are read through Spark, so any store that Spark reads will do.
-    """
-    whole = spark.read.format("binaryFile").load(path)
-    part = whole.select(F.substring("content", 1, head_bytes).alias("head"), F.expr("is_valid_utf8(CAST(content AS STRING))").alias("utf8")).first()
-    encoding, sep = dialect(bytes(part["head"]))
-    encoding = "UTF-8" if part["utf8"] else "windows-1252"
-    # Spark has no Windows-1252; it is Latin-1 with letters and marks in place of control characters.
-    latin = encoding != "UTF-8"
-    df = spark.read.csv(path, header=True, sep=sep, encoding="ISO-8859-1" if latin else encoding, multiLine=True, escape='"', inferSchema=False)
-    df = df.toDF(*[(c.translate(str.maketrans(_CONTROLS, _WINDOWS)) if latin else c).lstrip("\ufeff") for c in df.columns])
-    if latin:
-        df = df.select(*[F.translate(F.col(f"`{c}`"), _CONTROLS, _WINDOWS).alias(c) for c in df.columns])
-    if missing := [c for c in required if c not in df.columns]:
-        raise ValueError(f"columns are missing: {', '.join(missing)}")
-    return df
-
-
 def read_snapshot(spark: SparkSession, path: str, version: int = 1) -> tuple[DataFrame, DataFrame]:
     """(search results in their order, looked-up repositories by stored name) of a frozen star snapshot.
 
