@@ -12,6 +12,7 @@ from ..operators import analyzers, forms, imports, language, markdown, notations
 from ..operators.selection import described
 from ..operators.storage import small, written
 from . import populations as summaries
+from . import stored
 from .corpus import TARGET, Corpus, parsed, parsed_once
 from .tables import Tables, descriptions
 
@@ -175,19 +176,10 @@ def notation_candidates(corpus: Corpus, scope: str = "all", per_category: int =
     return {"summary": summary, "subtypes": subtypes, "sample": sampling.smallest_digests(keyed, "notation", "key", per_category, "notation-inspection-v1\0").drop("snippet", "shape")}
 
 
-def stored_notations(corpus: Corpus) -> dict[str, DataFrame]:
-    """The stored notation results added up: occurrences, files, confidences, subtypes, and what their caps left out."""
-    rows = corpus.notations()
-    each = rows.select("file_id", "detections", F.explode("notations_summary").alias("notation", "s"))
-    kept = F.size(F.filter("detections", lambda d: d["notation_id"] == F.col("notation")))
-    counted = each.select("file_id", "notation", F.col("s.count").alias("n"), F.greatest(F.col("s.count") - kept, F.lit(0)).alias("omitted"))
-    long = each.select("file_id", "notation", F.explode(F.concat(F.transform("s.confidences", lambda x: F.struct(F.lit("confidence").alias("what"), x.alias("value"))), F.transform("s.subtypes", lambda x: F.struct(F.lit("subtype").alias("what"), x.alias("value"))))).alias("x"))
-    found = F.size("detections")
-    return {
-        "notations": counted.groupBy("notation").agg(F.sum("n").alias("occurrences"), F.count_distinct("file_id").alias("files"), F.sum("omitted").alias("omitted")),
-        "details": long.groupBy("notation", "x.what", "x.value").agg(F.count_distinct("file_id").alias("files")),
-        "caps": rows.agg(F.count_if(F.col("notation_count_total") > found).alias("capped_files"), F.coalesce(F.sum(F.greatest(F.col("notation_count_total") - found, F.lit(0))), F.lit(0)).alias("omitted")),
-    }
+def stored_notations(corpus: Corpus) -> Tables:
+    """The stored notation results added up (stored.notation_rollup), and what their caps left out."""
+    found = stored.notation_rollup(corpus.analysis)
+    return found | {"caps": lambda: found["totals"].select("capped_files", "omitted")}
 
 
 def replayed_notations(corpus: Corpus, without: tuple[str, ...] = ("plantuml",)) -> DataFrame:

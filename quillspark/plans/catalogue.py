@@ -12,7 +12,7 @@ from ..functions import bands, paths, sampling, stats, text
 from ..operators import language, relational
 from ..operators.selection import described
 from ..operators.storage import shared_folder, spread, written
-from . import analyses, oracles
+from . import analyses, oracles, stored
 from .corpus import CORPUS_SQL, Corpus, bind, structure_fields
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1056,3 +1056,51 @@ def s5_csv_dialects(spark, sf_dir):
             part.write.csv(f"{folder}/{encoding}-{kind}", header=True, sep=sep, encoding=encoding, escape='"', quoteAll=kind == 2, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     rows = read_csv(spark, folder, ["doc_id", "größe"], 1 << 18, with_dialect=True)
     return rows.select("doc_id", "lang", "source", F.sha2("größe", 256).alias("text_sha256"), "n_chars", F.col("_encoding").alias("encoding"), F.col("_separator").alias("separator"))
+
+
+# -- stored results as Variants: an order's lines as the detections of a file, stored as JSON, three records at most -----
+
+_DETECTED = """WITH d AS (SELECT l_orderkey AS id, l_linenumber AS i, CASE l_suppkey % 7 WHEN 0 THEN 'mermaid' WHEN 1 THEN 'plantuml' WHEN 2 THEN 'graphviz' WHEN 3 THEN 'd2' WHEN 4 THEN 'ascii_diagram' WHEN 5 THEN 'bnf_ebnf' ELSE 'json_schema' END AS notation,
+ CASE l_returnflag WHEN 'A' THEN 'high' WHEN 'N' THEN 'medium' ELSE 'low' END AS confidence, CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'flow' WHEN 2 THEN 'state' ELSE 'class' END AS subtype, CASE l_linestatus WHEN 'O' THEN 'fence_label' ELSE 'pattern' END AS via
+ FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL AND l_suppkey IS NOT NULL)"""
+
+
+def _stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, analyzer_id, result_json of the detections of _DETECTED."""
+    d = spark.sql(_DETECTED.replace("FROM lineitem", "FROM {lineitem}") + " SELECT * FROM d", lineitem=_table(spark, sf_dir, "lineitem"))
+    each = d.groupBy("id", "notation").agg(F.count("*").alias("count"), F.collect_set("confidence").alias("confidences"), F.collect_set("subtype").alias("subtypes"), F.collect_list(F.when(F.col("i") <= 3, F.struct("i", F.col("notation").alias("notation_id"), "subtype", "confidence", F.col("via").alias("detected_via")))).alias("d"))
+    whole = each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("notation", F.struct("count", "confidences", "subtypes")))).alias("m"), F.sum("count").alias("n"), F.array_sort(F.flatten(F.collect_list("d"))).alias("d"))
+    return whole.select(F.col("id").alias("file_id"), F.lit("notation").alias("analyzer_id"), F.to_json(F.struct(F.lit(True).alias("any_notation_detected"), F.col("n").alias("notation_count_total"), F.col("m").alias("notations_summary"), F.col("d").alias("detections"))).alias("result_json"))
+
+
+@query("a29_totals", _DETECTED + """, f AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE i <= 3) AS kept, bool_or(notation IN ('mermaid', 'plantuml', 'graphviz', 'd2') AND confidence = 'high') AS sure FROM d GROUP BY id)
+ SELECT count(*) AS files, count(*) AS files_with_any, count(*) FILTER (WHERE sure) AS files_with_sure_diagram, count(*) FILTER (WHERE n > kept) AS capped_files, CAST(coalesce(sum(n - kept), 0) AS BIGINT) AS omitted FROM f""", False)
+def a29_totals(spark, sf_dir):
+    return stored.notation_rollup(_stored_lines(spark, sf_dir))["totals"]
+
+
+@query("a29_notations", _DETECTED + " SELECT notation, count(*) AS occurrences, count(DISTINCT id) AS files, count(*) FILTER (WHERE i <= 3) AS kept, count(*) FILTER (WHERE i > 3) AS omitted FROM d GROUP BY notation", False)
+def a29_notations(spark, sf_dir):
+    return stored.notation_rollup(_stored_lines(spark, sf_dir))["notations"]
+
+
+@query("a29_details", _DETECTED + " SELECT notation, what, value, count(DISTINCT id) AS files FROM (SELECT id, notation, 'confidence' AS what, confidence AS value FROM d UNION ALL SELECT id, notation, 'subtype', subtype FROM d WHERE subtype IS NOT NULL) GROUP BY ALL", False)
+def a29_details(spark, sf_dir):
+    return stored.notation_rollup(_stored_lines(spark, sf_dir))["details"]
+
+
+@query("a29_kept", _DETECTED + " SELECT what, value, count(*) AS records FROM (SELECT 'confidence' AS what, confidence AS value FROM d WHERE i <= 3 UNION ALL SELECT 'via', via FROM d WHERE i <= 3) GROUP BY ALL", False)
+def a29_kept(spark, sf_dir):
+    return stored.notation_rollup(_stored_lines(spark, sf_dir))["kept"]
+
+
+_PANELS = {"bytes": "size_bytes", "lines": _LINES, "words": _WORDS, "tokens": "CAST(ceil(length(content) / 3.5::DOUBLE) AS BIGINT)"}
+
+
+@query(
+    "d3_panels",
+    ", x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS panel, CAST({x} AS BIGINT) AS value FROM exact" for n, x in _PANELS.items()) + ") SELECT panel, value, n AS files, 100.0::DOUBLE * sum(n) OVER (PARTITION BY panel ORDER BY value) / sum(n) OVER (PARTITION BY panel) AS percent FROM (SELECT panel, value, count(*) AS n FROM x GROUP BY ALL)",
+)
+def d3_panels(spark, sf_dir):
+    corpus = _analyzed(spark, sf_dir)
+    return stored.size_panels(stored.observations(corpus.population("exact"), corpus.analysis))
