@@ -96,12 +96,12 @@ def herfindahl(df: DataFrame, group: str, amount: str) -> DataFrame:
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column, Column]:
-    """Odds ratio of the table [[a, b], [c, d]] and its 95 % interval; nulls if a cell is empty."""
+    """Odds ratio of the table [[a, b], [c, d]], null if b or c is empty, and its 95 % interval, null if any cell is."""
     full = (a > 0) & (b > 0) & (c > 0) & (d > 0)
     a, b, c, d = (x.cast("double") for x in (a, b, c, d))
     value = F.try_divide(a * d, b * c)
     error = F.sqrt(F.try_divide(F.lit(1.0), a) + F.try_divide(F.lit(1.0), b) + F.try_divide(F.lit(1.0), c) + F.try_divide(F.lit(1.0), d))
-    return tuple(F.when(full, x) for x in (value, F.exp(F.log(value) - Z95 * error), F.exp(F.log(value) + Z95 * error)))
+    return value, *(F.when(full, x) for x in (F.exp(F.log(value) - Z95 * error), F.exp(F.log(value) + Z95 * error)))
 
 
 def wilson(hits: Column, n: Column, empty: float | None = None) -> tuple[Column, Column]:

@@ -159,6 +159,20 @@ def fence_languages(corpus: Corpus, scope: str = "all") -> dict[str, DataFrame]:
     return {"raw": raw, "normalized": normal, "summary": summary}
 
 
+def list_item_distribution(items: DataFrame) -> DataFrame:
+    """Sections by their number of list items, of all files and of distinct contents side by side: values that either has, with shares of all sections and of those with lists.
+
+    items: population, value, sections (sections()["list_item_histogram"]). The windows run over distinct numbers of items.
+    """
+    wide = items.groupBy(F.col("value").alias("list_item_count")).pivot("population", ["full", "unique"]).agg(F.sum("sections")).na.fill(0)
+    bearing, every, out = F.col("list_item_count") > 0, Window.partitionBy(), []
+    for name in ("full", "unique"):
+        n = F.col(name)
+        out += [n.alias(f"sections_{name}"), text.share(n, F.sum(n).over(every)).alias(f"share_all_sections_{name}")]
+        out.append(text.share(F.when(bearing, n).otherwise(0), F.sum(F.when(bearing, n)).over(every)).alias(f"share_list_bearing_sections_{name}"))
+    return wide.select("list_item_count", *out)
+
+
 def structure_tags(content: Column) -> Column:
     from .corpus import structure_fields
 
@@ -393,7 +407,28 @@ def allocation(corpus: Corpus, heading_limit: int = 1000) -> dict[str, DataFrame
     headings = roles.select(role.alias("role"), F.explode("m.names").alias("heading")).groupBy("heading").pivot("role", ["parent", "middle", "child", "single_root", "single_nested"]).count().na.fill(0)
     headings = headings.withColumn("files", sum((F.col(c) for c in ("parent", "middle", "child", "single_root", "single_nested")), F.lit(0))).orderBy(F.desc("files"), "heading").limit(heading_limit)
     smaller = joined.agg(F.count_if(F.col("child_size_bytes") < F.col("parent_size_bytes")).alias("child_smaller"), F.count_if(F.col("child_size_bytes") == F.col("parent_size_bytes")).alias("equal"), F.count_if(F.col("child_size_bytes") > F.col("parent_size_bytes")).alias("child_larger"))
-    return Tables({"repositories": per, "edges": compare, "strata": grouped, "headings": headings, "comparison": smaller})
+    return Tables({"repositories": per, "edges": compare, "strata": grouped, "headings": headings, "comparison": smaller, "comparisons": compared_sizes(joined, ["size_bytes", "lines", "words", "sections"])})
+
+
+def compared_sizes(edges: DataFrame, measures: list[str]) -> DataFrame:
+    """measure, edges and how many children have less, as much or more of it than their parents, with shares: one aggregate of all measures, then a row for each."""
+    count = lambda m: F.struct(F.lit(m).alias("measure"), *[F.count_if(f(F.col(f"child_{m}"), F.col(f"parent_{m}"))).alias(name) for name, f in (("child_lower", lambda c, p: c < p), ("child_equal", lambda c, p: c == p), ("child_higher", lambda c, p: c > p))])
+    rows = edges.agg(F.count("*").alias("edges"), *[count(m).alias(f"_{m}") for m in measures]).select("edges", F.explode(F.array(*[f"_{m}" for m in measures])).alias("x")).select("edges", "x.*")
+    return rows.select("measure", "edges", *[c for name in ("child_lower", "child_equal", "child_higher") for c in (F.col(name), text.share(F.col(name), F.col("edges")).alias(f"{name}_share"))])
+
+
+def hierarchy_candidates(corpus: Corpus) -> DataFrame:
+    """Whether repositories with a hierarchy of files delegate more often: those with a file that surely refers to another local one, beside the rest, and the odds ratio.
+
+    Both sides are flags of repositories, made by partial aggregates; one row remains.
+    """
+    nested = allocation(corpus)["repositories"].select("repo_full_name", (F.col("edges") > 0).alias("nested"))
+    sure = reference_analysis(corpus)["files"].groupBy("repo_full_name").agg((F.max("high") > 0).alias("sure"))
+    both = nested.join(sure, "repo_full_name", "left").withColumn("sure", F.coalesce("sure", F.lit(False)))
+    cells = both.agg(*[F.count_if(side & said).alias(name) for name, side, said in (("hierarchy_with", F.col("nested"), F.col("sure")), ("hierarchy_without", F.col("nested"), ~F.col("sure")), ("flat_with", ~F.col("nested"), F.col("sure")), ("flat_without", ~F.col("nested"), ~F.col("sure")))])
+    names = cells.columns
+    shares = [text.share(F.col(f"{side}_with"), F.col(f"{side}_with") + F.col(f"{side}_without")).alias(f"{side}_share") for side in ("hierarchy", "flat")]
+    return cells.select(*names, *shares, *[c.alias(n) for n, c in zip(("odds_ratio", "lower_95", "upper_95"), stats.odds_ratio(*map(F.col, names)), strict=True)])
 
 
 # -- references and imports -----------------------------------------------------------------------------

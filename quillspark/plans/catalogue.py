@@ -13,7 +13,7 @@ from ..operators import language, relational
 from ..operators.selection import described
 from ..operators.storage import shared_folder, spread, written
 from . import analyses, oracles, stored
-from .corpus import CORPUS_SQL, Corpus, bind, structure_fields
+from .corpus import _COPY_IDS, CORPUS_SQL, Corpus, bind, structure_fields
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -458,7 +458,7 @@ def m15_hhi(spark, sf_dir):
 _CELLS = "SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1)::DOUBLE AS a, count(*) FILTER (WHERE quality = 1 AND toxic = 0)::DOUBLE AS b, count(*) FILTER (WHERE quality = 0 AND toxic = 1)::DOUBLE AS c, count(*) FILTER (WHERE quality = 0 AND toxic = 0)::DOUBLE AS d FROM labels"
 
 
-@query("m17_odds_ratio", f"SELECT round(r, 9) AS odds_ratio, round(exp(ln(r) - 1.96 * e), 9) AS low, round(exp(ln(r) + 1.96 * e), 9) AS high FROM (SELECT CASE WHEN least(a, b, c, d) > 0 THEN a * d / (b * c) END AS r, CASE WHEN least(a, b, c, d) > 0 THEN sqrt(1 / a + 1 / b + 1 / c + 1 / d) END AS e FROM ({_CELLS}))", False)
+@query("m17_odds_ratio", f"SELECT round(r, 9) AS odds_ratio, round(exp(ln(nullif(r, 0)) - 1.96 * e), 9) AS low, round(exp(ln(nullif(r, 0)) + 1.96 * e), 9) AS high FROM (SELECT CASE WHEN b * c > 0 THEN a * d / (b * c) END AS r, CASE WHEN least(a, b, c, d) > 0 THEN sqrt(1 / a + 1 / b + 1 / c + 1 / d) END AS e FROM ({_CELLS}))", False)
 def m17_odds_ratio(spark, sf_dir):
     q, t = F.col("quality"), F.col("toxic")
     cells = _table(spark, sf_dir, "labels").agg(*[F.count_if((q == x) & (t == y)).alias(n) for n, x, y in (("a", 1, 1), ("b", 1, 0), ("c", 0, 1), ("d", 0, 0))])
@@ -713,7 +713,18 @@ def d8_notations(spark, sf_dir):
     return analyses.notation_candidates(bind(spark, sf_dir))["summary"]
 
 
-@query("d8_sample")
+@query(
+    "d8_sample",
+    r""", fenced AS (SELECT id, path, content_hash, unnest(regexp_extract_all(content, '(?ms)^```([^\s]*)[ \t]*\n(.*?)^```', 1)) AS label, unnest(regexp_extract_all(content, '(?ms)^```([^\s]*)[ \t]*\n(.*?)^```', 2)) AS body, unnest(range(len(regexp_extract_all(content, '(?ms)^```([^\s]*)[ \t]*\n(.*?)^```')))) AS nr FROM files),
+ looks(turn, notation, pattern) AS (VALUES (1, 'mermaid', 'sequenceDiagram|classDiagram|stateDiagram|erDiagram'), (2, 'plantuml', '@startuml'), (3, 'graphviz', 'digraph |digraph\{|rankdir='), (4, 'ascii_diagram', '[┌┐└┘├┤┬┴┼─│]|\+[-]{2,}\+|<-{2,}>|-{2,}>|<-{2,}'), (5, 'bnf_ebnf', '::='), (6, 'json_schema', '"$schema"|"type": "object"|"properties":'), (7, 'yaml_schema', 'openapi:|swagger:|\$schema:')),
+ told AS (SELECT id, path, content_hash, nr, 0 AS turn, CASE lower(label) WHEN 'mermaid' THEN 'mermaid' ELSE 'json_schema' END AS notation, 'high' AS confidence, 'fence_language' AS via, body FROM fenced WHERE lower(label) IN ('mermaid', 'json')
+  UNION ALL SELECT id, path, content_hash, nr, turn, notation, 'medium', 'untagged_heuristic', body FROM fenced, looks WHERE lower(label) NOT IN ('mermaid', 'json') AND regexp_matches(body, pattern)),
+ heads AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY nr, turn) - 1 AS place, lower(array_to_string(string_split(regexp_replace(body, '^\s+|\s+$', '', 'g'), chr(10))[1:3], chr(10))) AS head FROM told),
+ keyed AS (SELECT id, path, content_hash, CAST(place AS INT) AS place, notation, confidence, via, id || ':' || place AS key, sha256('notation-inspection-v1' || chr(0) || id || ':' || place) AS digest,
+  coalesce(CASE WHEN notation = 'mermaid' THEN CASE WHEN contains(head, 'graph ') OR contains(head, 'graph;') OR contains(head, 'flowchart ') THEN 'flowchart' WHEN contains(head, 'sequencediagram') THEN 'sequence' WHEN contains(head, 'statediagram') THEN 'state' WHEN contains(head, 'classdiagram') THEN 'class'
+   WHEN contains(head, 'erdiagram') THEN 'er' WHEN contains(head, 'gantt') THEN 'gantt' WHEN contains(head, 'journey') THEN 'journey' WHEN contains(head, 'pie ') THEN 'pie' END END, '(unclassified)') AS subtype FROM heads)
+ SELECT *, CAST(row_number() OVER (PARTITION BY notation ORDER BY digest, key) AS INT) AS rank FROM keyed QUALIFY rank <= 10""",
+)
 def d8_sample(spark, sf_dir):
     return analyses.notation_candidates(bind(spark, sf_dir))["sample"]
 
@@ -1104,3 +1115,61 @@ _PANELS = {"bytes": "size_bytes", "lines": _LINES, "words": _WORDS, "tokens": "C
 def d3_panels(spark, sf_dir):
     corpus = _analyzed(spark, sf_dir)
     return stored.size_panels(stored.observations(corpus.population("exact"), corpus.analysis))
+
+
+# -- hierarchy: parents and children compared, delegation by hierarchy; sections by list items --------------
+
+
+_SIZED = oracles.HIERARCHY.split(",\n per AS")[0]
+
+
+@query(
+    "a19_edge_comparisons",
+    oracles.FILE_HEADINGS + _SIZED + rf""", nh AS (SELECT id, count(*) AS sections FROM named_headings GROUP BY id),
+ sized AS (SELECT s.id, size_bytes, CAST({_LINES} AS BIGINT) AS lines, CAST({_WORDS} AS BIGINT) AS words, CAST(coalesce(sections, 0) AS BIGINT) AS sections FROM several s LEFT JOIN nh USING (id)),
+ sides AS (SELECT unnest([{{'k': 'size_bytes', 'c': c.size_bytes, 'p': p.size_bytes}}, {{'k': 'lines', 'c': c.lines, 'p': p.lines}}, {{'k': 'words', 'c': c.words, 'p': p.words}}, {{'k': 'sections', 'c': c.sections, 'p': p.sections}}]) AS m FROM edge e JOIN sized c ON c.id = e.child JOIN sized p ON p.id = e.parent)
+ SELECT m.k AS measure, count(*) AS edges, """ + ", ".join(f"count(*) FILTER (WHERE m.c {op} m.p) AS child_{n}, count(*) FILTER (WHERE m.c {op} m.p)::DOUBLE / count(*) AS child_{n}_share" for n, op in (("lower", "<"), ("equal", "="), ("higher", ">"))) + " FROM sides GROUP BY m.k",
+)
+def a19_edge_comparisons(spark, sf_dir):
+    return analyses.allocation(bind(spark, sf_dir))["comparisons"]
+
+
+#: Repositories of some twenty files, so that some have no hierarchy and some no references.
+_SMALL = 20
+
+
+@query(
+    "d12_candidates",
+    CORPUS_SQL.replace("doc_id // 800", f"doc_id // {_SMALL}") + oracles.REFERENCES + _SIZED + """, r AS (SELECT s.repo, bool_or(s.id IN (SELECT child FROM edge)) AS nested, bool_or(high > 0) AS sure FROM several s JOIN rf ON rf.id = s.id GROUP BY s.repo),
+ n AS (SELECT count(*) FILTER (WHERE nested AND sure) AS a, count(*) FILTER (WHERE nested AND NOT sure) AS b, count(*) FILTER (WHERE NOT nested AND sure) AS c, count(*) FILTER (WHERE NOT nested AND NOT sure) AS d FROM r),
+ o AS (SELECT *, CASE WHEN b * c > 0 THEN a::DOUBLE * d / (b * c) END AS ratio, CASE WHEN least(a, b, c, d) > 0 THEN 1.96 * sqrt(1.0::DOUBLE / a + 1.0::DOUBLE / b + 1.0::DOUBLE / c + 1.0::DOUBLE / d) END AS e FROM n)
+ SELECT a AS hierarchy_with, b AS hierarchy_without, c AS flat_with, d AS flat_without, round(coalesce(a::DOUBLE / nullif(a + b, 0), 0), 9) AS hierarchy_share, round(coalesce(c::DOUBLE / nullif(c + d, 0), 0), 9) AS flat_share,
+  round(ratio, 9) AS odds_ratio, round(exp(ln(nullif(ratio, 0)) - e), 9) AS lower_95, round(exp(ln(nullif(ratio, 0)) + e), 9) AS upper_95 FROM o""",
+    False,
+)
+def d12_candidates(spark, sf_dir):
+    corpus = bind(spark, sf_dir)
+    own = F.concat(F.lit("/r"), F.floor(F.col("id") % _COPY_IDS / _SMALL).cast("string"))
+    files = corpus.files.withColumn("repo_full_name", F.concat(F.regexp_extract("repo_full_name", "^(.*)/r[0-9]+$", 1), own))
+    found = analyses.hierarchy_candidates(Corpus(corpus.repos, files))
+    return found.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in found.dtypes])
+
+
+@query(
+    "u3_list_items",
+    oracles.SECTIONS + """, n AS (SELECT list_items AS list_item_count, CAST(sum(w) AS BIGINT) AS f, count(*) AS u FROM sect GROUP BY 1)
+ SELECT list_item_count, """ + ", ".join(f"{c} AS sections_{n}, round({c}::DOUBLE / sum({c}) OVER (), 9) AS share_all_sections_{n}, round(CASE WHEN list_item_count > 0 THEN {c}::DOUBLE / sum({c}) FILTER (WHERE list_item_count > 0) OVER () ELSE 0 END, 9) AS share_list_bearing_sections_{n}" for c, n in (("f", "full"), ("u", "unique"))) + " FROM n",
+)
+def u3_list_items(spark, sf_dir):
+    found = analyses.list_item_distribution(analyses.sections(bind(spark, sf_dir))["list_item_histogram"])
+    return found.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in found.dtypes])
+
+
+@query(
+    "m10_families",
+    oracles.SECTIONS + """, ids AS (SELECT content_hash AS identity, fam.id, w FROM fam)
+ SELECT identity, any_value(ids.w) AS copies, CAST(count(sect.id) AS INT) AS sections, quantile_disc(word_count, 0.5) AS median, round(avg(word_count), 9) AS mean, max(word_count) AS maximum FROM ids LEFT JOIN sect ON sect.id = ids.id GROUP BY identity""",
+)
+def m10_families(spark, sf_dir):
+    found = analyses.sections(bind(spark, sf_dir))["families"]
+    return found.select("identity", "copies", "sections", F.col("median").cast("long").alias("median"), F.round("mean", 9).alias("mean"), F.col("maximum").cast("long").alias("maximum"))
