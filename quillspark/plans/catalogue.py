@@ -13,7 +13,7 @@ from ..operators import language, relational
 from ..operators.selection import described
 from ..operators.storage import shared_folder, spread, written
 from . import analyses, oracles, stored
-from .corpus import _COPY_IDS, CORPUS_SQL, Corpus, bind, structure_fields
+from .corpus import _COPY_IDS, CORPUS_SQL, NOTES, Corpus, bind, corpus_sql, structure_fields
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -1173,3 +1173,38 @@ def u3_list_items(spark, sf_dir):
 def m10_families(spark, sf_dir):
     found = analyses.sections(bind(spark, sf_dir))["families"]
     return found.select("identity", "copies", "sections", F.col("median").cast("long").alias("median"), F.round("mean", 9).alias("mean"), F.col("maximum").cast("long").alias("maximum"))
+
+
+# -- references and imports of every kind, in files whose lines are written by the rule NOTES ----------------
+
+
+@query("d13_syntaxes", corpus_sql(NOTES) + oracles.SAID + " SELECT scope, syntax, relation, CAST(scope = 'local' AND lower(resolved) = lower(path) AS INT) AS is_self, count(*) AS occurrences, count(DISTINCT id) AS files FROM referred GROUP BY ALL", False)
+def d13_syntaxes(spark, sf_dir):
+    found = analyses.reference_analysis(bind(spark, sf_dir, NOTES))["occurrences"]
+    return found.groupBy("scope", "syntax", "relation", "is_self").agg(F.count("*").alias("occurrences"), F.count_distinct("id").alias("files"))
+
+
+@query("d14_contexts", corpus_sql(NOTES) + oracles.SAID + " SELECT CASE WHEN context = 'plain_text' THEN 'import_candidate' ELSE 'excluded_' || context END AS decision, context, surface, kind, relation, count(*) AS occurrences, count(DISTINCT id) AS files FROM imported GROUP BY ALL", False)
+def d14_contexts(spark, sf_dir):
+    found = analyses.import_analysis(bind(spark, sf_dir, NOTES))["tokens"]
+    return found.groupBy("decision", "context", "surface", "kind", "relation").agg(F.count("*").alias("occurrences"), F.count_distinct("id").alias("files"))
+
+
+@query(
+    "j13_edges",
+    corpus_sql(NOTES) + oracles.SAID + _SIZED + """, reach AS (SELECT DISTINCT id, lower(resolved) AS resolved FROM referred WHERE scope = 'local'),
+ e AS (SELECT c.repo, CAST((p.id, lower(c.path)) IN (SELECT (id, resolved) FROM reach) AS INT) AS parent_refers_to_child, CAST((c.id, lower(p.path)) IN (SELECT (id, resolved) FROM reach) AS INT) AS child_refers_to_parent FROM edge JOIN several c ON c.id = edge.child JOIN several p ON p.id = edge.parent)
+ SELECT repo AS repo_full_name, parent_refers_to_child, child_refers_to_parent, count(*) AS edges FROM e GROUP BY ALL""",
+    False,
+)
+def j13_edges(spark, sf_dir):
+    edges = analyses.allocation(bind(spark, sf_dir, NOTES))["edges"]
+    return edges.groupBy("repo_full_name", "parent_refers_to_child", "child_refers_to_parent").agg(F.count("*").alias("edges"))
+
+
+@query("d13_forms", corpus_sql(NOTES) + oracles.SAID + """, n AS (SELECT id, count(*) FILTER (WHERE scope = 'local' AND lower(resolved) <> lower(path)) AS away, count(*) FILTER (WHERE scope = 'local') AS local, count(*) FILTER (WHERE scope = 'external') AS far FROM referred GROUP BY id)
+ SELECT least(coalesce(local, 0), 9) AS local, least(coalesce(away, 0), 9) AS local_nonself, least(coalesce(far, 0), 3) AS external, count(*) AS files FROM exact LEFT JOIN n USING (id) GROUP BY ALL""", False)
+def d13_forms(spark, sf_dir):
+    """Files by their numbers of local references, of those to other files, and of external ones; the largest numbers in one class."""
+    found = analyses.reference_analysis(bind(spark, sf_dir, NOTES))["files"]
+    return found.groupBy(*[F.least(c, F.lit(n)).cast("long").alias(c) for c, n in (("local", 9), ("local_nonself", 9), ("external", 3))]).agg(F.count("*").alias("files"))

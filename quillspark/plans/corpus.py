@@ -149,16 +149,37 @@ _LINE = """CASE (i + id) % 8
  ELSE l END"""
 
 
-def bind(spark: SparkSession, sf_dir: str) -> Corpus:
+#: Another way to write a document's lines, with what the first one leaves out: bare paths, addresses, comments, code spans, links to the
+#: file itself and to files above and below, imports in running text and of the home folder. A tilde fence hides what follows until the next one.
+NOTES = """CASE (i + id) % 16
+ WHEN 0 THEN '# ' || l
+ WHEN 1 THEN 'Read docs/x' || (id % 9) || '.md first'
+ WHEN 2 THEN 'see [site](https://example.org/p' || (id % 9) || '.md) now'
+ WHEN 3 THEN '<!-- @hidden' || (id % 9) || '.md -->'
+ WHEN 4 THEN '[me](CLAUDE.md) here'
+ WHEN 5 THEN 'use `@span' || (id % 9) || '.md` now'
+ WHEN 6 THEN '~~~'
+ WHEN 7 THEN '@fenced' || (id % 9) || '.md'
+ WHEN 8 THEN 'docs/fenced' || (id % 9) || '.md'
+ WHEN 9 THEN '~~~'
+ WHEN 10 THEN '@docs/a' || (id % 9) || '.md'
+ WHEN 11 THEN 'https://example.org/bare' || (id % 9) || '.md'
+ WHEN 12 THEN '[up](../CLAUDE.md)'
+ WHEN 13 THEN '[down](.claude/CLAUDE.md) and more'
+ WHEN 14 THEN '- see @docs/li' || (id % 9) || '.md and go'
+ ELSE CASE WHEN id % 2 = 1 THEN '@~/home' || (id % 9) || '.md' ELSE l END END"""
+
+
+def bind(spark: SparkSession, sf_dir: str, lines: str = _LINE) -> Corpus:
     """The corpus of a folder of test tables: documents as Markdown files of synthetic repositories, one per source and 40 slots.
 
-    Every document is a file, and some are two.
+    Every document is a file, and some are two. lines: how a line l (number i, from 0) of a document is written.
     """
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = docs.selectExpr("doc_id AS id", "source || '/r' || (doc_id div 800) AS repo_full_name", "(doc_id div 20) % 40 AS k", "text", "lang")
     repos = base.groupBy("repo_full_name").agg(F.min("id").alias("m"), F.max("lang").alias("lang"))
     repos = repos.selectExpr("repo_full_name AS full_name", "CASE WHEN m % 7 = 3 THEN NULL ELSE CAST((m * 37) % 5000 AS INT) END AS stars", "CASE WHEN m % 11 = 5 THEN NULL ELSE lang END AS language")
-    tree, line = _TREE.format(div="div"), _LINE.format(div="div")
+    tree, line = _TREE.format(div="div"), lines.format(div="div")
     files = base.selectExpr("*", f"explode({_COPIES.replace('[', 'array(').replace(']', ')')}) AS c").selectExpr(
         f"id + c * {_COPY_IDS} AS id",
         "repo_full_name",
@@ -171,12 +192,17 @@ def bind(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(fitted(repos, "repos"), fitted(files, "files"))
 
 
-CORPUS_SQL = f"""
+def corpus_sql(lines: str = _LINE) -> str:
+    """The same in SQL: repos, files, and exact, those of the exact population."""
+    return f"""
 WITH base AS (SELECT doc_id AS id, source || '/r' || (doc_id // 800) AS repo, (doc_id // 20) % 40 AS k, text, lang FROM documents),
 repos AS (SELECT repo AS full_name, CASE WHEN min(id) % 7 = 3 THEN NULL ELSE CAST((min(id) * 37) % 5000 AS INT) END AS stars, CASE WHEN min(id) % 11 = 5 THEN NULL ELSE max(lang) END AS language FROM base GROUP BY repo),
 copied AS (SELECT *, unnest({_COPIES}) AS c FROM base),
 named AS (SELECT id, c, repo, ({_TREE.format(div="//")}) || {_FOLDER} || ({_NAME}) AS path, CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS tool_id, {_MORE} AS text FROM copied),
-marked AS (SELECT id + c * {_COPY_IDS} AS id, repo, path, tool_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, j: {_LINE.format(div="//").replace("(i + id)", "(j - 1 + id)")}), chr(10)) AS content FROM named),
+marked AS (SELECT id + c * {_COPY_IDS} AS id, repo, path, tool_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, j: {lines.format(div="//").replace("(i + id)", "(j - 1 + id)")}), chr(10)) AS content FROM named),
 files AS (SELECT *, sha256(content) AS content_hash, CAST(strlen(content) AS BIGINT) AS size_bytes FROM marked),
 exact AS (SELECT * FROM files WHERE lower(path) = 'claude.md' OR lower(path) LIKE '%/claude.md')
 """
+
+
+CORPUS_SQL = corpus_sql()

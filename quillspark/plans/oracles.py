@@ -97,6 +97,18 @@ HIERARCHY = f""", several AS (SELECT *, {_DIR} AS dir FROM exact SEMI JOIN (SELE
 #: Heading names of every file.
 FILE_HEADINGS = LINED + HEADINGS.removeprefix(LINED).split(",\n nx AS")[0].replace("min(id) AS id FROM exact GROUP BY content_hash", "id FROM exact GROUP BY content_hash, id") + ",\n named_headings AS" + HEADINGS.split("named_headings AS")[1]
 
+#: What each line of corpus.NOTES says, by its number in the rule alone: references outside fences, and imports with the context they stand in.
+SAID = f""", written AS (SELECT id, repo, path, {_DIR} AS dir, unnest(range(len(string_split(content, chr(10))))) AS j FROM exact),
+ ruled AS (SELECT *, (j + id % 10000000000) % 16 AS m, id % 10000000000 % 2 = 1 AS odd FROM written),
+ lying AS (SELECT *, coalesce(sum(CASE WHEN m IN (6, 9) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM ruled),
+ forms(m, scope, syntax, target) AS (VALUES (1, 'local', 'path_mention', 'docs/x.md'), (2, 'external', 'external_markdown_link', ''), (4, 'local', 'markdown_link', 'CLAUDE.md'), (5, 'local', 'path_mention', 'span.md'), (7, 'local', 'direct_include', 'fenced.md'), (8, 'local', 'path_mention', 'docs/fenced.md'),
+   (10, 'local', 'direct_include', 'docs/a.md'), (11, 'external', 'external_url', ''), (12, 'local', 'markdown_link', '../CLAUDE.md'), (13, 'local', 'markdown_link', '.claude/CLAUDE.md'), (14, 'local', 'path_mention', 'docs/li.md'), (15, 'local', 'direct_include', '~/home.md')),
+ referred AS (SELECT id, repo, path, scope, syntax, CASE WHEN scope = 'external' THEN 'external' WHEN m = 12 AND dir = '' THEN 'outside_repository' WHEN m = 12 THEN 'ancestor_directory' WHEN contains(target, '/') THEN 'descendant_directory' ELSE 'same_directory' END AS relation,
+   CASE WHEN m = 12 AND dir = '' THEN target WHEN m = 12 THEN CASE WHEN contains(dir, '/') THEN regexp_extract(dir, '^(.*)/[^/]*$', 1) || '/' ELSE '' END || 'CLAUDE.md' WHEN dir = '' THEN target ELSE dir || '/' || target END AS resolved
+   FROM lying JOIN forms USING (m) WHERE NOT inside AND (m <> 15 OR odd)),
+ imported AS (SELECT id, CASE WHEN inside THEN 'fenced_code' WHEN m = 3 THEN 'html_comment' WHEN m = 5 THEN 'inline_code' ELSE 'plain_text' END AS context, CASE WHEN m IN (3, 5, 14) THEN 'prose_embedded' ELSE 'whole_line' END AS surface,
+   CASE WHEN m = 15 THEN 'home_relative' ELSE 'relative' END AS kind, CASE WHEN m = 15 THEN 'external_home' WHEN m IN (10, 14) THEN 'descendant_directory' ELSE 'same_directory' END AS relation FROM lying WHERE m IN (3, 5, 7, 10, 14) OR m = 15 AND odd)"""
+
 #: Fenced blocks and the notations that they name or look like.
 NOTATIONS = r""", blk AS (SELECT id, lower(label) AS label, body FROM (SELECT id, unnest(regexp_extract_all(content, '(?ms)^```([^\s]*)[ \t]*\n(.*?)^```', 1)) AS label, unnest(regexp_extract_all(content, '(?ms)^```([^\s]*)[ \t]*\n(.*?)^```', 2)) AS body FROM files)),
  looks(notation, pattern) AS (VALUES ('mermaid', 'sequenceDiagram|classDiagram|stateDiagram|erDiagram'), ('plantuml', '@startuml'), ('graphviz', 'digraph |digraph\{|rankdir='), ('ascii_diagram', '[┌┐└┘├┤┬┴┼─│]|\+[-]{2,}\+|<-{2,}>|-{2,}>|<-{2,}'), ('bnf_ebnf', '::='), ('json_schema', '"type": "object"|"properties":'), ('yaml_schema', 'openapi:|swagger:')),
