@@ -79,7 +79,8 @@ def notation_rollup(analysis: DataFrame) -> Tables:
         F.transform(F.map_entries(members), lambda e: F.struct(e["key"].alias("notation"), field(e["value"], "count", "bigint", 0).alias("n"), _several(e["value"], "confidences", "string").alias("confidences"), _several(e["value"], "subtypes", "string").alias("subtypes"))).alias("m"),
         F.transform(_several(v, "detections", "variant"), record).alias("d"),
     )
-    each = one.select("d", F.explode("m").alias("m")).select("m.*", F.size(F.filter(d, lambda x: x["notation"] == F.col("m.notation"))).alias("kept"))
+    # Spark would infer a filter on the size of what an inner explode takes, and parse again for it.
+    each = one.select("d", F.explode_outer("m").alias("m")).filter("m IS NOT NULL").select("m.*", F.size(F.filter(d, lambda x: x["notation"] == F.col("m.notation"))).alias("kept"))
     sure = F.exists("m", lambda m: m["notation"].isin(*DIAGRAMS) & F.array_contains(m["confidences"], "high"))
     over = F.greatest(F.col("total") - F.size(d), F.lit(0))
     marked = lambda what, values: F.transform(values, lambda x: F.struct(F.lit(what).alias("what"), x.alias("value")))
@@ -90,6 +91,6 @@ def notation_rollup(analysis: DataFrame) -> Tables:
             "totals": one.agg(F.count("*").alias("files"), F.count_if("any").alias("files_with_any"), F.count_if(sure).alias("files_with_sure_diagram"), F.count_if(over > 0).alias("capped_files"), F.coalesce(F.sum(over), F.lit(0)).alias("omitted")),
             "notations": each.groupBy("notation").agg(F.sum("n").alias("occurrences"), F.count("*").alias("files"), F.sum("kept").alias("kept"), F.sum(F.greatest(F.col("n") - F.col("kept"), F.lit(0))).alias("omitted")),
             "details": each.select("notation", F.explode(told).alias("x")).groupBy("notation", "x.what", "x.value").agg(F.count("*").alias("files")),
-            "kept": one.select(F.explode("d").alias("d")).select(F.explode(facts).alias("x")).groupBy("x.what", "x.value").agg(F.count("*").alias("records")),
+            "kept": one.select(F.explode_outer("d").alias("d")).filter("d IS NOT NULL").select(F.explode(facts).alias("x")).groupBy("x.what", "x.value").agg(F.count("*").alias("records")),
         }
     )
