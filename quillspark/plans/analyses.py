@@ -211,16 +211,14 @@ def replayed_notations(corpus: Corpus, without: tuple[str, ...] = ("plantuml",))
 def _judged_by_models(docs: DataFrame, models: tuple[language.LanguageModel, language.LanguageModel], config: prose.Config) -> DataFrame:
     """identity, copies, index, words, d of eligible paragraphs (see prose.DECISION), by expressions over the predictions of two models.
 
-    A paragraph's features are made where it is stored; only its scores are exchanged.
+    A paragraph is scored where it is stored, by both models in one pass.
     """
-    keys = ["identity", "index"]
-    rows = docs.select("identity", "copies", F.explode("p").alias("q")).select("identity", "copies", "q.*").filter("eligible").drop("eligible")
+    rows = docs.select("identity", "copies", F.explode("p").alias("q")).select("identity", "copies", "q.*").filter("eligible")
     # A second look at the words alone: a language that letter case or marks decide isn't stable.
-    plain = language.predict(rows.withColumn("text", language.bare(F.col("text"))), keys, models[0]).select(*keys, F.col("language").alias("again"))
-    sides = [language.predict(rows, keys, m).select(*keys, F.struct("language", "confidence", "margin").alias(name)) for m, name in zip(models, ("first", "second"), strict=True)]
-    own = rows.select("identity", "copies", "index", "words", text.dominant_script(F.col("text")).alias("script")).join(sides[0], keys).join(sides[1], keys).join(plain, keys)
+    rows = rows.select("identity", "copies", "index", "words", "text", language.bare(F.col("text")).alias("plain"), text.dominant_script(F.col("text")).alias("script"))
+    own = language.predictions(rows, ["identity", "copies", "index", "words", "script"], {"first": ("text", models[0]), "second": ("text", models[1]), "plain": ("plain", models[0])})
     a, b = F.col("first"), F.col("second")
-    stable = F.col("again") == a["language"]
+    stable = F.col("plain.language") == a["language"]
     checks = [
         ("detector_disagreement", a["language"] == b["language"]),
         ("fasttext_low_confidence", a["confidence"] >= config.min_confidence),

@@ -739,7 +739,8 @@ def _labelled(spark, sf_dir) -> DataFrame:
 
 def _language_models(spark, sf_dir) -> tuple:
     texts = _labelled(spark, sf_dir).filter("trains")
-    return tuple(language.fit(texts, kind) for kind in language.KINDS)
+    counted = language.labelled_tokens(texts)
+    return tuple(language.fit(texts, kind, counted=counted) for kind in language.KINDS)
 
 
 _FEATURES = {

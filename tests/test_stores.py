@@ -151,3 +151,22 @@ def test_language_models(spark):
     assert [r["language"] for r in language.predict(new, ["id"], language.fit(df.limit(0), "words")).collect()] == ["und"] * 6
     first = spark.createDataFrame([("Ab c",)], "t string").select(language.features(F.col("t"), "characters"), language.features(F.col("t"), "words")).first()
     assert list(first) == [[" Ab", "Ab ", " c "], ["ab", "c"]]
+
+
+def test_tokens_are_scored_once_and_nothing_is_exchanged(spark):
+    import pyarrow as pa
+
+    words = ["Straße,", "don't", "½x²y", "İstanbul", "a", "", "ΟΔΟΣ!", "x1y", "naïve mot", "漢字かな"]
+    rows = [(k, " \t".join(words[(k * i) % len(words)] for i in range(k % 7)) if k % 5 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    labelled = df.select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("lang"), "text")
+    for kind in language.KINDS:
+        model = language.fit(labelled, kind, least=1)
+        features = df.select("id", F.explode(language.features(F.col("text"), kind)).alias("feature"))
+        direct = labelled.filter("text IS NOT NULL").select(F.explode(language.features(F.col("text"), kind)).alias("feature")).distinct()
+        assert {r[0] for r in model.table.select("feature").collect()} == {r[0] for r in direct.collect()}
+        found = features.join(model.table, "feature").groupBy("id").agg(F.count("*"), *[F.sum(F.col("scores")[i]) for i in range(2)]).collect()
+        want = {r[0]: list(r[1:]) for r in found}
+        scorer = language._TokenScores(kind, 2, {r[0]: list(r[1]) for r in model.table.collect()})
+        assert scorer.sums(pa.array([t for _, t in rows], pa.string())).to_pylist() == [want.get(k, [0, 0, 0]) for k, _ in rows]
+        assert "Exchange" not in language.predict(df, ["id"], model)._jdf.queryExecution().executedPlan().toString()
