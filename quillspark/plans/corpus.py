@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,16 +85,51 @@ def structure_fields(content: Column) -> dict[str, Column]:
     }
 
 
-#: Characters of contents whose results a task keeps.
-_KNOWN_CHARS = 16 << 20
+#: Characters of contents and of their results (stored as bytes) that a task keeps, and characters of contents whose results are open at a time.
+_KNOWN_CHARS, _OPEN_CHARS = 4 << 20, 1 << 20
+
+
+class _Known:
+    """Results of the last contents, stored as bytes: as objects, the facts of a content take many times its size."""
+
+    def __init__(self, parser: Callable[[str], object], limit: int):
+        self.parser, self.limit, self.size, self.rows = parser, limit, 0, {}
+
+    def __call__(self, content: str | None) -> object:
+        if content is None:
+            return None
+        stored = self.rows.get(content)
+        if stored is not None:
+            return pickle.loads(stored)
+        result = self.parser(content)
+        stored = pickle.dumps(result, pickle.HIGHEST_PROTOCOL)
+        own = len(content) + len(stored)
+        if self.size + own > self.limit:
+            self.rows, self.size = {}, 0
+        if own <= self.limit:
+            self.rows[content] = stored
+            self.size += own
+        return result
+
+
+def _stretches(contents: pa.Array, limit: int, most: int = 200) -> Iterator[tuple[int, int]]:
+    """Beginnings and lengths of stretches of contents of at most limit bytes and most rows, one at least."""
+    sizes, begin, size = pc.fill_null(pc.binary_length(contents), 0).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        if i > begin and (size + n > limit or i - begin == most):
+            yield begin, i - begin
+            begin, size = i, 0
+        size += n
+    if sizes:
+        yield begin, len(sizes) - begin
 
 
 def parsed(files: DataFrame, parser: Callable[[str], object], kind: str, name: str = "parsed", keep: list[str] | None = None) -> DataFrame:
     """The columns keep of files (all by default) with a column of parser(content); null for rows without content.
 
     kind: the column's type as DDL. Contents are parsed where the scan has put them, and no exchange carries
-    them. A task parses a content once, as long as it is among the last ones of some MB, so many copies cost
-    little.
+    them. A task parses a content once, as long as it is among the last ones of some MB (with its result), so many copies cost
+    little. Results leave the task by stretches of some MB of contents.
     """
     keep = keep or files.columns
     slim = files.select(*keep, F.col("content").alias("_content"))
@@ -100,17 +137,11 @@ def parsed(files: DataFrame, parser: Callable[[str], object], kind: str, name: s
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, chars = {None: None}, 0
+        known = _Known(parser, _KNOWN_CHARS)
         for batch in batches:
-            for i in range(0, len(batch), 200):
-                part, values = batch.slice(i, 200), []
-                for content in part.column(len(keep)).to_pylist():
-                    if content not in known:
-                        if chars > _KNOWN_CHARS:
-                            known, chars = {None: None}, 0
-                        known[content] = parser(content)
-                        chars += len(content)
-                    values.append(known[content])
+            for i, n in _stretches(batch.column(len(keep)), _OPEN_CHARS):
+                part = batch.slice(i, n)
+                values = [known(x) for x in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(values, arrow.field(name).type)], schema=arrow)
 
     return slim.mapInArrow(tidy(run), schema)

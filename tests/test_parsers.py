@@ -310,3 +310,21 @@ def test_directives_and_rules():
     assert d.rules("ascii_diagram", "+--+ -->") == [2, 3]
     assert notations.shape("mermaid", "state", "[*] --> A\nA --> B : go\n")["nodes"] == 3
     assert notations.shape("mermaid", "class", "class A\nclass B\nA <|-- B\n") == {"kind": "classes", "nodes": 2, "edges": 1, "pairs": [["A"], ["B"]]}
+
+
+def test_results_that_a_task_keeps_are_bounded_with_what_they_hold():
+    import pyarrow as pa
+
+    from quillspark.plans import corpus
+
+    asked = []
+    known = corpus._Known(lambda x: asked.append(x) or [{"place": k, "target": x} for k in range(100)], 20_000)
+    first = known("a")
+    assert known("a") == first and asked == ["a"] and known(None) is None
+    for k in range(200):
+        assert known(f"content {k}")[99] == {"place": 99, "target": f"content {k}"}
+        assert known.size <= 20_000 and known.size == sum(len(a) + len(b) for a, b in known.rows.items())
+    assert known("x" * 30_000)[0]["target"] == "x" * 30_000 and "x" * 30_000 not in known.rows
+    texts = pa.array(["a" * 6, None, "b" * 5, "c" * 50, "", "é" * 5])
+    assert list(corpus._stretches(texts, 10)) == [(0, 2), (2, 1), (3, 1), (4, 2)]
+    assert list(corpus._stretches(texts, 1000, 4)) == [(0, 4), (4, 2)] and list(corpus._stretches(texts[:0], 10)) == []
