@@ -420,7 +420,11 @@ def hierarchy_candidates(corpus: Corpus) -> DataFrame:
 
     Both sides are flags of repositories, made by partial aggregates; one row remains.
     """
-    nested = allocation(corpus)["repositories"].select("repo_full_name", (F.col("edges") > 0).alias("nested"))
+    files = relational.repeated(corpus.population("exact").select("repo_full_name", "id", "path"), "repo_full_name")
+    files = written(files, "hierarchy-files")  # names only; contents are parsed for their references alone
+    edges = relational.nearest_ancestors(files, "repo_full_name", paths.directory(F.col("path")), ["id"])
+    nested = files.groupBy("repo_full_name").agg(F.lit(1).alias("_one")).join(edges.select("repo_full_name", F.lit(True).alias("_nested")).distinct(), "repo_full_name", "left")
+    nested = nested.select("repo_full_name", F.coalesce("_nested", F.lit(False)).alias("nested"))
     sure = reference_analysis(corpus)["files"].groupBy("repo_full_name").agg((F.max("high") > 0).alias("sure"))
     both = nested.join(sure, "repo_full_name", "left").withColumn("sure", F.coalesce("sure", F.lit(False)))
     cells = both.agg(*[F.count_if(side & said).alias(name) for name, side, said in (("hierarchy_with", F.col("nested"), F.col("sure")), ("hierarchy_without", F.col("nested"), ~F.col("sure")), ("flat_with", ~F.col("nested"), F.col("sure")), ("flat_without", ~F.col("nested"), ~F.col("sure")))])
@@ -505,8 +509,8 @@ def reference_analysis(corpus: Corpus) -> dict[str, DataFrame]:
     files = files.withColumn("form", form)
     hi = F.col("high") == 1
     targets = occurrences.groupBy("scope", "category", "name").agg(F.count("*").alias("occurrences"), F.count_distinct("id").alias("files"), F.count_distinct("repo_full_name").alias("repositories"), F.count_if(hi).alias("high_occurrences"), F.count_distinct(F.when(hi, F.col("id"))).alias("high_files"), *[F.count_if(F.col("intent") == x).alias(x) for x in ("direct_inclusion", "instructional_delegation", "contextual_documentation")])
-    strata = relational.strata(files, ["size_band", "star_band", "language", "location", "multiplicity", "duplication", "form"], {"files": F.lit(1), "files_with_high": (F.col("high") > 0).cast("int"), "high_occurrences": F.col("high")}, "repo_full_name", "repositories")
-    return {"occurrences": occurrences, "files": files, "targets": targets, "strata": strata}
+    strata = lambda: relational.strata(files, ["size_band", "star_band", "language", "location", "multiplicity", "duplication", "form"], {"files": F.lit(1), "files_with_high": (F.col("high") > 0).cast("int"), "high_occurrences": F.col("high")}, "repo_full_name", "repositories")
+    return Tables({"occurrences": occurrences, "files": files, "targets": targets, "strata": strata})
 
 
 def import_analysis(corpus: Corpus, earlier: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -524,7 +528,7 @@ def import_analysis(corpus: Corpus, earlier: DataFrame | None = None) -> dict[st
     files = docs.select(*_FACTS).join(files, "id", "left").na.fill(0, ["tokens", "candidates", "explicit", "fan_out"])
     targets = tokens.filter(active).groupBy("kind", "relation", "extension", "shape", F.lower("name").alias("name")).agg(F.count("*").alias("occurrences"), F.count_distinct("id").alias("files"), F.count_distinct("repo_full_name").alias("repositories"), F.min_by("name", F.struct("repo_full_name", "path", "place")).alias("first_spelling"))
     decisions = tokens.groupBy("decision", "context", "surface").agg(F.count("*").alias("occurrences"), F.count_distinct("id").alias("files"))
-    strata = relational.strata(files, ["size_band", "star_band", "language", "location", "multiplicity", "duplication"], {"files": F.lit(1), "files_with_imports": (F.col("candidates") > 0).cast("int"), "candidates": F.col("candidates")})
+    strata = lambda: relational.strata(files, ["size_band", "star_band", "language", "location", "multiplicity", "duplication"], {"files": F.lit(1), "files_with_imports": (F.col("candidates") > 0).cast("int"), "candidates": F.col("candidates")})
     out = {"tokens": tokens, "files": files, "targets": targets, "decisions": decisions, "strata": strata}
     if earlier is not None:
         keys = ["repo_full_name", "path", "line", "key"]
@@ -533,7 +537,7 @@ def import_analysis(corpus: Corpus, earlier: DataFrame | None = None) -> dict[st
         matched = relational.fifo_match(left, right, keys, ["place"], ["place"])
         state = F.when(F.col("left_row").isNull(), "earlier_only").when(F.col("right_row").isNull(), F.concat(F.lit("new_"), F.col("left_row.decision"))).otherwise(F.concat(F.lit("kept_"), F.col("left_row.decision")))
         out["comparison"] = matched.groupBy(state.alias("transition"), F.coalesce("left_row.extension", F.lit("none")).alias("extension")).agg(F.count("*").alias("n"))
-    return out
+    return Tables(out)
 
 
 def repeated_content(corpus: Corpus, limits: forms.Thresholds = forms.Thresholds(), per_category: int = 10, seed: int = 20260727) -> dict[str, DataFrame]:

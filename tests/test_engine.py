@@ -580,3 +580,14 @@ def test_content_audit(spark):
     for bad, message in (((1, "h9", "pointer_shim", "accepted_correct"), "hash mismatch"), ((1, "h1", "short_ambiguous", "accepted_correct"), "disagrees"), ((1, "h1", "pointer_shim", "maybe"), "disposition")):
         with pytest.raises(Exception, match=message):
             analyses.content_audit(audit, spark.createDataFrame([bad, *labels[1:]], schema))["total"].collect()
+
+
+def test_hierarchy_candidates_parse_for_references_alone(spark, sf_dir, monkeypatch):
+    from quillspark.plans.corpus import bind
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("not needed")
+
+    monkeypatch.setattr(analyses, "allocation", refuse)
+    monkeypatch.setattr(relational, "strata", refuse)
+    assert len(analyses.hierarchy_candidates(bind(spark, sf_dir)).collect()) == 1
