@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: What a key keeps of an event that waits; times are microseconds.
-_EVENT = T.StructType([T.StructField("at", T.LongType()), T.StructField("event", T.LongType()), T.StructField("is_left", T.BooleanType())])
+#: What a key keeps: events that wait, as rows of three long numbers (microseconds, event, whether it is a left one), and when its timer rings (milliseconds).
+_STATE = T.StructType([T.StructField("pending", T.BinaryType()), T.StructField("queue", T.BinaryType()), T.StructField("timer", T.LongType())])
+
+
+def _packed(rows: list[tuple]) -> bytes:
+    return np.array(rows, np.int64).tobytes()
+
+
+def _unpacked(stored: bytes) -> list[tuple]:
+    return list(map(tuple, np.frombuffer(stored, np.int64).reshape(-1, 3).tolist()))
 
 
 class FifoMatcher(StatefulProcessor):
@@ -20,7 +29,7 @@ class FifoMatcher(StatefulProcessor):
     Events wait until the watermark has passed them, so that none can come in between. Then they are
     matched; what finds no partner waits on in a queue, which holds one kind of event only. A key without waiting events has
     no state. An event that waits for longer than patience (in event time) leaves without a partner, and the events
-    after it move up.
+    after it move up. Each call of the state's store costs more than a match, so all of a key's state is one value, and it has one timer.
     """
 
     def __init__(self, key: T.StructField, patience_ms: int):
@@ -28,37 +37,40 @@ class FifoMatcher(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending, self.queue = handle.getListState("pending", _EVENT), handle.getListState("queue", _EVENT)
+        self.state = handle.getValueState("waiting", _STATE)
 
-    @staticmethod
-    def _read(state) -> list[tuple]:
-        return [tuple(x) for x in state.get()] if state.exists() else []
+    def _read(self) -> tuple[list[tuple], list[tuple], int | None]:
+        got = self.state.get()
+        return (_unpacked(got[0]), _unpacked(got[1]), got[2]) if got else ([], [], None)
 
-    @staticmethod
-    def _keep(state, rows: list[tuple]) -> None:
-        if rows:
-            state.put(rows)
-        elif state.exists():
-            state.clear()
+    def _keep(self, pending: list[tuple], queue: list[tuple], timer: int | None) -> None:
+        """Keep what waits, and come back when all that is pending is final, or the first of the queue has waited for long enough.
 
-    def _wait(self, pending: list[tuple], queue: list[tuple]) -> None:
-        """Come back when all that is pending is final, or the first of the queue has waited for long enough."""
+        A timer that rings earlier stays: what isn't final by then waits for another one.
+        """
         when = [max(x[0] for x in pending)] if pending else []
         when += [queue[0][0] + self.patience] if queue else []
-        if when:
-            self.handle.registerTimer(min(when) // 1000 + 1)
+        if not when:
+            self.state.clear()
+            return
+        at = min(when) // 1000 + 1
+        if timer is None or at < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+            timer = at
+        self.state.update((_packed(pending), _packed(queue), timer))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pending = self._read(self.pending)
+        pending, queue, timer = self._read()
         for part in rows:
-            pending += [(int(a), int(e), bool(s)) for a, e, s in zip(part["at"], part["event"], part["is_left"], strict=True)]
-        self._keep(self.pending, pending)
-        self._wait(pending, self._read(self.queue))
+            pending += zip(*[part[c].to_numpy(np.int64).tolist() for c in ("at", "event", "is_left")], strict=True)
+        self._keep(pending, queue, timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = 1000 * timerValues.getCurrentWatermarkInMs()
-        pending, queue, out = self._read(self.pending), self._read(self.queue), []
+        (pending, queue, _), out = self._read(), []
         final = sorted(x for x in pending if x[0] < now)
         pending = [x for x in pending if x[0] >= now]
         head = 0
@@ -75,9 +87,7 @@ class FifoMatcher(StatefulProcessor):
             out.append((queue[head], None))
             head += 1
         queue = queue[head:]
-        self._keep(self.pending, pending)
-        self._keep(self.queue, queue)
-        self._wait(pending, queue)
+        self._keep(pending, queue, None)  # the one timer has rung
         if out:
             sides = [(a[1], b and b[1]) if a[2] else (b and b[1], a[1]) for a, b in out]
             left, right = zip(*sides, strict=True)

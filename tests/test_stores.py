@@ -170,3 +170,58 @@ def test_tokens_are_scored_once_and_nothing_is_exchanged(spark):
         scorer = language._TokenScores(kind, 2, {r[0]: list(r[1]) for r in model.table.collect()})
         assert scorer.sums(pa.array([t for _, t in rows], pa.string())).to_pylist() == [want.get(k, [0, 0, 0]) for k, _ in rows]
         assert "Exchange" not in language.predict(df, ["id"], model)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_key_that_waits_has_one_state_and_one_timer():
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    calls, timers = [], set()
+
+    class Value:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            calls.append("clear")
+            self.value = None
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return value
+
+        def registerTimer(self, at):
+            calls.append("register")
+            timers.add(at)
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+            timers.remove(at)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    value, matcher = Value(), matching.FifoMatcher(T.StructField("key", T.IntegerType()), 10_000)
+    matcher.init(Handle())
+    give = lambda *rows: list(matcher.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["at", "event", "is_left"])]), Now(0)))
+    for k in range(4):
+        calls.clear()
+        assert give((1_000_000 * (k + 1), k, True)) == [] and len(timers) == 1 and len(calls) <= 3
+    for now in (1_500, 5_000):  # the first one rings before all that waits is final
+        timers.clear()
+        assert list(matcher.handleExpiredTimer((7,), Now(now), None)) == [] and len(timers) == 1
+    assert timers == {11_001}
+    give((4_500_000, 9, False))
+    assert timers == {4_501}
+    timers.clear()
+    out = list(matcher.handleExpiredTimer((7,), Now(30_000), None))
+    assert [tuple(r) for r in out[0].fillna(-1).itertuples(index=False)] == [(7, 0, 9), (7, 1, -1), (7, 2, -1), (7, 3, -1)]
+    assert value.value is None and not timers
