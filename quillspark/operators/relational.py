@@ -197,7 +197,9 @@ def distinct_cube(df: DataFrame, key: str, dimensions: list[str], sums: dict[str
     bit = (F.col("_place") - 1).cast("long")
     # Rows without a key have no bit, and a bucket (null) of their own.
     numbered = per.join(small(dense), "_of", "left")
-    cells = numbered.groupBy(*names.values(), F.bitmap_bucket_number(bit).alias("bucket")).agg(*[F.sum(f"_s_{n}").alias(n) for n in sums], F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("keys"))
+    # Rows of numbers are dealt to their cells first: a task that begins bitmaps of all cells would hold, sort and send 4 kB for almost every row.
+    dealt = numbered.withColumn("bucket", F.bitmap_bucket_number(bit)).repartition(*names.values(), "bucket")
+    cells = dealt.groupBy(*names.values(), "bucket").agg(*[F.sum(f"_s_{n}").alias(n) for n in sums], F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("keys"))
     return cells.select(*[F.col(n).alias(d) for d, n in names.items()], "bucket", *sums, "keys")
 
 

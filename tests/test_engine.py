@@ -591,3 +591,12 @@ def test_hierarchy_candidates_parse_for_references_alone(spark, sf_dir, monkeypa
     monkeypatch.setattr(analyses, "allocation", refuse)
     monkeypatch.setattr(relational, "strata", refuse)
     assert len(analyses.hierarchy_candidates(bind(spark, sf_dir)).collect()) == 1
+
+
+def test_bitmaps_begin_where_their_cells_are(spark):
+    df = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 3).alias("d"))
+    cube = relational.distinct_cube(df, "k", ["d"], {"n": F.lit(1)})
+    lines = cube._jdf.queryExecution().executedPlan().toString().split("\n")
+    begin = next(i for i, x in enumerate(lines) if "partial_bitmap_construct_agg" in x)
+    assert not any("Exchange" in x for x in lines[:begin])  # no bitmap is exchanged
+    assert sorted(map(tuple, relational.rolled_up(cube, ["d"], ["n"], "keys_").collect())) == [(0, 67, 67), (1, 67, 67), (2, 66, 66)]
