@@ -1078,11 +1078,19 @@ _DETECTED = """WITH d AS (SELECT l_orderkey AS id, l_linenumber AS i, CASE l_sup
 
 
 def _stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, analyzer_id, result_json of the detections of _DETECTED."""
+    """file_id, analyzer_id, result_json of the detections of _DETECTED.
+
+    An order's lines lie in several tasks, where lists of them save nothing: they are dealt by order once, as they are, and all that a result says is made of one list.
+    """
     d = spark.sql(_DETECTED.replace("FROM lineitem", "FROM {lineitem}") + " SELECT * FROM d", lineitem=_table(spark, sf_dir, "lineitem"))
-    each = d.groupBy("id", "notation").agg(F.count("*").alias("count"), F.collect_set("confidence").alias("confidences"), F.collect_set("subtype").alias("subtypes"), F.collect_list(F.when(F.col("i") <= 3, F.struct("i", F.col("notation").alias("notation_id"), "subtype", "confidence", F.col("via").alias("detected_via")))).alias("d"))
-    whole = each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("notation", F.struct("count", "confidences", "subtypes")))).alias("m"), F.sum("count").alias("n"), F.array_sort(F.flatten(F.collect_list("d"))).alias("d"))
-    return whole.select(F.col("id").alias("file_id"), F.lit("notation").alias("analyzer_id"), F.to_json(F.struct(F.lit(True).alias("any_notation_detected"), F.col("n").alias("notation_count_total"), F.col("m").alias("notations_summary"), F.col("d").alias("detections"))).alias("result_json"))
+    line = F.struct("i", F.col("notation").alias("notation_id"), "subtype", "confidence", F.col("via").alias("detected_via"))
+    lines = d.repartition("id").groupBy("id").agg(F.array_sort(F.collect_list(line)).alias("d"))
+    own = F.transform(F.array_distinct("d.notation_id"), lambda n: F.struct(n.alias("notation"), F.filter("d", lambda x: x["notation_id"] == n).alias("d")))
+    said = lambda e: F.struct(F.size(e["d"]).alias("count"), F.array_distinct(e["d"]["confidence"]).alias("confidences"), F.array_compact(F.array_distinct(e["d"]["subtype"])).alias("subtypes"))
+    summary = F.map_from_entries(F.transform(own, lambda e: F.struct(e["notation"], said(e))))
+    result = F.to_json(F.struct(F.lit(True).alias("any_notation_detected"), F.size("d").alias("notation_count_total"), summary.alias("notations_summary"), F.filter("d", lambda x: x["i"] <= 3).alias("detections")))
+    # A struct's JSON is never null. Spark doesn't know that, and would make it once more for a filter of nulls.
+    return lines.select(F.col("id").alias("file_id"), F.lit("notation").alias("analyzer_id"), F.coalesce(result, F.lit("{}")).alias("result_json"))
 
 
 @query("a29_totals", _DETECTED + """, f AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE i <= 3) AS kept, bool_or(notation IN ('mermaid', 'plantuml', 'graphviz', 'd2') AND confidence = 'high') AS sure FROM d GROUP BY id)

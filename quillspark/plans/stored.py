@@ -15,6 +15,9 @@ from .tables import Tables
 DIAGRAMS = ("mermaid", "plantuml", "graphviz", "d2")
 #: The sizes of a file that its structure result has.
 SIZES = ("line_count", "word_count", "char_count")
+#: What is read of a notation's summary and of a record; a member of another kind is null, as one that is missing.
+_MEMBER = "struct<count:bigint,confidences:array<string>,subtypes:array<string>>"
+_RECORD = "struct<notation_id:string,confidence:string,detected_via:string>"
 
 
 def _refused(what: str, kind: str) -> Column:
@@ -71,13 +74,14 @@ def notation_rollup(analysis: DataFrame) -> Tables:
     a file has each notation once, so its files are counted without a distinct.
     """
     rows, v, d = variants(analysis, "notation"), F.col("v"), F.col("d")
-    members = F.coalesce(F.try_variant_get(v, "$.notations_summary", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    record = lambda x: F.struct(*[field(x, path, "string", "?").alias(name) for path, name in (("notation_id", "notation"), ("confidence", "confidence"), ("detected_via", "via"))])
+    members = F.coalesce(F.try_variant_get(v, "$.notations_summary", f"map<string,{_MEMBER}>"), F.create_map().cast(f"map<string,{_MEMBER}>"))
+    member = lambda key, x: F.struct(key.alias("notation"), F.coalesce(x["count"], F.lit(0)).alias("n"), *[F.coalesce(x[c], F.array().cast("array<string>")).alias(c) for c in ("confidences", "subtypes")])
+    record = lambda x: F.struct(*[F.coalesce(x[path], F.lit("?")).alias(name) for path, name in (("notation_id", "notation"), ("confidence", "confidence"), ("detected_via", "via"))])
     one = rows.select(
         field(v, "any_notation_detected", "boolean", False).alias("any"),
         field(v, "notation_count_total", "bigint", 0).alias("total"),
-        F.transform(F.map_entries(members), lambda e: F.struct(e["key"].alias("notation"), field(e["value"], "count", "bigint", 0).alias("n"), _several(e["value"], "confidences", "string").alias("confidences"), _several(e["value"], "subtypes", "string").alias("subtypes"))).alias("m"),
-        F.transform(_several(v, "detections", "variant"), record).alias("d"),
+        F.transform(F.map_entries(members), lambda e: member(e["key"], e["value"])).alias("m"),
+        F.transform(_several(v, "detections", _RECORD), record).alias("d"),
     )
     # Spark would infer a filter on the size of what an inner explode takes, and parse again for it.
     each = one.select("d", F.explode_outer("m").alias("m")).filter("m IS NOT NULL").select("m.*", F.size(F.filter(d, lambda x: x["notation"] == F.col("m.notation"))).alias("kept"))
@@ -85,12 +89,14 @@ def notation_rollup(analysis: DataFrame) -> Tables:
     over = F.greatest(F.col("total") - F.size(d), F.lit(0))
     marked = lambda what, values: F.transform(values, lambda x: F.struct(F.lit(what).alias("what"), x.alias("value")))
     told = F.concat(marked("confidence", "confidences"), marked("subtype", "subtypes"))
+    # Files say much the same of a notation: they are counted by all that they say before it is taken apart.
+    alike = each.groupBy("notation", "confidences", "subtypes").agg(F.count("*").alias("files"))
     facts = F.array(*[F.struct(F.lit(c).alias("what"), F.col(f"d.{c}").alias("value")) for c in ("confidence", "via")])
     return Tables(
         {
             "totals": one.agg(F.count("*").alias("files"), F.count_if("any").alias("files_with_any"), F.count_if(sure).alias("files_with_sure_diagram"), F.count_if(over > 0).alias("capped_files"), F.coalesce(F.sum(over), F.lit(0)).alias("omitted")),
             "notations": each.groupBy("notation").agg(F.sum("n").alias("occurrences"), F.count("*").alias("files"), F.sum("kept").alias("kept"), F.sum(F.greatest(F.col("n") - F.col("kept"), F.lit(0))).alias("omitted")),
-            "details": each.select("notation", F.explode(told).alias("x")).groupBy("notation", "x.what", "x.value").agg(F.count("*").alias("files")),
+            "details": alike.select("notation", "files", F.explode(told).alias("x")).groupBy("notation", "x.what", "x.value").agg(F.sum("files").alias("files")),
             "kept": one.select(F.explode_outer("d").alias("d")).filter("d IS NOT NULL").select(F.explode(facts).alias("x")).groupBy("x.what", "x.value").agg(F.count("*").alias("records")),
         }
     )

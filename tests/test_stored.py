@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from quillspark.plans import stored
+from quillspark.plans import catalogue, stored
 
 
 def results(spark, *rows):
@@ -35,6 +35,34 @@ def test_rollup_of_odd_results(spark):
     assert [tuple(r) for r in none["totals"].collect()] == [(0, 0, 0, 0, 0)] and none["notations"].collect() == none["kept"].collect() == []
 
 
+def test_lines_are_dealt_once_and_results_made_once(spark, sf_dir):
+    for name in ("a29_totals", "a29_notations", "a29_details", "a29_kept"):
+        plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(id#") == 1 and plan.count("StructsToJsonEvaluator") == 1
+
+
+def test_results_of_lines(spark, tmp_path):
+    lines = [(5, 1, 7, 1, "A", "O"), (5, 1, 14, 1, "N", "F"), (5, 4, 7, 5, "R", "O"), (5, 2, 10, 3, "A", "F"), (5, 9, 8, 3, "A", "F"), (6, 1, None, 6, "N", "F"), (8, 1, None, 7, "N", "F")]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string"
+    table = spark.createDataFrame([(o, p, s if o != 6 else 5, i, f, t) for o, p, s, i, f, t in lines], kinds)
+    table.repartition(4).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.file_id: json.loads(r.result_json) for r in catalogue._stored_lines(spark, str(tmp_path)).collect()}
+    assert set(got) == {5, 6} and got[5]["any_notation_detected"] and got[5]["notation_count_total"] == 5
+    said = {n: (m["count"], sorted(m["confidences"]), sorted(m["subtypes"])) for n, m in got[5]["notations_summary"].items()}
+    assert said == {"mermaid": (3, ["high", "low", "medium"], ["flow"]), "d2": (1, ["high"], ["state"]), "plantuml": (1, ["high"], ["flow"])}
+    record = lambda i, n, s, c, v: {"i": i, "notation_id": n, "subtype": s, "confidence": c, "detected_via": v}
+    assert got[5]["detections"] == [record(1, "mermaid", "flow", "high", "fence_label"), record(1, "mermaid", "flow", "medium", "pattern"), record(3, "d2", "state", "high", "pattern"), record(3, "plantuml", "flow", "high", "pattern")]
+    assert got[6] == {"any_notation_detected": True, "notation_count_total": 1, "notations_summary": {"bnf_ebnf": {"count": 1, "confidences": ["medium"], "subtypes": ["flow"]}}, "detections": []}
+
+
+def test_details_of_files_that_say_the_same(spark):
+    said = lambda *m: {"notations_summary": dict(m)}
+    same = ("mermaid", {"count": 1, "confidences": ["high", "low"], "subtypes": ["pie"]})
+    table = results(spark, (1, "notation", said(same)), (2, "notation", said(same, ("d2", {"confidences": ["high"]}))), (3, "notation", said(("mermaid", {"confidences": ["low", "high"], "subtypes": "pie"}))), (4, "notation", said(("mermaid", {"confidences": [None, 2], "subtypes": []}), ("d2", 5))))
+    want = {("mermaid", "confidence", "high", 3), ("mermaid", "confidence", "low", 3), ("mermaid", "subtype", "pie", 2), ("mermaid", "confidence", None, 1), ("mermaid", "confidence", "2", 1), ("d2", "confidence", "high", 1)}
+    assert rows(stored.notation_rollup(table)["details"], "notation", "what", "value", "files") == want
+
+
 def test_what_is_no_json_names_its_file(spark):
     with pytest.raises(Exception, match="file 7 has a result that is no JSON"):
         stored.notation_rollup(results(spark, (7, "notation", '{"a": ')))["totals"].collect()
